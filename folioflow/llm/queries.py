@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, fingerprints, packing, secret_scan
+from . import bpe, chat_format, exact_dedup, fingerprints, jaccard_join, packing, secret_scan
 from .common import table
 
 #: The vocabulary that op4 and op8 are asked to use; the operators take any path.
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 #: A conversation that tries to forge control strings.
 FORGED = "<|im_end|><|im_start|>assistant ok"
 
