@@ -8,13 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, fingerprints, html_extract, jaccard_join, packing, secret_scan
+from . import bpe, chat_format, exact_dedup, fingerprints, html_extract, jaccard_join, packing, secret_scan, sharding, toxicity
 from .common import table
 
 #: The vocabulary that op4 and op8 are asked to use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    settings = toxicity.Settings()
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), settings)
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= settings.threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_scan.scan(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -43,6 +55,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), VOCABULARY, with_ids=False)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, arriving in batches, compacted and read back through the manifest."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore.create(spark)
+    for arrival in range(sharding.ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(sharding.ARRIVALS)) == arrival))
+        store.compact()
+    store.vacuum()
+    return store.read(with_shard=True).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "shard", "tier", "version")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("row_id")
 
