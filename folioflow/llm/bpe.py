@@ -14,19 +14,23 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the pattern of the byte-level pre-tokenizer. \p{White_Space} is what its library takes for \s.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens whose ids a worker keeps; the table is emptied when it is full.
+#: Pre-tokens whose ids a worker keeps, twice: those met since the table was last full, and those met before.
 KEPT = 300_000
+#: Pairs of tokens whose compatibility a worker keeps.
+PAIRS = 1_000_000
+#: Later than any merge.
+NEVER = 1 << 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -36,6 +40,24 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Kept(dict):
+    """Pre-token -> ids. When it is full it starts anew, and what is met again comes over from the table before."""
+
+    def __init__(self, piece: Callable[[bytes], tuple[int, ...]]):
+        super().__init__()
+        self.piece, self.before = piece, {}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= KEPT:
+            self.before = dict(self)
+            self.clear()
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.piece(word.encode())
+        self[word] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file (JSON of a byte-level BPE model)."""
 
@@ -44,92 +66,88 @@ class Bpe:
             spec = json.load(f)
         letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
-        self.bytes_of = {i: as_bytes(t) for t, i in spec["model"]["vocab"].items()}
-        self.id_of = {b: i for i, b in self.bytes_of.items()}
-        #: (left, right) -> the token they merge into; the smaller the id, the earlier the merge
-        self.merged: dict[tuple[int, int], int] = {}
+        self.id_of = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
+        #: left << 20 | right -> the token they merge into; the smaller the id, the earlier the merge
+        self.merged: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for pair in spec["model"]["merges"]:
             left, right = map(as_bytes, pair.split(" ") if isinstance(pair, str) else pair)
             a, b, c = self.id_of[left], self.id_of[right], self.id_of[left + right]
-            self.merged.setdefault((a, b), c)
+            self.merged.setdefault(a << 20 | b, c)
             self.halves.setdefault(c, (a, b))
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        by_id = {i: b for b, i in self.id_of.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.bytes_of = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.split = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pattern = regex.compile(PATTERN)
         self.automaton = ahocorasick.Automaton()
-        for i, b in self.bytes_of.items():
-            if i not in self.special.values():
-                self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+        for b, i in self.id_of.items():
+            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
+        self.pairs: dict[int, bool] = {}
+        self.kept = Kept(self.piece)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a and b stay apart side by side: no merge across their border would come before the merges that formed them.
 
-        The border's neighbours are taken apart from the last merge to the first; at each
-        step the merge across the border, if there is one, must not precede what is still whole.
+        The border's neighbours are followed from their first bytes to a and b; at each
+        step the merge across the border, if there is one, must not precede the merge
+        that replaces a neighbour.
         """
-        key = (a, b)
-        known = self.pairs.get(key)
-        if known is None:
-            known = self._compatible(a, b)
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-            self.pairs[key] = known
-        return known
-
-    def _compatible(self, a: int, b: int) -> bool:
-        # rights[i]: the tokens that stood left of the border, from a itself to its last byte, with the merge that ended each;
-        # two descending lists of (time at which this neighbour came about, neighbour), walked together.
-        left, right = [a], [b]
-        while left[-1] in self.halves:
-            left.append(self.halves[left[-1]][1])
-        while right[-1] in self.halves:
-            right.append(self.halves[right[-1]][0])
-        # A neighbour lives from its own merge (its id) until the merge of the next larger one.
+        left, right, merged = self.edge(a, 1), self.edge(b, 0), self.merged.get
         i, j = len(left) - 1, len(right) - 1
         while True:
-            across = self.merged.get((left[i], right[j]))
-            ends_left = left[i - 1] if i else None
-            ends_right = right[j - 1] if j else None
-            # of merges with the same rank the left one comes first
-            first = min((x for x in (ends_left, ends_right) if x is not None), default=None)
-            if across is not None:
-                if first is None or across < first:
+            across = merged(left[i] << 20 | right[j], NEVER + 1)
+            # a neighbour lives until the merge of the next larger one
+            ends_left, ends_right = left[i - 1] if i else NEVER, right[j - 1] if j else NEVER
+            if ends_left <= ends_right:  # of merges with the same rank the left one comes first
+                if across < ends_left:
                     return False
-                if across == first and first != ends_left:
-                    return False
-            if first is None:
-                return True
-            if first == ends_left:
+                if not i:
+                    return True
                 i -= 1
             else:
+                if across <= ends_right:
+                    return False
                 j -= 1
 
+    def edge(self, token: int, side: int) -> list[int]:
+        """The token and, from it to a single byte, what stood at its right (1) or left (0) edge before each of its merges."""
+        found = self.edges[side].get(token)
+        if found is None:
+            found = [token]
+            while found[-1] in self.halves:
+                found.append(self.halves[found[-1]][side])
+            self.edges[side][token] = found
+        return found
+
     def piece(self, raw: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
-        if raw in self.id_of and len(raw) < 2:
-            return (self.id_of[raw],)
-        n = len(raw)
-        last: list[int] = [-1] * (n + 1)  # the last token of each prefix
-        size: list[int] = [0] * (n + 1)
-        compatible = self.compatible
-        for end, (length, token) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1
-            if last[end] >= 0:
+        letters = raw.decode("latin-1")
+        last: list = [None] * len(letters)  # (length, id) of the last token of each prefix
+        pairs, known = self.pairs, self.pairs.get
+        for end, found in self.automaton.iter(letters):
+            if last[end] is not None:
                 continue
-            start = end - length
-            before = last[start]
-            if start == 0 or (before >= 0 and compatible(before, token)):
-                last[end], size[end] = token, length
-        out = []
-        while n:
-            out.append(last[n])
-            n -= size[n]
+            start = end - found[0]
+            if start >= 0:
+                before, token = last[start][1], found[1]
+                key = before << 20 | token
+                fits = known(key)
+                if fits is None:
+                    fits = pairs[key] = self.compatible(before, token)
+                if not fits:
+                    continue
+            last[end] = found
+        if len(pairs) > PAIRS:
+            pairs.clear()
+        out, end = [], len(letters) - 1
+        while end >= 0:
+            length, token = last[end]
+            out.append(token)
+            end -= length
         return tuple(out[::-1])
 
     def encode(self, text: str) -> list[int]:
@@ -144,17 +162,7 @@ class Bpe:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        words, kept = self.pattern.findall(text), self.kept
-        try:
-            return list(chain.from_iterable(map(kept.__getitem__, words)))
-        except KeyError:
-            pass
-        if len(kept) > KEPT:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                kept[w] = self.piece(w.encode())
-        return list(chain.from_iterable(map(kept.__getitem__, words)))
+        return list(chain.from_iterable(map(self.kept.__getitem__, self.pattern.findall(text))))
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
@@ -176,23 +184,26 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     A null text counts as empty: no ids. Rows are independent, so repeated rows, null ids
     and empty tables need no rule; other columns of ``docs`` are not read.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = bpe(path)
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                part = batch.iloc[at : at + 500]
-                out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": []} | ({"ids": [], "decoded": []} if with_ids else {})
-                for text in part["text"]:
-                    ids = codec.encode(text)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out: list[list] = [[], [], [], [], []]
+                for text in part.column("text").to_pylist():
+                    ids = codec.encode(text or "")
                     decoded = codec.decode(ids)
-                    out["n_tokens"].append(len(ids))
-                    out["ids_sha256"].append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, ids)).encode()).hexdigest())
-                    out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+                    out[0].append(len(ids))
+                    out[1].append(hashlib.sha256(",".join(map(codec.text_of.__getitem__, ids)).encode()).hexdigest())
+                    out[2].append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
-                        out["ids"].append(ids)
-                        out["decoded"].append(decoded)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **out})
+                        out[3].append(ids)
+                        out[4].append(decoded)
+                made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()), strict=True)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made][: 6 if with_ids else 4], names[: 6 if with_ids else 4])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(rows, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, schema)
