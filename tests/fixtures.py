@@ -1,0 +1,160 @@
+"""Office and PDF files, put together from their parts."""
+
+from __future__ import annotations
+
+import io
+import struct
+import zipfile
+import zlib
+
+TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>'
+OPEN = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def zipped(members: dict[str, str | bytes]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def rels(entries: dict[str, tuple[str, str]]) -> str:
+    inner = "".join(f'<Relationship Id="{i}" Type="{REL}/{k}" Target="{t}"{" TargetMode=" + chr(34) + "External" + chr(34) if t.startswith("http") else ""}/>' for i, (k, t) in entries.items())
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{inner}</Relationships>'
+
+
+def png(shade: int = 0) -> bytes:
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes([0, shade]))) + chunk(b"IEND", b"")
+
+
+def off(top: int | None, left: int | None) -> str:
+    return "" if top is None else f'<a:xfrm><a:off x="{left}" y="{top}"/></a:xfrm>'
+
+
+def paragraph(text: str, level: int = 0) -> str:
+    return f'<a:p><a:pPr lvl="{level}"/><a:r><a:t>{text}</a:t></a:r></a:p>'
+
+
+def title(text: str) -> str:
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="2" name="t"/><p:cNvSpPr/><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:spPr/><p:txBody>{paragraph(text)}</p:txBody></p:sp>'
+
+
+def box(paragraphs: str, top: int | None = 0, left: int | None = 0) -> str:
+    return f'<p:sp><p:nvSpPr><p:cNvPr id="3" name="b"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr>{off(top, left)}</p:spPr><p:txBody>{paragraphs}</p:txBody></p:sp>'
+
+
+def group(inner: str, top: int = 0, left: int = 0) -> str:
+    return f'<p:grpSp><p:nvGrpSpPr><p:cNvPr id="9" name="g"/></p:nvGrpSpPr><p:grpSpPr>{off(top, left)}</p:grpSpPr>{inner}</p:grpSp>'
+
+
+def frame(uri: str, inner: str, top: int = 0, left: int = 0) -> str:
+    return f'<p:graphicFrame><p:nvGraphicFramePr><p:cNvPr id="4" name="f"/></p:nvGraphicFramePr><p:xfrm><a:off x="{left}" y="{top}"/></p:xfrm><a:graphic><a:graphicData uri="{uri}">{inner}</a:graphicData></a:graphic></p:graphicFrame>'
+
+
+def slide_table(rows: list[list[str]], top: int = 0) -> str:
+    cells = "".join("<a:tr>" + "".join(f"<a:tc><a:txBody>{paragraph(c)}</a:txBody></a:tc>" for c in r) + "</a:tr>" for r in rows)
+    return frame("http://schemas.openxmlformats.org/drawingml/2006/table", f"<a:tbl>{cells}</a:tbl>", top)
+
+
+def picture(rel: str, alt: str = "", top: int = 0) -> str:
+    return f'<p:pic><p:nvPicPr><p:cNvPr id="5" name="p" descr="{alt}"/><p:cNvPicPr/><p:nvPr/></p:nvPicPr><p:blipFill><a:blip r:embed="{rel}"/></p:blipFill><p:spPr>{off(top, 0)}</p:spPr></p:pic>'
+
+
+def pptx(slides: list[str], media: dict[str, bytes] | None = None, notes: dict[int, str] | None = None) -> bytes:
+    media, notes = media or {}, notes or {}
+    members: dict[str, str | bytes] = {"[Content_Types].xml": TYPES}
+    ids = "".join(f'<p:sldId id="{256 + i}" r:id="rId{i}"/>' for i in range(len(slides)))
+    members["ppt/presentation.xml"] = f"<p:presentation {OPEN}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>"
+    members["ppt/_rels/presentation.xml.rels"] = rels({f"rId{i}": ("slide", f"slides/slide{i + 1}.xml") for i in range(len(slides))})
+    for i, inner in enumerate(slides):
+        members[f"ppt/slides/slide{i + 1}.xml"] = f"<p:sld {OPEN}><p:cSld><p:spTree><p:nvGrpSpPr/><p:grpSpPr/>{inner}</p:spTree></p:cSld></p:sld>"
+        entries = {f"m{k}": ("image", f"../media/{name}") for k, name in enumerate(media)}
+        if i in notes:
+            entries["n"] = ("notesSlide", f"../notesSlides/notesSlide{i + 1}.xml")
+            members[f"ppt/notesSlides/notesSlide{i + 1}.xml"] = f'<p:notes {OPEN}><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr id="3" name="n"/><p:cNvSpPr/><p:nvPr><p:ph type="body" idx="1"/></p:nvPr></p:nvSpPr><p:spPr/><p:txBody>{paragraph(notes[i])}</p:txBody></p:sp></p:spTree></p:cSld></p:notes>'
+        members[f"ppt/slides/_rels/slide{i + 1}.xml.rels"] = rels(entries)
+    return zipped(members | {f"ppt/media/{n}": c for n, c in media.items()})
+
+
+def run(text: str, marks: str = "") -> str:
+    return f"<w:r><w:rPr>{marks}</w:rPr><w:t>{text}</w:t></w:r>"
+
+
+def para(inner: str, style: str = "", extra: str = "") -> str:
+    return f'<w:p><w:pPr>{f"<w:pStyle w:val={chr(34)}{style}{chr(34)}/>" if style else ""}{extra}</w:pPr>{inner}</w:p>'
+
+
+def drawing(rel: str, alt: str = "") -> str:
+    return f'<w:r><w:drawing><wp:inline><wp:docPr id="1" name="i" descr="{alt}"/><a:graphic><a:graphicData><a:blip r:embed="{rel}"/></a:graphicData></a:graphic></wp:inline></w:drawing></w:r>'
+
+
+def docx(body: str, media: dict[str, bytes] | None = None, links: dict[str, str] | None = None, extra: dict[str, str] | None = None) -> bytes:
+    media, links = media or {}, links or {}
+    styles = "".join(f'<w:style w:styleId="Heading{i}"><w:name w:val="heading {i}"/></w:style>' for i in range(1, 7))
+    numbering = '<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="bullet"/></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="bullet"/></w:lvl></w:abstractNum><w:abstractNum w:abstractNumId="1"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/></w:num><w:num w:numId="2"><w:abstractNumId w:val="1"/></w:num>'
+    members: dict[str, str | bytes] = {
+        "[Content_Types].xml": TYPES,
+        "word/document.xml": f"<w:document {OPEN}><w:body>{body}</w:body></w:document>",
+        "word/styles.xml": f"<w:styles {OPEN}>{styles}</w:styles>",
+        "word/numbering.xml": f"<w:numbering {OPEN}>{numbering}</w:numbering>",
+        "word/_rels/document.xml.rels": rels({f"m{k}": ("image", f"media/{n}") for k, n in enumerate(media)} | {k: ("hyperlink", v) for k, v in links.items()}),
+    }
+    return zipped(members | (extra or {}) | {f"word/media/{n}": c for n, c in media.items()})
+
+
+def word_table(rows: list[list[str]]) -> str:
+    return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(run(c))}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
+
+
+def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = None, packed: bool = False, encrypted: bool = False) -> bytes:
+    """pages: content streams. images: name -> width, height, grey bytes. packed: dictionaries in an object stream, without a table."""
+    images = images or {}
+    objects: list[bytes] = [b"", b""]  # catalogue and page tree, filled in below
+    font = len(objects) + 1
+    objects.append(b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>")
+    names = {}
+    for name, (w, h, data) in images.items():
+        body = zlib.compress(data)
+        objects.append(b"<</Type/XObject/Subtype/Image/Width %d/Height %d/ColorSpace/DeviceGray/BitsPerComponent 8/Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (w, h, len(body), body))
+        names[name] = len(objects)
+    kids = []
+    for content in pages:
+        body = zlib.compress(content.encode("cp1252"))
+        objects.append(b"<</Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (len(body), body))
+        x = b"".join(b"/%s %d 0 R" % (n.encode(), i) for n, i in names.items() if f"/{n} Do" in content)
+        objects.append(b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 800]/Contents %d 0 R/Resources<</Font<</F1 %d 0 R>>/XObject<<%s>>>>>>" % (len(objects), font, x))
+        kids.append(len(objects))
+    objects[0] = b"<</Type/Catalog/Pages 2 0 R>>"
+    objects[1] = b"<</Type/Pages/Count %d/Kids[%s]>>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
+    out = bytearray(b"%PDF-1.7\n")
+    plain = [(i, o) for i, o in enumerate(objects, 1) if not packed or b"stream" in o]
+    for i, o in plain:
+        out += b"%d 0 obj\n%s\nendobj\n" % (i, o)
+    if packed:
+        inner = [(i, o) for i, o in enumerate(objects, 1) if b"stream" not in o]
+        heads, bodies = b"", b""
+        for i, o in inner:
+            heads += b"%d %d " % (i, len(bodies))
+            bodies += o + b" "
+        body = zlib.compress(heads + bodies)
+        out += b"90 0 obj\n<</Type/ObjStm/N %d/First %d/Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream\nendobj\n" % (len(inner), len(heads), len(body), body)
+    return bytes(out) + b"trailer\n<</Root 1 0 R%s>>\nstartxref\n0\n%%%%EOF" % (b"/Encrypt 99 0 R" if encrypted else b"")
+
+
+def text_at(x: float, y: float, text: str, size: int = 12) -> str:
+    return f"BT /F1 {size} Tf {x} {y} Td ({text}) Tj ET\n"
+
+
+def grid(rows: list[list[str]], left: int = 50, top: int = 700, width: int = 120, height: int = 20) -> str:
+    out = ""
+    for i in range(len(rows) + 1):
+        out += f"{left} {top - i * height} m {left + width * len(rows[0])} {top - i * height} l S\n"
+    for j in range(len(rows[0]) + 1):
+        out += f"{left + j * width} {top} m {left + j * width} {top - height * len(rows)} l S\n"
+    for i, r in enumerate(rows):
+        for j, c in enumerate(r):
+            out += text_at(left + j * width + 4, top - (i + 1) * height + 6, c, 10)
+    return out
