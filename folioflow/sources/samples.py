@@ -1,4 +1,4 @@
-"""Office and PDF files, put together from their parts."""
+"""Small Office and PDF files put together from their parts, for queries and tests."""
 
 from __future__ import annotations
 
