@@ -18,24 +18,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.where("a IS NOT NULL AND b IS NOT NULL")
     nodes = now.select(F.col("a").alias("node")).unionByName(now.select(F.col("b").alias("node"))).distinct()
-    now = cut(oriented(now.where("a != b")), "components")
-    sign = signature(now)
-    while True:
+    now = cut(oriented(now.where("a != b")).distinct(), "components", slim=True)
+    while not stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = oriented(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = cut(oriented(small), "components")
-        before, sign = sign, signature(now)
-        if sign == before:
-            break
+        now = cut(oriented(small).distinct(), "components", slim=True)
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("label")), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def oriented(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b")
 
 
-def signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one smaller node that hangs on none."""
+    inner = edges.select(F.col("b").alias("a")).distinct()
+    several = edges.groupBy("a").count().where("count > 1").select("a")
+    return edges.select("a").join(inner, "a", "left_semi").unionByName(several).isEmpty()

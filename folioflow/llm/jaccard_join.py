@@ -5,9 +5,10 @@ is joined. A run deals the classes into a tree: a node chooses coordinates at ra
 a class goes to one child for each, named by the token of its set that comes first under
 the coordinate's order (a min-hash, so similar sets share a child with a probability of
 their similarity). Nodes of at most ``leaf`` classes are compared by brute force. In a
-larger node everything is compared with a random pivot; what is all but equal to the
-pivot leaves the node (its partners must be similar to the pivot as well, so nothing
-is lost) and the rest is split further. Runs are repeated until the target recall.
+larger node everything is compared with a random pivot, and what is as similar to it as
+a link is leaves the node: the distance is a metric, so its own partners have a
+similarity of 0.6 or more to the pivot and are linked to it as well. The rest
+is split further. Runs are repeated until the target recall.
 
 What is similar by its min-hashes becomes a link of a candidate graph, of which only a
 spanning forest is ever written. Then every class meets the others of its candidate
@@ -21,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -47,10 +49,10 @@ class Join:
     least: float = 0.8
     runs: int = 4
     fan: int = 2
-    leaf: int = 128
+    leaf: int = 256
     sketch: float = 0.58
     pivot: float = 0.5
-    absorb: float = 0.9
+    absorb: float = 0.8
     block: int = 128
     block_shingles: int = 1 << 21
 
@@ -59,7 +61,7 @@ class WordHash(dict):
     """word -> 64-bit hash, remembered; emptied when full."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -174,7 +176,7 @@ def compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
 def children(nodes: DataFrame, fan: int) -> DataFrame:
     """Each row once for every coordinate its node chooses, at the child's path."""
     rows = nodes.withColumn("way", F.explode(F.array(*[F.lit(i) for i in range(fan)])))
-    rows = rows.withColumn("at", F.pmod(F.xxhash64("path", "way"), F.lit(COORDINATES)).cast("int"))
+    rows = rows.withColumn("at", F.pmod(F.pmod(F.xxhash64("path"), F.lit(COORDINATES)) + F.col("way") * 21, F.lit(COORDINATES)).cast("int"))
     return rows.select(F.xxhash64("path", "at", F.expr("substring(sig, at * 2 + 1, 2)")).alias("path"), "k", "sig")
 
 
@@ -194,31 +196,30 @@ def candidate_links(classes: DataFrame, p: Join) -> DataFrame:
     spark = classes.sparkSession
     runs = F.explode(F.array(*[F.xxhash64(F.lit(run)) for run in range(p.runs)]))
     nodes = children(classes.select(runs.alias("path"), "k", "sig"), p.fan)
+    leaves: list[DataFrame] = []
     found: list[DataFrame] = []
     level = 0
     while True:
-        # at most one path in ``leaf`` rows
-        large = cut(nodes.groupBy("path").count().where(F.col("count") > p.leaf).select("path"), "chosen-path-large")
-        found.append(compare_leaves(nodes.join(large, "path", "left_anti"), p.sketch))
+        # at most one path in ``leaf`` rows; the row with the least hash is its pivot
+        large = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k", "path")).alias("by"))
+        large = cut(large.where(F.col("n") > p.leaf).select("path", "by"), "chosen-path-large", slim=True)
+        leaves.append(nodes.join(large, "path", "left_anti"))
         if large.isEmpty():
             break
         level += 1
-        inside = cut(nodes.join(large, "path"), "chosen-path")
-        pivots = inside.groupBy("path").agg(F.min(F.struct(F.xxhash64("k", "path").alias("by"), "k", "sig")).alias("pivot"))
-        compared = near_pivots(inside.join(pivots.select("path", F.col("pivot.k").alias("pivot"), F.col("pivot.sig").alias("pivot_sig")), "path"))
-        compared = cut(compared, "chosen-path-pivots")
+        pivots = nodes.withColumn("by", F.xxhash64("k", "path")).join(large, ["path", "by"]).select("path", F.col("k").alias("pivot"), F.col("sig").alias("pivot_sig")).dropDuplicates(["path"])
+        compared = near_pivots(nodes.join(pivots, "path"))
+        compared = cut(compared, "chosen-path-pivots", slim=True)
         found.append(compared.where((F.col("near") >= p.pivot) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b")))
-        # deep down whatever is like the pivot leaves with it, so every node dissolves
-        absorb = p.absorb if level <= 8 else p.pivot
+        # the deeper, the more leaves with the pivot, so every node dissolves
+        absorb = max(p.pivot, p.absorb - 0.1 * (level - 1))
         nodes = children(compared.where((F.col("near") < absorb) & (F.col("k") != F.col("pivot"))).select("path", "k", "sig"), p.fan if level <= 3 else 1)
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return cut(links.distinct(), "chosen-path-links")
+    links = compare_leaves(reduce(DataFrame.unionByName, leaves), p.sketch)
+    return cut(reduce(DataFrame.unionByName, found, links).distinct(), "chosen-path-links", slim=True)
 
 
 def exact_links(sets: DataFrame, least: float) -> DataFrame:
-    """c, d, links, root from rows (c, i, j, half, d, weight, found): those of a cell (c, i, j) are compared with whole sets.
+    """c, alone, d, links, root from rows (c, i, j, alone, half, d, weight, found): those of a cell (c, i, j) are compared with whole sets.
 
     In a cell of one block all its classes meet each other; in a cell of two, those of
     one half meet those of the other. links counts documents; root is the smallest
@@ -253,7 +254,7 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
         i, j = np.nonzero(np.triu(linked))
         root = forest(n, i, j)
         d = group["d"].to_numpy()
-        return pd.DataFrame({"c": group["c"], "d": d, "links": linked @ group["weight"].to_numpy(), "root": d[root]})
+        return pd.DataFrame({"c": group["c"], "alone": group["alone"], "d": d, "links": linked @ group["weight"].to_numpy(), "root": d[root]})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: pd.DataFrame | None = None
@@ -269,7 +270,7 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
         if kept is not None and len(kept):
             yield cell(kept)
 
-    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, "c long, d binary, links long, root binary")
+    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, "c long, alone boolean, d binary, links long, root binary")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Join = Join()) -> DataFrame:  # noqa: B008
@@ -289,7 +290,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     classes = flat.where("d IS NOT NULL").groupBy("d").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("k", F.xxhash64("d")), "jaccard-classes")
     groups = components(candidate_links(classes.select("k", "sig"), p))
-    groups = cut(groups.join(classes.select("d", "k", "weight", "first", "size"), groups["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups")
+    groups = cut(groups.join(classes.select("d", "k", "weight", "first", "size"), groups["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups", slim=True)
 
     # whole sets, of one row of each class that has a candidate
     lowest = F.lit(-(2**63))
@@ -301,11 +302,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     per = per.where("n > 1").select("c", blocks.cast("int").alias("blocks"))
     whole = whole.join(per, "c").withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), "half", "d", "weight", "found")
+    cells = cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), (F.col("blocks") == 1).alias("alone"), "half", "d", "weight", "found")
     met = cut(exact_links(cells, p.least), "jaccard-links")
 
     counted = met.groupBy("d").agg(F.sum("links").alias("links"))
-    label = components(met.select(F.col("d").alias("a"), F.col("root").alias("b")))
+    # within one cell the roots are final; forests of several cells have to be joined
+    several = met.where("NOT alone")
+    label = met.where("alone").select(F.col("d").alias("node"), F.col("root").alias("label"))
+    label = label.unionByName(components(several.select(F.col("d").alias("a"), F.col("root").alias("b"))))
     of_class = classes.select("d", "weight", "first").join(counted, "d", "left").join(label.withColumnRenamed("node", "d"), "d", "left")
     of_class = of_class.select("d", "first", F.coalesce("label", "d").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least_id = of_class.groupBy("label").agg(F.min("first").alias("class_id"))
