@@ -40,21 +40,24 @@ def misra_gries(batches: Iterator[pd.DataFrame], counters: int) -> Iterator[pd.D
 
 
 def heavy_winners(slim: DataFrame, heavy_share: float) -> DataFrame:
-    """digest, group_size, win of the digests that hold over heavy_share of all rows: under 1/heavy_share rows."""
-    counters = int(1 / heavy_share)
+    """digest, group_size, win of the digests that hold over heavy_share of all rows: under 1/heavy_share rows.
+
+    With 2/heavy_share counters a partition's summary misses at most heavy_share/2 of its
+    rows for a digest, so the sums over partitions are over half the threshold for every
+    digest sought, and for under 2/heavy_share digests in all.
+    """
+    counters, total = int(2 / heavy_share), slim.count()
     candidates = (
         slim.select("digest")
         .mapInPandas(lambda batches: misra_gries(batches, counters), "digest binary, seen long")
         .groupBy("digest")
         .agg(F.sum("seen").alias("seen"))
+        .where(F.col("seen") >= total * heavy_share / 2)
     )
-    exact = (
-        slim.join(candidates.select("digest"), "digest", "left_semi")
-        .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min("rank").alias("win"))
-    )
-    total = slim.agg(F.count(F.lit(1)).alias("total"))
-    return exact.join(F.broadcast(total), F.col("group_size") > F.col("total") * F.lit(heavy_share)).drop("total")
+    # under 2/heavy_share rows of 32 bytes
+    exact = slim.join(F.broadcast(candidates.select("digest")), "digest", "left_semi")
+    exact = exact.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.min("rank").alias("win"))
+    return exact.where(F.col("group_size") > total * heavy_share)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:
