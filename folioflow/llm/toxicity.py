@@ -14,8 +14,6 @@ document; for a clean one, the highest and a random one.
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +33,9 @@ class Settings:
     pull: of weights to where they began. unread: the share of words read by their characters alone. distrust: per epoch
     (the last holds on), the logit that a toxic row must reach to be learned from."""
 
-    sample_toxic: int = 2000
-    sample_clean: int = 5000
-    sample_chars: int = 20_000
+    sample_toxic: int = 1500
+    sample_clean: int = 3500
+    sample_chars: int = 10_000
     window: int = 64
     stride: int = 48
     states: int = 12
@@ -51,6 +49,7 @@ class Settings:
     unread: float = 0.1
     distrust: tuple[float, ...] = (1.0, -2.0, -1.0)
     epochs: int = 5
+    least_steps: int = 600
     batch: int = 64
     rate: float = 5e-3
     threshold: float = 0.3
@@ -65,9 +64,38 @@ def words_of(text: str) -> list[str]:
 GRAMS = (3, 4, 5)
 
 
-def char_grams(word: str, buckets: int) -> list[int]:
-    framed = f"<{word}>"
-    return [zlib.crc32(framed[i : i + n].encode("utf-8", "surrogatepass")) % buckets for n in GRAMS for i in range(max(1, len(framed) - n + 1))]
+class Grams:
+    """The n-gram buckets of many words: those of word i are flat[begin[i]:begin[i + 1]]."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray):
+        self.flat, self.begin = flat, begin
+
+    @classmethod
+    def of(cls, words: list[str], buckets: int) -> Grams:
+        """Hashes of all n-grams of the words between their bounds, by a polynomial over the code points of all words at once."""
+        size = np.array([len(w) + 2 for w in words], dtype=np.int64)
+        code = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        first = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        at = np.arange(len(code))
+        per = [np.maximum(size - n + 1, 0) for n in GRAMS]
+        begin = np.r_[0, np.cumsum(sum(per))]
+        flat = np.empty(begin[-1], dtype=np.int32)
+        before = begin[:-1].copy()
+        for n, count in zip(GRAMS, per, strict=True):
+            here = at[at + n <= (first + size)[word]]
+            h = np.full(len(here), n, dtype=np.uint64)
+            for j in range(n):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + code[here + j]
+                h ^= h >> np.uint64(29)
+            flat[(before - first)[word[here]] + here] = (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(buckets)
+            before += count
+        return cls(flat, begin)
+
+    def take(self, which: np.ndarray) -> Grams:
+        size = (self.begin[1:] - self.begin[:-1])[which]
+        begin = np.r_[0, np.cumsum(size)]
+        return Grams(self.flat[np.repeat(self.begin[:-1][which] - begin[:-1], size) + np.arange(begin[-1])], begin)
 
 
 def starts(n: int, window: int, stride: int) -> np.ndarray:
@@ -101,23 +129,21 @@ class Network:
             "bias": np.full(1, -1.0, dtype=np.float32),
         }
 
-    def char_vectors(self, grams: list[list[int]]) -> np.ndarray:
+    def char_vectors(self, grams: Grams) -> np.ndarray:
         """The mean of each word's n-gram vectors."""
-        size = np.array([len(g) for g in grams])
-        flat = np.fromiter((i for g in grams for i in g), dtype=np.int64, count=int(size.sum()))
-        return np.add.reduceat(self.w["chars"][flat], np.r_[0, np.cumsum(size)[:-1]], axis=0) / size[:, None].astype(np.float32)
+        return np.add.reduceat(self.w["chars"][grams.flat], grams.begin[:-1], axis=0) / np.diff(grams.begin)[:, None].astype(np.float32)
 
     def inputs(self, words: list[str]) -> np.ndarray:
         known = np.array([self.vocabulary.get(x, 0) for x in words])
-        return np.concatenate([self.w["words"][known], self.char_vectors([char_grams(x, self.s.buckets) for x in words])], axis=1)
+        return np.concatenate([self.w["words"][known], self.char_vectors(Grams.of(words, self.s.buckets))], axis=1)
 
     def projected(self, words: list[str]) -> np.ndarray:
-        """(words, 2, 3H): what each word adds to the gates of both directions; it depends on nothing else."""
+        """(2, words, 3H): what each word adds to the gates of both directions; it depends on nothing else."""
         x = self.inputs(words)
-        return np.stack([x @ self.w["wx"][d] + self.w["b"][d] for d in (0, 1)], axis=1)
+        return np.stack([x @ self.w["wx"][d] + self.w["b"][d] for d in (0, 1)])
 
     def run(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (L, n, 2H) of windows index (n, L); table has a row of gate inputs for each index. trace gets what the way back needs."""
+        """States (L, n, 2H) of windows index (n, L); table (words, 2, 3H) has the gate inputs of each index. trace gets what the way back needs."""
         n, length = index.shape
         h_size, w = self.s.states, self.w
         h = np.zeros((2, n, h_size), dtype=np.float32)
@@ -142,6 +168,45 @@ class Network:
             out[back, :, h_size:] = h[1]
         return out, m
 
+    def states(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What run() gives, without a trace and in place: every array of the loop is reused."""
+        n, length = index.shape
+        k, w = self.s.states, self.w
+        h, x, hu = (np.zeros((2, n, f * k), dtype=np.float32) for f in (1, 3, 3))
+        spare = np.empty_like(h)
+        out = np.empty((length, n, 2 * k), dtype=np.float32)
+        whole, m = bool(mask.all()), mask.astype(np.float32)
+        ways = np.ascontiguousarray(index.T)
+        for t in range(length):
+            back = length - 1 - t
+            np.take(table[0], ways[t], axis=0, out=x[0], mode="clip")
+            np.take(table[1], ways[back], axis=0, out=x[1], mode="clip")
+            np.matmul(h, w["u"], out=hu)
+            gates, new = x[..., : 2 * k], x[..., 2 * k :]
+            gates += hu[..., : 2 * k]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(gates[..., k:], hu[..., 2 * k :], out=spare)
+            new += spare
+            np.tanh(new, out=new)
+            if whole:
+                h -= new
+                h *= gates[..., :k]
+                h += new
+            else:
+                np.subtract(h, new, out=spare)
+                spare *= gates[..., :k]
+                spare += new
+                spare -= h
+                spare[0] *= m[:, t, None]
+                spare[1] *= m[:, back, None]
+                h += spare
+            out[t, :, :k] = h[0]
+            out[back, :, k:] = h[1]
+        return out, m
+
     def pool(self, states: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Logits, attention (L, n) and pooled states; a window without words pools zeros."""
         e = states @ self.w["attention"]
@@ -152,10 +217,11 @@ class Network:
         return pooled @ self.w["out"] + self.w["bias"][0], a, pooled
 
     def logits(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        return self.pool(*self.run(table, index, mask))[0]
+        """The logits of windows; table is (2, words, 3H), one contiguous block for each direction."""
+        return self.pool(*self.states(table, index, mask))[0]
 
 
-def gradients(net: Network, words: np.ndarray, grams: list[list[int]], index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+def gradients(net: Network, words: np.ndarray, grams: Grams, index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradients of one batch. words: vocabulary row of each distinct word; index (n, L) points into these."""
     w, h_size, n = net.w, net.s.states, len(index)
     chars = net.char_vectors(grams)
@@ -196,55 +262,57 @@ def gradients(net: Network, words: np.ndarray, grams: list[list[int]], index: np
     d_all = sum(d_table[:, d] @ w["wx"][d].T for d in (0, 1))
     g["words"] = np.zeros_like(w["words"])
     np.add.at(g["words"], words, d_all[:, : net.s.word_size])
-    size = np.array([len(x) for x in grams])
-    flat = np.fromiter((i for x in grams for i in x), dtype=np.int64, count=int(size.sum()))
+    size = np.diff(grams.begin)
     g["chars"] = np.zeros_like(w["chars"])
-    np.add.at(g["chars"], flat, np.repeat(d_all[:, net.s.word_size :] / size[:, None], size, axis=0))
+    np.add.at(g["chars"], grams.flat, np.repeat(d_all[:, net.s.word_size :] / size[:, None], size, axis=0))
     return loss, g
 
 
 def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
     """The trained network; where one of the labels is missing, the share of toxic rows (0 without rows)."""
     seen: set[tuple] = set()
-    docs, y = [], []
-    for text, label in zip(texts, toxic, strict=True):
-        words = words_of(text)
+    place: dict[str, int] = {}
+    ids, y = [], []
+    for at, label in enumerate(toxic):
+        words, texts[at] = words_of(texts[at]), ""  # what is read is let go
         key = tuple(words[:8])  # copies of a document would count again and again
         if words and key not in seen:
             seen.add(key)
-            docs.append(words)
+            ids.append(np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int32))
             y.append(int(label))
     target = np.array(y, dtype=np.float32)
     if not 0 < target.sum() < len(target):
         return float(target.mean()) if len(target) else 0.0
-    by = {label: Counter(w for d, v in zip(docs, y, strict=True) if v == label for w in set(d)) for label in (0, 1)}
-    total = by[0] + by[1]
-    vocabulary = {w: i + 1 for i, w in enumerate(sorted(w for w, c in total.items() if c >= s.least_docs))}
+    once = [np.unique(x) for x in ids]
+    count = [np.bincount(np.concatenate([x for x, v in zip(once, y, strict=True) if v == label]), minlength=len(place)) for label in (0, 1)]
+    total = count[0] + count[1]
+    rows = np.zeros(len(place), dtype=np.int64)  # the row of each word in the vocabulary, 0 outside it
+    often = np.flatnonzero(total >= s.least_docs)
+    rows[often] = np.arange(1, len(often) + 1)
+    names = list(place)
+    vocabulary = {names[i]: int(rows[i]) for i in often}
     net = Network(vocabulary, s)
     n1, n0 = float(target.sum()), float(len(target) - target.sum())
     share = n1 / (n1 + n0)
     odds = np.zeros(len(vocabulary) + 1, dtype=np.float32)
-    for w, i in vocabulary.items():
-        p = (by[1][w] + s.prior * share) / (total[w] + s.prior)  # drawn to the base rate, the more so the rarer the word
-        odds[i] = np.log(p / (1 - p)) - np.log(share / (1 - share))
+    p = (count[1][often] + s.prior * share) / (total[often] + s.prior)  # drawn to the base rate, the more so the rarer the word
+    odds[1:] = np.log(p / (1 - p)) - np.log(share / (1 - share))
     net.w["words"][:, 0] = odds / 2
     home = net.w["words"].copy()
 
-    names = sorted(total)
-    place = {w: i for i, w in enumerate(names)}
-    rows = np.array([vocabulary.get(w, 0) for w in names])
-    grams = [char_grams(w, s.buckets) for w in names]
-    ids = [np.array([place[w] for w in d]) for d in docs]
+    grams = Grams.of(names, s.buckets)
+    del place, once
     owner, index, mask = windows(ids, s)
     rng = np.random.default_rng(s.seed)
     score = np.where(mask, odds[rows][index], -9).max(axis=1)  # the first choice of windows, before there is a network
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
     step = 0
-    for epoch in range(s.epochs):
+    each = -(-(len(ids) + int(n0)) // s.batch)  # steps of an epoch
+    for epoch in range(max(s.epochs, -(-s.least_steps // each))):
         if epoch:
             score = scored(net, rows, grams, index, mask)
-        best = best_of(owner, score, len(docs))
-        other = best_of(owner, rng.random(len(owner)), len(docs))
+        best = best_of(owner, score, len(ids))
+        other = best_of(owner, rng.random(len(owner)), len(ids))
         # a toxic row in which nothing looks toxic by now is taken for a wrong label and left out of this epoch
         trusted = (target == 0) | (score[best] > s.distrust[min(epoch, len(s.distrust) - 1)])
         chosen = np.concatenate([best[trusted], other[target == 0]])
@@ -256,7 +324,7 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
             known = np.where(rng.random(len(used)) < s.unread, 0, rows[used])  # some words are read by their characters alone
             y_part = target[owner[part]]
             weight = np.where(y_part > 0, s.toxic_weight, 1.0).astype(np.float32)
-            _, g = gradients(net, known, [grams[i] for i in used], local, mask[part], y_part, weight)
+            _, g = gradients(net, known, grams.take(used), local, mask[part], y_part, weight)
             step += 1
             for k, v in g.items():
                 m, q = moments[k]
@@ -270,9 +338,14 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
     return net
 
 
-def scored(net: Network, rows: np.ndarray, grams: list[list[int]], index: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    x = np.concatenate([net.w["words"][rows], net.char_vectors(grams)], axis=1)
-    table = np.stack([x @ net.w["wx"][d] + net.w["b"][d] for d in (0, 1)], axis=1)
+def scored(net: Network, rows: np.ndarray, grams: Grams, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The logits of windows; the words' gate inputs are computed in pieces."""
+    table = np.empty((2, len(rows), 3 * net.s.states), dtype=np.float32)
+    for at in range(0, len(rows), 20_000):
+        part = np.arange(at, min(at + 20_000, len(rows)))
+        x = np.concatenate([net.w["words"][rows[part]], net.char_vectors(grams.take(part))], axis=1)
+        for d in (0, 1):
+            table[d, part] = x @ net.w["wx"][d] + net.w["b"][d]
     return np.concatenate([net.logits(table, index[a : a + 1024], mask[a : a + 1024]) for a in range(0, len(index), 1024)])
 
 
@@ -286,12 +359,12 @@ def windows(ids: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray,
     """owner, index (n, window), mask of the windows of documents given as arrays of word ids."""
     begin = [starts(len(x), s.window, s.stride) for x in ids]
     owner = np.repeat(np.arange(len(ids)), [len(b) for b in begin])
-    size = np.array([len(x) for x in ids], dtype=np.int64)
-    offset = np.r_[0, np.cumsum(size)[:-1]] if len(ids) else np.zeros(0, dtype=np.int64)
-    flat = np.concatenate([*ids, np.zeros(1, dtype=np.int64)]).astype(np.int64)
-    inside = np.concatenate(begin)[:, None] + np.arange(s.window)
+    size = np.array([len(x) for x in ids], dtype=np.int32)
+    offset = (np.cumsum(size) - size).astype(np.int32)
+    flat = np.concatenate([*ids, np.zeros(1, dtype=np.int32)]).astype(np.int32)
+    inside = np.concatenate(begin).astype(np.int32)[:, None] + np.arange(s.window, dtype=np.int32)
     mask = inside < size[owner][:, None]
-    return owner, np.where(mask, flat[np.minimum(offset[owner][:, None] + inside, len(flat) - 1)], 0), mask
+    return owner, np.where(mask, flat[np.minimum(offset[owner][:, None] + inside, np.int32(len(flat) - 1))], np.int32(0)), mask
 
 
 class Scorer:
@@ -303,7 +376,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.table = np.zeros((1024, 2, 3 * self.net.s.states), dtype=np.float32)
+        self.table = np.zeros((2, 1024, 3 * self.net.s.states), dtype=np.float32)
 
     def ids(self, docs: list[list[str]]) -> list[np.ndarray]:
         new = set().union(*docs) - self.place.keys()
@@ -313,13 +386,14 @@ class Scorer:
         if new:
             words = list(new)
             need = len(self.place) + len(words)
-            if need > len(self.table):
-                grown = np.zeros((max(need, 2 * len(self.table)), *self.table.shape[1:]), dtype=np.float32)
-                grown[: len(self.table)] = self.table
+            have = self.table.shape[1]
+            if need > have:
+                grown = np.zeros((2, max(need, have + have // 2), self.table.shape[2]), dtype=np.float32)
+                grown[:, :have] = self.table
                 self.table = grown
-            self.table[len(self.place) : need] = self.net.projected(words)
+            self.table[:, len(self.place) : need] = self.net.projected(words)
             self.place |= {w: len(self.place) + i for i, w in enumerate(words)}
-        return [np.fromiter(map(self.place.__getitem__, d), dtype=np.int64, count=len(d)) for d in docs]
+        return [np.fromiter(map(self.place.__getitem__, d), dtype=np.int32, count=len(d)) for d in docs]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         owner, index, mask = windows(self.ids([words_of(t) for t in texts]), self.net.s)
@@ -344,8 +418,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Network | float:  # noqa: B008
-    rows = training_rows(docs, labels, s).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], s)
+    rows = training_rows(docs, labels, s).toArrow()
+    return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist(), s)
 
 
 def scored_batches(batches: Iterator[pa.RecordBatch], model: Network | float, chars: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
