@@ -93,3 +93,24 @@ def prepared(job: Column, source: Column, result: Column, media: Column, exists:
         (size <= 0, "INVALID_FILE_FORMAT"),
         (size > limits.max_source_bytes, "FILE_TOO_LARGE"),
     )
+
+
+def uploadable(path: Column) -> Column:
+    """struct<error_code, content_type, max_bytes, minutes>: what an upload to a key may be; null constraints where it may not."""
+    code = first_failure(
+        (~paths.belongs_to(path, F.regexp_extract(path, r"\Ajobs/\d{4}-\d{2}-\d{2}/([^/]+)/", 1)) | ~path.contains("/source/"), "JOB_TOKEN_INVALID"),
+        (~extension(path).isin(*SUPPORTED), "UNSUPPORTED_FILE_TYPE"),
+    )
+    fine = lambda c: F.when(code.isNull(), c)
+    return F.struct(code.alias("error_code"), fine(paths.mime(extension(path))).alias("content_type"), fine(F.lit(Limits().max_source_bytes)).alias("max_bytes"), fine(F.lit(paths.URL_TTL_MINUTES["put"])).alias("minutes"))
+
+
+def downloadable(token_code: Column, signed_path: Column, asked_path: Column, exists: Column) -> Column:
+    """The error of a request for a result: its token (verified without skew), its path, the object's existence."""
+    return F.coalesce(
+        token_code,
+        first_failure(
+            (~F.coalesce(signed_path == asked_path, F.lit(False)), "JOB_TOKEN_INVALID"),
+            (~F.coalesce(exists, F.lit(False)), "BLOB_NOT_FOUND"),
+        ),
+    )

@@ -71,3 +71,16 @@ def admission_replay(requests: DataFrame, capacity: int, order: str, amount: str
     """requests (reservations positive, releases negative) with the ledger after each and whether a reservation fitted a plain running sum."""
     total = F.sum(amount).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return requests.withColumn("reserved", F.greatest(total, F.lit(0))).withColumn("fits", (F.col(amount) <= 0) | (total <= capacity))
+
+
+def overdue(events: DataFrame, now: Column, seconds: int = 720, job: str = "job_id", ts: str = "ts", stage: str = "stage") -> DataFrame:
+    """The jobs that have not ended and began more than ``seconds`` ago, with the error that a waiting client reports."""
+    first = events.groupBy(job).agg(F.min(ts).alias("began"), F.max(is_done(F.col(stage))).alias("done"))
+    return first.where(~F.col("done") & (F.unix_micros(now) - F.unix_micros(F.col("began").cast("timestamp")) > seconds * 1_000_000)).select(job, "began", F.lit("CONVERSION_TIMEOUT").alias("error_code"))
+
+
+def settled(response: DataFrame, polled: DataFrame, job: str = "job_id") -> DataFrame:
+    """job, ok, code from two sources of a job's end: the first success wins, a typed error is preferred to none."""
+    both = response.select(job, F.col("ok").alias("ok_a"), F.col("code").alias("code_a")).join(polled.select(job, F.col("ok").alias("ok_b"), F.col("code").alias("code_b")), job, "full")
+    ok = F.coalesce("ok_a", F.lit(False)) | F.coalesce("ok_b", F.lit(False))
+    return both.select(job, ok.alias("ok"), F.when(~ok, F.coalesce("code_a", "code_b", F.lit("CONVERSION_FAILED"))).alias("code"))

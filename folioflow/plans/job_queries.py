@@ -363,3 +363,51 @@ def base64url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.withColumn("decoded", tokens.from_base64url(F.col("encoded")).cast("string"))
 
 
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'JOB_TOKEN_INVALID' WHEN 1000 + o_orderkey % 200 < 1100 THEN 'JOB_TOKEN_EXPIRED' WHEN o_orderkey % 7 = 0 THEN 'JOB_TOKEN_INVALID' WHEN c_custkey IS NULL THEN 'BLOB_NOT_FOUND' END AS code
+    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+def download_authorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests for results: token, signed path, existence of the object."""
+    key = F.col("o_orderkey")
+    claims = {"exp": 1000 + key % 200, "filename": F.lit("a.pdf"), "job_id": key.cast("string"), "result_path": F.concat(F.lit("jobs/"), key.cast("string")), "source_path": F.lit("jobs/s"), "source_size": key}
+    objects = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("there"))
+    asked = table(spark, sf_dir, "orders").join(objects, "o_custkey", "left").select("o_orderkey", "there", tokens.mint(claims, SECRET).alias("token"))
+    forged = F.when(key % 5 == 0, F.concat(F.lit("A"), F.substring("token", 2, 10**6))).otherwise(F.col("token"))
+    verified = asked.withColumn("v", tokens.verify(forged, F.lit(1100), SECRET, skew=0))
+    path = F.concat(F.lit("jobs/"), F.when(key % 7 == 0, "other").otherwise(key.cast("string")))
+    return verified.select("o_orderkey", ladder.downloadable(F.col("v.code"), F.col("v.claims.result_path"), path, F.col("there")).alias("code"))
+
+
+UPLOAD = "CASE p_partkey % 5 WHEN 0 THEN 'jobs/2024-01-01/j' || p_partkey || '/source/a.pdf' WHEN 1 THEN 'jobs/2024-01-01/j' || p_partkey || '/result/a.pdf' WHEN 2 THEN 'jobs/2024-01-01/j' || p_partkey || '/source/a.xlsx' WHEN 3 THEN 'x/source/a.pdf' ELSE 'jobs/2024-01-01/j' || p_partkey || '/source/a.DOCX' END"
+
+
+@query(f"""
+    SELECT p_partkey, path, CASE p_partkey % 5 WHEN 1 THEN 'JOB_TOKEN_INVALID' WHEN 3 THEN 'JOB_TOKEN_INVALID' WHEN 2 THEN 'UNSUPPORTED_FILE_TYPE' END AS error_code,
+           CASE p_partkey % 5 WHEN 0 THEN '{paths.MIME[".pdf"]}' WHEN 4 THEN '{paths.MIME[".docx"]}' END AS content_type,
+           CASE WHEN p_partkey % 5 IN (0, 4) THEN CAST(104857600 AS INT) END AS max_bytes, CASE WHEN p_partkey % 5 IN (0, 4) THEN CAST(20 AS INT) END AS minutes
+    FROM (SELECT p_partkey, {UPLOAD} AS path FROM part)""")
+def upload_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = table(spark, sf_dir, "part").select("p_partkey", F.expr(UPLOAD).alias("path"))
+    return made.withColumn("u", ladder.uploadable(F.col("path"))).select("p_partkey", "path", "u.*")
+
+
+@query(f"""
+    WITH e AS (SELECT user_id AS job_id, ts, {STAGE} AS stage FROM events WHERE event_id % 9 = 0)
+    SELECT job_id, min(ts) AS began, 'CONVERSION_TIMEOUT' AS error_code FROM e GROUP BY job_id
+    HAVING NOT bool_or(stage IN ('complete', 'failed')) AND min(ts) < timestamp '2024-01-10 00:00:00' - INTERVAL 720 SECOND""")
+def overdue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late = lifecycle.overdue(stages(spark, sf_dir).where("event_id % 9 = 0"), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    return late
+
+
+@query("""
+    WITH r AS (SELECT o_custkey AS job_id, max(o_totalprice) > 300000 AS ok, CASE WHEN min(o_totalprice) > 50000 THEN 'CONVERSION_TIMEOUT' END AS code FROM orders GROUP BY o_custkey),
+    p AS (SELECT c_custkey AS job_id, c_acctbal > 5000 AS ok, 'DOWNLOAD_FAILED' AS code FROM customer WHERE c_custkey % 3 > 0)
+    SELECT job_id, coalesce(r.ok, false) OR coalesce(p.ok, false) AS ok, CASE WHEN NOT (coalesce(r.ok, false) OR coalesce(p.ok, false)) THEN coalesce(r.code, p.code, 'CONVERSION_FAILED') END AS code
+    FROM r FULL JOIN p USING (job_id)""")
+def settled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    response = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg((F.max("o_totalprice") > 300_000).alias("ok"), F.when(F.min("o_totalprice") > 50_000, "CONVERSION_TIMEOUT").alias("code"))
+    polled = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("job_id"), (F.col("c_acctbal") > 5000).alias("ok"), F.lit("DOWNLOAD_FAILED").alias("code"))
+    return lifecycle.settled(response, polled)

@@ -49,3 +49,12 @@ def run_to_end(stream: DataFrame, root: str, mode: str = "complete", each: Calla
         return spark.createDataFrame([], stream.schema)
     chosen = [last[-1]] if mode == "complete" else last
     return spark.read.schema(stream.schema).parquet(*[f"{root}/out/{e}" for e in chosen])
+
+
+def publish(statuses: DataFrame, path: str) -> bool:
+    """Append status events; best effort, so a failure to report never fails a job."""
+    try:
+        statuses.write.mode("append").parquet(path)
+        return True
+    except Exception:
+        return False
