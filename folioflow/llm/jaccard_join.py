@@ -288,7 +288,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     shared_dir(docs.sparkSession)
     flat = cut(sketches(rows, p.words), "jaccard-sketches")
     classes = flat.where("d IS NOT NULL").groupBy("d").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-    classes = cut(classes.withColumn("k", F.xxhash64("d")), "jaccard-classes")
+    classes = cut(classes.withColumn("k", F.xxhash64("d")), "jaccard-classes", slim=True)
     groups = components(candidate_links(classes.select("k", "sig"), p))
     groups = cut(groups.join(classes.select("d", "k", "weight", "first", "size"), groups["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups", slim=True)
 
