@@ -6,12 +6,14 @@ against its budget and rendered by expressions over the row's arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions import binary, errors, gfm
-from ..functions.text import alt_text, base_name, cleaned, page_heading, safe_stem, slide_heading, squeezed, strip
+from ..functions.text import alt_text, base_name, cleaned, page_heading, safe_stem, slide_heading, squeezed
 from ..sources import files
 from ..sources.extract import extracted
 from ..sources.items import AFTER
@@ -36,15 +38,20 @@ def screened(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     return rows.withColumn("error_code", F.when(office, code).otherwise(F.col("error_code"))).drop("members")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body's own lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def block(item: Column, names: Column) -> Column:
     """The Markdown of an item; "" for what is none. names maps digests to files."""
     number, kind = item["part_no"], item["kind"]
-    heading = F.when(kind == "slide", slide_heading(number, item["text"])).otherwise(page_heading(number))
-    ruled = F.when(number > 1, F.concat(F.lit("---\n\n"), heading)).otherwise(heading)
-    described = F.when(kind == "image", F.concat(F.when(item["position"].isNull(), "Slide ").otherwise("Page "), number.cast("string"), F.lit(" image")))
+    ruled = lambda heading: F.when(number > 1, F.concat(F.lit("---\n\n"), heading)).otherwise(heading)
+    described = F.concat(F.when(item["position"].isNull(), "Slide ").otherwise("Page "), number.cast("string"), F.lit(" image"))
     alt = F.when(item["position"].isNull(), alt_text(item["alt"], described)).otherwise(described)
     return (
-        F.when(kind.isin("slide", "page"), ruled)
+        F.when(kind == "slide", ruled(slide_heading(number, item["text"])))
+        .when(kind == "page", F.concat(ruled(page_heading(number)), F.lit("\n\n"), item["text"]))
         .when(kind == "frame", gfm.text_frame(item["paragraphs"]))
         .when(kind == "table", gfm.table(item["rows"]))
         .when(kind == "ptable", gfm.table(item["rows"], numbered_header=True))
@@ -55,6 +62,57 @@ def block(item: Column, names: Column) -> Column:
     )
 
 
+FIELDS = ("part_no", "kind", "paragraphs", "rows", "ext", "alt", "position", "coverage", "digest", "content")
+
+
+def in_order(items: Column) -> Column:
+    """The items by part, place, key and where they were found; the text of pages is cleaned."""
+
+    def placed(i: Column, n: Column) -> Column:
+        text = F.when(i["kind"] == "page", cleaned(F.coalesce(i["text"], F.lit("")))).otherwise(i["text"])
+        at = F.struct(i["part_no"].alias("part_no"), i["place"].alias("place"), i["key"].alias("key"), n.alias("seq"))
+        return F.struct(at.alias("at"), text.alias("text"), *[i[f].alias(f) for f in FIELDS])
+
+    return F.array_sort(F.transform(items, placed))
+
+
+def file_name(i: Column, n: Column) -> Column:
+    """The name of the n-th distinct file (from 0), first met at item i."""
+    ext = binary.image_extension(i["content"], i["ext"])
+    slide = F.concat(F.format_string("slide-%03d-image-%03d", i["part_no"], n + 1), ext)
+    page = F.concat(F.format_string("page-%03d-image-%03d", i["part_no"], i["position"]), ext)
+    return F.when(i["kind"] == "file", F.regexp_replace(i["alt"], "^media/", "")).when(i["position"].isNull(), slide).otherwise(page)
+
+
+def warnings(items: Column) -> Column:
+    """Distinct warnings in the order of their places; a page with images, little text and much covered is taken for a scan."""
+    warned = F.transform(F.filter(items, lambda i: i["kind"] == "warning"), lambda i: F.struct(i["at"].alias("at"), i["text"].alias("text")))
+    scans = F.filter(items, lambda i: (i["kind"] == "page") & (i["position"] > 0) & (F.char_length(i["text"]) < 40) & (i["coverage"] >= 0.5))
+
+    def scanned(i: Column) -> Column:
+        at = F.struct(i["part_no"].alias("part_no"), F.lit(AFTER).alias("place"), i["at"]["key"].alias("key"), i["at"]["seq"].alias("seq"))
+        return F.struct(at.alias("at"), errors.warning("scanned", i["part_no"]).alias("text"))
+
+    return F.array_distinct(F.transform(F.array_sort(F.concat(warned, F.transform(scans, scanned))), lambda w: w["text"]))
+
+
+def rendered(items: Column) -> Column:
+    """struct<markdown, media, warnings>: everything a document becomes, from its items."""
+
+    def with_files(items: Column, firsts: Column, files: Column) -> Column:
+        names = F.map_from_arrays(F.transform(firsts, lambda i: i["digest"]), files)
+        markdown = let(names, lambda names: gfm.document(F.transform(items, lambda i: block(i, names))))
+        media = F.transform(firsts, lambda i, n: F.struct(F.get(files, n).alias("name"), i["content"].alias("content")))
+        return F.struct(markdown.alias("markdown"), media.alias("media"), warnings(items).alias("warnings"))
+
+    def with_images(items: Column, images: Column) -> Column:
+        first = lambda digests: F.filter(images, lambda i, n: F.array_position(digests, i["digest"]) == n + 1)
+        firsts = let(F.transform(images, lambda i: i["digest"]), first)
+        return let(firsts, lambda firsts: let(F.transform(firsts, file_name), lambda files: with_files(items, firsts, files)))
+
+    return let(in_order(items), lambda items: let(F.filter(items, lambda i: i["kind"].isin("image", "file")), lambda images: with_images(items, images)))
+
+
 def converted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """path, stem, source_type, markdown, media (ARRAY of name, content), pages_or_slides, media_count, warnings, shape, content_type, error_code for each of docs (path, length, content).
 
@@ -64,38 +122,8 @@ def converted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     bad = rows.where("error_code IS NOT NULL").select("path", "source_type", "error_code")
     good = extracted(rows.where("error_code IS NULL"), limits)
     good = good.withColumn("source_type", ladder.source_type(F.col("path")))
-    order = lambda i: F.struct(i["part_no"].alias("part_no"), i["place"].alias("place"), i["key"].alias("key"))
-    pdf = F.col("source_type") == "pdf"
-
-    def with_digest(i: Column) -> Column:
-        text = F.when(pdf & (i["kind"] == "raw"), cleaned(F.coalesce(i["text"], F.lit("")))).otherwise(i["text"])
-        fields = [i[n].alias(n) for n in ("kind", "paragraphs", "rows", "ext", "alt", "position", "coverage", "content")]
-        return F.struct(order(i).alias("at"), i["part_no"].alias("part_no"), text.alias("text"), F.sha2(i["content"], 256).alias("digest"), *fields)
-
-    good = good.withColumn("items", F.array_sort(F.transform("items", with_digest), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)))
-    images = F.filter("items", lambda i: i["kind"].isin("image", "file"))
-    good = good.withColumn("images", images).withColumn("digests", F.array_distinct(F.transform("images", lambda i: i["digest"])))
-    good = good.withColumn("firsts", F.transform("digests", lambda d: F.get(F.filter("images", lambda i: i["digest"] == d), 0)))
-
-    def named(i: Column, n: Column) -> Column:
-        ext = binary.image_extension(i["content"], i["ext"])
-        slide = F.concat(F.format_string("slide-%03d-image-%03d", i["part_no"], n + 1), ext)
-        page = F.concat(F.format_string("page-%03d-image-%03d", i["part_no"], i["position"]), ext)
-        return F.when(i["kind"] == "file", F.regexp_replace(i["alt"], "^media/", "")).when(i["position"].isNull(), slide).otherwise(page)
-
-    good = good.withColumn("files", F.transform("firsts", named)).withColumn("names", F.map_from_arrays("digests", "files"))
-    good = good.withColumn("markdown", gfm.document(F.transform("items", lambda i: block(i, F.col("names")))))
-    pages = F.filter("items", lambda i: i["kind"] == "page")
-    on_page = lambda p, kind: F.filter("items", lambda i: (i["part_no"] == p["part_no"]) & (i["kind"] == kind))
-    chars = lambda p: F.aggregate(on_page(p, "raw"), F.lit(0), lambda n, i: n + F.char_length(strip(i["text"])))
-    scanned = F.transform(
-        F.filter(pages, lambda p: (F.size(on_page(p, "image")) > 0) & (chars(p) < 40) & (p["coverage"] >= 0.5)),
-        lambda p: F.struct(F.struct(p["part_no"].alias("part_no"), F.lit(AFTER).alias("place"), F.array().cast("array<bigint>").alias("key")).alias("at"), errors.warning("scanned", p["part_no"]).alias("text")),
-    )
-    warned = F.transform(F.filter("items", lambda i: i["kind"] == "warning"), lambda i: F.struct(i["at"].alias("at"), i["text"].alias("text")))
-    good = good.withColumn("warnings", F.array_distinct(F.transform(F.array_sort(F.concat(warned, scanned)), lambda w: w["text"])))
-    good = good.withColumn("media", F.arrays_zip(F.col("files").alias("name"), F.transform("firsts", lambda i: i["content"]).alias("content")))
-    media_bytes = F.aggregate("firsts", F.lit(0).cast("long"), lambda n, i: n + F.octet_length(i["content"]))
+    good = good.withColumn("r", rendered(F.col("items"))).select("path", "source_type", "error_code", "parts", "r.*")
+    media_bytes = F.aggregate("media", F.lit(0).cast("long"), lambda n, m: n + F.octet_length(m["content"]))
     markdown_bytes = F.octet_length("markdown").cast("long")
     code = F.coalesce(F.col("error_code"), F.when(media_bytes > limits.max_output_bytes, "DOCUMENT_EXPANDS_TOO_LARGE"), outcome.quota(markdown_bytes, media_bytes, F.lit(0), limits))
     good = good.withColumn("error_code", code)

@@ -81,6 +81,7 @@ ITEMS = pa.list_(
             ("alt", pa.string()),
             ("position", pa.int32()),
             ("coverage", pa.float64()),
+            ("digest", pa.string()),
             ("content", pa.binary()),
         ]
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
-#: kind: slide, page (heads of parts; text is a slide's title), frame (paragraphs), table, ptable (rows),
+#: kind: slide, page (heads of parts; text is a slide's title or a page's text, position a page's number of images), frame (paragraphs), table, ptable (rows),
 #: raw (a finished block), image (content), file (content under the name in alt), notes, warning.
 ITEM = (
     "struct<part_no:int,place:int,key:array<bigint>,kind:string,text:string,paragraphs:array<struct<level:int,text:string>>,"
-    "rows:array<array<string>>,ext:string,alt:string,position:int,coverage:double,content:binary>"
+    "rows:array<array<string>>,ext:string,alt:string,position:int,coverage:double,digest:string,content:binary>"
 )
 EXTRACT = f"error_code string, parts int, items array<{ITEM}>"
 #: Places within a part.
@@ -40,7 +41,8 @@ class Item:
 
     def row(self) -> dict:
         paragraphs = None if self.paragraphs is None else [{"level": a, "text": b} for a, b in self.paragraphs]
-        return {**self.__dict__, "key": list(self.key), "paragraphs": paragraphs}
+        digest = None if self.content is None else hashlib.sha256(self.content).hexdigest()
+        return {**self.__dict__, "key": list(self.key), "paragraphs": paragraphs, "digest": digest}
 
 
 @dataclass

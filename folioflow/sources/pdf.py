@@ -589,7 +589,7 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
         tables = False
         warn(1, HEAD, "tables_pages")
     for number, page in enumerate(pages, start=1):
-        head = Item(number, "page", HEAD, coverage=0.0)
+        head = Item(number, "page", HEAD, text="", coverage=0.0, position=0)
         items.append(head)
         p = Page(file, page)
         try:
@@ -601,7 +601,7 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
         else:
             # the numerator is capped by the page, overlaps count twice
             head.coverage = min(1.0, sum(w * h for w, h in p.boxes if w > 0 and h > 0) / p.area) if p.area > 0 else 0.0
-            items.append(Item(number, "raw", BODY, text=p.text()))
+            head.text = p.text()
             if tables:
                 begun = time.perf_counter()
                 try:
@@ -633,6 +633,7 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
                     warn(number, IMAGES, "page_image")
                     continue
                 if data:
+                    head.position += 1
                     items.append(Item(number, "image", IMAGES, (position,), ext=ext, position=position, content=data))
     return Extract(items, len(pages))
 

@@ -109,8 +109,8 @@ def word_table(rows: list[list[str]]) -> str:
     return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(run(c))}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
 
 
-def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = None, packed: bool = False, encrypted: bool = False) -> bytes:
-    """pages: content streams. images: name -> width, height, grey bytes. packed: dictionaries in an object stream, without a table."""
+def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = None, packed: bool = False, encrypted: bool = False, jpegs: dict[str, bytes] | None = None) -> bytes:
+    """pages: content streams. images: name -> width, height, grey bytes. packed: dictionaries in an object stream, without a table. jpegs: name -> file."""
     images = images or {}
     objects: list[bytes] = [b"", b""]  # catalogue and page tree, filled in below
     font = len(objects) + 1
@@ -120,6 +120,9 @@ def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = Non
         body = zlib.compress(data)
         objects.append(b"<</Type/XObject/Subtype/Image/Width %d/Height %d/ColorSpace/DeviceGray/BitsPerComponent 8/Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (w, h, len(body), body))
         names[name] = len(objects)
+    for name, data in (jpegs or {}).items():
+        objects.append(b"<</Type/XObject/Subtype/Image/Width 8/Height 8/ColorSpace/DeviceRGB/BitsPerComponent 8/Filter/DCTDecode/Length %d>>\nstream\n%s\nendstream" % (len(data), data))
+        names[name] = len(objects)
     kids = []
     for content in pages:
         body = zlib.compress(content.encode("cp1252"))
