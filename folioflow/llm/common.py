@@ -24,12 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the plan starts anew there, and a lost executor costs only the tasks that it ran.
 
-    slim: df has few and short rows for the number of shuffle partitions, so a sixteenth of that number of files will do.
+    slim: df has few and short rows for the number of shuffle partitions, so they are dealt
+    to a sixteenth of that number of files; what computes them keeps all its tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if slim:
-        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+        df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

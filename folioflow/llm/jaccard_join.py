@@ -332,7 +332,11 @@ def with_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, params: Join = Join()) -> DataFrame:  # noqa: B008
-    """docs with one row of each class of linked documents, the one with the smallest id; all columns stay."""
+    """docs with one document of each class of linked documents, the one with the smallest id; all columns stay.
+
+    Decisions are about ids: rows without an id stay, and so do repeated rows of an id
+    that is kept (exact dedup, which comes first, leaves one of them).
+    """
     joined = join(docs, params=params)
     keep = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__key")).distinct()
     return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(keep, "__key", "left_semi").select(*docs.columns)
