@@ -13,6 +13,7 @@ document; for a clean one, the highest and a random one.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -269,13 +270,16 @@ def gradients(net: Network, words: np.ndarray, grams: Grams, index: np.ndarray,
 
 
 def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
-    """The trained network; where one of the labels is missing, the share of toxic rows (0 without rows)."""
-    seen: set[tuple] = set()
+    """The trained network; where one of the labels is missing, the share of toxic rows (0 without rows).
+
+    Of texts with the same words in the same order the first row counts, with its label.
+    """
+    seen: set[bytes] = set()
     place: dict[str, int] = {}
     ids, y = [], []
     for at, label in enumerate(toxic):
         words, texts[at] = words_of(texts[at]), ""  # what is read is let go
-        key = tuple(words[:8])  # copies of a document would count again and again
+        key = hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest()  # copies of a document would count again and again
         if words and key not in seen:
             seen.add(key)
             ids.append(np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int32))

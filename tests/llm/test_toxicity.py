@@ -79,6 +79,15 @@ def test_held_out_accuracy(net):
     assert t.Scorer(net)([buried])[0] > 0.3 > t.Scorer(net)([clean])[0]  # one window of many decides
 
 
+def test_texts_that_share_an_opening_all_count(monkeypatch):
+    opening = "all of these documents begin with one common line "
+    texts, toxic = labelled(30, 3)
+    read = []
+    monkeypatch.setattr(t, "windows", lambda ids, s, f=t.windows: read.append(len(ids)) or f(ids, s))
+    t.fit([opening + x for x in texts] + [opening + texts[0].upper()], [*toxic, 0], replace(SMALL, epochs=1, least_steps=1))
+    assert read == [30]  # the last is a copy of the first
+
+
 def test_scores_do_not_depend_on_batches(net):
     texts = [x or "" for x in odd_texts()]
     together = t.Scorer(net)(texts)
