@@ -5,6 +5,10 @@ the words' hashes. A fixed share of the range of hashes is retained: every shing
 hash lies below the threshold, whatever the length of the text. Sketches therefore grow
 with their texts, the sketch of a union is the union of sketches, and the share of one
 sketch found in another estimates containment even between very unequal texts.
+
+Short texts have few hashes: of n distinct shingles none is retained with a probability of
+(1 - SHARE) ** n. Fingerprints can be relied on from 17 shingles on; a shorter text's may
+be empty, and its likeness to all but an equal text is then 0. README has the error by length.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
-SHARE = 1 / 8
+SHARE = 1 / 2
 LOWEST = -(2**63)
 #: Rows a bucket of neighbouring ids holds, and the most buckets (the bounds are one array of longs on the driver).
 BUCKET_ROWS, MOST_BUCKETS = 5000, 1 << 16

@@ -50,6 +50,20 @@ def test_likeness_of_short_texts(spark):
     assert got == [1.0, 0.0, 1.0]
 
 
+def test_short_texts_have_fingerprints_near_their_exact_similarity(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(200):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(21)]  # 17 shingles
+        pairs.append((" ".join(a), " ".join([*a[: rng.randint(8, 20)], *(f"v{rng.randrange(10**6)}" for _ in range(5))])))
+    sets = [[{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in pair] for pair in pairs]
+    exact = [len(a & b) / len(a | b) for a, b in sets]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").withColumn("s", f.sketch(F.col("a")))
+    got = df.select(F.size("s"), f.likeness(F.col("s"), f.sketch(F.col("b")), F.lit(False))).orderBy("i").collect()
+    assert all(r[0] > 0 for r in got)
+    assert sum(abs(r[1] - x) for r, x in zip(got, exact, strict=True)) / len(exact) < 0.1
+
+
 def test_only_built_in_functions_run(spark):
     plan = f.fingerprints(documents(spark, ["x", "y"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
