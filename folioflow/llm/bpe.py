@@ -1,9 +1,9 @@
 """BPE encoding and decoding by per-prefix dynamic programming.
 
 A vocabulary whose ids follow its merges has one encoding per pre-token, and every prefix
-of it has one encoding too. So one token per prefix is enough: an automaton over the
-vocabulary (a suffix automaton of the text's side: at each position it reports all
-vocabulary entries that end there) gives the candidates for the last token of a prefix,
+of it has one encoding too. So one token per prefix is enough: an Aho-Corasick automaton
+over the vocabulary (at each position of the text it reports all vocabulary entries that
+end there, as a suffix automaton's matches would) gives the candidates for the last token of a prefix,
 and a candidate is the last token exactly if it may stand after the last token of the
 prefix before it. Following these back-pointers from the end gives the ids.
 
