@@ -1,11 +1,12 @@
 """Chat formatting from an event log.
 
-An event is (conv_id, turn, seq, kind, role, text). Events of a turn are ordered by seq
+An event is (conv_id, turn, seq, kind, role, text), and may have a tie that tells messages
+of one turn apart (they follow each other by it). Events of a turn and tie are ordered by seq
 and folded: ``message`` and ``edit`` set the text (and the role, where one is given),
 ``delta`` appends to it, ``regenerate`` discards it so that later deltas start anew, and
 ``delete`` removes the turn until a later event brings it back. The fold of a turn
 touches that turn alone, so a conversation that holds a third of all rows is dealt out
-by (conv_id, turn) instead of going to one task.
+by (conv_id, turn, tie) instead of going to one task.
 
 Rendering puts every final message between control strings and escapes what looks like
 one inside roles and texts, reversibly. Output is one row per chunk of a conversation:
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 CHUNK_CHARS = 1 << 18
+LAST = 2**63 - 1
 EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
-CHUNKS = "conv_id long, chunk long, formatted string, mask array<struct<start:int,end:int>>"
-PARTS = "conv_id long, chunk long, n_turns long, turns binary, loss binary, loss_chars long, formatted_chars long"
+CHUNKS = "conv_id long, chunk long, part long, formatted string, mask array<struct<start:int,end:int>>"
+PARTS = "conv_id long, chunk long, part long, n_turns long, turns binary, loss binary, loss_chars long, formatted_chars long"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -48,15 +50,16 @@ def unescape(text: str) -> str:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """The final messages: conv_id, turn, role, text.
+    """The final messages: conv_id, turn, tie, role, text.
 
     Null texts count as empty, null roles as "", null kinds as ``message``; a null turn
-    sorts first, as turn -1. Events with the same seq are taken in the order kind (deltas
+    sorts first, as turn -1; a missing or null tie is 0. Events with the same seq are taken in the order kind (deltas
     last), role, text, so repeated rows give a defined result. Other columns are not read.
     """
     e = events.select(
         "conv_id",
         F.coalesce("turn", F.lit(-1)).alias("turn"),
+        (F.coalesce("tie", F.lit(0)) if "tie" in events.columns else F.lit(0)).cast("long").alias("tie"),
         F.coalesce("seq", F.lit(-1)).alias("seq"),
         F.coalesce("kind", F.lit("message")).alias("kind"),
         "role",
@@ -64,40 +67,40 @@ def fold(events: DataFrame) -> DataFrame:
     )
     # of events with the same seq, those that set a text come before deltas
     e = e.withColumn("rank", F.when(F.col("kind") == "delta", 1).otherwise(0))
-    before = Window.partitionBy("conv_id", "turn").orderBy(F.desc("seq"), F.desc("rank"), F.desc("kind"), F.desc("role"), F.desc("text"))
+    before = Window.partitionBy("conv_id", "turn", "tie").orderBy(F.desc("seq"), F.desc("rank"), F.desc("kind"), F.desc("role"), F.desc("text"))
     # counting backwards: 0 until the last event that set or discarded the text has been passed
     sets = F.col("kind") != "delta"
     e = e.withColumn("later", F.sum(sets.cast("int")).over(before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - sets.cast("int"))
     part = F.when((F.col("later") == 0) & (F.col("kind") != "regenerate") & (F.col("kind") != "delete"), F.struct("seq", "rank", "kind", "role", "text"))
     role = F.when(F.col("role").isNotNull() & (F.col("kind") != "delete"), F.struct("seq", "rank", "kind", "role"))
     return (
-        e.groupBy("conv_id", "turn")
+        e.groupBy("conv_id", "turn", "tie")
         .agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(role)["role"].alias("role"), F.max(F.struct("seq", "rank", "kind"))["kind"].alias("last"))
         .where("last != 'delete'")
-        .select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+        .select("conv_id", "turn", "tie", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
     )
 
 
 def render(messages: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int | None = None) -> DataFrame:
-    """Rows conv_id, chunk, formatted, mask: the formatted text of each conversation in bounded chunks.
+    """Rows conv_id, chunk, part, formatted, mask: the formatted text of each conversation in bounded chunks.
 
-    ``chunk`` orders the chunks of a conversation (the turn that it begins with); ``mask``
-    has the spans, in code points of the chunk, of the assistant's texts.
+    ``chunk`` and ``part`` order the chunks of a conversation (the turn and tie that it
+    begins with); ``mask`` has the spans, in code points of the chunk, of the assistant's texts.
     """
     spark = messages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done: list[tuple] = []
-        conv, first, parts, size, mask = None, 0, [], 0, []
+        conv, first, parts, size, mask = None, (0, 0), [], 0, []
         for batch in batches:
-            for c, turn, role, text in batch[["conv_id", "turn", "role", "text"]].itertuples(index=False, name=None):
+            for c, turn, tie, role, text in batch[["conv_id", "turn", "tie", "role", "text"]].itertuples(index=False, name=None):
                 c = None if pd.isna(c) else int(c)
                 if parts and (c != conv or size >= chunk_chars):
-                    done.append((conv, first, "".join(parts), mask))
+                    done.append((conv, *first, "".join(parts), mask))
                     parts, size, mask = [], 0, []
                 if not parts:
-                    conv, first = c, turn
+                    conv, first = c, (turn, tie)
                 head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
                 if role == "assistant":
                     mask.append((size + len(head), size + len(head) + len(body)))
@@ -107,10 +110,10 @@ def render(messages: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int
                 yield frame(done, CHUNKS)
                 done = []
         if parts:
-            done.append((conv, first, "".join(parts), mask))
+            done.append((conv, *first, "".join(parts), mask))
         yield frame(done, CHUNKS)
 
-    return messages.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(rows, CHUNKS)
+    return messages.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "tie").mapInPandas(rows, CHUNKS)
 
 
 def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -141,17 +144,17 @@ def read_back(chunks: DataFrame) -> DataFrame:
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for c, chunk, formatted, mask in batch[["conv_id", "chunk", "formatted", "mask"]].itertuples(index=False, name=None):
+            for c, chunk, part, formatted, mask in batch[["conv_id", "chunk", "part", "formatted", "mask"]].itertuples(index=False, name=None):
                 turns = list(parse(formatted))
                 loss = [unescape(formatted[m["start"] : m["end"]]) for m in mask]
-                out.append((c, chunk, len(turns), "".join(f"{r}\n{t}\n" for r, t in turns).encode(), "".join(loss).encode(), sum(map(len, loss)), len(formatted)))
+                out.append((c, chunk, part, len(turns), "".join(f"{r}\n{t}\n" for r, t in turns).encode(), "".join(loss).encode(), sum(map(len, loss)), len(formatted)))
             yield frame(out, PARTS)
 
     def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, begun = None, False
         for batch in batches:
             out = []
-            for c, _, n, turns, loss, loss_chars, chars in batch[PARTS_NAMES].itertuples(index=False, name=None):
+            for c, _, _, n, turns, loss, loss_chars, chars in batch[PARTS_NAMES].itertuples(index=False, name=None):
                 c = None if pd.isna(c) else int(c)
                 if not begun or c != now[0]:
                     if begun:
@@ -169,16 +172,22 @@ def read_back(chunks: DataFrame) -> DataFrame:
     def closed(x: list) -> tuple:
         return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
 
-    return chunks.mapInPandas(parts, PARTS).repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInPandas(digests, DIGESTS)
+    return chunks.mapInPandas(parts, PARTS).repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part").mapInPandas(digests, DIGESTS)
 
 
 PARTS_NAMES = [x.split()[0] for x in PARTS.split(", ")]
 
 
 def message_events(conversations: DataFrame) -> DataFrame:
-    """A log with one ``message`` event per stored row."""
-    turn = F.col("turn").cast("long")
-    return conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), turn.alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A log with one ``message`` event per stored row, each a message of its own.
+
+    Rows without a turn come last, as in SQL's order; rows of one turn (also repeated ones)
+    follow each other by role (null first), then text.
+    """
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
+    order = Window.partitionBy("conv_id", "turn").orderBy(F.col("unplaced"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), turn.alias("seq"), F.col("turn").isNull().alias("unplaced"), F.lit("message").alias("kind"), "role", "text")
+    return rows.withColumn("tie", F.row_number().over(order).cast("long")).drop("unplaced")
 
 
 def format_chats(events: DataFrame) -> DataFrame:

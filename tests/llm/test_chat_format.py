@@ -78,5 +78,16 @@ def test_what_is_read_back_equals_brute_force(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("chunk", [1, 1 << 18])
+def test_rows_of_one_turn_and_rows_without_turn_are_all_rendered(spark, chunk):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "c"), (1, 0, "user", "a"), (1, None, "assistant", "y"), (1, None, "user", "z"), (1, -1, "user", "first"), (2, None, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in c.read_back(c.render(c.fold(c.message_events(table)), chunk_chars=chunk, partitions=3)).collect()}
+    turns = ["user\nfirst\n", "assistant\nc\n", "user\na\n", "user\na\n", "user\nb\n", "assistant\ny\n", "user\nz\n"]
+    assert got[1]["n_turns"] == 7 and got[2]["n_turns"] == 1
+    assert got[1]["turns_sha256"] == hashlib.sha256("".join(turns).encode()).hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"cy").hexdigest()
+
+
 def test_empty_logs(spark):
     assert c.read_back(c.format_chats(events(spark, []).limit(0))).count() == 0
