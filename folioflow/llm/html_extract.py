@@ -47,7 +47,9 @@ BAD_NAME = re.compile(
 GOOD_NAME = re.compile(r"(?<![a-z])(article|story|entry|post|content|main|body|text|prose|maincontent)(?![a-z])")
 WITH = re.compile(r"(?<![a-z])(has|with|no|without|is|show|hide)[-_][a-z]+")
 ROLES = {"navigation": -10.0, "banner": -10.0, "contentinfo": -10.0, "complementary": -10.0, "search": -10.0, "form": -10.0, "dialog": -10.0, "alert": -10.0, "main": 2.5, "article": 3.0}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=/?[a-zA-Z])", re.S)
+#: A quote delimits only where an attribute's value begins; elsewhere it is a letter like others, also if its partner is missing.
+QUOTED = r"(?>[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)?)*+"
+TOKEN, PLAIN = (re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?([a-zA-Z][^\s/>]*)({body})>|<(?=/?[a-zA-Z])", re.S) for body in (QUOTED, "[^>]*"))
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -118,12 +120,14 @@ def blocks(page: str) -> list[Block]:
             open_links -= at.name == "a"
             at = at.parent
 
-    position = 0
-    while m := TOKEN.search(page, position):
+    position, token = 0, TOKEN
+    while m := token.search(page, position):
         text(page[position : m.start()])
         position = m.end()
         if m[1] is None:
-            if m[0] == "<":  # a tag that never ends: the rest of the page
+            if m[0] == "<" and token is TOKEN:  # quotes hide the end of this tag: from here on tags end at the next '>'
+                position, token = m.start(), PLAIN
+            elif m[0] == "<":  # a tag that never ends: the rest of the page
                 position = len(page)
             continue
         name = m[1].lower()

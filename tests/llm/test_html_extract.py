@@ -39,6 +39,19 @@ def test_odd_pages():
     assert h.main_text("<article><p>one two three four five six<p>seven eight nine ten eleven</article>").count("\n\n") == 1
 
 
+def test_stray_quotes_do_not_swallow_text():
+    words, more = "one two three four five six seven", "eight nine ten eleven twelve"
+    for tag in ("<a href=x title=it's>", '<a href=x title=5">', "<a it's>", "<a title='it>", '<a href=x="y>', '<a title = "a > b" rel=\'c > "d\'>', "<a href=x/y title=''>", "<a =\">", "<a title=\"a > b\">"):
+        assert h.main_text(f"<article><p>{words} {tag}link</a> {more}</p></article>") == f"{words} link {more}", tag
+    both = f"<article><p>{words} <a title=it's>link</a> {more}</p><p>{words} isn't <b>{more}</b></p></article>"
+    assert h.main_text(both) == f"{words} link {more}\n\n{words} isn't {more}"
+    assert h.main_text(f'<article><p>{words}</p><p class="a>b" {more}') == f"{words}\n\nb\" {more}"
+    begun = time.time()
+    for page in ('<a b=">" ' * 50_000, "<a b='>' " * 50_000 + '"', "<a b=" + " " * 500_000, "<a " + "b  " * 100_000):
+        h.main_text(page)
+    assert time.time() - begun < 30
+
+
 def test_time_is_linear_in_bad_markup():
     begun = time.time()
     for page in ("<div>" * 100_000 + "<p>x y z", "<p>a b c d e f g" * 50_000, "<p " + 'a="' * 50_000, "<" * 100_000, "</p>" * 100_000, "<p a='" + "x" * 500_000):
