@@ -7,8 +7,9 @@ logistic unit scores the window. A document's score is the highest of its window
 overlap and cover the whole text.
 
 The network is trained here, in numpy, on a bounded sample of labelled rows. Labels belong
-to documents, so training alternates: the window that scores highest stands for a toxic
-document; for a clean one, the highest and a random one.
+to documents, so training has two parts: first every window of a sample carries its
+document's label; then single windows stand for their documents, the one that scores highest
+for a toxic document, the highest and a random one for a clean document.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ WORD = re.compile(r"\w+")
 class Settings:
     """sample_toxic, sample_clean, sample_chars: bounds of the training sample (rows, and code points of a text).
     window, stride: words of a window and between windows. threshold: of a score that rejects.
-    least_docs, prior: documents in which a word of the vocabulary occurs, and the documents of the usual mix that are assumed besides for its first weight.
-    pull: of weights to where they began. unread: the share of words read by their characters alone. distrust: per epoch
-    (the last holds on), the logit that a toxic row must reach to be learned from."""
+    least_docs: documents in which a word of the vocabulary occurs. unread: the share of words read by their characters alone.
+    repeated: clean windows that are read as one repeated word, for each other window.
+    first_windows, first_epochs: how many windows of all kinds are read, and how often, before single windows stand for documents.
+    distrust: the logit that a toxic row must reach to be learned from, after that. epochs, least_steps: of that second part."""
 
     sample_toxic: int = 1500
     sample_clean: int = 3500
@@ -42,17 +44,19 @@ class Settings:
     states: int = 12
     word_size: int = 12
     char_size: int = 12
-    buckets: int = 16384
+    buckets: int = 32768
     least_docs: int = 3
-    prior: float = 3.0
-    pull: float = 1e-2
-    toxic_weight: float = 1.0
-    unread: float = 0.1
-    distrust: tuple[float, ...] = (1.0, -2.0, -1.0)
-    epochs: int = 5
-    least_steps: int = 600
-    batch: int = 64
-    rate: float = 5e-3
+    decay: float = 1e-2
+    toxic_weight: float = 2.0
+    unread: float = 0.5
+    repeated: float = 0.1
+    first_windows: int = 12_000
+    first_epochs: int = 2
+    distrust: float = -2.0
+    epochs: int = 4
+    least_steps: int = 200
+    batch: int = 128
+    rate: float = 1e-2
     threshold: float = 0.3
     seed: int = 7
 
@@ -143,32 +147,6 @@ class Network:
         x = self.inputs(words)
         return np.stack([x @ self.w["wx"][d] + self.w["b"][d] for d in (0, 1)])
 
-    def run(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States (L, n, 2H) of windows index (n, L); table (words, 2, 3H) has the gate inputs of each index. trace gets what the way back needs."""
-        n, length = index.shape
-        h_size, w = self.s.states, self.w
-        h = np.zeros((2, n, h_size), dtype=np.float32)
-        out = np.empty((length, n, 2 * h_size), dtype=np.float32)
-        whole = bool(mask.all())
-        m = mask.astype(np.float32)
-        for t in range(length):
-            back = length - 1 - t
-            x = np.stack([table[index[:, t], 0], table[index[:, back], 1]])
-            hu = np.matmul(h, w["u"])
-            gates = sigmoid(x[..., : 2 * h_size] + hu[..., : 2 * h_size])
-            z, r = gates[..., :h_size], gates[..., h_size:]
-            new = np.tanh(x[..., 2 * h_size :] + r * hu[..., 2 * h_size :])
-            after = new + z * (h - new)
-            if not whole:
-                keep = np.stack([m[:, t], m[:, back]])[..., None]
-                after = h + keep * (after - h)
-            if trace is not None:
-                trace.append((h, z, r, new, hu[..., 2 * h_size :]))
-            h = after
-            out[t, :, :h_size] = h[0]
-            out[back, :, h_size:] = h[1]
-        return out, m
-
     def states(self, table: np.ndarray, index: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What run() gives, without a trace and in place: every array of the loop is reused."""
         n, length = index.shape
@@ -222,57 +200,107 @@ class Network:
         return self.pool(*self.states(table, index, mask))[0]
 
 
+def summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """The sums of the rows of values that have the same index, for indices 0 to n - 1."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    begins = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    out[index[begins]] = np.add.reduceat(values[order], begins, axis=0)
+    return out
+
+
 def gradients(net: Network, words: np.ndarray, grams: Grams, index: np.ndarray, mask: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Loss and gradients of one batch. words: vocabulary row of each distinct word; index (n, L) points into these."""
-    w, h_size, n = net.w, net.s.states, len(index)
-    chars = net.char_vectors(grams)
-    x_all = np.concatenate([w["words"][words], chars], axis=1)
-    table = np.stack([x_all @ w["wx"][d] + w["b"][d] for d in (0, 1)], axis=1)
-    trace: list = []
-    states, m = net.run(table, index, mask, trace)
-    logit, a, pooled = net.pool(states, m)
+    """Loss and gradients of one batch. words: vocabulary row of each distinct word; index (n, L) points into these.
+
+    Axes of what is kept of the way forth are time, direction, window, unit; the second
+    direction's time runs backwards.
+    """
+    w, k, (n, length) = net.w, net.s.states, index.shape
+    x_all = np.concatenate([w["words"][words], net.char_vectors(grams)], axis=1)
+    at = np.stack([index.T, index.T[::-1]], axis=1)  # (L, 2, n)
+    there = np.stack([mask.T, mask.T[::-1]], axis=1)[..., None].astype(x_all.dtype)
+    whole = bool(mask.all())
+    x = np.stack([(x_all @ w["wx"][d] + w["b"][d])[at[:, d]] for d in (0, 1)], axis=1)
+    h = np.zeros((length + 1, 2, n, k), dtype=x.dtype)
+    gate, hu_new, new = np.empty((length, 2, n, 2 * k), dtype=x.dtype), np.empty((length, 2, n, k), dtype=x.dtype), np.empty((length, 2, n, k), dtype=x.dtype)
+    for t in range(length):
+        hu = np.matmul(h[t], w["u"])
+        gate[t] = sigmoid(x[t, ..., : 2 * k] + hu[..., : 2 * k])
+        hu_new[t] = hu[..., 2 * k :]
+        new[t] = np.tanh(x[t, ..., 2 * k :] + gate[t, ..., k:] * hu_new[t])
+        after = new[t] + gate[t, ..., :k] * (h[t] - new[t])
+        h[t + 1] = after if whole else h[t] + there[t] * (after - h[t])
+    states = np.concatenate([h[1:, 0], h[1:, 1][::-1]], axis=2)
+    logit, a, pooled = net.pool(states, mask.astype(x.dtype))
     p = sigmoid(logit)
     loss = float(-(weight * (target * np.log(p + 1e-7) + (1 - target) * np.log(1 - p + 1e-7))).sum() / weight.sum())
-    d_logit = (weight * (p - target) / weight.sum()).astype(np.float32)
+
+    d_logit = (weight * (p - target) / weight.sum()).astype(x.dtype)
     g = {"out": pooled.T @ d_logit, "bias": d_logit.sum(keepdims=True)}
     d_pooled = d_logit[:, None] * w["out"]
     d_a = np.einsum("lnh,nh->ln", states, d_pooled)
     d_e = a * (d_a - (a * d_a).sum(axis=0))
     g["attention"] = np.einsum("ln,lnh->h", d_e, states)
     d_states = a[..., None] * d_pooled + d_e[..., None] * w["attention"]
-    d_table = np.zeros_like(table)
-    g["u"] = np.zeros_like(w["u"])
-    d_h = np.zeros((2, n, h_size), dtype=np.float32)
-    for t in reversed(range(index.shape[1])):
-        back = index.shape[1] - 1 - t
-        h, z, r, new, hu_n = trace[t]
-        d_h = d_h + np.stack([d_states[t, :, :h_size], d_states[back, :, h_size:]])
-        keep = np.stack([m[:, t], m[:, back]])[..., None]
-        d_after, d_prev = d_h * keep, d_h * (1 - keep)
-        d_new = d_after * (1 - z) * (1 - new * new)
-        d_z = d_after * (h - new) * z * (1 - z)
-        d_r = d_new * hu_n * r * (1 - r)
-        d_x = np.concatenate([d_z, d_r, d_new], axis=-1)
-        d_hu = np.concatenate([d_z, d_r, d_new * r], axis=-1)
-        g["u"] += np.matmul(h.transpose(0, 2, 1), d_hu)
-        d_h = d_prev + d_after * z + np.matmul(d_hu, w["u"].transpose(0, 2, 1))
-        np.add.at(d_table[:, 0], index[:, t], d_x[0])
-        np.add.at(d_table[:, 1], index[:, back], d_x[1])
-    g["b"] = d_table.sum(axis=0)
-    g["wx"] = np.stack([x_all.T @ d_table[:, d] for d in (0, 1)])
-    d_all = sum(d_table[:, d] @ w["wx"][d].T for d in (0, 1))
-    g["words"] = np.zeros_like(w["words"])
-    np.add.at(g["words"], words, d_all[:, : net.s.word_size])
+    d_out = np.stack([d_states[..., :k], d_states[::-1, :, k:]], axis=1)
+    d_x, d_hu = np.empty_like(x), np.empty_like(x)
+    d_h, back = np.zeros((2, n, k), dtype=x.dtype), w["u"].transpose(0, 2, 1)
+    for t in reversed(range(length)):
+        z, r = gate[t, ..., :k], gate[t, ..., k:]
+        d_h += d_out[t]
+        d_after = d_h if whole else d_h * there[t]
+        d_new = d_after * (1 - z) * (1 - new[t] * new[t])
+        d_x[t, ..., :k] = d_after * (h[t] - new[t]) * z * (1 - z)
+        d_x[t, ..., k : 2 * k] = d_new * hu_new[t] * r * (1 - r)
+        d_x[t, ..., 2 * k :] = d_new
+        d_hu[t, ..., : 2 * k] = d_x[t, ..., : 2 * k]
+        d_hu[t, ..., 2 * k :] = d_new * r
+        d_before = d_after * z + np.matmul(d_hu[t], back)
+        d_h = d_before if whole else d_before + d_h * (1 - there[t])
+    flat = lambda v, d: v[:, d].reshape(length * n, -1)
+    g["u"] = np.stack([flat(h[:-1], d).T @ flat(d_hu, d) for d in (0, 1)])
+    d_table = [summed(at[:, d].reshape(-1), flat(d_x, d), len(words)) for d in (0, 1)]
+    g["b"] = np.stack([d.sum(axis=0) for d in d_table])
+    g["wx"] = np.stack([x_all.T @ d for d in d_table])
+    d_all = sum(d_table[d] @ w["wx"][d].T for d in (0, 1))
+    g["words"] = summed(words, d_all[:, : net.s.word_size], len(w["words"]))
     size = np.diff(grams.begin)
-    g["chars"] = np.zeros_like(w["chars"])
-    np.add.at(g["chars"], grams.flat, np.repeat(d_all[:, net.s.word_size :] / size[:, None], size, axis=0))
+    g["chars"] = summed(grams.flat, np.repeat(d_all[:, net.s.word_size :] / size[:, None].astype(x.dtype), size, axis=0), len(w["chars"]))
     return loss, g
 
 
+class Adam:
+    """Steps of all weights by the gradients' first two moments, with decay of all but the bias."""
+
+    def __init__(self, net: Network):
+        self.net, self.step = net, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
+        self.mean, self.remembered = net.w, 0
+
+    def __call__(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        for k, v in g.items():
+            m, q = self.moments[k]
+            m += 0.1 * (v - m)
+            q += 0.001 * (v * v - q)
+            if k != "bias":
+                self.net.w[k] -= self.net.s.decay * rate * self.net.w[k]
+            self.net.w[k] -= (rate * (m / (1 - 0.9**self.step)) / (np.sqrt(q / (1 - 0.999**self.step)) + 1e-8)).astype(np.float32)
+
+    def remember(self) -> None:
+        """Take the weights as they are now into their mean, which varies less than any of them."""
+        self.remembered += 1
+        self.mean = {k: v.copy() if self.remembered == 1 else self.mean[k] + (v - self.mean[k]) / np.float32(self.remembered) for k, v in self.net.w.items()}
+
+
 def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
     """The trained network; where one of the labels is missing, the share of toxic rows (0 without rows).
 
     Of texts with the same words in the same order the first row counts, with its label.
+    Nothing but the network learns from the labels: no word counts enter it. First, every
+    window has the label of its document. Then a document is judged by windows as the
+    network sees them: a toxic one by its highest, a clean one by its highest and a random one.
     """
     seen: set[bytes] = set()
     place: dict[str, int] = {}
@@ -287,58 +315,47 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
     target = np.array(y, dtype=np.float32)
     if not 0 < target.sum() < len(target):
         return float(target.mean()) if len(target) else 0.0
-    once = [np.unique(x) for x in ids]
-    count = [np.bincount(np.concatenate([x for x, v in zip(once, y, strict=True) if v == label]), minlength=len(place)) for label in (0, 1)]
-    total = count[0] + count[1]
+    total = np.bincount(np.concatenate([np.unique(x) for x in ids]), minlength=len(place))
     rows = np.zeros(len(place), dtype=np.int64)  # the row of each word in the vocabulary, 0 outside it
     often = np.flatnonzero(total >= s.least_docs)
     rows[often] = np.arange(1, len(often) + 1)
     names = list(place)
-    vocabulary = {names[i]: int(rows[i]) for i in often}
-    net = Network(vocabulary, s)
-    n1, n0 = float(target.sum()), float(len(target) - target.sum())
-    share = n1 / (n1 + n0)
-    odds = np.zeros(len(vocabulary) + 1, dtype=np.float32)
-    p = (count[1][often] + s.prior * share) / (total[often] + s.prior)  # drawn to the base rate, the more so the rarer the word
-    odds[1:] = np.log(p / (1 - p)) - np.log(share / (1 - share))
-    net.w["words"][:, 0] = odds / 2
-    home = net.w["words"].copy()
-
+    net = Network({names[i]: int(rows[i]) for i in often}, s)
     grams = Grams.of(names, s.buckets)
-    del place, once
+    del place
     owner, index, mask = windows(ids, s)
-    rng = np.random.default_rng(s.seed)
-    score = np.where(mask, odds[rows][index], -9).max(axis=1)  # the first choice of windows, before there is a network
-    moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.w.items()}
-    step = 0
-    each = -(-(len(ids) + int(n0)) // s.batch)  # steps of an epoch
-    for epoch in range(max(s.epochs, -(-s.least_steps // each))):
-        if epoch:
+    rng, adam = np.random.default_rng(s.seed), Adam(net)
+    clean = np.flatnonzero(target[owner] == 0)
+    first = np.flatnonzero(rng.random(len(owner)) < s.first_windows / len(owner))
+    each = -(-2 * len(ids) // s.batch)  # steps of an epoch by single windows, about
+    epochs = max(s.epochs, -(-s.least_steps // each))
+    for epoch in range(s.first_epochs + epochs):
+        if epoch < s.first_epochs:
+            chosen = first
+        else:
             score = scored(net, rows, grams, index, mask)
-        best = best_of(owner, score, len(ids))
-        other = best_of(owner, rng.random(len(owner)), len(ids))
-        # a toxic row in which nothing looks toxic by now is taken for a wrong label and left out of this epoch
-        trusted = (target == 0) | (score[best] > s.distrust[min(epoch, len(s.distrust) - 1)])
-        chosen = np.concatenate([best[trusted], other[target == 0]])
-        rng.shuffle(chosen)
+            best, other = best_of(owner, score, len(ids)), best_of(owner, rng.random(len(owner)), len(ids))
+            # a toxic row in which nothing looks toxic by now is taken for a wrong label and left out of this epoch
+            trusted = (target == 0) | (score[best] > s.distrust)
+            chosen = np.concatenate([best[trusted], other[target == 0]])
+        # some clean windows are read once more as one of their words again and again, which is no offence either
+        again = rng.choice(clean, int(s.repeated * len(chosen)))
+        chosen, alone = np.concatenate([chosen, again]), np.arange(len(chosen) + len(again)) >= len(chosen)
+        order = rng.permutation(len(chosen))
+        chosen, alone = chosen[order], alone[order]
+        rate = s.rate * min(1.0, 2 * (1 - epoch / (s.first_epochs + epochs)))  # falls in the second half
         for at in range(0, len(chosen), s.batch):
-            part = chosen[at : at + s.batch]
-            used, local = np.unique(index[part], return_inverse=True)
-            local = local.reshape(index[part].shape)
+            part, one = chosen[at : at + s.batch], alone[at : at + s.batch]
+            read = index[part]
+            read[one] = read[one, rng.integers(0, mask[part[one]].sum(axis=1))][:, None]
+            used, local = np.unique(read, return_inverse=True)
             known = np.where(rng.random(len(used)) < s.unread, 0, rows[used])  # some words are read by their characters alone
             y_part = target[owner[part]]
             weight = np.where(y_part > 0, s.toxic_weight, 1.0).astype(np.float32)
-            _, g = gradients(net, known, grams.take(used), local, mask[part], y_part, weight)
-            step += 1
-            for k, v in g.items():
-                m, q = moments[k]
-                m += 0.1 * (v - m)
-                q += 0.001 * (v * v - q)
-                if k == "words":
-                    net.w[k] -= s.pull * (net.w[k] - home)
-                elif k != "bias":
-                    net.w[k] -= s.pull * s.rate * net.w[k]
-                net.w[k] -= (s.rate * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            adam(gradients(net, known, grams.take(used), local.reshape(read.shape), mask[part], y_part, weight)[1], rate)
+        if epoch + 1 >= s.first_epochs + epochs // 2:
+            adam.remember()
+    net.w = adam.mean
     return net
 
 
