@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
+import time
 
 from pyspark.sql import functions as F
 
@@ -44,6 +46,92 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(not r["extra"] for r in rows(spark, words).values())
 
 
+def random_like(token: str, code: int) -> tuple[float, float]:
+    """p of the battery and the evidence of a token, one character after another."""
+    alphabet = s.ENCODINGS[code][2]
+    body = token.lower() if code == 0 else token.rstrip("=")
+    n, size = len(body), len(alphabet)
+    upper = lambda z: 1 / (1 + math.exp(0.07056 * z**3 + 1.5976 * z))
+    kind = [next(k for k, cell in enumerate(s.CELLS) if c in cell) for c in body]
+    share = [sum(c in cell for c in alphabet) / size for cell in s.CELLS]
+    there = [k for k in range(10) if share[k]]
+    chi, df = sum((kind.count(k) - n * share[k]) ** 2 / (n * share[k]) for k in there), len(there) - 1
+    y = [alphabet.index(c) + 1 - (size + 1) / 2 for c in body]
+    runs = 1 + sum(a * b <= 0 for a, b in zip(y, y[1:]))
+    serial = sum(a * b for a, b in zip(y, y[1:])) / sum(a * a for a in y)
+    p = [upper(((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / math.sqrt(2 / (9 * df))), 2 * upper(abs(runs - (n + 1) / 2) / math.sqrt((n - 1) / 4)), 2 * upper(abs(serial) * math.sqrt(n))]
+    half = -sum(math.log(max(x, 1e-12)) for x in p)
+    evidence = []
+    for capitals in s.CAPITALS:
+        chain, before, total = s.text_chain(alphabet, capitals), 9, 0.0
+        for k in kind:
+            total += math.log(share[k] / chain[before][k])
+            before = k
+        evidence.append(total)
+    return math.exp(-half) * (1 + half + half * half / 2), min(evidence)
+
+
+def brute_extra(text: str | None) -> list[tuple[int, int, int]]:
+    text, base, family = text or "", brute(text), []
+    for m in re.finditer(s.CANDIDATE, text):
+        token = m[0]
+        if any(b < m.end() and m.start() < e for b, _, e in base):
+            continue
+        code = next((k for k, (_, pattern, _) in enumerate(s.ENCODINGS) if re.search(pattern, token)), None)
+        mixed = re.search("[A-Z]", token) and re.search("[a-z]", token) if code is not None and s.ENCODINGS[code][0].startswith("base6") else re.search("[A-Za-z]", token)
+        if code is not None and mixed and re.search("[0-9]", token):
+            p, evidence = random_like(token, code)
+            family.append((evidence if p >= s.RANDOM_ALPHA else -1e300, m.start(), m.end()))
+    family.sort(key=lambda f: (-f[0], f[1]))
+    k = max((i for i, f in enumerate(family, 1) if f[0] >= math.log(len(family) / (i * s.FDR))), default=0)
+    return sorted((a, 3, b) for _, a, b in family[:k])
+
+
+#: Our own: names, titles, paths and numbers as they stand in code and on pages.
+IDENTIFIERS = """BackgroundImage2xRetinaDisplay Chapter12TheHouseOnTheHill MyDocuments2019FinalVersionA IPhone15ProMaxReviewAndSpecs
+    getElementsByClassName2024 QuarterlyReport2023FinalV2Draft MAX_RETRY_COUNT_PER_HOST_2 HTTP2ServerConnectionPoolManager user_profile_settings_page_v2
+    version2021finaldraftreport12 2024-Annual-Report-Executive-Summary Windows10EnterpriseEditionSetup openglextension3dtexturecompression UTF8StringDecoderWithFallback2
+    Bundesgesetzblatt2021TeilISeite3436 com/google/android/apps/Photos2024 IMG20240131WA0005Edited1 INVOICE2024000123456COPY 20240131T101530Z20240201T000000Z
+    ORDER123456789012345678X LesMiserablesTome2LivrePremier AReallyLongClassNameWithNumber7InIt SELECT1FROMTABLEWHEREID2 PKCS12KeyStoreLoaderFactory Nightly20240131Build4Release""".split()
+
+
+def test_extra_spans_equal_brute_force(spark):
+    rng = random.Random(8)
+    letters = [string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits, string.hexdigits.upper(), string.ascii_letters + string.digits + "-_"]
+    token = lambda: "".join(rng.choice(rng.choice(letters[:1]) if rng.random() < 0.1 else alphabet) for alphabet in [rng.choice(letters)] for _ in range(rng.randint(18, 40)))
+    texts = odd_texts() + [" ".join(rng.choice([token(), rng.choice(IDENTIFIERS), prose(rng, 3), "token=" + token(), token() + "==", "0123456789abcdef" * 2]) for _ in range(rng.randint(1, 12))) for _ in range(200)]
+    got = rows(spark, texts)
+    for i, text in enumerate(texts):
+        assert [tuple(x) for x in got[i]["extra"]] == brute_extra(text), text
+    assert sum(len(r["extra"]) for r in got.values()) > 100
+
+
+def test_precision_and_recall_on_labelled_tokens(spark):
+    rng = random.Random(9)
+    alphabet = string.ascii_letters + string.digits
+    names = rows(spark, [f"see {x} there" for x in IDENTIFIERS])
+    assert sum(len(r["extra"]) for r in names.values()) == 0
+    for n, least in ((20, 0.88), (24, 0.93), (32, 0.95)):
+        got = rows(spark, [f"see {''.join(rng.choice(alphabet) for _ in range(n))} there" for _ in range(200)])
+        assert sum(len(r["extra"]) for r in got.values()) >= least * 200
+
+
+def test_time_is_linear_in_the_spans_of_a_text(spark):
+    rng = random.Random(10)
+    alphabet = string.ascii_letters + string.digits
+
+    def seconds(n: int) -> float:
+        tokens = ("".join(rng.choice(alphabet) for _ in range(30)) for _ in range(n))
+        df = documents(spark, [" ".join(f"token={t[:12]}" if i % 2 else t for i, t in enumerate(tokens))]).cache()
+        df.count()
+        begun = time.time()
+        s.redact(df).write.format("noop").mode("overwrite").save()
+        return time.time() - begun
+
+    seconds(2000)
+    assert seconds(16_000) < 4 * max(seconds(4000), 1)
+
+
 def test_extra_spans_do_not_overlap_base_spans(spark):
     texts = [f"token = {'0123456789abcdef' * 3} and {'q8Zr5Yt1LmW0xKs7Vb3NhJd9'}"]
     r = rows(spark, texts)[0]
@@ -65,6 +153,14 @@ def test_redaction(spark):
     assert s.redact(documents(spark, [])).count() == 0
 
 
+def test_columns_of_any_name_stay(spark):
+    columns = ["base", "assign", "access", "hex", "extra", "tokens", "was_null", "__base", "__Hex", "doc_id", "n_chars"]
+    df = spark.createDataFrame([tuple([f"AKIA{'B' * 16}"] + [f"keep {c}" for c in columns[:-2]] + [1, 5])], ["text", *columns])
+    out = s.redact(df)
+    assert out.columns == df.columns
+    assert tuple(out.first()) == ("<SECRET>", *[f"keep {c}" for c in columns[:-2]], 1, 8)
+
+
 def test_only_built_in_functions_run(spark):
     plan = s.scan(documents(spark, ["x"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
