@@ -18,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,12 +90,11 @@ def render(messages: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int
     spark = messages.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
         conv, first, parts, size, mask = None, (0, 0), [], 0, []
         for batch in batches:
-            for c, turn, tie, role, text in batch[["conv_id", "turn", "tie", "role", "text"]].itertuples(index=False, name=None):
-                c = None if pd.isna(c) else int(c)
+            for c, turn, tie, role, text in tuples(batch, ["conv_id", "turn", "tie", "role", "text"]):
                 if parts and (c != conv or size >= chunk_chars):
                     done.append((conv, *first, "".join(parts), mask))
                     parts, size, mask = [], 0, []
@@ -103,7 +102,7 @@ def render(messages: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int
                     conv, first = c, (turn, tie)
                 head, body = f"{OPEN}{escape_role(role)}\n", escape(text)
                 if role == "assistant":
-                    mask.append((size + len(head), size + len(head) + len(body)))
+                    mask.append({"start": size + len(head), "end": size + len(head) + len(body)})
                 parts += [head, body, CLOSE]
                 size += len(head) + len(body) + len(CLOSE)
             if len(done) >= 256:
@@ -113,15 +112,23 @@ def render(messages: DataFrame, chunk_chars: int = CHUNK_CHARS, partitions: int
             done.append((conv, *first, "".join(parts), mask))
         yield frame(done, CHUNKS)
 
-    return messages.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "tie").mapInPandas(rows, CHUNKS)
+    return messages.repartitionByRange(n, "conv_id", "turn").sortWithinPartitions("conv_id", "turn", "tie").mapInArrow(rows, CHUNKS)
 
 
-def frame(rows: list[tuple], schema: str) -> pd.DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
-    out = pd.DataFrame(rows, columns=names)
-    if "conv_id" in out:
-        out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<struct<start:int,end:int>>": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
+
+
+def tuples(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    """The rows of a batch; integers stay what they are, also beside nulls."""
+    for at in range(0, batch.num_rows, 1000):
+        part = batch.slice(at, 1000)
+        yield from zip(*(part.column(n).to_pylist() for n in names), strict=True)
+
+
+def frame(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def parse(formatted: str) -> Iterator[tuple[str, str]]:
@@ -141,21 +148,20 @@ def read_back(chunks: DataFrame) -> DataFrame:
     conversation, which hashes them in order without holding more than a batch.
     """
 
-    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for c, chunk, part, formatted, mask in batch[["conv_id", "chunk", "part", "formatted", "mask"]].itertuples(index=False, name=None):
+            for c, chunk, part, formatted, mask in tuples(batch, ["conv_id", "chunk", "part", "formatted", "mask"]):
                 turns = list(parse(formatted))
                 loss = [unescape(formatted[m["start"] : m["end"]]) for m in mask]
                 out.append((c, chunk, part, len(turns), "".join(f"{r}\n{t}\n" for r, t in turns).encode(), "".join(loss).encode(), sum(map(len, loss)), len(formatted)))
             yield frame(out, PARTS)
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, begun = None, False
         for batch in batches:
             out = []
-            for c, _, _, n, turns, loss, loss_chars, chars in batch[PARTS_NAMES].itertuples(index=False, name=None):
-                c = None if pd.isna(c) else int(c)
+            for c, n, turns, loss, loss_chars, chars in tuples(batch, ["conv_id", "n_turns", "turns", "loss", "loss_chars", "formatted_chars"]):
                 if not begun or c != now[0]:
                     if begun:
                         out.append(closed(now))
@@ -172,10 +178,7 @@ def read_back(chunks: DataFrame) -> DataFrame:
     def closed(x: list) -> tuple:
         return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5]
 
-    return chunks.mapInPandas(parts, PARTS).repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part").mapInPandas(digests, DIGESTS)
-
-
-PARTS_NAMES = [x.split()[0] for x in PARTS.split(", ")]
+    return chunks.mapInArrow(parts, PARTS).repartition("conv_id").sortWithinPartitions("conv_id", "chunk", "part").mapInArrow(digests, DIGESTS)
 
 
 def message_events(conversations: DataFrame) -> DataFrame:
@@ -186,10 +189,32 @@ def message_events(conversations: DataFrame) -> DataFrame:
     """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(LAST))
     order = Window.partitionBy("conv_id", "turn").orderBy(F.col("unplaced"), "role", "text")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), turn.alias("seq"), F.col("turn").isNull().alias("unplaced"), F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"), F.lit(0).cast("long").alias("seq"), F.col("turn").isNull().alias("unplaced"), F.lit("message").alias("kind"), "role", "text")
     return rows.withColumn("tie", F.row_number().over(order).cast("long")).drop("unplaced")
 
 
+def streamed(messages: DataFrame) -> DataFrame:
+    """The log of message_events() as a chat's server would have written it, which folds to the same messages.
+
+    An assistant's answer begins with a first attempt that is regenerated, and then
+    comes in two deltas; what others say is a draft that is edited. Events of a message
+    are four rows at most, whatever its length.
+    """
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    event = lambda seq, kind, role, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit(None).cast("string")
+    answer = F.array(
+        event(0, "message", F.col("role"), F.lit("Well")),
+        event(1, "regenerate", none, none),
+        event(2, "delta", none, F.substring(text, F.lit(1), half)),
+        event(3, "delta", none, F.substring(text, half + 1, F.char_length(text))),
+    )
+    other = F.array(event(0, "message", F.col("role"), F.lit("draft")), event(1, "edit", none, text))
+    rows = messages.withColumn("e", F.explode(F.when(F.col("role") == "assistant", answer).otherwise(other)))
+    return rows.select("conv_id", "turn", "tie", "e.*")
+
+
 def format_chats(events: DataFrame) -> DataFrame:
     """The operator: an event log to formatted chunks."""
     return render(fold(events))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_or_empty
+from .common import cut, private, text_or_empty
 
 #: Deleted before comparison: space and U+0009 to U+000D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -95,14 +95,36 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE) -> DataFrame:
-    """docs with one row of each group of equal texts; all columns stay.
+#: Ids that drop_exact_copies broadcasts at most (8 bytes each); more are joined by a shuffle.
+MOST_IDS = 4_000_000
 
-    Ids need not be unique or present: the decision returns to the rows by id, and
-    repeated rows of a kept id are reduced to the one that ranks first.
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy_share: float = HEAVY_SHARE, most_ids: int = MOST_IDS) -> DataFrame:
+    """docs with one row of each group of equal texts; all columns stay, whatever their names.
+
+    Ids need not be unique or present. The decision returns to the rows by their ids: an
+    id of which all rows stay or all rows go needs nothing else. Rows of other ids, which have
+    one and the same id but do not share their fate, and rows without an id are decided by
+    their texts: those that belong to no row that stays go, and of repeated rows of one that
+    stays the first by text stays. Texts of other rows are neither digested again nor moved, unless more
+    than ``most_ids`` ids lose rows.
     """
-    kept = exact_groups(docs, id_col, text_col, heavy_share).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    own = private(docs.columns, "id", "fate", "digest", "n", "place")
+    key, fate, digest, n, place = own.values()
+    rows = cut(exact_groups(docs, id_col, text_col, heavy_share).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")), "exact-dedup-fates")
+    per = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("kept"), 1)).alias("stay"))
+    lost = cut(per.where("stay < rows").select(F.col("doc_id").alias(key), F.when(F.col("stay") > 0, "mixed").otherwise("gone").alias(fate)), "exact-dedup-lost", slim=True)
+    if lost.count() <= most_ids:  # a table of proven size
+        lost = F.broadcast(lost)
+    marked = docs.withColumn(key, F.col(id_col)).join(lost, key, "left")
+    marked = marked.withColumn(fate, F.when(F.col(key).isNull(), "mixed").otherwise(F.coalesce(fate, F.lit("stays"))))
+    stays = marked.where(F.col(fate) == "stays").select(*docs.columns)
+    if rows.where("doc_id IS NULL").isEmpty() and per.where("stay BETWEEN 1 AND rows - 1").isEmpty():
+        return stays
     text = text_or_empty(text_col)
-    marked = docs.withColumns({"__id": F.coalesce(F.col(id_col).cast("string"), F.lit("")), "__sha": F.sha2(F.translate(text, WHITE_SPACE, ""), 256)})
-    order = Window.partitionBy("__id", "__sha").orderBy(F.char_length(text).desc(), text)
-    return marked.join(kept, ["__id", "__sha"], "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    mixed = marked.where(F.col(fate) == "mixed").withColumn(digest, F.unhex(F.sha2(F.translate(text, WHITE_SPACE, ""), 256))).withColumn(n, F.char_length(text))
+    kept = rows.where("kept").select(F.col("doc_id").alias(key), F.col("digest").alias(digest))
+    there = mixed[key].eqNullSafe(kept[key]) & (mixed[digest] == kept[digest])
+    order = Window.partitionBy(key, digest).orderBy(F.col(n).desc(), text)
+    first = mixed.join(kept, there, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return stays.unionByName(first.select(*docs.columns))

@@ -1,16 +1,19 @@
 """N-gram Jaccard join by chosen paths.
 
 Texts are sets of word shingles. Texts with the same set form one class, which is what
-is joined. A run deals the classes into a tree: a node chooses coordinates at random, and
-a class goes to one child for each, named by the token of its set that comes first under
-the coordinate's order (a min-hash, so similar sets share a child with a probability of
-their similarity). Nodes of at most ``leaf`` classes are compared by brute force. In a
-larger node everything is compared with a random pivot, and what is as similar to it as
-a link is leaves the node: the distance is a metric, so its own partners have a
-similarity of 0.6 or more to the pivot and are linked to it as well. The rest
-is split further. Runs are repeated until the target recall.
-
-What is similar by its min-hashes becomes a link of a candidate graph, of which only a
+is joined. A class has 64 marks, the tokens of its set that come first under 64 orders: two
+classes have the same mark with a probability of their similarity. A run deals the classes
+into a tree: a node chooses ``fan`` orders at random, and a class goes to one child for
+each, named by its mark there. Nodes of at most ``leaf`` classes are compared by brute
+force. In a larger node everything is compared with a random pivot. Classes with at least
+half of the pivot's marks, its core, leave the node, which so falls apart also where all
+are alike. They are compared before they go: the number of different marks is a metric, so whatever
+differs from one of the core in at most ``apart`` marks is in the pivot's ball, the
+classes that differ from the pivot in at most half of the marks plus ``apart``. The
+core is compared with the whole ball, and nothing is lost by leaving. The rest is split
+further, by the same rule at every depth. Runs are repeated until the target recall.
+
+What is similar by its marks becomes a link of a candidate graph, of which only a
 spanning forest is ever written. Then every class meets the others of its candidate
 component once, with whole sets, and the similarity is computed exactly. Components too
 large for a task are compared block by block. Tasks return counts and forests, never
@@ -26,11 +29,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, private, shared_dir
 from .components import components
 
 COORDINATES = 64
@@ -38,24 +42,65 @@ COORDINATES = 64
 
 @dataclass(frozen=True)
 class Join:
-    """words: of a shingle. least: the similarity of a link. runs, fan: trees, and coordinates that a node chooses.
-    leaf: the most classes that are compared by brute force at once. block, block_shingles: of the exact comparison.
-
-    A link of similarity s is found with a probability of at least 1 - (1 - s * (1 - (1 - s)**fan))**(runs * fan),
-    over 0.99999 at 0.8, less the chance that 64 min-hashes estimate it under ``sketch`` (5e-5).
+    """words: of a shingle. least: the similarity of a link. recall: the share of links, just as similar as that, that is to be found.
+    fan: orders that a node chooses. leaf: the most classes that are compared by brute force at once. core: the most marks in which
+    a core differs from its pivot. Groups are compared in blocks: cell and large_cell classes (by marks), block and
+    large_block classes, and at most block_shingles shingles (exactly); the larger ones once there are enough of the smaller to keep many tasks busy.
     """
 
     words: int = 5
     least: float = 0.8
-    runs: int = 4
+    recall: float = 0.9995
     fan: int = 2
     leaf: int = 256
-    sketch: float = 0.58
-    pivot: float = 0.5
-    absorb: float = 0.8
+    core: int = COORDINATES // 2
+    cell: int = 1024
+    large_cell: int = 4096
     block: int = 128
+    large_block: int = 1024
     block_shingles: int = 1 << 21
 
+    @property
+    def apart(self) -> int:
+        """The most marks in which a link's ends may differ: under one in 10,000 links of the least similarity differ in more."""
+        left, m = 1.0, -1
+        while left > 1e-4:
+            m += 1
+            left -= math.comb(COORDINATES, m) * (1 - self.least) ** m * self.least ** (COORDINATES - m)
+        return m
+
+    def found(self, runs: int) -> float:
+        """The least probability that a link of the least similarity is found by so many runs.
+
+        A link's ends with a share s of equal marks go on together into each of a node's
+        ``fan`` children with a probability of s. That all these lines die out, in a tree of any
+        depth, has at most the probability that solves q = (1 - s + s * q) ** fan.
+        """
+        total = 0.0
+        for m in range(self.apart + 1):
+            s = 1 - m / COORDINATES
+            lost = extinct(s, self.fan)
+            total += math.comb(COORDINATES, m) * (1 - self.least) ** m * self.least ** (COORDINATES - m) * (1 - lost**runs)
+        return total
+
+    @property
+    def runs(self) -> int:
+        """The fewest runs that reach the recall; the chance that marks mislead about a link bounds what can be asked for."""
+        runs = 1
+        while self.found(runs) < self.recall:
+            runs += 1
+            if runs > 64:
+                raise ValueError("this recall cannot be reached")
+        return runs
+
+
+def extinct(s: float, fan: int) -> float:
+    """The probability that a line that goes on with probability s into each of fan children dies out, from below."""
+    q = 0.0
+    for _ in range(10_000):
+        q = (1 - s + s * q) ** fan
+    return q
+
 
 class WordHash(dict):
     """word -> 64-bit hash, remembered; emptied when full."""
@@ -104,16 +149,18 @@ def min_hashes(found: np.ndarray, multipliers: np.ndarray) -> bytes:
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, d (digest of the set; null without words), size, sig."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, multipliers = WordHash(), orders()
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                found = shingles(text, words, table)
-                out.append((xxhash.xxh3_128_digest(found.tobytes()), len(found), min_hashes(found, multipliers)) if len(found) else (None, 0, None))
-            yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["d", "size", "sig"])], axis=1)
+            d, size, sig = [], [], []
+            for text in batch.column("text"):
+                found = shingles(text.as_py(), words, table)
+                d.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                size.append(len(found))
+                sig.append(min_hashes(found, multipliers) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d, pa.binary()), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], ["doc_id", "d", "size", "sig"])
 
-    return docs.mapInPandas(rows, "doc_id long, d binary, size int, sig binary")
+    return docs.mapInArrow(rows, "doc_id long, d binary, size int, sig binary")
 
 
 def marks(column: pd.Series) -> np.ndarray:
@@ -134,12 +181,35 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
+def groups(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[pd.DataFrame]:
+    """The whole groups of rows with the same key, in pieces of several groups; rows come ordered by key."""
+    kept: pd.DataFrame | None = None
+    for batch in batches:
+        kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if not len(kept):
+            continue
+        whole = (kept[key] != kept[key].iloc[-1]).any(axis=1).to_numpy()  # the last group may go on
+        if whole.any():
+            yield kept[whole].reset_index(drop=True)
+            kept = kept[~whole].reset_index(drop=True)
+    if kept is not None and len(kept):
+        yield kept
+
+
+def tree(k: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pd.DataFrame:
+    """a, b: a spanning forest of the links between rows (one, two) of the classes k."""
+    if not one:
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    label = forest(len(k), np.concatenate(one), np.concatenate(two))
+    child = np.flatnonzero(label != np.arange(len(k)))
+    return pd.DataFrame({"a": k[child], "b": k[label[child]]}).drop_duplicates()
+
+
+def compare_leaves(leaves: DataFrame, apart: int) -> DataFrame:
     """Links a, b (a spanning forest of each bucket) of what is similar by its marks; buckets are whole in their task, rows ordered by path."""
-    need = math.ceil(least * COORDINATES)
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
-        path, k, sig = block["path"].to_numpy(), block["k"].to_numpy(), marks(block["sig"])
+        path, sig = block["path"].to_numpy(), marks(block["sig"])
         one, two = [], []
         i, lag = np.arange(len(path)), 1
         while len(i):
@@ -147,58 +217,82 @@ def compare_leaves(leaves: DataFrame, least: float) -> DataFrame:
             i = i[path[i] == path[i + lag]]
             for at in range(0, len(i), 1 << 16):
                 a = i[at : at + (1 << 16)]
-                a = a[(sig[a] == sig[a + lag]).sum(axis=1) >= need]
+                a = a[(sig[a] != sig[a + lag]).sum(axis=1) <= apart]
                 one.append(a)
                 two.append(a + lag)
             lag += 1
-        if not one:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        label = forest(len(path), np.concatenate(one), np.concatenate(two))
-        child = np.flatnonzero(label != np.arange(len(path)))
-        return pd.DataFrame({"a": k[child], "b": k[label[child]]}).drop_duplicates()
+        return tree(block["k"].to_numpy(), one, two)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(kept):
-                continue
-            whole = kept["path"].to_numpy() != kept["path"].iloc[-1]  # the last bucket may go on
-            if whole.any():
-                yield links(kept[whole].reset_index(drop=True))
-                kept = kept[~whole].reset_index(drop=True)
-        if kept is not None and len(kept):
-            yield links(kept)
+        for block in groups(batches, ["path"]):
+            yield links(block)
 
     return leaves.select("path", "k", "sig").repartition("path").sortWithinPartitions("path").mapInPandas(rows, "a long, b long")
 
 
+def parts(n: Column, size: int, large: int, many: int) -> Column:
+    """Blocks of n rows: of ``size`` rows up to ``many`` blocks, then as few as blocks of ``large`` rows allow, so copies grow slowly."""
+    return F.greatest(F.least(F.ceil(n / size), F.lit(many)), F.ceil(n / large)).cast("int")
+
+
+def compare_cores(balls: DataFrame, p: Join) -> DataFrame:
+    """Links a, b (a spanning forest of each cell) between the cores of balls (path, k, sig, core) and what is in them.
+
+    A ball is dealt into cells of some of its core and some of the ball, so
+    neither a core nor a ball has to fit into a task; a core of one part is copied to the parts of
+    its ball, which are not copied then.
+    """
+    blocks = lambda n: parts(n, p.cell, p.large_cell, 4)
+    per = balls.groupBy("path").agg(blocks(F.count(F.when(F.col("core"), 1))).alias("cores"), blocks(F.count(F.lit(1))).alias("parts"))
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    rows = balls.join(per, "path")
+    inner = rows.where("core").select("path", part("cores").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("core"), "k", "sig")
+    outer = rows.select("path", F.explode(F.sequence(F.lit(0), F.col("cores") - 1)).alias("i"), part("parts").alias("j"), F.lit(False).alias("core"), "k", "sig")
+
+    def links(cell: pd.DataFrame) -> pd.DataFrame:
+        core, sig = cell["core"].to_numpy(), marks(cell["sig"])
+        inside, other = np.flatnonzero(core), np.flatnonzero(~core)
+        near = sig[other]
+        one, two = [], []
+        k, number = np.unique(cell["k"].to_numpy(), return_inverse=True)
+        for i in inside:
+            hit = other[(near != sig[i]).sum(axis=1) <= p.apart]
+            one.append(np.full(len(hit), number[i]))
+            two.append(number[hit])
+        return tree(k, one, two)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for several in groups(batches, ["path", "i", "j"]):
+            for _, cell in several.groupby(["path", "i", "j"], sort=False):
+                yield links(cell)
+
+    return inner.unionByName(outer).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInPandas(each, "a long, b long")
+
+
 def children(nodes: DataFrame, fan: int) -> DataFrame:
-    """Each row once for every coordinate its node chooses, at the child's path."""
+    """Each row once for every order its node chooses, at the child's path."""
     rows = nodes.withColumn("way", F.explode(F.array(*[F.lit(i) for i in range(fan)])))
     rows = rows.withColumn("at", F.pmod(F.pmod(F.xxhash64("path"), F.lit(COORDINATES)) + F.col("way") * 21, F.lit(COORDINATES)).cast("int"))
     return rows.select(F.xxhash64("path", "at", F.expr("substring(sig, at * 2 + 1, 2)")).alias("path"), "k", "sig")
 
 
-def near_pivots(rows: DataFrame) -> DataFrame:
-    """rows with ``near``, the share of marks that equal the pivot's."""
+def from_pivots(rows: DataFrame) -> DataFrame:
+    """rows with ``off``, in how many marks they differ from the pivot's."""
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.drop(columns="pivot_sig").assign(near=(marks(batch["sig"]) == marks(batch["pivot_sig"])).mean(axis=1))
+                yield batch.drop(columns="pivot_sig").assign(off=(marks(batch["sig"]) != marks(batch["pivot_sig"])).sum(axis=1).astype("int32"))
 
-    return rows.mapInPandas(near, "path long, k long, sig binary, pivot long, near double")
+    return rows.mapInPandas(off, "path long, k long, sig binary, off int")
 
 
 def candidate_links(classes: DataFrame, p: Join) -> DataFrame:
     """Links a, b between classes (k, sig) that are similar by their marks."""
-    spark = classes.sparkSession
     runs = F.explode(F.array(*[F.xxhash64(F.lit(run)) for run in range(p.runs)]))
     nodes = children(classes.select(runs.alias("path"), "k", "sig"), p.fan)
     leaves: list[DataFrame] = []
-    found: list[DataFrame] = []
-    level = 0
+    balls: list[DataFrame] = []
     while True:
         # at most one path in ``leaf`` rows; the row with the least hash is its pivot
         large = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k", "path")).alias("by"))
@@ -206,16 +300,14 @@ def candidate_links(classes: DataFrame, p: Join) -> DataFrame:
         leaves.append(nodes.join(large, "path", "left_anti"))
         if large.isEmpty():
             break
-        level += 1
-        pivots = nodes.withColumn("by", F.xxhash64("k", "path")).join(large, ["path", "by"]).select("path", F.col("k").alias("pivot"), F.col("sig").alias("pivot_sig")).dropDuplicates(["path"])
-        compared = near_pivots(nodes.join(pivots, "path"))
-        compared = cut(compared, "chosen-path-pivots", slim=True)
-        found.append(compared.where((F.col("near") >= p.pivot) & (F.col("k") != F.col("pivot"))).select(F.col("k").alias("a"), F.col("pivot").alias("b")))
-        # the deeper, the more leaves with the pivot, so every node dissolves
-        absorb = max(p.pivot, p.absorb - 0.1 * (level - 1))
-        nodes = children(compared.where((F.col("near") < absorb) & (F.col("k") != F.col("pivot"))).select("path", "k", "sig"), p.fan if level <= 3 else 1)
-    links = compare_leaves(reduce(DataFrame.unionByName, leaves), p.sketch)
-    return cut(reduce(DataFrame.unionByName, found, links).distinct(), "chosen-path-links", slim=True)
+        pivots = nodes.withColumn("by", F.xxhash64("k", "path")).join(large, ["path", "by"]).select("path", F.col("sig").alias("pivot_sig")).dropDuplicates(["path"])
+        compared = cut(from_pivots(nodes.join(pivots, "path")), "chosen-path-pivots", slim=True)
+        balls.append(compared.where(F.col("off") <= p.core + p.apart).select("path", "k", "sig", (F.col("off") <= p.core).alias("core")))
+        nodes = children(compared.where(F.col("off") > p.core).select("path", "k", "sig"), p.fan)
+    links = compare_leaves(reduce(DataFrame.unionByName, leaves), p.apart)
+    if balls:
+        links = links.unionByName(compare_cores(reduce(DataFrame.unionByName, balls), p))
+    return cut(links.distinct(), "chosen-path-links", slim=True)
 
 
 def exact_links(sets: DataFrame, least: float) -> DataFrame:
@@ -257,18 +349,9 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
         return pd.DataFrame({"c": group["c"], "alone": group["alone"], "d": d, "links": linked @ group["weight"].to_numpy(), "root": d[root]})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(kept):
-                continue
-            key = kept[["c", "i", "j"]].to_numpy()
-            begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-            for a, b in zip(begins[:-1], begins[1:], strict=True):
-                yield cell(kept.iloc[a:b])
-            kept = kept.iloc[begins[-1] :].reset_index(drop=True)
-        if kept is not None and len(kept):
-            yield cell(kept)
+        for several in groups(batches, ["c", "i", "j"]):
+            for _, group in several.groupby(["c", "i", "j"], sort=False):
+                yield cell(group)
 
     return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, "c long, alone boolean, d binary, links long, root binary")
 
@@ -289,16 +372,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     flat = cut(sketches(rows, p.words), "jaccard-sketches")
     classes = flat.where("d IS NOT NULL").groupBy("d").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("k", F.xxhash64("d")), "jaccard-classes", slim=True)
-    groups = components(candidate_links(classes.select("k", "sig"), p))
-    groups = cut(groups.join(classes.select("d", "k", "weight", "first", "size"), groups["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups", slim=True)
+    linked = components(candidate_links(classes.select("k", "sig"), p))
+    linked = cut(linked.join(classes.select("d", "k", "weight", "first", "size"), linked["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups", slim=True)
 
     # whole sets, of one row of each class that has a candidate
     lowest = F.lit(-(2**63))
-    wanted = groups.select(F.coalesce("first", lowest).alias("__key")).distinct()
-    texts = rows.withColumn("__key", F.coalesce("doc_id", lowest)).join(wanted, "__key", "left_semi").select("text")
-    whole = with_sets(texts, p.words).join(groups.select("c", "d", "weight"), "d")
-    per = groups.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-    blocks = F.when((F.col("n") <= 2 * p.block) & (F.col("total") <= p.block_shingles), 1).otherwise(F.ceil(F.greatest(F.col("n") / p.block, F.col("total") / (p.block_shingles / 2))))
+    wanted = linked.select(F.coalesce("first", lowest).alias("key")).distinct()
+    texts = rows.withColumn("key", F.coalesce("doc_id", lowest)).join(wanted, "key", "left_semi").select("text")
+    whole = with_sets(texts, p.words).join(linked.select("c", "d", "weight"), "d")
+    per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    several = F.greatest(parts(F.col("n"), p.block, p.large_block, 128), F.ceil(F.col("total") / (p.block_shingles / 2)))
+    blocks = F.when((F.col("n") <= 2 * p.block) & (F.col("total") <= p.block_shingles), 1).otherwise(several)
     per = per.where("n > 1").select("c", blocks.cast("int").alias("blocks"))
     whole = whole.join(per, "c").withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -307,9 +391,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
 
     counted = met.groupBy("d").agg(F.sum("links").alias("links"))
     # within one cell the roots are final; forests of several cells have to be joined
-    several = met.where("NOT alone")
+    in_parts = met.where("NOT alone")
     label = met.where("alone").select(F.col("d").alias("node"), F.col("root").alias("label"))
-    label = label.unionByName(components(several.select(F.col("d").alias("a"), F.col("root").alias("b"))))
+    label = label.unionByName(components(in_parts.select(F.col("d").alias("a"), F.col("root").alias("b"))))
     of_class = classes.select("d", "weight", "first").join(counted, "d", "left").join(label.withColumnRenamed("node", "d"), "d", "left")
     of_class = of_class.select("d", "first", F.coalesce("label", "d").alias("label"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     least_id = of_class.groupBy("label").agg(F.min("first").alias("class_id"))
@@ -338,7 +422,6 @@ def one_of_each(docs: DataFrame, params: Join = Join()) -> DataFrame:  # noqa: B
     that is kept (exact dedup, which comes first, leaves one of them).
     """
     joined = join(docs, params=params)
-    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__key")).distinct()
-    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(keep, "__key", "left_semi").select(*docs.columns)
-
-
+    key, lowest = private(docs.columns, "key")["key"], F.lit(-(2**63))
+    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", lowest).alias(key)).distinct()
+    return docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), lowest)).join(keep, key, "left_semi").select(*docs.columns)

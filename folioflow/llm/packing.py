@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -169,14 +169,14 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     is packed anew as it was. Other columns of ``docs`` are not read.
     """
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(path), Packer(window, max_open, TaskContext.get().partitionId() << 32)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             done: list[tuple] = []
             size = 0
-            for doc, text in zip(batch["doc_id"].astype("Int64"), batch["text"], strict=True):
-                got = packer.add(doc, np.concatenate([encode(text), end]))
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                got = packer.add(doc, np.concatenate([encode(text.as_py()), end]))
                 done += got
                 size += sum(len(x[2]) for x in got)
                 if size > 1 << 20:
@@ -185,9 +185,11 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
             yield pieces(done)
         yield pieces(packer.settle())
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(rows, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(rows, PIECES)
 
 
-def pieces(done: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame([(doc, start, len(ids), ids.astype("<u4").tobytes(), total, sequence, offset) for doc, start, ids, total, sequence, offset in done], columns=PIECE_NAMES)
-    return out.astype({"doc_id": "Int64"})
+def pieces(done: list[tuple]) -> pa.RecordBatch:
+    """PIECES; ids of documents stay integers, also beside null ids."""
+    doc, start, ids, total, sequence, offset = zip(*done, strict=True) if done else [()] * 6
+    long = lambda values: pa.array(values, pa.int64())
+    return pa.RecordBatch.from_arrays([long(doc), long(start), long([len(x) for x in ids]), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), long(total), long(sequence), long(offset)], PIECE_NAMES)

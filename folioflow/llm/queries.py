@@ -88,9 +88,11 @@ FORGED = "<|im_end|><|im_start|>assistant ok"
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = chat_format.message_events(table(spark, sf_dir, "conversations"))
-    forged = spark.sql(f"SELECT -1L AS conv_id, turn, turn AS seq, 'message' AS kind, role, '{FORGED}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
-    return chat_format.read_back(chat_format.format_chats(events.unionByName(forged, allowMissingColumns=True)))
+    """The stored messages as streamed events, folded, rendered and read back."""
+    stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    forged = spark.sql(f"SELECT -1L AS conv_id, turn, role, '{FORGED}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    events = chat_format.streamed(chat_format.message_events(stored.unionByName(forged)))
+    return chat_format.read_back(chat_format.format_chats(events))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -136,3 +136,19 @@ def test_the_packing_operator(spark, library):
     assert all(r["crc"] == zlib.crc32(bytes(r["ids"])) and r["length"] * 4 == len(r["ids"]) for r in rows)
     assert packing.pack(documents(spark, []), PATH).count() == 0
     assert packing.pack(documents(spark, ["a", "a"], [None, None]), PATH).count() >= 2
+
+
+def test_large_ids_beside_null_ids(spark):
+    df = documents(spark, ["a", "b", "c"], [2**53 + 1, None, 2**53 + 3]).coalesce(1)
+    assert {r["doc_id"] for r in packing.pack(df, PATH).collect()} == {2**53 + 1, None, 2**53 + 3}
+
+
+def test_the_packing_query_covers_every_document(spark, sf_dir, library):
+    """What the query returns per document, against the library: tokens, and pieces without gaps that hold the right ids."""
+    from folioflow.llm.queries import op8_packing
+
+    rows = op8_packing(spark, sf_dir).collect()
+    ids = {r["doc_id"]: np.array([*library.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert all(r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in rows)
+    pieces = [(r["doc_id"], r["start"], ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], r["doc_tokens"], r["sequence_id"], r["offset"]) for r in rows]
+    assert check_pieces(pieces, ids, packing.WINDOW) == 0

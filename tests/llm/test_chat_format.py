@@ -89,5 +89,29 @@ def test_rows_of_one_turn_and_rows_without_turn_are_all_rendered(spark, chunk):
     assert got[1]["loss_sha256"] == hashlib.sha256(b"cy").hexdigest()
 
 
+def test_large_ids_beside_null_ids(spark):
+    rows = [(2**53 + 1, 0, "user", "a"), (None, 0, "assistant", "b"), (2**53 + 3, 0, "user", "c")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1)
+    got = {r["conv_id"]: r["n_turns"] for r in c.read_back(c.render(c.fold(c.message_events(table)), partitions=1)).collect()}
+    assert got == {2**53 + 1: 1, None: 1, 2**53 + 3: 1}
+
+
+def test_the_streamed_log_folds_to_the_stored_messages(spark):
+    rng = random.Random(20)
+    rows = [(conv, rng.choice([0, 1, 2, None]), rng.choice(["user", "assistant", "system", None]), rng.choice(NASTY)) for conv in (1, 2, None) for _ in range(20)]
+    stored = c.message_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = c.streamed(stored)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(c.fold(log)) == plain(c.fold(stored))
+
+
+def test_the_query_reads_every_row(spark, sf_dir):
+    from folioflow.llm.queries import op10_chat_format
+
+    got = op10_chat_format(spark, sf_dir).agg({"n_turns": "sum"}).first()[0]
+    assert got == spark.read.parquet(f"{sf_dir}/conversations.parquet").count() + 2
+
+
 def test_empty_logs(spark):
     assert c.read_back(c.format_chats(events(spark, []).limit(0))).count() == 0

@@ -26,9 +26,12 @@ def check(spark, texts, ids=None, share=e.HEAVY_SHARE):
     df = documents(spark, texts, ids)
     got = e.exact_groups(df, heavy_share=share).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(list(zip(range(len(texts)) if ids is None else ids, texts, strict=True)))
-    kept = e.drop_exact_copies(df, heavy_share=share)
-    assert kept.columns == df.columns
-    assert kept.count() == len({r["text_sha256"] for r in got})
+    want = sorted(str((r["doc_id"], r["text_sha256"])) for r in e.exact_groups(df, heavy_share=share).where("kept").collect())
+    for most in (e.MOST_IDS, 0):  # by a broadcast, and by a shuffle
+        kept = e.drop_exact_copies(df, heavy_share=share, most_ids=most)
+        assert kept.columns == df.columns
+        digest = lambda text: hashlib.sha256("".join(c for c in text or "" if c not in e.WHITE_SPACE).encode()).hexdigest()
+        assert sorted(str((r["doc_id"], digest(r["text"]))) for r in kept.collect()) == want
 
 
 def test_groups_equal_brute_force(spark):
@@ -44,6 +47,20 @@ def test_ties_nulls_and_repeated_rows(spark):
     check(spark, ["ab", "a b", "b a", "ab ", "ab ", "ab "], [5, 4, None, 9, 9, None])
     check(spark, [])
     check(spark, [None, None], [None, None])
+    check(spark, ["x", "x", "y", "x ", "", None, "z", "z"], [1, 1, 1, 2, None, 3, 4, 4])
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["__id", "__sha", "__n", "__fate", "__KEY", "__digest", "__place", "digest", "kept", "rows", "stay", "place"]
+    df = spark.createDataFrame([(1, "a b", *names), (1, "a b", *names), (2, "ab", *names), (None, "c", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = e.drop_exact_copies(df).collect()
+    assert len(out) == 2 and all([r[n] for n in names] == names for r in out)
+
+
+def test_texts_are_not_moved_where_ids_decide(spark):
+    """With an id for each row the plan is one scan and one broadcast."""
+    plan = e.drop_exact_copies(documents(spark, ["a", "a ", "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "Window" not in plan
 
 
 def test_misra_gries_keeps_what_is_frequent():

@@ -77,6 +77,11 @@ def test_the_operator(spark):
     assert h.extract(df.limit(0)).count() == 0
 
 
+def test_large_ids_beside_null_ids(spark):
+    df = spark.createDataFrame([(2**53 + 1, "u", PAGE), (None, "v", PAGE)], "page_id long, url string, html string").coalesce(1)
+    assert {r["page_id"] for r in h.extract(df).collect()} == {2**53 + 1, None}
+
+
 def test_stored_pages_give_their_articles(spark, sf_dir):
     def article(page: str) -> str:
         inner = re.search(r"<article>(.*)</article>", page, re.S)[1]

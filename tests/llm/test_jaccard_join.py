@@ -77,6 +77,73 @@ def test_large_nodes_and_blocks(spark):
     texts = near_copies(rng, 60, 0.004) + near_copies(rng, 40, 0.012) + [prose(rng, 50) for _ in range(20)]
     check(spark, texts, params=replace(j.Join(), leaf=4, block=8))
     check(spark, texts, params=replace(j.Join(), leaf=4, block=200, block_shingles=3000))
+    check(spark, texts, params=replace(j.Join(), leaf=4, block=4, large_block=16, cell=3, large_cell=7))
+
+
+def test_deep_trees_lose_no_link(spark, monkeypatch):
+    """Documents too little alike for a core and too much for one split: nodes go on to be split, level by level."""
+    rng = random.Random(15)
+    texts = []
+    for text in near_copies(rng, 160, 0.05):
+        words = text.split()
+        words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+        texts += [text, " ".join(words)]
+    levels = []
+    monkeypatch.setattr(j, "from_pivots", lambda rows, f=j.from_pivots: levels.append(1) or f(rows))
+    df = check(spark, texts, params=replace(j.Join(), leaf=3))
+    assert len(levels) >= 4
+    assert j.join(df, params=replace(j.Join(), leaf=3)).where("n_links > 0").count() >= 300
+
+
+def test_the_bound_on_runs():
+    p = j.Join()
+    assert p.found(p.runs) >= p.recall > p.found(p.runs - 1)
+    # the chance that a line dies out, against a simulation of 30 levels
+    rng = random.Random(16)
+    for s in (0.6, 0.8):
+        alive = 0
+        for _ in range(3000):
+            lines = 1
+            for _ in range(30):
+                lines = min(60, sum(rng.random() < s for _ in range(2 * lines)))
+            alive += lines > 0
+        assert abs(1 - alive / 3000 - j.extinct(s, 2)) < 0.03
+    with pytest.raises(ValueError):
+        replace(p, recall=1.0).runs  # noqa: B018
+
+
+def test_recall_on_stored_documents(spark):
+    """Production parameters: the links of every hundredth document against all others, by brute force."""
+    import os
+
+    sf = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(sf):
+        pytest.skip("no tables of this size")
+    docs = spark.read.parquet(sf)
+    sets, holders = {}, defaultdict(list)
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").split()
+        k = min(5, len(w))
+        sets[r["doc_id"]] = {hash(tuple(w[i : i + k])) for i in range(len(w) - k + 1)} if w else set()
+    for i, found in sets.items():
+        for x in found:
+            holders[x].append(i)
+    want = {}
+    for i in sets:
+        if i % 100 == 0:
+            common = Counter(other for x in sets[i] for other in holders[x] if other != i)
+            want[i] = sum(n >= 0.8 * (len(sets[i]) + len(sets[other]) - n) - 1e-9 for other, n in common.items())
+    got = {r["doc_id"]: r["n_links"] for r in j.join(docs).where("doc_id % 100 = 0").collect()}
+    found, links = sum(min(got[i], n) for i, n in want.items()), sum(want.values())
+    assert links >= 20 and found >= 0.999 * links and all(got[i] <= n for i, n in want.items())
+
+
+def test_large_ids_and_columns_of_any_name(spark):
+    rows = [(2**53 + 1, "a b c d e f", "k1"), (None, "z", "k2"), (2**53 + 3, "a b c d e f", "k3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string").coalesce(1)
+    got = sorted((str(r["doc_id"]), r["class_id"], r["n_links"]) for r in j.join(df).collect())
+    assert got == [(str(2**53 + 1), 2**53 + 1, 1), (str(2**53 + 3), 2**53 + 1, 1), ("None", None, 0)]
+    assert sorted(r["__key"] for r in j.one_of_each(df).collect()) == ["k1", "k2"]
 
 
 def test_ties_nulls_and_repeated_rows(spark):
@@ -97,9 +164,10 @@ def test_recall_at_the_threshold(spark):
     check(spark, texts)
 
 
-@pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)]])
+@pytest.mark.parametrize("edges", [[], [(1, 2), (2, 3), (9, 8), (5, 5), (None, 4)], [(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)], [(i % 7 + 200, i) for i in range(150)]])
 def test_components(spark, edges):
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), hub=0.05).collect()}
     parent: dict[int, int] = {}
 
     def root(i: int) -> int:
