@@ -6,9 +6,10 @@ hash lies below the threshold, whatever the length of the text. Sketches therefo
 with their texts, the sketch of a union is the union of sketches, and the share of one
 sketch found in another estimates containment even between very unequal texts.
 
-Short texts have few hashes: of n distinct shingles none is retained with a probability of
-(1 - SHARE) ** n. Fingerprints can be relied on from 17 shingles on; a shorter text's may
-be empty, and its likeness to all but an equal text is then 0. README has the error by length.
+Short texts have few hashes: of n distinct shingles none lies below the threshold with a
+probability of (1 - SHARE) ** n. Then the least hash of all is retained, so that only texts without
+words have an empty sketch. The least hash of a union is the least of both, so such
+sketches merge as well. Everything is computed from two sketches alone.
 """
 
 from __future__ import annotations
@@ -23,9 +24,19 @@ LOWEST = -(2**63)
 BUCKET_ROWS, MOST_BUCKETS = 5000, 1 << 16
 
 
+def below(share: float) -> int:
+    """The hash from which on hashes are not retained."""
+    return LOWEST + int(2**64 * share)
+
+
+def retained(hashes: Column, share: float) -> Column:
+    """Of ascending hashes those below the threshold; where there are none, the least."""
+    kept = lambda h: F.when(F.get(h, 0) < below(share), F.filter(h, lambda x: x < below(share))).otherwise(F.slice(h, 1, 1))
+    return F.element_at(F.transform(F.array(hashes), kept), 1)  # the array of one binds the hashes once
+
+
 def sketch(text: Column, words: int = WORDS, share: float = SHARE) -> Column:
     """The retained hashes of a text, ascending and distinct: array<bigint>. A text without words has none."""
-    threshold = LOWEST + int(2**64 * share)
     hashes = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
     def shingles(h: Column) -> Column:
@@ -33,23 +44,29 @@ def sketch(text: Column, words: int = WORDS, share: float = SHARE) -> Column:
         whole = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(words)]))
         return F.when(F.size(h) >= words, whole).when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    kept = F.transform(F.array(hashes), lambda h: F.filter(shingles(h), lambda x: x < threshold))  # the array of one binds h once
-    return F.array_sort(F.array_distinct(F.element_at(kept, 1)))
+    def few(s: Column) -> Column:
+        """What can be retained, before it is sorted: hashes below the threshold, or the least."""
+        low = F.filter(s, lambda x: x < below(share))
+        return F.element_at(F.transform(F.array(low), lambda low: F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))), 1)
+
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    return F.array_sort(F.array_distinct(bound(bound(hashes, shingles), few)))
 
 
 def shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The estimated share of a's shingles that b has; null where a's sketch is empty."""
-    return F.when(F.size(a) > 0, shared(a, b) / F.size(a))
+def containment(a: Column, b: Column, share: float = SHARE) -> Column:
+    """The estimated share of a's shingles that b has; null where nothing of a lies below the threshold."""
+    return F.when(F.get(a, 0) < below(share), shared(a, b) / F.size(a))
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    """The estimated Jaccard similarity; texts whose sketches are both empty are alike (1) if equal, else 0."""
-    joint = shared(a, b).cast("double")
-    return F.when(same, 1.0).otherwise(F.coalesce(joint / F.nullif(F.size(a) + F.size(b) - joint, F.lit(0.0)), F.lit(0.0)))
+def likeness(a: Column, b: Column, share: float = SHARE) -> Column:
+    """The estimated Jaccard similarity: the share of the merged sketch that both have. Two empty sketches are alike (1)."""
+    common = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
+    joint = F.element_at(F.transform(F.array(merged(a, b, share)), common), 1)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(joint)
 
 
 def written(a: Column) -> Column:
@@ -57,9 +74,9 @@ def written(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def merged(a: Column, b: Column) -> Column:
+def merged(a: Column, b: Column, share: float = SHARE) -> Column:
     """The sketch of both texts together."""
-    return F.array_sort(F.array_union(a, b))
+    return retained(F.array_sort(F.array_union(a, b)), share)
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
@@ -76,7 +93,8 @@ def with_next(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """rows (doc_id, text, ...) with next_<column> of the row that follows by doc_id, then text; after the last row comes the first.
 
     Rows are dealt into buckets between quantiles of doc_id (null ids first), so no sort
-    meets all rows. A bucket also gets a copy of the next bucket's first row.
+    meets all rows. A bucket also gets a copy of the next bucket's first row. Beyond
+    BUCKET_ROWS * MOST_BUCKETS rows buckets grow; their sorts and windows then spill.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST))
     keys = rows.select(key.alias("k"))
@@ -107,7 +125,7 @@ def edited(text: Column, following: Column) -> Column:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, share: float = SHARE) -> DataFrame:
     """One row per input row: doc_id, text, sketch, next_text, next_sketch, edited, edited_sketch.
 
-    Null texts count as empty, with an empty sketch. Null ids come before all others;
+    Null texts count as empty; texts without words have an empty sketch. Null ids come before all others;
     rows with the same id are ordered by text; a lone row follows itself; an empty table
     gives no rows. Other columns of ``docs`` are not read.
     """

@@ -4,7 +4,8 @@ A store is a folder of immutable Parquet shards and numbered manifests. An arriv
 appended as small shards, one for each partition in which it comes. Tier t holds shards of
 up to ``fanout**t`` times the smallest size; when a tier has ``fanout`` shards or more, they are
 merged into shards of the next tier, and the last tier's are of the target size. A merge
-reads whole shards and packs them, without a shuffle, into as few tasks as files come out.
+is a scan whose tasks take shards of as many bytes as a file of the next tier holds, so each
+writes one file, and nothing is shuffled.
 
 A manifest lists the shards of one version. It is committed by renaming a finished file
 to the version's name, which fails if that name exists: a writer that loses the race takes
@@ -23,11 +24,11 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import private, shared_dir
 
-ARRIVALS = 4
+ARRIVALS = 5
 SMALLEST = 2 << 20
-FANOUT = 8
+FANOUT = 4
 TARGET = 128 << 20
 
 
@@ -139,24 +140,24 @@ class ShardStore:
 
     def append(self, arrival: DataFrame) -> Manifest:
         """Add an arrival as small shards."""
-        added = self._write(arrival)
-        rows = self._rows([s.name for s in added], arrival.schema.json())
-        return self._change([s for s in added if rows.get(s.name, 0)], set(), arrival.schema.json())
+        added, schema = self._write(arrival), arrival.schema.json()
+        # a job writes no file for an empty partition, except for the first one
+        none = [s for s in added if "/part-00000-" in s.name and self._load([s.name], schema).isEmpty()]
+        return self._change([s for s in added if s not in none], set(), schema)
 
-    def _rows(self, names: list[str], schema: str) -> dict[str, int]:
-        """Rows of each of a job's files: one number per file, from the footers."""
-        if not names:
-            return {}
-        counts = self._load(names, schema).groupBy(F.input_file_name().alias("f")).count().collect()
-        return {next(n for n in names if r["f"].endswith(n)): r["count"] for r in counts}
-
-    def _load(self, names: list[str], schema: str) -> DataFrame:
+    def _load(self, names: list[str], schema: str, split: int | None = None) -> DataFrame:
+        """The rows of some shards; split: the bytes of files that a task reads."""
         from pyspark.sql.types import StructType
 
         fields = StructType.fromJson(json.loads(schema))
         if not names:
             return self.spark.createDataFrame([], fields)
-        return self.spark.read.schema(fields).parquet(*[f"{self.root}/{n}" for n in names])
+        session = self.spark
+        if split:
+            session = self.spark.newSession()  # settings of its own
+            for key, value in (("maxPartitionBytes", split), ("openCostInBytes", 0), ("minPartitionNum", 1)):
+                session.conf.set(f"spark.sql.files.{key}", value)
+        return session.read.schema(fields).parquet(*[f"{self.root}/{n}" for n in names])
 
     def compact(self) -> int:
         """Merge every tier that is full, from the lowest up; the number of merges."""
@@ -166,10 +167,8 @@ class ShardStore:
             full = [s for s in now.shards if s.tier == tier] if now else []
             if len(full) < self.fanout:
                 continue
-            size = sum(s.size for s in full)
             wanted = min(self.target, self.smallest * self.fanout ** (tier + 1))
-            parts = max(1, round(size / wanted))
-            merged = self._write(self._load([s.name for s in full], now.schema).coalesce(parts))
+            merged = self._write(self._load([s.name for s in full], now.schema, split=wanted))
             # a merged shard has risen, whatever compression made of its size
             merged = [Shard(s.name, max(s.tier, tier + 1), s.size) for s in merged]
             self._change(merged, {s.name for s in full}, now.schema)
@@ -194,15 +193,31 @@ class ShardStore:
         return removed
 
     def read(self, with_shard: bool = False) -> DataFrame:
-        """The rows of the newest version; with_shard adds shard (its place in the manifest), tier and version."""
+        """The rows of the newest version; with_shard adds shard (its place in the manifest), tier and version, with a "_" after names that are taken."""
         now = self.manifest()
         if now is None:
             raise FileNotFoundError(f"no manifest in {self.root}")
         rows = self._load([s.name for s in now.shards], now.schema)
         if not with_shard:
             return rows
+        names = {}
+        for c in ("shard", "tier", "version"):
+            names[c] = c
+            while names[c].lower() in {x.lower() for x in rows.columns}:
+                names[c] += "_"
         if not now.shards:
-            return rows.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("shard", "int"), ("tier", "int"), ("version", "int"))])
+            return rows.select("*", *[F.lit(None).cast("int").alias(c) for c in names.values()])
         # one row per shard of the manifest, which the driver holds anyway
-        listed = self.spark.createDataFrame([(s.name.rsplit("/", 1)[-1], i, s.tier, now.version) for i, s in enumerate(now.shards)], "__file string, shard int, tier int, version int")
-        return rows.withColumn("__file", F.element_at(F.split(F.input_file_name(), "/"), -1)).join(F.broadcast(listed), "__file").drop("__file")
+        file = private([*rows.columns, *names.values()], "file")["file"]
+        listed = self.spark.createDataFrame([(s.name.rsplit("/", 1)[-1], i, s.tier, now.version) for i, s in enumerate(now.shards)], f"{file} string, {names['shard']} int, {names['tier']} int, {names['version']} int")
+        return rows.withColumn(file, F.element_at(F.split(F.input_file_name(), "/"), -1)).join(F.broadcast(listed), file).drop(file)
+
+
+def in_arrivals(docs: DataFrame, arrivals: int = ARRIVALS, **sizes: int) -> tuple[ShardStore, int]:
+    """A store to which docs came in several arrivals, compacted after each and rid of what was merged; and the number of merges."""
+    store, merges = ShardStore.create(docs.sparkSession, **sizes), 0
+    for arrival in range(arrivals):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == arrival))
+        merges += store.compact()
+        store.vacuum()
+    return store, merges

@@ -2,10 +2,14 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 
+import duckdb
+import xxhash
 from pyspark.sql import functions as F
 
 from folioflow.llm import fingerprints as f
+from folioflow.llm.queries import op3_fingerprints
 
 from llm_data import documents, odd_texts, prose
 
@@ -39,15 +43,91 @@ def test_the_sketch_keeps_its_share_and_estimates(spark):
     words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
     whole, part, other = " ".join(words), " ".join(words[1000:3000]), " ".join(f"v{i}" for i in range(3000))
     df = spark.createDataFrame([(whole, part, other)], "a string, b string, c string").select(*[f.sketch(F.col(c)).alias(c) for c in "abc"])
-    r = df.select(F.size("a").alias("n"), f.containment(F.col("b"), F.col("a")).alias("inside"), f.containment(F.col("a"), F.col("b")).alias("holds"), f.containment(F.col("c"), F.col("a")).alias("none"), f.likeness(F.col("a"), F.col("a"), F.lit(False)).alias("same"), (f.merged(F.col("a"), F.col("b")) == F.col("a")).alias("merges")).first()
+    r = df.select(F.size("a").alias("n"), f.containment(F.col("b"), F.col("a")).alias("inside"), f.containment(F.col("a"), F.col("b")).alias("holds"), f.containment(F.col("c"), F.col("a")).alias("none"), f.likeness(F.col("a"), F.col("a")).alias("same"), (f.merged(F.col("a"), F.col("b")) == F.col("a")).alias("merges")).first()
     assert abs(r["n"] / 5996 - f.SHARE) < 0.03
     assert r["inside"] == 1 and abs(r["holds"] - 1 / 3) < 0.08 and r["none"] == 0 and r["same"] == 1 and r["merges"]
 
 
+def signed(x: int) -> int:
+    return x - (x >> 63 << 64)
+
+
+def brute_sketch(text: str) -> list[int]:
+    """The sketch by another library's hash of bytes: a word by its bytes, a shingle by its words' hashes one after another."""
+    h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
+    found = set()
+    for i in range(len(h) - f.WORDS + 1):
+        seed = 42
+        for x in h[i : i + f.WORDS]:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
+        found.add(signed(seed))
+    if 0 < len(h) < f.WORDS:
+        found = {signed(xxhash.xxh64_intdigest(" ".join(map(str, h)).encode(), 42))}
+    return sorted(x for x in found if x < f.below(f.SHARE)) or sorted(found)[:1]
+
+
+def brute_likeness(a: list[int], b: list[int]) -> float:
+    union = sorted({*a, *b})
+    union = [x for x in union if x < f.below(f.SHARE)] or union[:1]
+    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+
+
+def test_sketches_and_likeness_equal_brute_force(spark):
+    rng = random.Random(12)
+    texts = [t or "" for t in odd_texts()] + [prose(rng, rng.randint(0, 14)) for _ in range(150)]
+    pairs = [(rng.choice(texts), rng.choice(texts)) for _ in range(200)] + [(t, " ".join(t.split()[:-1])) for t in texts]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").select("i", f.sketch(F.col("a")).alias("a"), f.sketch(F.col("b")).alias("b"))
+    got = df.select("a", "b", f.likeness(F.col("a"), F.col("b"))).orderBy("i").collect()
+    for (a, b), row in zip(pairs, got, strict=True):
+        x, y = brute_sketch(a), brute_sketch(b)
+        assert (row[0], row[1]) == (x, y)
+        assert abs(row[2] - brute_likeness(x, y)) < 1e-12
+        assert bool(x) == bool(a.split())
+
+
 def test_likeness_of_short_texts(spark):
-    df = spark.createDataFrame([("a b", "a b"), ("a b", "c d"), ("", "")], "a string, b string")
-    got = [r[0] for r in df.select(f.likeness(f.sketch(F.col("a")), f.sketch(F.col("b")), F.col("a") == F.col("b"))).collect()]
-    assert got == [1.0, 0.0, 1.0]
+    df = spark.createDataFrame([("a b", "a b"), ("a b", "c d"), ("", ""), ("", "a")], "a string, b string")
+    got = [r[0] for r in df.select(f.likeness(f.sketch(F.col("a")), f.sketch(F.col("b")))).collect()]
+    assert got == [1.0, 0.0, 1.0, 0.0]
+
+
+def test_merging_sketches_gives_the_sketch_of_both(spark):
+    rng = random.Random(13)
+    pairs = [(prose(rng, rng.randint(5, 7)), prose(rng, rng.randint(5, 9))) for _ in range(100)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = df.select("a", "b", f.merged(f.sketch(F.col("a")), f.sketch(F.col("b")))).collect()
+    for a, b, both in got:
+        union = sorted({*brute_all(a), *brute_all(b)})
+        assert both == ([x for x in union if x < f.below(f.SHARE)] or union[:1])
+
+
+def brute_all(text: str) -> list[int]:
+    """Every shingle's hash."""
+    words, out = text.split(), []
+    for i in range(len(words) - 4):
+        seed = 42
+        for w in words[i : i + 5]:
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", signed(xxhash.xxh64_intdigest(w.encode(), 42))), seed)
+        out.append(signed(seed))
+    return out
+
+
+def test_the_query_equals_sql_and_its_fingerprints(spark, sf_dir):
+    """Lengths and edited texts against SQL; likeness against the fingerprints as they are written."""
+    got = {r["doc_id"]: r for r in op3_fingerprints(spark, sf_dir).collect()}
+    sql = f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM read_parquet('{sf_dir}/documents.parquet')),
+        n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following, length(text) // 2 AS half FROM d)
+        SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - half) || substring(following, 1, half)) AS edited_sha256 FROM n ORDER BY doc_id"""
+    rows = duckdb.sql(sql).fetchall()
+    hashes = lambda written: [signed(int(written[i : i + 16], 16)) for i in range(0, len(written), 16)]
+    for i, (doc, n, edited) in enumerate(rows):
+        r, following = got[doc], got[rows[(i + 1) % len(rows)][0]]
+        assert (r["n_chars"], r["edited_sha256"]) == (n, edited)
+        assert abs(r["near_edited"] - brute_likeness(hashes(r["fingerprint"]), hashes(r["edited_fingerprint"]))) < 1e-12
+        assert abs(r["near_next"] - brute_likeness(hashes(r["fingerprint"]), hashes(following["fingerprint"]))) < 1e-12
+        assert r["fingerprint"] or not n
+    assert len(got) == len(rows)
 
 
 def test_short_texts_have_fingerprints_near_their_exact_similarity(spark):
@@ -59,7 +139,7 @@ def test_short_texts_have_fingerprints_near_their_exact_similarity(spark):
     sets = [[{tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in pair] for pair in pairs]
     exact = [len(a & b) / len(a | b) for a, b in sets]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").withColumn("s", f.sketch(F.col("a")))
-    got = df.select(F.size("s"), f.likeness(F.col("s"), f.sketch(F.col("b")), F.lit(False))).orderBy("i").collect()
+    got = df.select(F.size("s"), f.likeness(F.col("s"), f.sketch(F.col("b")))).orderBy("i").collect()
     assert all(r[0] > 0 for r in got)
     assert sum(abs(r[1] - x) for r, x in zip(got, exact, strict=True)) / len(exact) < 0.1
 

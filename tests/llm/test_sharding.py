@@ -69,9 +69,34 @@ def test_tiers():
     assert Shard("a", 0, 1) != Shard("a", 1, 1)
 
 
-def test_the_query_reads_all_documents(spark, sf_dir):
+def test_merged_shards_are_of_the_wanted_size(spark, tmp_path):
+    """Shards are packed into files by their bytes, not by their number."""
+    import random
+
+    rng = random.Random(16)
+    store = ShardStore.create(spark, str(tmp_path / "s"), smallest=20_000, fanout=4, target=1_000_000)
+    for i, n in enumerate((5, 5, 100, 5, 5, 5, 100, 5)):
+        store.append(documents(spark, [prose(rng, 100) for _ in range(n)], [i * 1000 + k for k in range(n)]).coalesce(1))
+    small = [s.size for s in store.manifest().shards if s.tier == 0]
+    assert store.compact() >= 1
+    risen = [s.size for s in store.manifest().shards if s.tier >= 1]
+    assert len(small) >= 4 and all(size <= 1.3 * 80_000 for size in risen) and store.read().count() == 230
+
+
+def test_columns_of_any_name_stay(spark, tmp_path):
+    store = ShardStore.create(spark, str(tmp_path / "s"), **SIZES)
+    store.append(spark.createDataFrame([(1, "mine", 7, "f")], "doc_id long, shard string, Tier int, __file string"))
+    assert store.read(with_shard=True).columns == ["doc_id", "shard", "Tier", "__file", "shard_", "tier_", "version"]
+    assert tuple(store.read(with_shard=True).first())[:4] == (1, "mine", 7, "f")
+
+
+def test_the_query_compacts_and_reads_all_documents(spark, sf_dir):
     from folioflow.llm.queries import op5_sharding
+    from folioflow.llm.sharding import in_arrivals
 
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r["doc_id"]: r["text_sha256"] for r in op5_sharding(spark, sf_dir).collect()}
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"))
+    docs = source.select("doc_id", F.sha2("text", 256).alias("h"))
     assert got == {r["doc_id"]: r["h"] for r in docs.collect()}
+    store, merges = in_arrivals(source)
+    assert merges > 0 and max(s.tier for s in store.manifest().shards) >= 1
