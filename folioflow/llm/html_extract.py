@@ -1,9 +1,9 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read into blocks: runs of text between block-level tags, each with the chain of
-elements it stands in. A linear classifier turns the features of a block (its words, its
-share of linked text, names of its elements, classes and ids) into a cost of calling it
-content and a cost of calling it boilerplate. These are capacities from the source and to
+elements it stands in. A fitted classifier (html_classifier) turns the features of a block (its
+words, its share of linked text, names of its elements, classes and ids, its place in the
+page) into the log-odds that it is content. These are capacities from the source or to
 the sink; neighbouring blocks, and blocks under the same container, are joined by edges
 that make it costly to label them differently. The minimum cut labels all blocks at once.
 
@@ -12,6 +12,7 @@ Pages are independent of each other, so this is one pass without a shuffle.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -19,10 +20,13 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .html_classifier import fitted
+
 #: Element names of HTML.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,27 +35,31 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("script style title textarea iframe noembed noframes template head noscript svg math object canvas audio video select button datalist xmp option".split())
 #: Elements that a start tag of the given name ends, if they are open in the same container.
 ENDS_P = BLOCKS - frozenset("li dd dt td th tr tbody thead tfoot option optgroup legend caption summary body html".split())
-SAME = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
+ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table div article section main aside nav header footer form body blockquote figure details menu".split())
-#: Names of elements, classes, ids and roles and what they say (in nats) for content.
-ELEMENT_COST = {"nav": -10.0, "menu": -10.0, "footer": -10.0, "aside": -10.0, "form": -10.0, "fieldset": -10.0, "dialog": -10.0, "search": -10.0, "header": -3.0, "article": 3.0, "main": 2.5, "address": -1.0}
-BAD, GOOD = -10.0, 1.5
-#: Elements that hold the whole page or article: a class there says nothing against it.
-WHOLE = frozenset("html body main article".split())
-HEADS = {"h1": 2.0, "h2": 1.0, "h3": 0.6, "h4": 0.4, "h5": 0.2, "h6": 0.2}
-BAD_NAME = re.compile(
-    r"(?<![a-z])(ads?|adverts?|advertisement|advertising|adsense|adbox|adslot|sponsor(ed)?|promo(tion|ted|s)?|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|paywall|signup|login|"
-    r"sidebar|side|widgets?|menu|nav(bar|igation)?|breadcrumbs?|crumbs|toolbar|topbar|header|masthead|footer|foot|copyright|legal|disclaimer|colophon|"
-    r"comments?|commentlist|respond|replies|reply|disqus|discussion|related|recommend(ed|ations)?|more|readmore|popular|trending|teasers?|outbrain|taboola|share|sharing|social|follow|tags?|pagination|pager|skip|search|form|byline|meta|hidden|print)(?![a-z])"
+#: Elements that hold the whole page: a class there says nothing against its content.
+WHOLE = frozenset("html body main".split())
+HEADS = frozenset("h2 h3 h4 h5 h6".split())
+#: Words of names (of classes, ids) that boilerplate has, those that content has as well, and words of layout.
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe paywall signup login "
+    "sidebar widget widgets nav navbar navigation menu menus breadcrumb breadcrumbs toolbar topbar masthead footer colophon comment comments commentlist respond replies disqus related recommended recommendations trending teaser teasers outbrain taboola pagination pager".split()
 )
-GOOD_NAME = re.compile(r"(?<![a-z])(article|story|entry|post|content|main|body|text|prose|maincontent)(?![a-z])")
-WITH = re.compile(r"(?<![a-z])(has|with|no|without|is|show|hide)[-_][a-z]+")
-ROLES = {"navigation": -10.0, "banner": -10.0, "contentinfo": -10.0, "complementary": -10.0, "search": -10.0, "form": -10.0, "dialog": -10.0, "alert": -10.0, "main": 2.5, "article": 3.0}
+WEAK = frozenset("side header head foot legal copyright disclaimer discussion reply more readmore popular promoted share sharing social follow tag tags skip search form byline meta hidden print subscription crumbs aside".split())
+LAYOUT = frozenset("box slot wrapper wrap container block area list item items bar unit section top bottom left right inner outer main primary secondary content col row panel group holder zone region site page global mobile desktop sticky fixed link links title heading text body post posts article thread read".split())
+GOOD = frozenset("article story entry post content main body text prose maincontent copy".split())
+FORMS = frozenset("form fieldset search dialog label legend".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+#: What is known of an element or one of its ancestors.
+FLAGS = ("article", "main", "nav", "footer", "header", "aside", "form", "bad", "bad in part", "doubtful", "doubtful in part", "good", "bad role", "good role", "nested")
+BIT = {name: 1 << i for i, name in enumerate(FLAGS)}
 #: A quote delimits only where an attribute's value begins; elsewhere it is a letter like others, also if its partner is missing.
 QUOTED = r"(?>[\s/]+|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)?)*+"
 TOKEN, PLAIN = (re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|</?([a-zA-Z][^\s/>]*)({body})>|<(?=/?[a-zA-Z])", re.S) for body in (QUOTED, "[^>]*"))
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPACE = re.compile(r"\s+")
+WITH = re.compile(r"(?<![a-z])(has|with|no|without|is|show|hide)[-_][a-z]+")
+UNUSED = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -59,8 +67,7 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 class Element:
     name: str
     parent: Element | None
-    good: float = 0.0  # the most that a name, class, id or role of it or an ancestor says for content
-    bad: float = 0.0  # and the most that one says against it
+    flags: int = 0  # of it and its ancestors
     unseen: bool = False
 
 
@@ -72,23 +79,42 @@ class Block:
     parts: list[str] = field(default_factory=list)
 
 
-def said(name: str, attributes: str) -> tuple[list[float], bool]:
+def of_name(value: str) -> int:
+    """What one class or id says. A word that boilerplate has says less beside words that it does not have."""
+    words = [w for w in UNUSED.split(value) if w]
+    kinds = [w in STRONG for w in words], [w in WEAK for w in words]
+    known = all(a or b or w in LAYOUT or len(w) < 2 for w, a, b in zip(words, *kinds, strict=True))
+    if any(kinds[0]):
+        return BIT["bad"] if known else BIT["bad in part"]
+    if any(kinds[1]):
+        return BIT["doubtful"] if known else BIT["doubtful in part"]
+    return BIT["good"] if any(w in GOOD for w in words) else 0
+
+
+@functools.lru_cache(maxsize=20_000)
+def said(name: str, attributes: str) -> tuple[int, bool]:
     """What an element's name and attributes say for or against content, and whether it is not displayed."""
-    scores, hidden = [0.0, ELEMENT_COST.get(name, 0.0)], False
+    flags, hidden = 0, False
+    if name in ("article", "main", "footer", "header", "aside"):
+        flags = BIT[name]
+    elif name in ("nav", "menu"):
+        flags = BIT["nav"]
+    elif name in FORMS:
+        flags = BIT["form"]
     if attributes.strip(" /"):
         for m in ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                value = WITH.sub("", CAMEL.sub("-", value).lower())
-                if BAD_NAME.search(value):
-                    scores.append(0.0 if name in WHOLE else BAD)
-                elif GOOD_NAME.search(value):
-                    scores.append(GOOD)
+                for one in WITH.sub("", CAMEL.sub("-", value).lower()).split():
+                    got = of_name(one)
+                    if name not in WHOLE and (name != "article" or got == BIT["bad"]) or got == BIT["good"]:
+                        flags |= got
             elif key == "role":
-                scores.append(ROLES.get(value.lower(), 0.0))
+                role = value.lower()
+                flags |= BIT["bad role"] if role in BAD_ROLES else BIT["good role"] if role in ("main", "article") else 0
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-    return scores, hidden
+    return flags, hidden
 
 
 def blocks(page: str) -> list[Block]:
@@ -146,11 +172,11 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             block = None
-            ends = set(SAME.get(name, ()))
+            ends = set(ENDS.get(name, ()))
             if name in ENDS_P:
                 ends.add("p")
-            if name in HEADS:
-                ends |= set(HEADS)
+            if name in HEADS or name == "h1":
+                ends |= {*HEADS, "h1"}
             up = at
             while up.parent and ends:
                 if up.name in ends:
@@ -162,8 +188,9 @@ def blocks(page: str) -> list[Block]:
                 up = up.parent
         if name == "hr":
             continue
-        scores, hidden = said(name, m[2])
-        child = Element(name, at, max(at.good, *scores), min(at.bad, *scores), at.unseen or hidden or name in UNSEEN)
+        flags, hidden = said(name, m[2])
+        nested = BIT["nested"] if name == "article" and at.flags & BIT["article"] else 0
+        child = Element(name, at, at.flags | flags | nested, at.unseen or hidden or name in UNSEEN)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, position)
             position = end.start() if end else len(page)
@@ -180,18 +207,40 @@ def blocks(page: str) -> list[Block]:
     return [b for b in found if b.text]
 
 
-def evidence(block: Block) -> float:
-    """The log-odds that a block is content: positive for content."""
-    words = len(block.text.split())
-    links = min(1.0, block.linked / max(1, len(block.text)))
-    score = block.owner.good + block.owner.bad + 0.9 * min(5.0, math.log1p(words)) - 1.2 - 5.0 * links
-    score += 0.6 if block.text[-1] in ".!?\"'”»…" else 0.0
-    score += HEADS.get(block.owner.name, 0.0)
-    if block.owner.name == "li":
-        score -= 0.4
-    if re.match(r"(©|\(c\)|copyright\b|all rights reserved)", block.text, re.I):
-        score -= 4.0
-    return max(-12.0, min(12.0, score))
+#: Log-odds beyond which a block is as certain as can be, so that its neighbours may still outvote it.
+MOST = 7.0
+COPYRIGHT = re.compile(r"(©|\(c\)|copyright\b|all rights reserved)", re.I)
+
+
+def features(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page and a row of features for each."""
+    found = blocks(page)
+    total = sum(len(b.text) for b in found)
+    marked = any(b.owner.flags & (BIT["article"] | BIT["main"] | BIT["good"]) for b in found)
+    first = next((i for i, b in enumerate(found) if b.owner.name == "h1"), -1)
+    out = []
+    for i, b in enumerate(found):
+        flags, name = b.owner.flags, b.owner.name
+        words = len(b.text.split())
+        inside = bool(flags & (BIT["article"] | BIT["main"] | BIT["good"]))
+        out.append(
+            (
+                1.0,
+                min(5.0, math.log1p(words)),
+                min(1.0, b.linked / len(b.text)),
+                b.text[-1] in ".!?\"'”»…",
+                name == "h1",
+                name in HEADS,
+                name == "li",
+                bool(COPYRIGHT.match(b.text)),
+                math.log(len(b.text) / total),
+                marked and not inside,
+                i < first,
+                bool(flags & BIT["header"]) and inside,
+                *(bool(flags & bit) for bit in BIT.values()),
+            )
+        )
+    return found, np.array(out, dtype=float).reshape(-1, 12 + len(FLAGS))
 
 
 def container(block: Block) -> Element:
@@ -201,6 +250,10 @@ def container(block: Block) -> Element:
     return up
 
 
+#: The cost of a border between neighbours of one container, of a container and one within, of others; and between a container's successive blocks that are no neighbours.
+SAME, WITHIN, OTHER, APART = 3.0, 1.2, 0.3, 1.5
+
+
 def links(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours, the more so the nearer they stand in the tree, and successive blocks of one container."""
     out, last = [], {}
@@ -208,10 +261,10 @@ def links(found: list[Block]) -> list[tuple[int, int, float]]:
         own = container(block)
         if i:
             other = container(found[i - 1])
-            near = 1.0 if own is other else 0.3 if own.parent is other or other.parent is own else 0.1
+            near = SAME if own is other else WITHIN if own.parent is other or other.parent is own else OTHER
             out.append((i - 1, i, near))
         if (before := last.get(id(own))) is not None and before != i - 1:
-            out.append((before, i, 0.6))
+            out.append((before, i, APART))
         last[id(own)] = i
     return out
 
@@ -278,16 +331,19 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 break
 
 
-def label(found: list[Block]) -> list[bool]:
+def label(found: list[Block], odds: np.ndarray) -> list[bool]:
     """Which blocks are content. source: the cost of calling a block boilerplate; sink: of calling it content."""
-    odds = [evidence(b) for b in found]
+    odds = np.clip(odds, -MOST, MOST).tolist()
     return minimum_cut([max(0.0, x) for x in odds], [max(0.0, -x) for x in odds], links(found))
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, weights: tuple[float, ...] | None = None) -> str:
     """The content blocks of a page, in order, joined by a blank line."""
-    found = blocks(page or "")
-    return "\n\n".join(b.text for b, is_content in zip(found, label(found), strict=True) if is_content) if found else ""
+    found, x = features(page or "")
+    if not found:
+        return ""
+    odds = x @ np.array(weights or fitted(features))
+    return "\n\n".join(b.text for b, is_content in zip(found, label(found, odds), strict=True) if is_content)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -298,9 +354,11 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     an empty table gives no rows.
     """
 
+    weights = fitted(features)  # on the driver, a few numbers
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [main_text(x) for x in batch.column("html").to_pylist()]
+            text = [main_text(x, weights) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInArrow(rows, "page_id long, url string, text string, n_chars long")
