@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import exact_dedup, jaccard_join, packing, secret_scan, toxicity
-from folioflow.llm.common import shared_dir, table
+from folioflow.llm.common import delete, mark, shared_dir, sweep, table
 from folioflow.llm.queries import VOCABULARY
 
 
@@ -56,13 +56,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over documents; each stage's rows are written to the shared folder and read again.
+
+    What a stage wrote on its way, and its predecessor's rows, are deleted once its own rows
+    are written. The last stage's input stays, as the result reads it.
+    """
     docs = table(spark, sf_dir, "documents")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
+        begun = mark()
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
             return out
-        out.write.parquet(f"{root}/{k}-{name}")
-        docs = spark.read.schema(out.schema).parquet(f"{root}/{k}-{name}")
+        path = f"{root}/{k}-{name}"
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        sweep(spark, begun)
+        if before:
+            delete(spark, before)
+        before = path
     return docs
