@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .text import slug
 
 #: Minutes that objects of each class are kept, and media types.
@@ -22,9 +23,10 @@ URL_TTL_MINUTES = {"get": 20, "put": 20, "delete": 10}
 def media_target(target: Column) -> Column:
     """The part of a link from its last folder ``media`` on; null where the link is to leave as it is."""
     segments = F.filter(F.split(F.replace(target, F.lit("\\"), F.lit("/")), "/"), lambda s: (s != "") & (s != "."))
-    at = F.array_position(F.reverse(segments), "media")
     outside = target.rlike(r"\A(https?://|data:|#)")
-    return F.when(~outside & (at > 0), F.array_join(F.slice(segments, F.size(segments) - at.cast("int") + 1, F.greatest(at.cast("int"), F.lit(1))), "/"))
+    last = lambda segments, at: F.when(at > 0, F.array_join(F.slice(segments, F.size(segments) - at + 1, at), "/"))
+    inside = let(segments, lambda segments: let(F.array_position(F.reverse(segments), "media").cast("int"), lambda at: last(segments, at)))
+    return F.when(~outside, inside)
 
 
 def portable_images(markdown: Column) -> Column:
@@ -33,27 +35,33 @@ def portable_images(markdown: Column) -> Column:
     Tags come first, so that what they become is read as a link. Text is cut into pieces
     that each end with one tag (or link), and every piece is rewritten on its own.
     """
-    text = each_match(markdown, r"(?is)<img\b[^>]*?>", image_tag)
-    return each_match(text, r"!\[[^\]]*\]\([^)]+\)", image_link)
+    tags = each_match(markdown, r"(?is)<img\b[^>]*?>", image_tag)
+    return let(tags, lambda text: each_match(text, r"!\[[^\]]*\]\([^)]+\)", image_link))
 
 
 def each_match(text: Column, pattern: str, rewrite) -> Column:
+    """text with every match rewritten; what the last match leaves is kept."""
     parts = F.regexp_extract_all(text, F.lit(rf"(?s)\G.*?(?:{pattern})"), F.lit(0))
-    used = F.aggregate(parts, F.lit(0), lambda n, p: n + F.char_length(p))
-    done = F.transform(parts, lambda p: F.concat(F.regexp_replace(p, rf"(?s)(?:{pattern})\z", ""), rewrite(F.regexp_extract(p, rf"(?s)((?:{pattern}))\z", 1))))
-    return F.concat(F.array_join(done, ""), F.substring(text, used + 1, F.char_length(text)))
+
+    def rewritten(parts: Column) -> Column:
+        used = F.aggregate(parts, F.lit(0), lambda n, p: n + F.char_length(p))
+        one = lambda p, match: F.concat(F.left(p, F.char_length(p) - F.char_length(match)), rewrite(match))
+        done = F.transform(parts, lambda p: let(F.regexp_extract(p, rf"(?s)(?:{pattern})\z", 0), lambda match: one(p, match)))
+        return F.concat(F.array_join(done, ""), F.substring(text, used + 1, F.char_length(text)))
+
+    return let(parts, lambda parts: F.when(F.size(parts) > 0, rewritten(parts)).otherwise(text))
 
 
 def image_tag(tag: Column) -> Column:
     target = media_target(F.regexp_extract(tag, r"""(?i)\bsrc\s*=\s*["']([^"']+)["']""", 1))
     alt = F.trim(F.regexp_extract(tag, r"""(?i)\balt\s*=\s*["']([^"']*)["']""", 1))
-    alt = F.when(alt == "", F.lit("Image")).otherwise(alt)
-    return F.when(target.isNotNull(), F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(")"))).otherwise(tag)
+    alt = F.coalesce(F.nullif(alt, F.lit("")), F.lit("Image"))
+    return F.coalesce(F.concat(F.lit("!["), alt, F.lit("]("), target, F.lit(")")), tag)
 
 
 def image_link(link: Column) -> Column:
     head, target = F.regexp_extract(link, r"\A(!\[[^\]]*\]\()", 1), media_target(F.regexp_extract(link, r"\]\(([^)]+)\)\z", 1))
-    return F.when(target.isNotNull(), F.concat(head, target, F.lit(")"))).otherwise(link)
+    return F.coalesce(F.concat(head, target, F.lit(")")), link)
 
 
 def url_pathname(url: Column) -> Column:
@@ -66,6 +74,12 @@ def url_pathname(url: Column) -> Column:
     return F.nullif(F.regexp_replace(found, r"\A/+", ""), F.lit(""))
 
 
+def bound_to(url: Column, signed: Column) -> Column:
+    """JOB_TOKEN_INVALID for a URL that is not https or does not name the path that a token was signed for; else null."""
+    right = F.lower(url).startswith("https://") & (url_pathname(url) == F.regexp_replace(signed, r"\A/+", ""))
+    return F.when(~F.coalesce(right, F.lit(False)), "JOB_TOKEN_INVALID")
+
+
 def object_key(day: Column, job: Column, stem: Column, extension: Column, include_media: Column) -> Column:
     """struct<source, result, status>: the keys of a job's objects."""
     prefix = F.concat(F.lit("jobs/"), F.date_format(day, "yyyy-MM-dd"), F.lit("/"), job)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 MIN_SECRET_BYTES = 32
 SKEW_SECONDS = 60
 CLAIMS = "struct<exp:bigint,filename:string,job_id:string,result_path:string,source_path:string,source_size:bigint>"
@@ -35,7 +37,7 @@ def signer(secret: bytes):
     @F.pandas_udf("string")
     def sign(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda s: None if s is None else base64.urlsafe_b64encode(hmac.new(secret, s.encode(), hashlib.sha256).digest()).decode().rstrip("="))
+            yield part.map(lambda s: None if s is None else base64.urlsafe_b64encode(hmac.digest(secret, s.encode(), hashlib.sha256)).decode().rstrip("="))
 
     return sign
 
@@ -56,8 +58,13 @@ def verify(token: Column, now: Column, secret: bytes, skew: int = SKEW_SECONDS)
     payload, signature = F.get(parts, 0), F.get(parts, 1)
     right = (F.size(parts) == 2) & (F.sha2(signature, 256) == F.sha2(signer(secret)(payload), 256))
     claims = F.from_json(from_base64url(payload).cast("string"), CLAIMS)
-    whole = claims.isNotNull()
-    for n in NAMES:
-        whole = whole & claims[n].isNotNull()
-    code = F.when(~F.coalesce(right & whole, F.lit(False)), "JOB_TOKEN_INVALID").when(claims["exp"] + skew < now, "JOB_TOKEN_EXPIRED")
-    return F.struct(F.when(code.isNull(), claims).alias("claims"), code.alias("code"))
+
+    def judged(read: Column) -> Column:
+        claims, whole = read["claims"], read["right"] & read["claims"].isNotNull()
+        for n in NAMES:
+            whole = whole & claims[n].isNotNull()
+        code = F.when(~F.coalesce(whole, F.lit(False)), "JOB_TOKEN_INVALID").when(claims["exp"] + skew < read["now"], "JOB_TOKEN_EXPIRED")
+        return let(code, lambda code: F.struct(F.when(code.isNull(), claims).alias("claims"), code.alias("code")))
+
+    # parsed once, however many claims are asked for
+    return let(F.struct(claims.alias("claims"), right.alias("right"), now.alias("now")), judged)

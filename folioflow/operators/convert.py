@@ -6,13 +6,12 @@ against its budget and rendered by expressions over the row's arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions import binary, errors, gfm
+from ..functions.bind import let
 from ..functions.text import alt_text, base_name, cleaned, page_heading, safe_stem, slide_heading, squeezed
 from ..sources import files
 from ..sources.extract import extracted
@@ -38,11 +37,6 @@ def screened(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     return rows.withColumn("error_code", F.when(office, code).otherwise(F.col("error_code"))).drop("members")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body's own lambdas use it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def block(item: Column, names: Column) -> Column:
     """The Markdown of an item; "" for what is none. names maps digests to files."""
     number, kind = item["part_no"], item["kind"]
@@ -62,7 +56,7 @@ def block(item: Column, names: Column) -> Column:
     )
 
 
-FIELDS = ("part_no", "kind", "paragraphs", "rows", "ext", "alt", "position", "coverage", "digest", "content")
+FIELDS = ("part_no", "kind", "paragraphs", "rows", "ext", "alt", "position", "boxes", "area", "digest", "content")
 
 
 def in_order(items: Column) -> Column:
@@ -84,10 +78,24 @@ def file_name(i: Column, n: Column) -> Column:
     return F.when(i["kind"] == "file", F.regexp_replace(i["alt"], "^media/", "")).when(i["position"].isNull(), slide).otherwise(page)
 
 
+#: Under so many characters, and from such a share of the page on, a page with images is taken for a scan.
+SCAN_CHARS, SCAN_COVERAGE = 40, 0.5
+
+
+def looks_scanned(images: Column, chars: Column, coverage: Column) -> Column:
+    return (images > 0) & (chars < SCAN_CHARS) & (coverage >= SCAN_COVERAGE)
+
+
+def image_coverage(boxes: Column, area: Column) -> Column:
+    """The share of a page that its images (ARRAY of w, h) cover, overlaps counted twice, at most 1; boxes without a size are skipped."""
+    total = F.aggregate(boxes, F.lit(0.0), lambda acc, b: acc + F.coalesce(F.when((b["w"] > 0) & (b["h"] > 0), b["w"] * b["h"]), F.lit(0.0)))
+    return F.when(area > 0, F.least(total / area, F.lit(1.0))).otherwise(F.lit(0.0))
+
+
 def warnings(items: Column) -> Column:
     """Distinct warnings in the order of their places; a page with images, little text and much covered is taken for a scan."""
     warned = F.transform(F.filter(items, lambda i: i["kind"] == "warning"), lambda i: F.struct(i["at"].alias("at"), i["text"].alias("text")))
-    scans = F.filter(items, lambda i: (i["kind"] == "page") & (i["position"] > 0) & (F.char_length(i["text"]) < 40) & (i["coverage"] >= 0.5))
+    scans = F.filter(items, lambda i: (i["kind"] == "page") & looks_scanned(i["position"], F.char_length(i["text"]), image_coverage(i["boxes"], i["area"])))
 
     def scanned(i: Column) -> Column:
         at = F.struct(i["part_no"].alias("part_no"), F.lit(AFTER).alias("place"), i["at"]["key"].alias("key"), i["at"]["seq"].alias("seq"))
@@ -118,19 +126,16 @@ def converted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
 
     A document that fails has only its error_code.
     """
-    rows = screened(docs, limits)
-    bad = rows.where("error_code IS NOT NULL").select("path", "source_type", "error_code")
-    good = extracted(rows.where("error_code IS NULL"), limits)
-    good = good.withColumn("source_type", ladder.source_type(F.col("path")))
-    good = good.withColumn("r", rendered(F.col("items"))).select("path", "source_type", "error_code", "parts", "r.*")
+    rows = extracted(screened(docs, limits), limits)
+    rows = rows.withColumn("r", F.when(F.col("error_code").isNull(), rendered(F.col("items")))).select("path", "source_type", "error_code", "parts", "r.*")
     media_bytes = F.aggregate("media", F.lit(0).cast("long"), lambda n, m: n + F.octet_length(m["content"]))
     markdown_bytes = F.octet_length("markdown").cast("long")
     code = F.coalesce(F.col("error_code"), F.when(media_bytes > limits.max_output_bytes, "DOCUMENT_EXPANDS_TOO_LARGE"), outcome.quota(markdown_bytes, media_bytes, F.lit(0), limits))
-    good = good.withColumn("error_code", code)
+    rows = rows.withColumn("error_code", code)
     holds = F.col("error_code").isNull()
     kept = lambda c: F.when(holds, c)
     shape = outcome.shape(F.lit(limits.include_media), F.size("media"))
-    good = good.select(
+    return rows.select(
         "path",
         "source_type",
         kept(F.col("markdown")).alias("markdown"),
@@ -141,19 +146,15 @@ def converted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
         kept(shape).alias("shape"),
         kept(outcome.content_type(shape)).alias("content_type"),
         "error_code",
+        safe_stem(base_name(F.col("path"))).alias("stem"),
     )
-    return good.unionByName(bad, allowMissingColumns=True).withColumn("stem", safe_stem(base_name(F.col("path"))))
 
 
 def delivered(outcomes: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
-    """path, name, content, error_code: the file that each document becomes, an archive or bare Markdown."""
+    """path, name, content, error_code: the file that each document becomes, an archive or bare Markdown, made in one pass."""
     member = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
     tree = F.concat(F.array(member(F.concat("stem", F.lit(".md")), F.col("markdown").cast("binary"))), F.transform("media", lambda m: member(F.concat(F.lit("media/"), m["name"]), m["content"])))
-    done = outcomes.where("error_code IS NULL")
-    zips = outcome.packaged(done.where("shape = 'zip'").select("path", "stem", tree.alias("files")), "path", limits)
-    zips = zips.join(done.select("path", "stem"), "path").select("path", F.concat("stem", F.lit("_markdown.zip")).alias("name"), "content", "error_code")
-    bare = done.where("shape = 'md'").select("path", F.concat("stem", F.lit(".md")).alias("name"), F.col("markdown").cast("binary").alias("content"), F.lit(None).cast("string").alias("error_code"))
-    return zips.unionByName(bare)
+    return outcome.files_of(outcomes.where("error_code IS NULL").select("path", "stem", "shape", tree.alias("files")), "path", limits)
 
 
 def convert_folder(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

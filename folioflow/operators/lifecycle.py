@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.errors import is_done, progress
+from .ordered import folded
 
 
 def before_settled(events: DataFrame, job: str = "job_id", ts: str = "ts", stage: str = "stage") -> DataFrame:
@@ -28,11 +29,33 @@ def latest_status(events: DataFrame, job: str = "job_id", ts: str = "ts", stage:
 
 
 def status_changes(events: DataFrame, job: str = "job_id", ts: str = "ts", stage: str = "stage") -> DataFrame:
-    """The events at which a job's stage differs from the one before."""
-    before = F.lag(stage).over(Window.partitionBy(job).orderBy(ts))
+    """The events at which a job's stage differs from the one before. Of events at one time the one with less progress comes first."""
+    before = F.lag(stage).over(Window.partitionBy(job).orderBy(F.col(ts), progress(F.col(stage)), F.col(stage)))
     return events.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(stage)))
 
 
+def lost_contact(polls: DataFrame, most: int = 8, job: str = "job_id", at: str = "ts", ok: str = "ok") -> DataFrame:
+    """job, ts, error_code of jobs of which so many polls in a row failed, with the time of the poll that reached the number.
+
+    ok is null for a poll that found no status yet: it neither fails nor ends a row of failures.
+    """
+
+    def step(failures: list[int], fine: bool | None) -> tuple[int]:
+        if fine is not None:
+            failures[0] = 0 if fine else failures[0] + 1
+        return (failures[0],)
+
+    counted = folded(polls, job, [at], [ok], {"failures": "long"}, lambda: [0], step).where(F.col("failures") >= most)
+    return counted.groupBy(job).agg(F.min(at).alias(at)).withColumn("error_code", F.lit("SERVICE_UNAVAILABLE"))
+
+
+def out_of_order(events: DataFrame, job: str = "job_id", ts: str = "ts", stage: str = "stage", tie: str = "event_id") -> DataFrame:
+    """events with ``allowed``: whether the stage may follow the one before. Progress never falls, and nothing follows an end."""
+    before = Window.partitionBy(job).orderBy(ts, tie)
+    last = F.lag(stage).over(before)
+    return events.withColumn("allowed", last.isNull() | (~is_done(last) & (progress(F.col(stage)) >= progress(last))))
+
+
 def admitted(requests: DataFrame, key: str, ts: str, limit: int, seconds: int, tie: str) -> DataFrame:
     """requests with window_start, place (in its fixed window, by time, then tie) and admitted: whether the limit had room."""
     start = F.window(ts, f"{seconds} seconds")["start"]
@@ -68,9 +91,19 @@ def sweep_counts(deleted: DataFrame) -> DataFrame:
 
 
 def admission_replay(requests: DataFrame, capacity: int, order: str, amount: str = "amount", group: str = "pool") -> DataFrame:
-    """requests (reservations positive, releases negative) with the ledger after each and whether a reservation fitted a plain running sum."""
-    total = F.sum(amount).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return requests.withColumn("reserved", F.greatest(total, F.lit(0))).withColumn("fits", (F.col(amount) <= 0) | (total <= capacity))
+    """requests (reservations positive, releases negative) with ``reserved``, the ledger after each, and ``fits``: whether it was admitted.
+
+    A reservation that does not fit is refused and leaves the ledger as it is; a release
+    never takes it under zero. Null amounts change nothing. The ledger of a pool is sequential.
+    """
+
+    def step(ledger: list[int], size: int | None) -> tuple[int, bool]:
+        fits = ledger[0] + (size or 0) <= capacity or (size or 0) <= 0
+        if fits:
+            ledger[0] = max(0, ledger[0] + (size or 0))
+        return ledger[0], fits
+
+    return folded(requests, group, [order], [amount], {"reserved": "long", "fits": "boolean"}, lambda: [0], step)
 
 
 def overdue(events: DataFrame, now: Column, seconds: int = 720, job: str = "job_id", ts: str = "ts", stage: str = "stage") -> DataFrame:

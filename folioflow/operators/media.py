@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import folded
+
 
 def first_occurrences(refs: DataFrame, doc: str = "doc_id", digest: str = "digest", seq: str = "seq") -> DataFrame:
     """The first row of each digest in a document."""
@@ -33,12 +35,35 @@ def named(refs: DataFrame, doc: str = "doc_id", per_part: bool = False, prefix:
 
 
 def without_collisions(files: DataFrame, doc: str, preferred: str, order: str) -> DataFrame:
-    """files with ``name``: the preferred name, or stem-2.ext, stem-3.ext ... for the next ones that want it."""
-    n = F.row_number().over(Window.partitionBy(doc, preferred).orderBy(order))
-    name = F.col(preferred)
-    suffix = F.regexp_extract(name, r"(?s)\A.+(\.[^.]+)\z", 1)
-    stem = F.substring(name, F.lit(1), F.char_length(name) - F.char_length(suffix))
-    return files.withColumn("name", F.when(n == 1, name).otherwise(F.concat(stem, F.lit("-"), n.cast("string"), suffix)))
+    """files with ``name``: the preferred name, or the first of stem-2.ext, stem-3.ext ... that no file before it has in its document."""
+
+    def step(used: dict[str, int], wanted: str | None) -> tuple[str | None]:
+        if wanted is None:
+            return (None,)
+        name = wanted
+        if name in used:
+            dot, n = wanted.rfind("."), used[wanted]
+            while name in used:
+                n += 1
+                name = f"{wanted[: max(dot, 0)]}-{n}.{wanted[dot + 1 :]}"
+            used[wanted] = n  # all numbers up to this one are taken
+        used.setdefault(name, 1)
+        return (name,)
+
+    return folded(files, doc, [order], [preferred], {"name": "string"}, dict, step)
+
+
+def distinct_count(refs: DataFrame, doc: str = "doc_id", digest: str = "digest", seq: str = "seq") -> DataFrame:
+    """doc, refs, media_count (distinct digests), first_seq; counted by digest first, so no document is one task's work."""
+    files = refs.groupBy(doc, digest).agg(F.count(F.lit(1)).alias("n"), F.min(seq).alias("seq"))
+    return files.groupBy(doc).agg(F.sum("n").alias("refs"), F.count(F.lit(1)).alias("media_count"), F.min("seq").alias("first_seq"))
+
+
+def by_reference(files: DataFrame, references: DataFrame, key: str) -> DataFrame:
+    """kind (referenced or unreferenced) and key of each file. The documents' contract is that nothing is unreferenced."""
+    used = references.select(key)
+    there, lost = files.join(used, key, "left_semi"), files.join(used, key, "left_anti")
+    return there.select(F.lit("referenced").alias("kind"), key).unionByName(lost.select(F.lit("unreferenced").alias("kind"), key))
 
 
 def within_budget(firsts: DataFrame, limit: int, doc: str = "doc_id", size: str = "n_bytes", seq: str = "seq") -> DataFrame:

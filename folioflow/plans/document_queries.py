@@ -17,8 +17,12 @@ from .registry import query, table
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Where streams keep their state: spark.checkpoint.dir, or a folder set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/folioflow-streams"
+    """Where streams keep their state and files go: spark.checkpoint.dir; a local session may do without, a cluster has to name a folder that all executors reach."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+        found = "/tmp/folioflow-streams"
     return f"{found.rstrip('/')}/{uuid.uuid4().hex}"
 
 

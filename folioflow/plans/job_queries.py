@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Limits
 from ..functions import errors, paths, tokens
-from ..operators import blocks, ladder, lifecycle, media, outcome
+from ..operators import blocks, convert, ladder, lifecycle, media, outcome
 from ..sources.zipdir import zip_members
 from .registry import query, table
 
@@ -62,8 +62,7 @@ def as_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH m AS ({MEDIA}) SELECT source, count(*) AS refs, count(DISTINCT digest) AS media_count, min(seq) AS first_seq FROM m GROUP BY source")
 def media_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = as_media(spark, sf_dir)
-    return refs.groupBy("source", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq")).groupBy("source").agg(F.sum("n").alias("refs"), F.count(F.lit(1)).alias("media_count"), F.min("seq").alias("first_seq"))
+    return media.distinct_count(as_media(spark, sf_dir), "source")
 
 
 @query(f"""
@@ -78,14 +77,25 @@ def media_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slides.join(pages, ["source", "digest"]).select("source", "seq", "digest", "slide_name", "page_name")
 
 
+#: Names that files want, some of them the names that others would get.
+WANTED = "'image-' || position || CASE WHEN seq % 5 = 0 THEN '-2' ELSE '' END || '.png'"
+
+
 @query(f"""
-    WITH m AS ({MEDIA}),
+    WITH RECURSIVE m AS ({MEDIA}),
     f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY source, digest ORDER BY seq) = 1),
-    n AS (SELECT source, seq, 'image-' || position || '.png' AS preferred, row_number() OVER (PARTITION BY source, position ORDER BY seq) AS i FROM f)
-    SELECT source, seq, CASE WHEN i = 1 THEN preferred ELSE replace(preferred, '.png', '-' || i || '.png') END AS name FROM n""")
+    p AS (SELECT source, seq, {WANTED} AS wanted, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM f),
+    r AS (
+      SELECT source, seq, i, wanted AS name, [wanted] AS used FROM p WHERE i = 1
+      UNION ALL
+      SELECT source, seq, i, name, list_append(used, name) FROM (
+        SELECT p.source, p.seq, p.i, r.used, CASE WHEN NOT list_contains(r.used, p.wanted) THEN p.wanted ELSE
+               replace(p.wanted, '.png', '-' || list_filter(range(2, len(r.used) + 3), lambda k: NOT list_contains(r.used, replace(p.wanted, '.png', '-' || k || '.png')))[1] || '.png') END AS name
+        FROM r JOIN p ON p.source = r.source AND p.i = r.i + 1))
+    SELECT source, seq, name FROM r""")
 def media_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    firsts = media.first_occurrences(as_media(spark, sf_dir), "source").withColumn("preferred", F.concat(F.lit("image-"), F.col("position").cast("string"), F.lit(".png")))
-    return media.without_collisions(firsts, "source", "preferred", "seq").select("source", "seq", "name")
+    firsts = media.first_occurrences(as_media(spark, sf_dir), "source").withColumn("wanted", F.expr(WANTED))
+    return media.without_collisions(firsts, "source", "wanted", "seq").select("source", "seq", "name")
 
 
 @query(f"""
@@ -115,18 +125,8 @@ def warning_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     boxes = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.struct(F.when(i <= doc % 7, doc % 10).otherwise(0).cast("double").alias("w"), F.lit(700.0).alias("h")))
-    pages = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (doc % 3).alias("images"), image_coverage(boxes, F.lit(20000.0)).alias("coverage"))
-    return pages.select("doc_id", "coverage", F.when(looks_scanned(F.col("images"), F.col("n_chars"), F.col("coverage")), errors.warning("scanned", doc % 5 + 1)).alias("warning"))
-
-
-def image_coverage(boxes, area):
-    """The share of a page that its images cover, overlaps counted twice, at most 1; boxes without a size are skipped."""
-    total = F.aggregate(boxes, F.lit(0.0), lambda acc, b: acc + F.coalesce(F.when((b["w"] > 0) & (b["h"] > 0), b["w"] * b["h"]), F.lit(0.0)))
-    return F.when(area > 0, F.least(total / area, F.lit(1.0))).otherwise(F.lit(0.0))
-
-
-def looks_scanned(images, chars, coverage):
-    return (images > 0) & (chars < 40) & (coverage >= 0.5)
+    pages = table(spark, sf_dir, "documents").select("doc_id", "n_chars", (doc % 3).alias("images"), convert.image_coverage(boxes, F.lit(20000.0)).alias("coverage"))
+    return pages.select("doc_id", "coverage", F.when(convert.looks_scanned(F.col("images"), F.col("n_chars"), F.col("coverage")), errors.warning("scanned", doc % 5 + 1)).alias("warning"))
 
 
 @query("""
@@ -137,11 +137,8 @@ def looks_scanned(images, chars, coverage):
 def table_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as pages of a user's document, their value as the seconds that tables took."""
     by = Window.partitionBy("user_id")
-    order = by.orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("seconds"), F.row_number().over(order).alias("page"), F.count(F.lit(1)).over(by).alias("pages"), F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("used"))
-    e = e.withColumn("stop", F.min(F.when((F.col("used") > 400) & (F.col("seconds") <= 70), F.col("page"))).over(by))
-    state = F.when(F.col("pages") > 12, "pages").when(F.col("page") > F.col("stop"), "stopped").when(F.col("seconds") > 70, "slow").when(F.col("page") == F.col("stop"), "over").otherwise("kept")
-    return e.select("user_id", "event_id", "page", state.alias("tables"))
+    pages = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").alias("seconds"), F.row_number().over(by.orderBy("event_id")).cast("long").alias("page"), F.count(F.lit(1)).over(by).alias("pages"))
+    return outcome.table_budget(pages, "user_id", "page", Limits(max_table_pages=12, table_page_seconds=70, deadline=400, table_reserve_seconds=0)).select("user_id", "event_id", "page", "tables")
 
 
 @query("""
@@ -151,8 +148,10 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     far = F.lit(10**9)
     key = F.struct(F.coalesce(F.when(F.col("l_tax") <= 0.06, q % 5), far).alias("top"), F.coalesce(F.when(F.col("l_discount") <= 0.08, q % 3), far).alias("left"), F.col("l_linenumber").alias("z"))
-    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(key)).alias("shapes"))
-    return shapes.select("l_orderkey", F.array_join(F.transform("shapes", lambda s: s["z"].cast("string")), ",").alias("reading"))
+    item = {"part_no": F.lit(1), "kind": F.lit("frame"), "place": F.lit(1), "key": F.array(key["top"], key["left"], key["z"]).cast("array<bigint>"), "text": key["z"].cast("string")}
+    none = {f: F.lit(None) for f in convert.FIELDS if f not in item}
+    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(*[v.alias(k) for k, v in (item | none).items()])).alias("items"))
+    return shapes.select("l_orderkey", F.array_join(F.transform(convert.in_order(F.col("items")), lambda i: i["text"]), ",").alias("reading"))
 
 
 @query("""
@@ -161,8 +160,7 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unreferenced_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey")
     used = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"))
-    there, lost = part.join(used, "p_partkey", "left_semi"), part.join(used, "p_partkey", "left_anti")
-    return there.select(F.lit("referenced").alias("kind"), "p_partkey").unionByName(lost.select(F.lit("unreferenced").alias("kind"), "p_partkey"))
+    return media.by_reference(part, used, "p_partkey")
 
 
 @query("""
@@ -212,9 +210,7 @@ def status_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH s AS ({SQL_STATUS})
     SELECT job_id, '{{"job_id":"' || job_id || '","stage":"' || stage || '","progress":' || progress || ',"done":' || done || ',"ok":' || ok || CASE WHEN ok THEN '' ELSE ',"code":"CONVERSION_FAILED"' END || '}}' AS payload FROM s""")
 def status_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a job's status object says; fields without a value are left out."""
-    fields = F.struct(F.col("job_id").cast("string").alias("job_id"), "stage", "progress", "done", "ok", F.when(~F.col("ok"), "CONVERSION_FAILED").alias("code"))
-    return status_latest(spark, sf_dir).select("job_id", F.to_json(fields).alias("payload"))
+    return status_latest(spark, sf_dir).select("job_id", errors.status_payload(F.col("job_id"), F.col("stage"), F.lit("CONVERSION_FAILED")).alias("payload"))
 
 
 @query("""
@@ -329,15 +325,24 @@ def prepare_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT event_id, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'unknown' END AS step, substring(repeat(props, 3), 1, 80) AS detail FROM events""")
 def trace_allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = F.when(F.col("event_type").isin("view", "click", "purchase"), F.col("event_type")).otherwise("unknown")
-    return table(spark, sf_dir, "events").select("event_id", step.alias("step"), F.substring(F.repeat("props", F.lit(3)), 1, 80).alias("detail"))
+    traced = errors.traced(F.col("event_type"), F.repeat("props", F.lit(3)), ("view", "click", "purchase"))
+    return table(spark, sf_dir, "events").withColumn("t", traced).select("event_id", "t.step", "t.detail")
 
 
-@query("""
-    SELECT user_id, event_id, CAST(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS BIGINT) AS amount, greatest(CAST(sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER w AS BIGINT), 0) AS reserved,
-           event_type = 'error' OR sum(CASE WHEN event_type = 'error' THEN -1 ELSE 1 END) OVER w <= 6 AS fits FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+#: Events as reservations in a user's workspace, and releases that may be larger than what is reserved.
+AMOUNT = "CAST(CASE event_type WHEN 'error' THEN -9 WHEN 'purchase' THEN 5 WHEN 'signup' THEN -2 ELSE 2 END AS BIGINT)"
+
+
+@query(f"""
+    WITH RECURSIVE e AS (SELECT user_id, event_id, {AMOUNT} AS amount, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    r AS (
+      SELECT user_id, event_id, amount, i, greatest(amount, 0) AS reserved, true AS fits FROM e WHERE i = 1
+      UNION ALL
+      SELECT e.user_id, e.event_id, e.amount, e.i, CASE WHEN e.amount > 0 AND r.reserved + e.amount > 6 THEN r.reserved ELSE greatest(r.reserved + e.amount, 0) END, NOT (e.amount > 0 AND r.reserved + e.amount > 6)
+      FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+    SELECT user_id, event_id, amount, reserved, fits FROM r""")
 def admission_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", -1).otherwise(1).cast("long").alias("amount"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr(AMOUNT.replace("BIGINT", "bigint")).alias("amount"))
     return lifecycle.admission_replay(e, 6, "event_id", group="user_id")
 
 
@@ -364,7 +369,6 @@ def base64url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'JOB_TOKEN_INVALID' WHEN 1000 + o_orderkey % 200 < 1100 THEN 'JOB_TOKEN_EXPIRED' WHEN o_orderkey % 7 = 0 THEN 'JOB_TOKEN_INVALID' WHEN c_custkey IS NULL THEN 'BLOB_NOT_FOUND' END AS code
     FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
@@ -394,20 +398,41 @@ def upload_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH e AS (SELECT user_id AS job_id, ts, {STAGE} AS stage FROM events WHERE event_id % 9 = 0)
+    WITH e AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d %H') AS job_id, ts, {STAGE} AS stage FROM events)
     SELECT job_id, min(ts) AS began, 'CONVERSION_TIMEOUT' AS error_code FROM e GROUP BY job_id
     HAVING NOT bool_or(stage IN ('complete', 'failed')) AND min(ts) < timestamp '2024-01-10 00:00:00' - INTERVAL 720 SECOND""")
 def overdue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    late = lifecycle.overdue(stages(spark, sf_dir).where("event_id % 9 = 0"), F.lit("2024-01-10 00:00:00").cast("timestamp"))
-    return late
+    """A user's events of one hour as a job: some end, some do not, some began too late to be overdue."""
+    hourly = stages(spark, sf_dir).withColumn("job_id", F.concat(F.col("job_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd HH")))
+    return lifecycle.overdue(hourly, F.lit("2024-01-10 00:00:00").cast("timestamp"))
 
 
 @query("""
     WITH r AS (SELECT o_custkey AS job_id, max(o_totalprice) > 300000 AS ok, CASE WHEN min(o_totalprice) > 50000 THEN 'CONVERSION_TIMEOUT' END AS code FROM orders GROUP BY o_custkey),
-    p AS (SELECT c_custkey AS job_id, c_acctbal > 5000 AS ok, 'DOWNLOAD_FAILED' AS code FROM customer WHERE c_custkey % 3 > 0)
+    p AS (SELECT c_custkey AS job_id, c_acctbal > 5000 AS ok, 'DOWNLOAD_FAILED' AS code FROM customer)
     SELECT job_id, coalesce(r.ok, false) OR coalesce(p.ok, false) AS ok, CASE WHEN NOT (coalesce(r.ok, false) OR coalesce(p.ok, false)) THEN coalesce(r.code, p.code, 'CONVERSION_FAILED') END AS code
     FROM r FULL JOIN p USING (job_id)""")
 def settled_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("job_id")).agg((F.max("o_totalprice") > 300_000).alias("ok"), F.when(F.min("o_totalprice") > 50_000, "CONVERSION_TIMEOUT").alias("code"))
-    polled = table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("job_id"), (F.col("c_acctbal") > 5000).alias("ok"), F.lit("DOWNLOAD_FAILED").alias("code"))
+    polled = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), (F.col("c_acctbal") > 5000).alias("ok"), F.lit("DOWNLOAD_FAILED").alias("code"))
     return lifecycle.settled(response, polled)
+
+
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id, CASE event_type WHEN 'error' THEN false WHEN 'view' THEN NULL WHEN 'click' THEN false ELSE value > 40 END AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    r AS (SELECT job_id, event_id, i, CASE WHEN ok IS NULL OR ok THEN 0 ELSE 1 END AS failures FROM e WHERE i = 1
+          UNION ALL SELECT e.job_id, e.event_id, e.i, CASE WHEN e.ok IS NULL THEN r.failures WHEN e.ok THEN 0 ELSE r.failures + 1 END FROM r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1)
+    SELECT job_id, min(event_id) AS event_id, 'SERVICE_UNAVAILABLE' AS error_code FROM r WHERE failures >= 8 GROUP BY job_id""")
+def poll_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as polls of a user's job: answers, failures, and polls that find no status yet."""
+    ok = F.expr("CASE event_type WHEN 'error' THEN false WHEN 'view' THEN NULL WHEN 'click' THEN false ELSE value > 40 END")
+    return lifecycle.lost_contact(table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", ok.alias("ok")), at="event_id")
+
+
+@query(f"""
+    WITH e AS (SELECT user_id AS job_id, event_id, ts, {STAGE} AS stage FROM events),
+    p AS (SELECT *, {SQL_PROGRESS} AS progress FROM e),
+    b AS (SELECT *, lag(stage) OVER w AS last, lag(progress) OVER w AS reached FROM p WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+    SELECT job_id, event_id, stage, last IS NULL OR (last NOT IN ('complete', 'failed') AND progress >= reached) AS allowed FROM b""")
+def stage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.out_of_order(stages(spark, sf_dir)).select("job_id", "event_id", "stage", "allowed")

@@ -198,11 +198,11 @@ def human_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH l AS (
-      SELECT conv_id, turn, {sql_strip("text")} AS t, CASE WHEN conv_id % 2 = 0 THEN turn % 3 ELSE 0 END AS level FROM conversations WHERE conv_id % 5 <> 0 OR turn = 0)
+      SELECT conv_id, turn, {sql_strip("text")} AS t, CASE WHEN conv_id % 2 = 0 THEN turn % 3 ELSE 0 END AS level FROM conversations)
     SELECT conv_id, CASE WHEN count(*) = 1 AND max(level) = 0 THEN max(t) ELSE string_agg(repeat('  ', CAST(level AS INT)) || '- ' || t, chr(10) ORDER BY turn) END AS block
     FROM l WHERE t <> '' GROUP BY conv_id""")
 def text_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "conversations").where((F.col("conv_id") % 5 != 0) | (F.col("turn") == 0))
+    lines = table(spark, sf_dir, "conversations")
     level = F.when(F.col("conv_id") % 2 == 0, F.col("turn") % 3).otherwise(0).cast("int")
     frames = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", level.alias("level"), "text"))).alias("p"))
     return frames.select("conv_id", gfm.text_frame(F.col("p")).alias("block"))

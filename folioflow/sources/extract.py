@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import multiprocessing
+import os
+import pickle
+import subprocess
+import sys
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import Limits
 from . import docx, pdf, pptx
@@ -27,44 +32,47 @@ def extract(kind: str, content: bytes, limits: Limits) -> Extract:
         return Extract(error_code="CONVERSION_FAILED")
 
 
-def child(kind: str, content: bytes, limits: Limits, pipe) -> None:
-    pipe.send(extract(kind, content, limits))
-    pipe.close()
-
-
 def isolated(kind: str, content: bytes, limits: Limits) -> Extract:
-    """The same in a process of its own, which can be ended: Spark ends tasks, not rows."""
-    ours, theirs = multiprocessing.get_context("fork").Pipe(duplex=False)
-    process = multiprocessing.get_context("fork").Process(target=child, args=(kind, content, limits, theirs), daemon=True)
-    process.start()
-    theirs.close()
+    """The same in a process of its own, which can be ended: Spark ends tasks, not rows. The process is a new interpreter, as workers have threads."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
+    process = subprocess.Popen([sys.executable, "-m", f"{__package__}.child"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
     try:
-        return ours.recv() if ours.poll(limits.child_timeout) else Extract(error_code="CONVERSION_TIMEOUT")
-    except EOFError:
-        return Extract(error_code="CONVERSION_FAILED")
+        out, _ = process.communicate(pickle.dumps((kind, content, limits), protocol=5), timeout=limits.child_timeout)
+        return pickle.loads(out) if process.returncode == 0 else Extract(error_code="CONVERSION_FAILED")
+    except subprocess.TimeoutExpired:
+        return Extract(error_code="CONVERSION_TIMEOUT")
     finally:
-        process.terminate()
-        process.join(5)
-        if process.is_alive():
-            process.kill()
+        if process.poll() is None:
+            process.terminate()
+            try:
+                process.wait(5)
+            except subprocess.TimeoutExpired:
+                process.kill()
+                process.wait()
 
 
 def extracted(files: DataFrame, limits: Limits) -> DataFrame:
-    """path, error_code, parts, items from path, source_type, content. Documents over limits.isolate_above run in a process of their own."""
-    schema = f"path string, {EXTRACT}"
+    """path, source_type, error_code, parts, items from path, source_type, error_code, content; only rows without an error are opened. Documents over limits.isolate_above run in a process of their own."""
+    schema = f"path string, source_type string, {EXTRACT}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                content = batch.column("content")[i].as_py() or b""
-                run = isolated if len(content) > limits.isolate_above else extract
-                got = run(batch.column("source_type")[i].as_py(), content, limits)
+                code = batch.column("error_code")[i].as_py()
+                if code is None:
+                    content = batch.column("content")[i].as_py() or b""
+                    run = isolated if len(content) > limits.isolate_above else extract
+                    got = run(batch.column("source_type")[i].as_py(), content, limits)
+                else:
+                    got = Extract(error_code=code)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("path").slice(i, 1), pa.array([got.error_code], pa.string()), pa.array([got.parts], pa.int32()), pa.array([[x.row() for x in got.items]], ITEMS)],
-                    ["path", "error_code", "parts", "items"],
+                    [batch.column("path").slice(i, 1), batch.column("source_type").slice(i, 1), pa.array([got.error_code], pa.string()), pa.array([got.parts], pa.int32()), pa.array([[x.row() for x in got.items]], ITEMS)],
+                    ["path", "source_type", "error_code", "parts", "items"],
                 )
 
-    return files.select("path", "source_type", "content").mapInArrow(rows, schema)
+    # what failed before does not travel
+    return files.select("path", "source_type", "error_code", F.when(F.col("error_code").isNull(), F.col("content")).alias("content")).mapInArrow(rows, schema)
 
 
 ITEMS = pa.list_(
@@ -80,7 +88,8 @@ ITEMS = pa.list_(
             ("ext", pa.string()),
             ("alt", pa.string()),
             ("position", pa.int32()),
-            ("coverage", pa.float64()),
+            ("boxes", pa.list_(pa.struct([("w", pa.float64()), ("h", pa.float64())]))),
+            ("area", pa.float64()),
             ("digest", pa.string()),
             ("content", pa.binary()),
         ]

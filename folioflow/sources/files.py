@@ -35,26 +35,47 @@ def contained(key: str) -> str:
     return clean
 
 
-def write_files(rows: DataFrame, root: str, key: str = "key", content: str = "content") -> int:
-    """Write each row's content under root/key, through the file system that root names; how many there are.
+def uploaded(rows: DataFrame, root: str, key: str = "key", content: str = "content") -> DataFrame:
+    """key, n_bytes, error_code: each row's content written under root/key, through the file system that root names.
 
-    A file is written under a passing name and renamed, so a task that is run again
-    replaces it whole. Only counts come to the driver.
+    A file is written under a passing name, its length is compared with the content's, and then it is
+    renamed, so a task that is run again replaces it whole. What cannot be written, and a missing content,
+    is RESULT_UPLOAD_FAILED; a key that leaves the root fails the job. Writing happens when the rows are read.
     """
     from pyarrow import fs
 
+    def put(store, path: str, body: bytes | None) -> str | None:
+        if body is None:
+            return "RESULT_UPLOAD_FAILED"
+        try:
+            store.create_dir(posixpath.dirname(path), recursive=True)
+            with store.open_output_stream(f"{path}.part") as f:
+                f.write(body)
+            if store.get_file_info(f"{path}.part").size != len(body):
+                return "RESULT_UPLOAD_FAILED"
+            store.move(f"{path}.part", path)
+        except OSError:
+            return "RESULT_UPLOAD_FAILED"
+
     def wrote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
         for batch in batches:
+            out: list[tuple] = []
             for i in range(batch.num_rows):
-                path = f"{base.rstrip('/')}/{contained(batch.column(key)[i].as_py())}"
-                store.create_dir(posixpath.dirname(path), recursive=True)
-                with store.open_output_stream(f"{path}.part") as f:
-                    f.write(batch.column(content)[i].as_py() or b"")
-                store.move(f"{path}.part", path)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
-
-    return rows.select(key, content).mapInArrow(wrote, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+                name, body = batch.column(key)[i].as_py(), batch.column(content)[i].as_py()
+                out.append((name, None if body is None else len(body), put(store, f"{base.rstrip('/')}/{contained(name)}", body)))
+            columns = zip(*out, strict=True) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["key", "n_bytes", "error_code"])
+
+    return rows.select(key, content).mapInArrow(wrote, "key string, n_bytes long, error_code string")
+
+
+def write_files(rows: DataFrame, root: str, key: str = "key", content: str = "content") -> int:
+    """Write each row's content under root/key; how many there are. Only counts come to the driver; a file that cannot be written is an error."""
+    n, failed = uploaded(rows, root, key, content).agg(F.count(F.lit(1)), F.count("error_code")).first()
+    if failed:
+        raise OSError(f"RESULT_UPLOAD_FAILED: {failed} of {n} files")
+    return n
 
 
 def delete_files(rows: DataFrame, path: str = "path") -> int:

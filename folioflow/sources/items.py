@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 #: raw (a finished block), image (content), file (content under the name in alt), notes, warning.
 ITEM = (
     "struct<part_no:int,place:int,key:array<bigint>,kind:string,text:string,paragraphs:array<struct<level:int,text:string>>,"
-    "rows:array<array<string>>,ext:string,alt:string,position:int,coverage:double,digest:string,content:binary>"
+    "rows:array<array<string>>,ext:string,alt:string,position:int,boxes:array<struct<w:double,h:double>>,area:double,digest:string,content:binary>"
 )
 EXTRACT = f"error_code string, parts int, items array<{ITEM}>"
 #: Places within a part.
@@ -36,13 +36,15 @@ class Item:
     ext: str | None = None
     alt: str | None = None
     position: int | None = None
-    coverage: float | None = None
+    boxes: list[tuple[float, float]] | None = None
+    area: float | None = None
     content: bytes | None = None
 
     def row(self) -> dict:
         paragraphs = None if self.paragraphs is None else [{"level": a, "text": b} for a, b in self.paragraphs]
         digest = None if self.content is None else hashlib.sha256(self.content).hexdigest()
-        return {**self.__dict__, "key": list(self.key), "paragraphs": paragraphs, "digest": digest}
+        boxes = None if self.boxes is None else [{"w": float(w), "h": float(h)} for w, h in self.boxes]
+        return {**self.__dict__, "key": list(self.key), "paragraphs": paragraphs, "boxes": boxes, "digest": digest}
 
 
 @dataclass

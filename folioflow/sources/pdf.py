@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 from ..config import Limits
 from ..functions.errors import WARNINGS
+from .budget import TableBudget
 from .items import BODY, HEAD, IMAGES, TABLES, Extract, Failure, Item
 
 
@@ -584,12 +585,11 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
         raise Failure("INVALID_FILE_FORMAT")
     items: list[Item] = []
     warn = lambda number, place, kind: items.append(Item(number, "warning", place, (len(items),), text=WARNINGS[kind].replace("{n}", str(number))))
-    tables, used = limits.tables, 0.0
-    if tables and len(pages) > limits.max_table_pages:
-        tables = False
+    budget = TableBudget(limits, len(pages))
+    if limits.tables and not budget.open:
         warn(1, HEAD, "tables_pages")
     for number, page in enumerate(pages, start=1):
-        head = Item(number, "page", HEAD, text="", coverage=0.0, position=0)
+        head = Item(number, "page", HEAD, text="", boxes=[], area=0.0, position=0)
         items.append(head)
         p = Page(file, page)
         try:
@@ -599,23 +599,18 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
         except Exception:  # whatever a damaged page does, its text stays out of messages
             warn(number, BODY, "page_text")
         else:
-            # the numerator is capped by the page, overlaps count twice
-            head.coverage = min(1.0, sum(w * h for w, h in p.boxes if w > 0 and h > 0) / p.area) if p.area > 0 else 0.0
+            head.boxes, head.area = p.boxes, p.area
             head.text = p.text()
-            if tables:
+            if limits.tables and budget.open:
                 begun = time.perf_counter()
                 try:
                     found = p.tables()
                 except Exception:
                     found = []
                     warn(number, TABLES, "page_tables")
-                spent = time.perf_counter() - begun
-                used += spent
-                if spent > limits.table_page_seconds:
-                    warn(number, TABLES, "page_tables_slow")
-                elif used > limits.table_budget:
-                    tables = False
-                    warn(number, TABLES, "tables_stopped")
+                judged = budget.judge(time.perf_counter() - begun)
+                if judged != "kept":
+                    warn(number, TABLES, "page_tables_slow" if judged == "slow" else "tables_stopped")
                 else:
                     items += [Item(number, "ptable", TABLES, (i,), rows=rows) for i, rows in enumerate(found)]
         if include_media:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.lifecycle import latest_status
 
+log = logging.getLogger(__name__)
+
 
 def events(spark: SparkSession, path: str, like: DataFrame, ts: str = "ts", files_per_trigger: int = 16) -> DataFrame:
     """A stream of Parquet events with ``ts`` as a timestamp, which watermarks need."""
@@ -52,9 +57,11 @@ def run_to_end(stream: DataFrame, root: str, mode: str = "complete", each: Calla
 
 
 def publish(statuses: DataFrame, path: str) -> bool:
-    """Append status events; best effort, so a failure to report never fails a job."""
+    """Append status events; best effort, so a failure to write them never fails a job, but is logged. What is wrong with the statuses themselves is an error."""
+    statuses.schema  # noqa: B018  a plan that cannot be analysed is a fault of the caller
     try:
         statuses.write.mode("append").parquet(path)
         return True
-    except Exception:
+    except (Py4JJavaError, PySparkException, OSError) as e:
+        log.warning("statuses could not be published: %s", type(e).__name__)
         return False
