@@ -1,8 +1,9 @@
 """PDF pages to items with the standard library: text lines, ruled tables, images.
 
 Objects are found by scanning the whole file, so a damaged cross-reference table does no
-harm; object streams are unpacked. Of filters, Flate (with predictors), ASCIIHex and
-ASCII85 are undone; DCT images pass as they are, raw RGB and grey ones become PNG.
+harm; object streams are unpacked, and of objects with one number the last in the file counts. Files that
+open with an empty password are deciphered. Of filters, Flate and LZW (with predictors), run lengths, ASCIIHex and
+ASCII85 are undone; DCT and JPX images pass as they are, CCITT ones become TIFF, raw RGB and grey ones PNG.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
+
 from ..config import Limits
 from ..functions.errors import WARNINGS
 from .budget import TableBudget
+from .cipher import opened
 from .items import BODY, HEAD, IMAGES, TABLES, Extract, Failure, Item
 
 
@@ -44,6 +48,8 @@ class Ref:
 class Stream:
     info: dict
     raw: bytes
+    number: int = 0
+    generation: int = 0
 
 
 class Parser:
@@ -134,7 +140,9 @@ class File:
         self.objects: dict[int, object] = {}
         self.trailer: dict = {}
         self.expanded = 0
-        packed = []
+        packed: list[tuple[int, Stream]] = []
+        placed: dict[int, int] = {}  # where each object's number was last defined
+        trailers: list[tuple[int, dict]] = []
         at = 0
         while m := OBJECT.search(data, at):
             p = Parser(data, m.end())
@@ -142,28 +150,52 @@ class File:
             at = p.at
             if isinstance(value, dict) and (s := re.compile(rb"\s*stream(\r\n|\n|\r)").match(data, p.at)):
                 value, at = self.stream(data, s.end(), value)
+                value.number, value.generation = int(m[1]), int(m[2])
                 kind = value.info.get("Type")
                 if kind == "ObjStm":
-                    packed.append(value)
+                    packed.append((m.start(), value))
                 elif kind == "XRef":
-                    self.trailer |= value.info
+                    trailers.append((m.start(), value.info))
             self.objects[int(m[1])] = value
+            placed[int(m[1])] = m.start()
         for t in re.finditer(rb"\btrailer\b", data):
             found = Parser(data, t.end()).value()
             if isinstance(found, dict):
-                self.trailer |= found
+                trailers.append((t.start(), found))
+        for _, found in sorted(trailers, key=lambda t: t[0]):
+            self.trailer |= found
         if "Encrypt" in self.trailer:
-            raise Failure("PASSWORD_PROTECTED")
-        for s in packed:
-            body, p = self.decoded(s), None
+            self.decipher()
+        for position, s in packed:
+            body = self.decoded(s)
             p = Parser(body)
             heads = [(p.value(), p.value()) for _ in range(self.number(s.info.get("N")))]
             for number, offset in heads:
-                if isinstance(number, int) and isinstance(offset, int):
-                    self.objects.setdefault(number, Parser(body, self.number(s.info.get("First")) + offset).value())
+                if isinstance(number, int) and isinstance(offset, int) and placed.get(number, -1) <= position:
+                    self.objects[number] = Parser(body, self.number(s.info.get("First")) + offset).value()
+                    placed[number] = position
         if not self.objects:
             raise Failure("INVALID_FILE_FORMAT")
 
+    def decipher(self) -> None:
+        """Decipher all streams of a file that opens with an empty password; others are PASSWORD_PROTECTED."""
+        e, get = self.dict(self.trailer["Encrypt"]), lambda d, key, otherwise: self.get(d.get(key)) or otherwise
+        version, revision = int(self.number(e.get("V"))), int(self.number(e.get("R")))
+        method, length = "V2", int(self.number(e.get("Length"), 40))
+        if version >= 4:
+            crypt = self.dict(self.dict(e.get("CF")).get(str(get(e, "StmF", "Identity"))))
+            method, length = str(get(crypt, "CFM", "Identity")).replace("None", "Identity"), 128
+        identifier = (self.list(self.trailer.get("ID")) or [b""])[0]
+        try:
+            cipher = opened(version, revision, length, get(e, "O", b""), get(e, "U", b""), int(self.number(e.get("P"))), self.get(identifier) or b"", method, e.get("EncryptMetadata") != "false", get(e, "UE", b""))
+        except Exception:  # whatever is wrong with the dictionary, the file cannot be opened
+            cipher = None
+        if get(e, "Filter", "Standard") != "Standard" or version not in (1, 2, 4, 5) or method not in ("V2", "AESV2", "AESV3", "Identity") or cipher is None:
+            raise Failure("PASSWORD_PROTECTED")
+        for s in self.objects.values():
+            if isinstance(s, Stream) and s.info.get("Type") != "XRef" and "Crypt" not in self.filters(s):
+                s.raw = cipher.stream(s.raw, s.number, s.generation)
+
     def stream(self, data: bytes, begin: int, info: dict) -> tuple[Stream, int]:
         length = info.get("Length")
         if isinstance(length, int) and re.compile(rb"\s*endstream").match(data, begin + length):
@@ -212,6 +244,16 @@ class File:
                 if d.unconsumed_tail or self.expanded > MOST_EXPANDED:
                     raise Failure("DOCUMENT_EXPANDS_TOO_LARGE")
                 data = self.unpredicted(data, self.dict(parameters[i]) if i < len(parameters) else {})
+            elif name in ("LZWDecode", "LZW"):
+                own = self.dict(parameters[i]) if i < len(parameters) else {}
+                data = unpacked_lzw(data, int(self.number(own.get("EarlyChange"), 1)), MOST_EXPANDED - self.expanded)
+                self.expanded += len(data)
+                data = self.unpredicted(data, own)
+            elif name in ("RunLengthDecode", "RL"):
+                data = unpacked_runs(data, MOST_EXPANDED - self.expanded)
+                self.expanded += len(data)
+            elif name == "Crypt":
+                continue
             elif name in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
                 data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -222,6 +264,10 @@ class File:
         return data
 
     def unpredicted(self, data: bytes, p: dict) -> bytes:
+        if self.number(p.get("Predictor"), 1) == 2 and self.number(p.get("BitsPerComponent"), 8) == 8:
+            colors, columns = int(self.number(p.get("Colors"), 1)), int(self.number(p.get("Columns"), 1))
+            rows = np.frombuffer(data[: len(data) // (colors * columns) * colors * columns], dtype=np.uint8).reshape(-1, columns, colors)
+            return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()
         if self.number(p.get("Predictor"), 1) < 10:
             return data
         size = max(1, int(self.number(p.get("Colors"), 1) * self.number(p.get("BitsPerComponent"), 8)) // 8)
@@ -272,12 +318,53 @@ class File:
         return out
 
 
+def unpacked_lzw(data: bytes, early: int, most: int) -> bytes:
+    """Codes of 9 to 12 bits, from the highest bit on; 256 empties the table, 257 ends."""
+    table, out, width, held, bits, last = [bytes([i]) for i in range(256)] + [b"", b""], bytearray(), 9, 0, 0, b""
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & (1 << bits) - 1
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = table[:258], 9, b""
+            continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("damaged codes")
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if len(out) > most:
+            raise Failure("DOCUMENT_EXPANDS_TOO_LARGE")
+        if last and len(table) < 4096:
+            table.append(last + word[:1])
+        last = word
+        width = min(12, max(9, (len(table) + early).bit_length()))
+    return bytes(out)
+
+
+def unpacked_runs(data: bytes, most: int) -> bytes:
+    """A length byte under 128: so many bytes and one more follow; over 128: the next byte 257 less that number times; 128 ends."""
+    out, at = bytearray(), 0
+    while at < len(data) and data[at] != 128:
+        n = data[at]
+        out += data[at + 1 : at + 2 + n] if n < 128 else data[at + 1 : at + 2] * (257 - n)
+        at += 2 + n if n < 128 else 2
+        if len(out) > most:
+            raise Failure("DOCUMENT_EXPANDS_TOO_LARGE")
+    return bytes(out)
+
+
 class Font:
     """Bytes of a string to characters and widths (in thousandths)."""
 
     def __init__(self, file: File, d: dict):
         self.wide = d.get("Subtype") == "Type0"
         self.map: dict[int, str] = {}
+        #: codes of these predefined maps are UTF-16 themselves
+        self.utf16 = re.fullmatch(r"Uni.*UTF16-[HV]", str(file.get(d.get("Encoding")))) is not None
         unicode = file.get(d.get("ToUnicode"))
         if isinstance(unicode, Stream):
             self.read_map(file.decoded(unicode))
@@ -323,7 +410,7 @@ class Font:
         for c in codes:
             text = self.map.get(c)
             if text is None:
-                text = "" if self.wide else glyph(self.names[c]) if c in self.names else bytes([c]).decode("cp1252", "replace")
+                text = c.to_bytes(2, "big").decode("utf-16-be", "replace") if self.utf16 else "" if self.wide else glyph(self.names[c]) if c in self.names else bytes([c]).decode("cp1252", "replace")
             i = c - self.first
             out.append((text, self.widths[i] if not self.wide and 0 <= i < len(self.widths) else 1000 if self.wide else 500))
         return out
@@ -561,6 +648,10 @@ def image_bytes(file: File, s: Stream) -> tuple[bytes, str]:
     filters = file.filters(s)
     if filters and filters[-1] in ("DCTDecode", "DCT"):
         return file.decoded(s, ("DCTDecode", "DCT")), ".jpg"
+    if filters and filters[-1] == "JPXDecode":
+        return file.decoded(s, ("JPXDecode",)), ".jp2"
+    if filters and filters[-1] in ("CCITTFaxDecode", "CCF"):
+        return fax(file, s), ".tiff"
     data = file.decoded(s)
     width, height = int(file.number(s.info.get("Width", s.info.get("W")))), int(file.number(s.info.get("Height", s.info.get("H"))))
     space = file.get(s.info.get("ColorSpace", s.info.get("CS")))
@@ -578,6 +669,20 @@ def image_bytes(file: File, s: Stream) -> tuple[bytes, str]:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""), ".png"
 
 
+def fax(file: File, s: Stream) -> bytes:
+    """A TIFF around the codes of a CCITT image, which are not touched."""
+    codes = file.decoded(s, ("CCITTFaxDecode", "CCF"))
+    p = file.dict((file.list(s.info.get("DecodeParms", s.info.get("DP"))) or [{}])[-1])
+    k, width = file.number(p.get("K"), 0), int(file.number(p.get("Columns"), 1728))
+    height = int(file.number(s.info.get("Height", s.info.get("H"))) or file.number(p.get("Rows")))
+    # tag, type (3: 16 bits, 4: 32 bits), value; options of Group 3 say whether lines depend on each other
+    tags = [(256, 4, width), (257, 4, height), (258, 3, 1), (259, 3, 4 if k < 0 else 3), (262, 3, 1 if str(p.get("BlackIs1")) == "true" else 0), (273, 4, 0), (277, 3, 1), (278, 4, height), (279, 4, len(codes))]
+    tags += [(292, 4, 1 if k > 0 else 0)] if k >= 0 else []
+    begin = 8 + 2 + 12 * len(tags) + 4
+    body = b"".join(struct.pack("<HHII", tag, kind, 1, begin if tag == 273 else value) for tag, kind, value in tags)
+    return b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", len(tags)) + body + bytes(4) + codes
+
+
 def extract(content: bytes, limits: Limits = Limits(), include_media: bool = True) -> Extract:  # noqa: B008
     file = File(content)
     pages = file.pages()

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from folioflow.config import Limits, from_env
 from folioflow.functions import tokens
 from folioflow.operators import ladder, lifecycle, media, outcome
+from folioflow.sources import files
+from folioflow.streaming import jobs
 
 SECRET = b"s" * 32
 
@@ -56,6 +58,71 @@ def test_a_sweep_stops_after_the_page_that_reaches_its_limit(spark):
     assert lifecycle.paged_deletions(df, now, page=10, most=500).count() == 50
 
 
+def test_a_ledger_refuses_and_floors(spark):
+    rows = [("p", i, a) for i, a in enumerate([5, 5, 1, -9, 6])] + [(None, 0, 7), (None, 1, None), (None, 2, 6), ("q", 0, -1)]
+    df = spark.createDataFrame(rows, "pool string, n int, amount long").repartition(3)
+    got = {(r["pool"], r["n"]): (r["reserved"], r["fits"]) for r in lifecycle.admission_replay(df, 6, "n").collect()}
+    assert [got["p", i] for i in range(5)] == [(5, True), (5, False), (6, True), (0, True), (6, True)]
+    assert [got[None, i] for i in range(3)] == [(0, False), (0, True), (6, True)] and got["q", 0] == (0, True)
+    assert lifecycle.admission_replay(df.limit(0), 6, "n").count() == 0
+
+
+def test_names_in_use_are_not_given_again(spark):
+    wanted = ["a.png", "a.png", "a-2.png", "a.png", "a-2.png", "b", "b", None, "c.d.png", "c.d.png"]
+    df = spark.createDataFrame([("d", i, w, "old") for i, w in enumerate(wanted)] + [("e", 0, "a.png", "old")], "doc string, seq int, wanted string, name string")
+    got = {(r["doc"], r["seq"]): r["name"] for r in media.without_collisions(df, "doc", "wanted", "seq").collect()}
+    assert [got["d", i] for i in range(len(wanted))] == ["a.png", "a-2.png", "a-2-2.png", "a-3.png", "a-2-3.png", "b", "-2.b", None, "c.d.png", "c.d-2.png"]
+    assert got["e", 0] == "a.png"
+
+
+def test_contact_is_lost_after_failures_in_a_row(spark):
+    rows = [("a", i, i == 4) for i in range(13)] + [("b", i, None if i % 2 else False) for i in range(16)] + [("c", i, i % 7 == 0) for i in range(50)]
+    got = {r["job_id"]: r["ts"] for r in lifecycle.lost_contact(spark.createDataFrame(rows, "job_id string, ts int, ok boolean")).collect()}
+    assert got == {"a": 12, "b": 14}
+
+
+def test_tables_within_their_time(spark):
+    seconds = [1.0, 6.0, 2.0, 2.0, 9.0, 1.0]
+    df = spark.createDataFrame([("d", i, x, 6) for i, x in enumerate(seconds)] + [("e", i, 1.0, 9) for i in range(2)], "doc string, page int, seconds double, pages int")
+    got = outcome.table_budget(df, "doc", "page", Limits(table_page_seconds=5, deadline=10, table_reserve_seconds=0, max_table_pages=8))
+    assert [r["tables"] for r in got.orderBy("doc", "page").collect()] == ["kept", "slow", "kept", "over", "stopped", "stopped", "pages", "pages"]
+
+
+def test_stages_in_and_out_of_order(spark):
+    rows = [("a", 1, "accepted"), ("a", 2, "converting"), ("a", 3, "downloading"), ("a", 4, "complete"), ("a", 5, "uploading")]
+    df = spark.createDataFrame([(j, t, t, s) for j, t, s in rows], "job_id string, event_id int, ts int, stage string")
+    assert [r["allowed"] for r in lifecycle.out_of_order(df).orderBy("ts").collect()] == [True, True, False, True, False]
+
+
+def test_statuses_are_published_or_the_failure_is_told(spark, tmp_path):
+    df = spark.createDataFrame([("a", "accepted")], "job_id string, stage string")
+    assert jobs.publish(df, str(tmp_path / "s")) and jobs.publish(df, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    (tmp_path / "file").write_text("x")
+    assert not jobs.publish(df, str(tmp_path / "file" / "below"))
+
+
+def test_repeated_jobs_of_a_stream_count_once(spark, tmp_path):
+    rows = [("a", 0), ("a", 10), ("b", 20), ("a", 30)]
+    spark.createDataFrame(rows, "job_id string, t long").select("job_id", F.timestamp_seconds("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("job_id string, ts timestamp").parquet(str(tmp_path / "in"))
+    out = jobs.run_to_end(jobs.once_per_job(stream, "job_id", "ts"), str(tmp_path / "work"), mode="append")
+    assert sorted(r["job_id"] for r in out.collect()) == ["a", "b"]
+
+
+def test_uploads_are_checked(spark, tmp_path):
+    root = tmp_path / "out"
+    root.mkdir()
+    (root / "taken").write_text("a file where a folder is wanted")
+    df = spark.createDataFrame([("x/a.md", bytearray(b"abc")), ("b.md", bytearray(b"")), ("taken/c.md", bytearray(b"d")), ("e.md", None)], "key string, content binary")
+    got = {r["key"]: (r["n_bytes"], r["error_code"]) for r in files.uploaded(df, str(root)).collect()}
+    assert got == {"x/a.md": (3, None), "b.md": (0, None), "taken/c.md": (1, "RESULT_UPLOAD_FAILED"), "e.md": (None, "RESULT_UPLOAD_FAILED")}
+    assert (root / "x/a.md").read_bytes() == b"abc" and not (root / "e.md").exists()
+    with pytest.raises(OSError):
+        files.write_files(df, str(root))
+    assert files.write_files(df.limit(2), str(root)) == 2
+
+
 def test_media_budget_and_names(spark):
     rows = [("d", 1, 1, 1, "x", 60), ("d", 2, 1, 2, "x", 60), ("d", 3, 2, 1, "y", 30), ("d", 4, 3, 1, "z", 20)]
     refs = spark.createDataFrame(rows, "doc_id string, seq long, part_no int, position int, digest string, n_bytes long").withColumn("extension", F.lit(".png"))

@@ -6,26 +6,32 @@ from folioflow.functions import gfm, paths, text
 from folioflow.functions.binary import image_extension
 from folioflow.operators import ladder
 
+#: One or two cases for each rule: folders, extensions, composition, letters that no name may hold, dots, spaces, length, devices, nothing left.
 STEMS = {
-    "report.docx": "report",
-    "Market Study.pdf": "Market Study",
-    "../../etc/passwd": "passwd",
-    "..\\..\\windows\\system32": "system32",
-    "/absolute/path/deck.pptx": "deck",
-    "C:\\Users\\me\\deck.pptx": "deck",
-    "with<illegal>chars.pdf": "with_illegal_chars",
-    "trailing dots...pdf": "trailing dots",
-    "   spaced   out   .pdf": "spaced out",
-    "": "document",
-    "...": "document",
-    ".pdf": "pdf",
-    "bad\x00name\x1f.pdf": "bad_name_",
-    "Übersicht Ø 2026.docx": "Übersicht Ø 2026",
-    "cafe\u0301.pdf": "café",
-    "con.pdf": "con_file",
-    "LPT9.pdf": "LPT9_file",
-    "x" * 500 + ".pdf": "x" * 120,
-    "///": "document",
+    "minutes.pptx": "minutes",
+    "archive/2024/Annual Budget.docx": "Annual Budget",
+    "D:\\work\\drafts\\slides.pdf": "slides",
+    "mixed/sep\\arators/x.pdf": "x",
+    "up/../../and/away.pdf": "away",
+    "notes.v2.final.docx": "notes.v2.final",
+    "no extension": "no extension",
+    "a|b?c*d.pdf": "a_b_c_d",
+    'quote"d.docx': "quote_d",
+    "tab\there.pdf": "tab_here",
+    "del\x7fete.pdf": "del_ete",
+    "wait....what.docx": "wait.what",
+    ". . edges . ..pdf": "edges",
+    "two  \u00a0 kinds\u3000of space.pdf": "two kinds of space",
+    "A\u030angstro\u0308m.docx": "Ångström",
+    "日本語の資料.pptx": "日本語の資料",
+    "z" * 130 + ".docx": "z" * 120,
+    "y" * 119 + ". tail.docx": "y" * 119,
+    "aux.docx": "aux_file",
+    "Com3.pptx": "Com3_file",
+    "com10.pptx": "com10",
+    "folder/": "document",
+    " . ": "document",
+    "\u2028": "document",
 }
 
 
@@ -46,24 +52,27 @@ def test_cleaner(evaluate):
 
 def test_media_targets(evaluate):
     cases = {
-        "media/image1.png": "media/image1.png",
-        "./media/image1.png": "media/image1.png",
-        "output/media/image1.png": "media/image1.png",
-        "C:\\tmp\\job\\output\\media\\image1.png": "media/image1.png",
-        "media/sub/image1.png": "media/sub/image1.png",
-        "a/media/b/media/c.png": "media/c.png",
-        "https://example.com/media/image.png": None,
-        "data:image/png;base64,AAAA": None,
-        "#media/x": None,
-        "notmedia/image.png": None,
+        "media/fig.gif": "media/fig.gif",
+        "./build/././media/fig.gif": "media/fig.gif",
+        "/var/spool/x9/media/fig.gif": "media/fig.gif",
+        "E:\\jobs\\7\\media\\deep\\fig.gif": "media/deep/fig.gif",
+        "media/old/media/new/fig.gif": "media/new/fig.gif",
+        "x//media//fig.gif": "media/fig.gif",
+        "media": "media",
+        "http://host.example/media/fig.gif": None,
+        "data:text/plain,media/": None,
+        "#media/fig": None,
+        "multimedia/fig.gif": None,
+        "Media/fig.gif": None,
+        "": None,
     }
     assert evaluate(lambda X: paths.media_target(X), list(cases)) == list(cases.values())
 
 
 def test_images_become_portable(evaluate):
-    before = '<img src="./media/image1.png" style="width:1in" />\n\n<img alt="A chart" src="media/image2.png" /> <img src="x.png"> ![a](/tmp/out/media/image3.png) ![b](other.png)'
-    after = '![Image](media/image1.png)\n\n![A chart](media/image2.png) <img src="x.png"> ![a](media/image3.png) ![b](other.png)'
-    assert evaluate(lambda X: paths.portable_images(X), [before, "", "plain"]) == [after, "", "plain"]
+    before = "Start <IMG height=3 src='out/media/p1.gif'> mid <img src=\"/q/media/p2.gif\" alt=\" Two words \"><img alt='none' src='p3.gif'> ![one](x\\media\\p4.gif)![two](p5.gif) end\nlast"
+    after = "Start ![Image](media/p1.gif) mid ![Two words](media/p2.gif)<img alt='none' src='p3.gif'> ![one](media/p4.gif)![two](p5.gif) end\nlast"
+    assert evaluate(lambda X: paths.portable_images(X), [before, "", "no links", "![a](media/x.png)"]) == [after, "", "no links", "![a](media/x.png)"]
 
 
 def test_url_pathnames(evaluate):
@@ -76,6 +85,11 @@ def test_url_pathnames(evaluate):
     assert evaluate(lambda X: paths.url_pathname(X), list(cases)) == list(cases.values())
 
 
+def test_urls_are_bound_to_the_signed_path(evaluate):
+    urls = ["https://s.example/jobs/a%20b.pdf?sig=1", "https://s.example/api?pathname=jobs%2Fa%2520b.pdf", "HTTPS://s.example/jobs/a%20b.pdf", "http://s.example/jobs/a%20b.pdf", "https://s.example/jobs/a.pdf", "https://s.example", None]
+    assert evaluate(lambda X: paths.bound_to(X, F.lit("/jobs/a b.pdf")), urls) == [None] * 3 + ["JOB_TOKEN_INVALID"] * 4
+
+
 def test_keys_belong_to_their_job(evaluate):
     keys = ["jobs/2024-01-01/j1/source/a", "jobs/2024-01-01/j1x/source/a", "/jobs/2024-01-01/j1/a", "jobs/2024-01-01/j1/../a", "jobs/24-01-01/j1/a"]
     assert evaluate(lambda X: paths.belongs_to(X, F.lit("j1")), keys) == [True, False, False, False, False]
