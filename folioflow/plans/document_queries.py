@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.convert import converted
+from ..config import Limits
+from ..operators.convert import convert_folder, converted, delivered
 from ..sources import samples
+from ..sources.files import listing, uploaded, write_files
 from ..streaming import jobs
+from ..streaming.convert import convert_stream
 from .job_queries import SQL_STATUS, STAGE
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +43,8 @@ def files_of_regions(spark: SparkSession, sf_dir: str, extension: str, build: Ca
     return grouped.mapInPandas(made, "path string, length long, content binary")
 
 
-def outcomes(docs: DataFrame) -> DataFrame:
-    return converted(docs).select("stem", "markdown", "pages_or_slides", "media_count", F.array_join("warnings", ";").alias("warnings"), "shape", "error_code")
+def outcomes(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    return converted(docs, limits).select("stem", "markdown", "pages_or_slides", "media_count", F.array_join("warnings", ";").alias("warnings"), "shape", "error_code")
 
 
 def deck(region: str, nations: list) -> bytes:
@@ -83,6 +87,99 @@ def pdf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(files_of_regions(spark, sf_dir, ".pdf", leaflet))
 
 
+def report_slides(region: str, nations: list) -> bytes:
+    """A slide for each nation with every kind of shape: a group out of order, a table, a picture, objects that are not converted, notes."""
+    slides = []
+    for k, n in nations:
+        grouped = samples.box(samples.paragraph(f"late {n}"), 9, 0) + samples.group(samples.box(samples.paragraph("second"), 5, 0) + samples.box(samples.paragraph("first"), 1, 0), 2)
+        slides.append(grouped + samples.slide_table([["Key"], [str(k)]], 20) + samples.picture("m0", "", 30) + samples.frame("http://x/chart", "", 40) + samples.frame("http://x/diagram", "", 50))
+    return samples.pptx(slides, {"logo.png": samples.png(7)}, {i: f"about {n}" for i, (_, n) in enumerate(nations)})
+
+
+SQL_SHAPES = """
+    WITH n AS (SELECT r_name, n_name, n_nationkey, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT r_name AS stem, string_agg(CASE WHEN i > 1 THEN '---' || chr(10) || chr(10) ELSE '' END || '## Slide ' || i || chr(10) || chr(10) || 'first' || chr(10) || chr(10) || 'second' || chr(10) || chr(10) || 'late ' || n_name || chr(10) || chr(10) ||
+           '| Key |' || chr(10) || '| --- |' || chr(10) || '| ' || n_nationkey || ' |'{more}, chr(10) || chr(10) ORDER BY i) || chr(10) AS markdown,
+           CAST(count(*) AS INT) AS pages_or_slides, CAST({count} AS INT) AS media_count,
+           string_agg('Slide ' || i || ' contains a chart. Chart data is not converted.;Slide ' || i || ' contains SmartArt. SmartArt is not converted.', ';' ORDER BY i) AS warnings, '{shape}' AS shape, CAST(NULL AS VARCHAR) AS error_code
+    FROM n GROUP BY r_name"""
+
+
+@query(SQL_SHAPES.format(more=" || chr(10) || chr(10) || '![Slide ' || i || ' image](media/slide-001-image-001.png)'", count=1, shape="zip"))
+def office_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes by precedence and place, objects that only leave a warning; notes are off."""
+    return outcomes(files_of_regions(spark, sf_dir, ".pptx", report_slides))
+
+
+@query(SQL_SHAPES.format(more=" || chr(10) || chr(10) || '**Speaker notes:** about ' || n_name", count=0, shape="md"))
+def office_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without media and with notes."""
+    return outcomes(files_of_regions(spark, sf_dir, ".pptx", report_slides), Limits(include_media=False, notes=True))
+
+
+def damaged(region: str, nations: list) -> bytes:
+    """Pages with text, an image that cannot be decoded and one that can."""
+    pages = [samples.text_at(50, 750, n) + "q 60 0 0 80 0 0 cm /A Do Q q 60 0 0 80 0 0 cm /B Do Q" for _, n in nations]
+    return samples.pdf(pages, {"A": (9, 9, b"too short"), "B": (1, 1, b"\x07")})
+
+
+@query("""
+    WITH n AS (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
+    SELECT r_name AS stem, string_agg(CASE WHEN i > 1 THEN '---' || chr(10) || chr(10) ELSE '' END || '## Page ' || i || chr(10) || chr(10) || n_name || chr(10) || chr(10) || '![Page ' || i || ' image](media/page-001-image-002.png)', chr(10) || chr(10) ORDER BY i) || chr(10) AS markdown,
+           CAST(count(*) AS INT) AS pages_or_slides, CAST(1 AS INT) AS media_count, string_agg('Page ' || i || ' contains an image that could not be extracted.', ';' ORDER BY i) AS warnings, 'zip' AS shape, CAST(NULL AS VARCHAR) AS error_code
+    FROM n GROUP BY r_name""")
+def pdf_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of pages are numbered from 1, those that cannot be decoded included, which leave a warning."""
+    return outcomes(files_of_regions(spark, sf_dir, ".pdf", damaged))
+
+
+@query(f"SELECT * FROM ({ORACLES['pdf_extract']})")
+def pdf_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parsed in processes of their own."""
+    return outcomes(files_of_regions(spark, sf_dir, ".pdf", leaflet), Limits(isolate_above=0))
+
+
+def landed(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with files of every region: a deck, a report, a leaflet, and three that are refused."""
+    folder = f"{shared_dir(spark)}/landing"
+    made = [files_of_regions(spark, sf_dir, ext, build).select(F.substring("path", 4, 100).alias("key"), "content") for ext, build in ((".pptx", deck), (".docx", report), (".pdf", leaflet))]
+    regions = table(spark, sf_dir, "region").select("r_name")
+    for name, content in (("-text.pdf", "plain text"), (".xlsx", "PK"), ("-long.pdf", "%PDF-" + "x" * 200_000)):
+        made.append(regions.select(F.concat("r_name", F.lit(name)).alias("key"), F.lit(content).cast("binary").alias("content")))
+    write_files(reduce(DataFrame.unionByName, made), folder)
+    return folder
+
+
+@query("""
+    SELECT r_name || e AS name, CASE WHEN e IN ('.pptx', '.docx', '.pdf') THEN substring(e, 2) WHEN e = '.xlsx' THEN NULL ELSE 'pdf' END AS source_type,
+           CASE e WHEN '.xlsx' THEN 'UNSUPPORTED_FILE_TYPE' WHEN '-text.pdf' THEN 'INVALID_FILE_FORMAT' WHEN '-long.pdf' THEN 'FILE_TOO_LARGE' END AS error_code,
+           CASE e WHEN '.pptx' THEN r_name || '_markdown.zip' WHEN '.docx' THEN r_name || '.md' WHEN '.pdf' THEN r_name || '.md' END AS delivered,
+           CASE e WHEN '.pptx' THEN 'zip' WHEN '.docx' THEN 'md' WHEN '.pdf' THEN 'md' END AS shape, e IN ('.pptx', '.docx', '.pdf') AS written
+    FROM region, (VALUES ('.pptx'), ('.docx'), ('.pdf'), ('-text.pdf'), ('.xlsx'), ('-long.pdf')) AS t(e)""")
+def folder_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written, listed, converted and delivered: sizes and names are judged on the listing, results are uploaded with their length checked."""
+    folder, limits = landed(spark, sf_dir), Limits(max_source_bytes=100_000)
+    name = lambda path: F.regexp_replace(path, "^.*/", "")
+    out = convert_folder(spark, folder, limits)
+    files = delivered(out, limits).select(F.concat(F.md5("path"), F.lit("/"), F.col("name")).alias("key"), "path", "name", "content")
+    sent = uploaded(files, f"{folder}-out").where("error_code IS NULL").select(F.regexp_extract("key", "^([^/]+)/", 1).alias("id"), F.regexp_replace("key", "^[^/]+/", "").alias("delivered"))
+    rows = out.select(name(F.col("path")).alias("name"), "source_type", "error_code", "shape", F.md5("path").alias("id"))
+    return rows.join(sent, "id", "left").select("name", "source_type", "error_code", "delivered", "shape", F.col("delivered").isNotNull().alias("written"))
+
+
+@query("""
+    SELECT r_name || e AS name, e IN ('-text.pdf', '.xlsx', '-long.pdf') AS still_there, CASE e WHEN '.xlsx' THEN 'UNSUPPORTED_FILE_TYPE' WHEN '-text.pdf' THEN 'INVALID_FILE_FORMAT' WHEN '-long.pdf' THEN 'INVALID_FILE_FORMAT' END AS error_code
+    FROM region, (VALUES ('.pptx'), ('.docx'), ('.pdf'), ('-text.pdf'), ('.xlsx'), ('-long.pdf')) AS t(e)""")
+def stream_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A landing folder as a stream: outcomes of each batch, then files, and only then are converted sources deleted."""
+    folder = landed(spark, sf_dir)
+    convert_stream(spark, folder, f"{folder}-out", f"{folder}-state", delete_sources=True).awaitTermination()
+    name = lambda path: F.regexp_replace(path, "^.*/", "")
+    there = listing(spark, folder).select(name(F.col("path")).alias("name"), F.lit(True).alias("there"))
+    done = spark.read.parquet(f"{folder}-out/outcomes").select(name(F.col("path")).alias("name"), "error_code")
+    return done.join(there, "name", "left").select("name", F.coalesce("there", F.lit(False)).alias("still_there"), "error_code")
+
+
 def stream_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.events(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events"))
 
@@ -99,3 +196,21 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = jobs.requests_per_window(stream_of_events(spark, sf_dir), "event_type", "ts", 2, 600)
     return jobs.run_to_end(counted, shared_dir(spark)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT user_id AS job_id, {STAGE} AS stage, ts FROM events")
+def status_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as published statuses, in two lots, read back."""
+    path = shared_dir(spark)
+    staged = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.expr(STAGE).alias("stage"), "ts", F.pmod(F.xxhash64("event_id"), F.lit(2)).alias("lot"))
+    for lot in (0, 1):
+        if not jobs.publish(staged.where(F.col("lot") == lot).drop("lot"), path):
+            raise OSError("statuses could not be published")
+    return spark.read.parquet(path)
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_once_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as jobs that repeat: each counts once within a time that covers the table."""
+    once = jobs.once_per_job(stream_of_events(spark, sf_dir), "user_id", "ts", "1000 days").select("user_id")
+    return jobs.run_to_end(once, shared_dir(spark), mode="append")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,17 @@ def stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> Dat
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
+def opened(path: str):
+    """The file system of a path as Spark writes it (letters are not escaped), and the path within."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), re.sub(r"\Afile:(//[^/]*)?(?=/)", "", path)
+    if m := re.match(r"([a-z][a-z0-9+.-]*://[^/]*)(/.*)?", path, re.S):
+        return fs.FileSystem.from_uri(m[1] + quote(m[2] or "/"))
+    return fs.LocalFileSystem(), path
+
+
 def contained(key: str) -> str:
     """A key that stays inside the root; anything else is an error."""
     clean = posixpath.normpath(key)
@@ -42,7 +55,6 @@ def uploaded(rows: DataFrame, root: str, key: str = "key", content: str = "conte
     renamed, so a task that is run again replaces it whole. What cannot be written, and a missing content,
     is RESULT_UPLOAD_FAILED; a key that leaves the root fails the job. Writing happens when the rows are read.
     """
-    from pyarrow import fs
 
     def put(store, path: str, body: bytes | None) -> str | None:
         if body is None:
@@ -58,7 +70,7 @@ def uploaded(rows: DataFrame, root: str, key: str = "key", content: str = "conte
             return "RESULT_UPLOAD_FAILED"
 
     def wrote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        store, base = opened(root)
         for batch in batches:
             out: list[tuple] = []
             for i in range(batch.num_rows):
@@ -80,17 +92,16 @@ def write_files(rows: DataFrame, root: str, key: str = "key", content: str = "co
 
 def delete_files(rows: DataFrame, path: str = "path") -> int:
     """Delete the files that rows name, best effort: what is gone already or cannot be deleted is passed over; how many went."""
-    from pyarrow import fs
 
     def gone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = 0
             for p in batch.column(path).to_pylist():
                 try:
-                    store, name = fs.FileSystem.from_uri(p) if ":" in p else (fs.LocalFileSystem(), p)
+                    store, name = opened(p)
                     store.delete_file(name)
                     n += 1
-                except OSError:
+                except (OSError, ValueError):  # gone, not to be deleted, or no path
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
