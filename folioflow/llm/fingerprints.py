@@ -63,10 +63,15 @@ def containment(a: Column, b: Column, share: float = SHARE) -> Column:
 
 
 def likeness(a: Column, b: Column, share: float = SHARE) -> Column:
-    """The estimated Jaccard similarity: the share of the merged sketch that both have. Two empty sketches are alike (1)."""
-    common = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
-    joint = F.element_at(F.transform(F.array(merged(a, b, share)), common), 1)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(joint)
+    """The estimated Jaccard similarity: the share of the merged sketch that both have. Two empty sketches are alike (1).
+
+    A sketch has hashes below the threshold only, or one hash above it, so sizes tell that of the merged sketch.
+    """
+    low = lambda s: F.when(F.get(s, 0) < below(share), F.size(s)).otherwise(0)
+    both = shared(a, b)
+    # a lone hash above the threshold is the merged sketch only beside another one
+    union = F.greatest(low(a) + low(b) - both, F.lit(1))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / union)
 
 
 def written(a: Column) -> Column:
