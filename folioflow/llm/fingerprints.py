@@ -94,8 +94,8 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(at, F.lit(0), lambda acc, s: F.when((acc + s <= len(bounds)) & (F.get(table, acc + s - 1) <= key), acc + s).otherwise(acc))
 
 
-def with_next(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """rows (doc_id, text, ...) with next_<column> of the row that follows by doc_id, then text; after the last row comes the first.
+def with_next(rows: DataFrame, columns: tuple[str, ...], made: dict[str, Column] | None = None) -> DataFrame:
+    """rows (doc_id, text, ...) with the columns in made, and next_<column> of the row that follows by doc_id, then text; after the last row comes the first.
 
     Rows are dealt into buckets between quantiles of doc_id (null ids first), so no sort
     meets all rows. A bucket also gets a copy of the next bucket's first row. Beyond
@@ -116,7 +116,7 @@ def with_next(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = firsts.select(F.col("__bucket").alias("__to"), F.coalesce(F.lead("__first").over(ring), F.first("__first").over(whole)).alias("__first"))
     guests = rows.join(F.broadcast(follows), F.col("__key") == F.col("__first")).withColumn("__bucket", F.col("__to")).withColumn("__guest", F.lit(1)).drop("__to", "__first")
-    both = rows.withColumn("__guest", F.lit(0)).unionByName(guests)
+    both = rows.withColumn("__guest", F.lit(0)).unionByName(guests).withColumns(made or {})  # once a row, and for the few copies
     order = Window.partitionBy("__bucket").orderBy("__guest", "__key", "text")
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("__guest = 0").drop("__key", "__bucket", "__guest")
 
@@ -135,6 +135,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows. Other columns of ``docs`` are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_next(rows.withColumn("sketch", sketch(F.col("text"), words, share)), ("text", "sketch"))
+    rows = with_next(rows, ("text", "sketch"), {"sketch": sketch(F.col("text"), words, share)})
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     return rows.withColumn("edited_sketch", sketch(F.col("edited"), words, share))
