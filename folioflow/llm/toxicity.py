@@ -33,7 +33,7 @@ class Settings:
     window, stride: words of a window and between windows. threshold: of a score that rejects.
     least_docs: documents in which a word of the vocabulary occurs. unread: the share of words read by their characters alone.
     repeated: clean windows that are read as one repeated word, for each other window.
-    first_windows, first_epochs: how many windows of all kinds are read, and how often, before single windows stand for documents.
+    first_windows, first_epochs, first_steps: how many windows of all kinds are read, how often, and in how many steps at least, before single windows stand for documents.
     distrust: the logit that a toxic row must reach to be learned from, after that. epochs, least_steps: of that second part."""
 
     sample_toxic: int = 1500
@@ -52,6 +52,7 @@ class Settings:
     repeated: float = 0.1
     first_windows: int = 12_000
     first_epochs: int = 2
+    first_steps: int = 180
     distrust: float = -2.0
     epochs: int = 4
     least_steps: int = 200
@@ -328,9 +329,10 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
     clean = np.flatnonzero(target[owner] == 0)
     first = np.flatnonzero(rng.random(len(owner)) < s.first_windows / len(owner))
     each = -(-2 * len(ids) // s.batch)  # steps of an epoch by single windows, about
+    before = max(s.first_epochs, -(-s.first_steps // max(1, -(-len(first) // s.batch))))
     epochs = max(s.epochs, -(-s.least_steps // each))
-    for epoch in range(s.first_epochs + epochs):
-        if epoch < s.first_epochs:
+    for epoch in range(before + epochs):
+        if epoch < before:
             chosen = first
         else:
             score = scored(net, rows, grams, index, mask)
@@ -343,7 +345,7 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
         chosen, alone = np.concatenate([chosen, again]), np.arange(len(chosen) + len(again)) >= len(chosen)
         order = rng.permutation(len(chosen))
         chosen, alone = chosen[order], alone[order]
-        rate = s.rate * min(1.0, 2 * (1 - epoch / (s.first_epochs + epochs)))  # falls in the second half
+        rate = s.rate * min(1.0, 2 * (1 - epoch / (before + epochs)))  # falls in the second half
         for at in range(0, len(chosen), s.batch):
             part, one = chosen[at : at + s.batch], alone[at : at + s.batch]
             read = index[part]
@@ -353,7 +355,7 @@ def fit(texts: list[str], toxic: list[int], s: Settings) -> Network | float:
             y_part = target[owner[part]]
             weight = np.where(y_part > 0, s.toxic_weight, 1.0).astype(np.float32)
             adam(gradients(net, known, grams.take(used), local.reshape(read.shape), mask[part], y_part, weight)[1], rate)
-        if epoch + 1 >= s.first_epochs + epochs // 2:
+        if epoch + 1 >= before + epochs // 2:
             adam.remember()
     net.w = adam.mean
     return net

@@ -95,7 +95,7 @@ def test_texts_that_share_an_opening_all_count(monkeypatch):
     texts, toxic = labelled(30, 3)
     read = []
     monkeypatch.setattr(t, "windows", lambda ids, s, f=t.windows: read.append(len(ids)) or f(ids, s))
-    t.fit([opening + x for x in texts] + [opening + texts[0].upper()], [*toxic, 0], replace(SMALL, epochs=1, first_epochs=0, least_steps=1))
+    t.fit([opening + x for x in texts] + [opening + texts[0].upper()], [*toxic, 0], replace(SMALL, epochs=1, first_epochs=0, first_steps=0, least_steps=1))
     assert read == [30]  # the last is a copy of the first
 
 
