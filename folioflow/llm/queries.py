@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, exact_dedup, fingerprints, html_extract, jaccard_join, packing, secret_scan, sharding, toxicity
+from . import bpe, chat_format, exact_dedup, fingerprints, hard_negatives, html_extract, importance, jaccard_join, packing, piece_bpe, secret_scan, sharding, toxicity
 from .common import table
 
 #: The vocabulary that op4 and op8 are asked to use; the operators take any path.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The model that op13 is asked to use.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +92,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(events))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.encode_decode(table(spark, sf_dir, "documents"), PIECES, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A word's crc32, byte by byte, from a table that the CTE crc makes by its rule.
+CRC32 = """4294967295 - list_reduce(list_prepend(4294967295, list_transform(range(1, 1 + octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), (2 * i - 1)::INT, 2))::BIGINT)),
+             lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1]))"""
+
 ORACLE_SQL = {
     "op5_sharding": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
     "op6_exact_dedup": r"""
@@ -114,4 +135,47 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(length(role) + length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) + 24) AS BIGINT) AS formatted_chars
         FROM c GROUP BY conv_id""",
+    "op11_importance": rf"""
+        WITH crc AS (
+          SELECT list(list_reduce(list_prepend(n, range(8)), lambda a, i: xor(a >> 1, (a & 1) * 3988292384)) ORDER BY n) AS steps FROM (SELECT unnest(range(256)) AS n)),
+        texts AS (
+          SELECT 'd' AS kind, row_number() OVER () AS row_id, doc_id, text FROM documents
+          UNION ALL SELECT 'b', -row_number() OVER (), NULL, text FROM benchmark),
+        words AS (
+          SELECT kind, row_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts),
+        counts AS (SELECT kind, row_id, word, count(*) AS n FROM words GROUP BY ALL),
+        hashed AS (SELECT word, ({CRC32}) % 10000 AS bucket FROM (SELECT DISTINCT word FROM counts), crc),
+        per AS (SELECT kind, row_id, bucket, sum(n) AS n FROM counts JOIN hashed USING (word) GROUP BY ALL),
+        sums AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 'd'), 0) AS s, coalesce(sum(n) FILTER (kind = 'b'), 0) AS t FROM per GROUP BY bucket),
+        total AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM sums),
+        gains AS (SELECT bucket, floor(1000 * ln((sums.t + 1)::DOUBLE * (total.s + 10000)::DOUBLE / ((sums.s + 1)::DOUBLE * (total.t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums, total),
+        weights AS (SELECT row_id, sum(n) AS n_features, sum(n * gain) AS weight FROM per JOIN gains USING (bucket) WHERE kind = 'd' GROUP BY row_id),
+        noise AS (
+          SELECT row_id, doc_id, floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS g
+          FROM texts WHERE kind = 'd'),
+        scored AS (
+          SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, (coalesce(weight, 0) + g)::BIGINT AS score
+          FROM noise LEFT JOIN weights USING (row_id)),
+        ranked AS (
+          SELECT *, row_number() OVER (ORDER BY n_features >= 20 DESC, score DESC, doc_id NULLS LAST, n_features DESC) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score,
+               CASE WHEN n_features >= 20 AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+        FROM ranked""",
+    "op12_hard_negatives": """
+        WITH e AS (
+          SELECT row_number() OVER () AS row_id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+          SELECT a.row_id AS anchor, a.vec_id AS anchor_id, r.row_id, r.vec_id, a.label = r.label AS same,
+                 coalesce(list_sum(list_transform(list_zip(a.v, r.v, true), lambda p: p[1] * p[2])), 0)::BIGINT AS score
+          FROM e a JOIN e r ON a.row_id <> r.row_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+          SELECT * FROM scores WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row_id) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same AND 100 * n.score BETWEEN 50 * p.score AND 95 * p.score
+        WINDOW w AS (PARTITION BY p.anchor, p.row_id ORDER BY n.score DESC, n.vec_id, n.row_id)
+        QUALIFY row_number() OVER w <= 3""",
 }
