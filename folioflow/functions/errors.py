@@ -27,7 +27,7 @@ ERRORS = (
 )
 #: What each stage shows as progress, in order.
 PROGRESS = {"accepted": 0, "downloading": 5, "validating": 25, "converting": 35, "packaging": 80, "uploading": 90, "complete": 100, "failed": 100}
-#: Warnings about what a slide or page holds; {n} is its number.
+#: Warnings about what a slide or page holds, {n} is its number; and about Word documents, our own.
 WARNINGS = {
     "chart": "Slide {n} contains a chart. Chart data is not converted.",
     "diagram": "Slide {n} contains SmartArt. SmartArt is not converted.",
@@ -45,6 +45,12 @@ WARNINGS = {
     "tables_pages": "Table extraction was skipped because the document exceeds the page budget.",
     "page_images": "Page {n} images could not be read.",
     "page_image": "Page {n} contains an image that could not be extracted.",
+    "doc_chart": "The document contains a chart. Chart data is not converted.",
+    "doc_diagram": "The document contains SmartArt. SmartArt is not converted.",
+    "doc_image": "The document contains an image that could not be extracted.",
+    "doc_object": "The document contains an embedded object. It is not converted.",
+    "doc_part": "The document contains another document. It is not converted.",
+    "doc_symbol": "The document contains a symbol that could not be converted.",
     "scanned": "Page {n} may be scanned or image-based. Text extraction may be incomplete.",
 }
 

@@ -74,6 +74,44 @@ def office_docx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes(files_of_regions(spark, sf_dir, ".docx", report))
 
 
+def ledger(customer: int, orders: list[tuple[int, str, str]]) -> bytes:
+    """A report on a customer's orders (key, status, priority) whose blocks stand in content controls, custom XML and moved ranges: a list that goes on after a paragraph, one that starts anew, cells merged downwards, an endnote."""
+    merge = lambda kind: f'<w:vMerge w:val="{kind}"/>'
+    key, status, priority = orders[0]
+    first, rest = samples.item(f"Order {key}", 1), "".join(samples.item(f"Order {k}", 1) for k, _, _ in orders[1:])
+    moved = f'<w:moveFrom w:id="1">{samples.run("before")}</w:moveFrom>{samples.run("First ")}<w:moveTo w:id="2">{samples.run(status)}</w:moveTo>'
+    rows = "".join(
+        "<w:tr>" + samples.word_cell(samples.para(samples.run("" if n and orders[n - 1][1] == s else s)), merge("continue" if n and orders[n - 1][1] == s else "restart")) + samples.control(samples.word_cell(samples.para(samples.run(str(k))))) + "</w:tr>"
+        for n, (k, s, _) in enumerate(orders)
+    )
+    body = samples.control(samples.para(samples.run(f"Customer {customer}"), "Heading1") + first) + '<w:customXml w:element="x">' + samples.para(moved) + "</w:customXml>"
+    body += samples.control(samples.control(rest)) + samples.item("Again", 2) + f'<w:tbl>{"<w:tr>" + samples.word_cell(samples.para(samples.run("Status"))) + samples.word_cell(samples.para(samples.run("Key"))) + "</w:tr>"}{rows}</w:tbl>'
+    body += samples.para(samples.run("End") + '<w:r><w:endnoteReference w:id="2"/></w:r>') + '<w:altChunk r:id="x"/>'
+    parts = {"word/endnotes.xml": samples.notes("endnote", {2: priority}), "word/numbering.xml": samples.numberings({0: [("decimal", 1)]}, {1: (0, {}), 2: (0, {0: 1})})}
+    return samples.docx(body, extra=parts)
+
+
+@query("""
+    WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS p, row_number() OVER w AS i, lag(o_orderstatus) OVER w AS before FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+    SELECT 'customer-' || c AS stem,
+           '# Customer ' || c || chr(10) || chr(10) || '1. Order ' || min(k) || chr(10) || chr(10) || 'First ' || min(s) FILTER (i = 1) || chr(10) || chr(10)
+           || coalesce(string_agg(i || '. Order ' || k, chr(10) ORDER BY k) FILTER (i > 1) || chr(10) || '1) Again', '1. Again') || chr(10) || chr(10)
+           || '| Status | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CASE WHEN before = s THEN '' ELSE s END || ' | ' || k || ' |', chr(10) ORDER BY k) || chr(10) || chr(10)
+           || 'End[^1]' || chr(10) || chr(10) || '[^1]: ' || min(p) FILTER (i = 1) || chr(10) AS markdown,
+           CAST(NULL AS INT) AS pages_or_slides, CAST(0 AS INT) AS media_count, 'The document contains another document. It is not converted.' AS warnings, 'md' AS shape, CAST(NULL AS VARCHAR) AS error_code
+    FROM o GROUP BY c""")
+def office_word_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Word file for every customer with orders."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority"))).alias("orders"))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents = [ledger(c, [(o["o_orderkey"], o["o_orderstatus"], o["o_orderpriority"]) for o in os]) for c, os in zip(b["o_custkey"], b["orders"], strict=True)]
+            yield pd.DataFrame({"path": [f"in/customer-{c}.docx" for c in b["o_custkey"]], "length": [len(c) for c in contents], "content": contents})
+
+    return outcomes(orders.mapInPandas(made, "path string, length long, content binary"))
+
+
 def leaflet(region: str, nations: list) -> bytes:
     return samples.pdf([samples.text_at(50, 750, n) + samples.text_at(50, 730, f"{region} page") + samples.grid([["Nation", "Key"], [n, str(k)]]) for k, n in nations])
 

@@ -8,7 +8,7 @@ import zipfile
 import zlib
 
 TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>'
-OPEN = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing"'
+OPEN = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:v="urn:schemas-microsoft-com:vml" xmlns:wps="http://schemas.microsoft.com/office/word/2010/wordprocessingShape"'
 REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
@@ -105,6 +105,31 @@ def docx(body: str, media: dict[str, bytes] | None = None, links: dict[str, str]
     return zipped(members | (extra or {}) | {f"word/media/{n}": c for n, c in media.items()})
 
 
+def control(inner: str) -> str:
+    """A content control around blocks, runs, rows or cells."""
+    return f'<w:sdt><w:sdtPr><w:alias w:val="field"/></w:sdtPr><w:sdtContent>{inner}</w:sdtContent></w:sdt>'
+
+
+def item(text: str, number: int, level: int = 0) -> str:
+    return para(run(text), extra=f'<w:numPr><w:ilvl w:val="{level}"/><w:numId w:val="{number}"/></w:numPr>')
+
+
+def notes(kind: str, texts: dict[int, str]) -> str:
+    """The part of footnotes or endnotes."""
+    return f"<w:{kind}s {OPEN}>" + "".join(f'<w:{kind} w:id="{i}">{para(run(t))}</w:{kind}>' for i, t in texts.items()) + f"</w:{kind}s>"
+
+
+def word_cell(inner: str, properties: str = "") -> str:
+    return f"<w:tc><w:tcPr>{properties}</w:tcPr>{inner}</w:tc>"
+
+
+def numberings(levels: dict[int, list[tuple[str, int]]], lists: dict[int, tuple[int, dict[int, int]]]) -> str:
+    """levels: abstract list -> format and start of each level. lists: numbering id -> abstract list and the starts it sets itself."""
+    abstract = "".join(f'<w:abstractNum w:abstractNumId="{a}">' + "".join(f'<w:lvl w:ilvl="{d}"><w:start w:val="{start}"/><w:numFmt w:val="{kind}"/></w:lvl>' for d, (kind, start) in enumerate(depths)) + "</w:abstractNum>" for a, depths in levels.items())
+    nums = "".join(f'<w:num w:numId="{n}"><w:abstractNumId w:val="{a}"/>' + "".join(f'<w:lvlOverride w:ilvl="{d}"><w:startOverride w:val="{start}"/></w:lvlOverride>' for d, start in starts.items()) + "</w:num>" for n, (a, starts) in lists.items())
+    return f"<w:numbering {OPEN}>{abstract}{nums}</w:numbering>"
+
+
 def word_table(rows: list[list[str]]) -> str:
     return "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc>{para(run(c))}</w:tc>" for c in r) + "</w:tr>" for r in rows) + "</w:tbl>"
 
