@@ -2,7 +2,8 @@ r"""Text expressions. All are columns of built-in functions except nfc().
 
 White space is one explicit class everywhere (what Python's str methods take for it),
 because \s means different sets to different engines. The classes below are written so
-that Java's and RE2's regular expressions read them alike.
+that Java's and RE2's regular expressions read them alike. Every expression takes time linear in its text: a run of
+white space is tried from its first character only, and ends are trimmed without an expression.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHITE = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-#: White space that does not end a line.
+#: The same as characters.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: White space that does not end a line; and what ends one, besides a return before a line feed.
 INLINE = r"[\x{09}\x{1F}\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
-LINE_END = r"\x{0D}\x{0A}|[\x{0A}-\x{0D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+ENDS = r"[\x{0A}-\x{0D}\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}]"
+LINE_END = rf"\x{{0D}}\x{{0A}}|{ENDS}"
 #: Characters that no file name may hold, and names that devices have.
 ILLEGAL = r"""[<>:"/\\|?*\x{00}-\x{1F}\x{7F}]"""
 DEVICES = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
@@ -28,8 +32,7 @@ UNITS = ("KB", "MB", "GB")
 
 def strip(text: Column, also: str = "") -> Column:
     """text without white space (and the characters in also) at both ends."""
-    edge = f"(?:{WHITE}|[{also}])" if also else WHITE
-    return F.regexp_replace(F.regexp_replace(text, rf"\A{edge}+", ""), rf"{edge}+\z", "")
+    return F.btrim(text, F.lit(SPACES + also))
 
 
 def squeezed(text: Column) -> Column:
@@ -39,8 +42,8 @@ def squeezed(text: Column) -> Column:
 
 def cleaned(text: Column) -> Column:
     """Lines without white space at their ends, at most one blank line in a row, none at either end of the text."""
-    lines = F.regexp_replace(text, LINE_END, "\n")
-    lines = F.regexp_replace(lines, rf"{INLINE}+\n", "\n")
+    lines = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), ENDS, "\n")
+    lines = F.regexp_replace(lines, rf"(?<!{INLINE}){INLINE}++\n", "\n")
     return strip(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
 
 

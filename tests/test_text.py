@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import random
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import gfm, paths, text
@@ -50,6 +54,41 @@ def test_cleaner(evaluate):
     assert evaluate(lambda X: text.cleaned(X), list(cases)) == list(cases.values())
 
 
+def python_cleaned(x: str) -> str:
+    """The rule, step by step."""
+    out: list[str] = []
+    for one in x.splitlines():
+        one = one.rstrip()
+        if one or not out or out[-1]:
+            out.append(one)
+    return "\n".join(out).strip()
+
+
+def test_ends_and_lines_as_python_takes_them(evaluate):
+    rng = random.Random(6)
+    odd = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(odd) == sorted(text.SPACES)
+    cases = ["".join(rng.choice([*odd, "\n", "\r\n", " ", "a", ".", "\u200b", "é"]) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
+    assert evaluate(lambda X: text.strip(X), cases) == [c.strip() for c in cases]
+    assert evaluate(lambda X: text.strip(X, "."), cases) == [c.strip("." + text.SPACES) for c in cases]
+    assert evaluate(lambda X: text.squeezed(X), cases) == [" ".join(c.split()) for c in cases]
+    assert evaluate(lambda X: text.cleaned(X), cases) == [python_cleaned(c) for c in cases]
+
+
+@pytest.mark.parametrize("run", [" ", "\t \u3000", "\n", " \n", "\r\n\u2028", "a \t"])
+def test_time_is_linear_in_white_space(evaluate, run):
+    """A megabyte of it between two letters, for every expression that looks for white space."""
+    long = "a" + run * (1_000_000 // len(run)) + "b"
+    evaluate(lambda X: text.cleaned(X), ["a"])
+    for expression in (text.cleaned, text.squeezed, text.strip, text.cell, text.safe_stem, text.slug, lambda X: text.strip(X, ".")):
+        begun = time.perf_counter()
+        evaluate(expression, [long])
+        assert time.perf_counter() - begun < 3  # with what a query takes in any case
+    begun = time.perf_counter()
+    assert evaluate(text.cleaned, [long]) == [python_cleaned(long)]
+    assert time.perf_counter() - begun < 3
+
+
 def test_media_targets(evaluate):
     cases = {
         "media/fig.gif": "media/fig.gif",
