@@ -28,8 +28,8 @@ class Limits:
     tables: bool = True
     notes: bool = False
     include_media: bool = True
-    isolate_above: int = 16 * MIB
     child_timeout: int = 600
+    word_timeout: int = 345
 
     @property
     def table_budget(self) -> int:

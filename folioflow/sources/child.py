@@ -1,12 +1,34 @@
-"""The process of one document: its bytes come in, its items or a code go out."""
+"""The process that parses a worker's documents: one comes in, its items or a code go out, until the worker is gone."""
 
 from __future__ import annotations
 
+import os
 import pickle
 import sys
+import threading
+import time
 
 from .extract import extract
 
+
+def send(body: bytes) -> None:
+    sys.stdout.buffer.write(len(body).to_bytes(8, "little"))
+    sys.stdout.buffer.write(body)
+    sys.stdout.buffer.flush()
+
+
+def leave_with(parent: int) -> None:
+    """Ends this process when its worker has ended, even amid a document."""
+    while os.getppid() == parent:
+        time.sleep(1)
+    os._exit(1)
+
+
 if __name__ == "__main__":
-    kind, content, limits = pickle.load(sys.stdin.buffer)
-    sys.stdout.buffer.write(pickle.dumps(extract(kind, content, limits), protocol=5))
+    threading.Thread(target=leave_with, args=(os.getppid(),), daemon=True).start()
+    send(b"")
+    while head := sys.stdin.buffer.read(8):
+        kind, content, limits = pickle.loads(sys.stdin.buffer.read(int.from_bytes(head, "little")))
+        out = extract(kind, content, limits)
+        del content
+        send(pickle.dumps(out, protocol=5))

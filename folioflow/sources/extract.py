@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import pickle
+import select
 import subprocess
 import sys
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -32,28 +34,77 @@ def extract(kind: str, content: bytes, limits: Limits) -> Extract:
         return Extract(error_code="CONVERSION_FAILED")
 
 
+class Child:
+    """An interpreter that parses documents one after the other and can be ended: Spark ends tasks, not rows. A new interpreter and no fork, as workers have threads."""
+
+    #: documents after which a child is replaced, so that what parsers leave behind stays bounded
+    MOST = 1000
+
+    def __init__(self) -> None:
+        root = str(Path(__file__).resolve().parents[2])
+        env = os.environ | {"PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
+        self.process = subprocess.Popen([sys.executable, "-m", f"{__package__}.child"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
+        self.done = 0
+        self.read(time.monotonic() + START_SECONDS)  # it says that it is there, so a document's time is its own
+
+    def read(self, until: float) -> bytes:
+        """One message. TimeoutError if it isn't there in time, EOFError if there is no child any more."""
+        out, wanted, pipe = bytearray(), None, self.process.stdout.fileno()
+        poll = select.poll()
+        poll.register(pipe, select.POLLIN)
+        while wanted is None or len(out) < wanted:
+            left = until - time.monotonic()
+            if left <= 0 or not poll.poll(left * 1000):
+                raise TimeoutError
+            part = os.read(pipe, 1 << 20)
+            if not part:
+                raise EOFError
+            out += part
+            if wanted is None and len(out) >= 8:
+                wanted = 8 + int.from_bytes(out[:8], "little")
+        return bytes(out[8:wanted])
+
+    def parse(self, kind: str, content: bytes, limits: Limits) -> Extract:
+        message = pickle.dumps((kind, content, limits), protocol=5)
+        self.process.stdin.write(len(message).to_bytes(8, "little"))
+        self.process.stdin.write(message)
+        self.process.stdin.flush()
+        self.done += 1
+        return pickle.loads(self.read(time.monotonic() + (limits.word_timeout if kind == "docx" else limits.child_timeout)))
+
+    def end(self) -> None:
+        """Asks it to go, and makes it go after five seconds."""
+        self.process.terminate()
+        try:
+            self.process.wait(5)
+        except subprocess.TimeoutExpired:
+            self.process.kill()
+            self.process.wait()
+        self.process.stdin.close()
+        self.process.stdout.close()
+
+
+#: Seconds that a child has to start.
+START_SECONDS = 120
+#: This worker's child, kept from document to document.
+_child: list[Child] = []
+
+
 def isolated(kind: str, content: bytes, limits: Limits) -> Extract:
-    """The same in a process of its own, which can be ended: Spark ends tasks, not rows. The process is a new interpreter, as workers have threads."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = os.environ | {"PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
-    process = subprocess.Popen([sys.executable, "-m", f"{__package__}.child"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
+    """The same in the worker's child, with a time limit for every document whatever its size. A child that overstays or dies is replaced for the next document."""
+    if not _child or _child[0].done >= Child.MOST:
+        for old in _child:
+            old.end()
+        _child[:] = [Child()]
     try:
-        out, _ = process.communicate(pickle.dumps((kind, content, limits), protocol=5), timeout=limits.child_timeout)
-        return pickle.loads(out) if process.returncode == 0 else Extract(error_code="CONVERSION_FAILED")
-    except subprocess.TimeoutExpired:
-        return Extract(error_code="CONVERSION_TIMEOUT")
-    finally:
-        if process.poll() is None:
-            process.terminate()
-            try:
-                process.wait(5)
-            except subprocess.TimeoutExpired:
-                process.kill()
-                process.wait()
+        return _child[0].parse(kind, content, limits)
+    except (TimeoutError, EOFError, BrokenPipeError) as e:
+        _child.pop().end()
+        return Extract(error_code="CONVERSION_TIMEOUT" if isinstance(e, TimeoutError) else "CONVERSION_FAILED")
 
 
 def extracted(files: DataFrame, limits: Limits) -> DataFrame:
-    """path, source_type, error_code, parts, items from path, source_type, error_code, content; only rows without an error are opened. Documents over limits.isolate_above run in a process of their own."""
+    """path, source_type, error_code, parts, items from path, source_type, error_code, content; only rows without an error are opened, in a process that can be ended."""
     schema = f"path string, source_type string, {EXTRACT}"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,8 +113,7 @@ def extracted(files: DataFrame, limits: Limits) -> DataFrame:
                 code = batch.column("error_code")[i].as_py()
                 if code is None:
                     content = batch.column("content")[i].as_py() or b""
-                    run = isolated if len(content) > limits.isolate_above else extract
-                    got = run(batch.column("source_type")[i].as_py(), content, limits)
+                    got = isolated(batch.column("source_type")[i].as_py(), content, limits)
                 else:
                     got = Extract(error_code=code)
                 yield pa.RecordBatch.from_arrays(

@@ -172,6 +172,16 @@ def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = Non
     return bytes(out) + b"trailer\n<</Root 1 0 R%s>>\nstartxref\n0\n%%%%EOF" % (b"/Encrypt 99 0 R" if encrypted else b"")
 
 
+def nested_forms(depth: int, times: int) -> bytes:
+    """A page that draws a form so many times, which draws another so many times, and so on."""
+    objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count 1/Kids[3 0 R]>>", b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 9 9]/Contents 4 0 R/Resources<</XObject<</X 5 0 R>>>>>>"]
+    body = b"/X Do " * times
+    objects.append(b"<</Length %d>>\nstream\n%s\nendstream" % (len(body), body))
+    for i in range(depth):
+        objects.append(b"<</Type/XObject/Subtype/Form/Length %d/Resources<</XObject<</X %d 0 R>>>>>>\nstream\n%s\nendstream" % (len(body), 6 + i, body))
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer\n<</Root 1 0 R>>\nstartxref\n0\n%%EOF"
+
+
 def text_at(x: float, y: float, text: str, size: int = 12) -> str:
     return f"BT /F1 {size} Tf {x} {y} Td ({text}) Tj ET\n"
 

@@ -2,13 +2,18 @@ from __future__ import annotations
 
 import io
 import re
+import subprocess
+import sys
+import time
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.config import Limits
 from folioflow.operators.convert import convert_folder, converted, delivered
+from folioflow.sources import extract as extract_module
 from folioflow.sources import samples as s
 from folioflow.sources.extract import isolated
 from folioflow.streaming.convert import convert_stream
@@ -116,10 +121,35 @@ def test_switches(spark):
     assert small["error_code"] == "DOCUMENT_EXPANDS_TOO_LARGE" and small["markdown"] is None
 
 
-def test_a_document_in_a_process_of_its_own():
+def test_every_document_is_parsed_in_a_process_that_can_be_ended():
     assert isolated("pdf", samples()["text.pdf"], Limits()).parts == 1
+    before = extract_module._child[0].process.pid
     assert isolated("pdf", b"x", Limits()).error_code == "INVALID_FILE_FORMAT"
-    assert isolated("pdf", samples()["text.pdf"], Limits(child_timeout=0)).error_code in (None, "CONVERSION_TIMEOUT")
+    assert extract_module._child[0].process.pid == before  # kept for the next document
+    small = s.nested_forms(9, 60)
+    assert len(small) < 8000
+    begun = time.perf_counter()
+    assert isolated("pdf", small, Limits(child_timeout=2)).error_code == "CONVERSION_TIMEOUT"
+    assert time.perf_counter() - begun < 10
+    assert isolated("docx", samples()["headings.docx"], Limits(child_timeout=0)).error_code is None  # replaced; Word documents have a limit of their own
+    assert isolated("docx", samples()["headings.docx"], Limits(word_timeout=0)).error_code == "CONVERSION_TIMEOUT"
+    isolated("pdf", samples()["text.pdf"], Limits())
+    extract_module._child[0].process.kill()
+    assert isolated("pdf", samples()["text.pdf"], Limits()).error_code == "CONVERSION_FAILED"
+    assert isolated("pdf", samples()["text.pdf"], Limits()).parts == 1
+
+
+def test_a_child_leaves_with_its_worker(tmp_path):
+    code = "import sys; from folioflow.config import Limits; from folioflow.sources import extract, samples; extract.isolated('pdf', b'x', Limits()); print(extract._child[0].process.pid); sys.stdout.flush(); extract.isolated('pdf', samples.nested_forms(9, 60), Limits())"
+    worker = subprocess.Popen([sys.executable, "-c", code], stdout=subprocess.PIPE)
+    child = int(worker.stdout.readline())
+    worker.kill()
+    worker.wait()
+    for _ in range(100):
+        if not Path(f"/proc/{child}").exists():
+            return
+        time.sleep(0.1)
+    raise AssertionError("it is still there")
 
 
 def test_delivery(spark):
