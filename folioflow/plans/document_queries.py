@@ -16,6 +16,7 @@ from ..sources import samples
 from ..sources.files import listing, uploaded, write_files
 from ..streaming import jobs
 from ..streaming.convert import convert_stream
+from ..streaming.waiting import waiting, with_rocks
 from .job_queries import SQL_STATUS, STAGE
 from .registry import ORACLES, query, table
 
@@ -276,3 +277,39 @@ def stream_once_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users as jobs that repeat: each counts once within a time that covers the table."""
     once = jobs.once_per_job(stream_of_events(spark, sf_dir), "user_id", "ts", "1000 days").select("user_id")
     return jobs.run_to_end(once, shared_dir(spark), mode="append")
+
+
+#: What an event says as a poll of a job: the stage that it shows, and whether it got an answer (null: there was no status yet).
+POLLED = "CASE event_type WHEN 'signup' THEN CASE WHEN value < 20 THEN 'accepted' ELSE 'downloading' END WHEN 'purchase' THEN CASE WHEN value > 90 THEN 'complete' WHEN value > 80 THEN 'failed' ELSE 'uploading' END END"
+ANSWERED = "CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN false WHEN 'click' THEN false ELSE true END"
+
+
+@query(f"""
+    WITH RECURSIVE p AS (
+      SELECT user_id || '/' || (epoch(ts)::BIGINT // 604800) AS job_id, ts, {POLLED} AS stage, {ANSWERED} AS ok FROM events),
+    e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts) AS i, min(ts) OVER (PARTITION BY job_id) + INTERVAL 3 DAY AS deadline FROM p),
+    r AS (
+      SELECT job_id, i, ts, deadline, CASE WHEN ok THEN stage END AS stage, CASE WHEN ok IS FALSE THEN 1 ELSE 0 END AS failures, ok IS TRUE AS changed, coalesce(ok AND stage IN ('complete', 'failed'), false) AS ended
+      FROM e WHERE i = 1
+      UNION ALL
+      SELECT e.job_id, e.i, e.ts, e.deadline, CASE WHEN e.ok THEN e.stage ELSE r.stage END, CASE WHEN e.ok IS NULL THEN r.failures WHEN e.ok THEN 0 ELSE r.failures + 1 END,
+             e.ok IS TRUE AND e.stage IS DISTINCT FROM r.stage, coalesce(e.ok AND e.stage IN ('complete', 'failed'), false) OR (e.ok IS FALSE AND r.failures = 3)
+      FROM r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1 WHERE NOT r.ended AND e.ts <= e.deadline)
+    SELECT job_id, ts, stage, NULL AS error_code FROM r WHERE changed
+    UNION ALL SELECT job_id, ts, NULL, 'SERVICE_UNAVAILABLE' FROM r WHERE failures >= 4
+    UNION ALL SELECT job_id, min(deadline), NULL, 'CONVERSION_TIMEOUT' FROM r GROUP BY job_id HAVING NOT bool_or(ended)""")
+def stream_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as polls of a user's job of the week: stages that change, four failures in a row, three days without an end.
+
+    The stream runs over what is there and is started anew after a later poll of another job, by which
+    the jobs that fell silent are told.
+    """
+    root = shared_dir(spark)
+    polls = table(spark, sf_dir, "events").select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 604_800_000_000).cast("string")).alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr(POLLED).alias("stage"), F.expr(ANSWERED).alias("ok"))
+    found = []
+    for lot in (polls, polls.agg(F.lit(None).cast("string").alias("job_id"), (F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(None).cast("string").alias("stage"), F.lit(None).cast("boolean").alias("ok"))):
+        lot.write.mode("append").parquet(f"{root}/polls")
+        with with_rocks(spark):
+            stream = waiting(spark.readStream.schema(polls.schema).parquet(f"{root}/polls"), deadline=3 * 86_400, most=4, remembered=60 * 86_400)
+            found.append(jobs.run_to_end(stream, root, "append", checkpoint=f"{root}/state"))
+    return found[0].unionByName(found[1]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -38,8 +38,11 @@ def once_per_job(jobs: DataFrame, job: str, ts: str, within: str = "1 day") -> D
     return jobs.withWatermark(ts, within).dropDuplicatesWithinWatermark([job])
 
 
-def run_to_end(stream: DataFrame, root: str, mode: str = "complete", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over what is there now and return its result, written under root; each batch is written whole before it counts."""
+def run_to_end(stream: DataFrame, root: str, mode: str = "complete", each: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its result, written under root; each batch is written whole before it counts.
+
+    With the checkpoint of a run before, the stream goes on from there, and only what is new is returned.
+    """
     last: list[int] = []
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -48,7 +51,7 @@ def run_to_end(stream: DataFrame, root: str, mode: str = "complete", each: Calla
             each(batch, epoch)
         last.append(epoch)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint-{uuid.uuid4().hex}").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}/checkpoint-{uuid.uuid4().hex}").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
     spark = stream.sparkSession
     if not last:
         return spark.createDataFrame([], stream.schema)
