@@ -150,11 +150,15 @@ def converted(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     )
 
 
+def tree() -> Column:
+    """The files that an outcome is made of: its Markdown first, then its media."""
+    member = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
+    return F.concat(F.array(member(F.concat("stem", F.lit(".md")), F.col("markdown").cast("binary"))), F.transform("media", lambda m: member(F.concat(F.lit("media/"), m["name"]), m["content"])))
+
+
 def delivered(outcomes: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """path, name, content, error_code: the file that each document becomes, an archive or bare Markdown, made in one pass."""
-    member = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
-    tree = F.concat(F.array(member(F.concat("stem", F.lit(".md")), F.col("markdown").cast("binary"))), F.transform("media", lambda m: member(F.concat(F.lit("media/"), m["name"]), m["content"])))
-    return outcome.files_of(outcomes.where("error_code IS NULL").select("path", "stem", "shape", tree.alias("files")), "path", limits)
+    return outcome.files_of(outcomes.where("error_code IS NULL").select("path", "stem", "shape", tree().alias("files")), "path", limits)
 
 
 def convert_folder(spark: SparkSession, folder: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008

@@ -16,6 +16,7 @@ from ..sources import samples
 from ..sources.files import listing, uploaded, write_files
 from ..streaming import jobs
 from ..streaming.convert import convert_stream
+from ..streaming.convert import outcomes as stream_outcomes
 from ..streaming.waiting import waiting, with_rocks
 from .job_queries import SQL_STATUS, STAGE
 from .registry import ORACLES, query, table
@@ -239,7 +240,7 @@ def stream_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     convert_stream(spark, folder, f"{folder}-out", f"{folder}-state", delete_sources=True).awaitTermination()
     name = lambda path: F.regexp_replace(path, "^.*/", "")
     there = listing(spark, folder).select(name(F.col("path")).alias("name"), F.lit(True).alias("there"))
-    done = spark.read.parquet(f"{folder}-out/outcomes").select(name(F.col("path")).alias("name"), "error_code")
+    done = stream_outcomes(spark, f"{folder}-out").select(name(F.col("path")).alias("name"), "error_code")
     return done.join(there, "name", "left").select("name", F.coalesce("there", F.lit(False)).alias("still_there"), "error_code")
 
 

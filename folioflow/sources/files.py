@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import posixpath
-import re
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sink
+from .paths import opened
+
 #: The schema of the binary file source, which streams need beforehand.
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -29,62 +29,19 @@ def stream(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> Dat
     return spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
-def opened(path: str):
-    """The file system of a path as Spark writes it (letters are not escaped), and the path within."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), re.sub(r"\Afile:(//[^/]*)?(?=/)", "", path)
-    if m := re.match(r"([a-z][a-z0-9+.-]*://[^/]*)(/.*)?", path, re.S):
-        return fs.FileSystem.from_uri(m[1] + quote(m[2] or "/"))
-    return fs.LocalFileSystem(), path
-
-
-def contained(key: str) -> str:
-    """A key that stays inside the root; anything else is an error."""
-    clean = posixpath.normpath(key)
-    if clean.startswith(("/", "..")) or ":" in clean.split("/")[0] or "\\" in clean:
-        raise ValueError("the key leaves the output folder")
-    return clean
-
-
 def uploaded(rows: DataFrame, root: str, key: str = "key", content: str = "content") -> DataFrame:
     """key, n_bytes, error_code: each row's content written under root/key, through the file system that root names.
 
-    A file is written under a passing name, its length is compared with the content's, and then it is
-    renamed, so a task that is run again replaces it whole. What cannot be written, and a missing content,
-    is RESULT_UPLOAD_FAILED; a key that leaves the root fails the job. Writing happens when the rows are read.
+    The rows are written when this is called, by a commit (see sink), and what is returned is
+    the stored ledger: reading it again writes nothing.
     """
-
-    def put(store, path: str, body: bytes | None) -> str | None:
-        if body is None:
-            return "RESULT_UPLOAD_FAILED"
-        try:
-            store.create_dir(posixpath.dirname(path), recursive=True)
-            with store.open_output_stream(f"{path}.part") as f:
-                f.write(body)
-            if store.get_file_info(f"{path}.part").size != len(body):
-                return "RESULT_UPLOAD_FAILED"
-            store.move(f"{path}.part", path)
-        except OSError:
-            return "RESULT_UPLOAD_FAILED"
-
-    def wrote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = opened(root)
-        for batch in batches:
-            out: list[tuple] = []
-            for i in range(batch.num_rows):
-                name, body = batch.column(key)[i].as_py(), batch.column(content)[i].as_py()
-                out.append((name, None if body is None else len(body), put(store, f"{base.rstrip('/')}/{contained(name)}", body)))
-            columns = zip(*out, strict=True) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], ["key", "n_bytes", "error_code"])
-
-    return rows.select(key, content).mapInArrow(wrote, "key string, n_bytes long, error_code string")
+    return sink.write(rows.select(F.col(key).alias("key"), F.col(content).alias("content")), root)
 
 
 def write_files(rows: DataFrame, root: str, key: str = "key", content: str = "content") -> int:
     """Write each row's content under root/key; how many there are. Only counts come to the driver; a file that cannot be written is an error."""
-    n, failed = uploaded(rows, root, key, content).agg(F.count(F.lit(1)), F.count("error_code")).first()
+    sent = uploaded(rows, root, key, content)
+    n, failed = sent.agg(F.count(F.lit(1)), F.count("error_code")).first()
     if failed:
         raise OSError(f"RESULT_UPLOAD_FAILED: {failed} of {n} files")
     return n

@@ -16,7 +16,7 @@ from folioflow.operators.convert import convert_folder, converted, delivered
 from folioflow.sources import extract as extract_module
 from folioflow.sources import samples as s
 from folioflow.sources.extract import isolated
-from folioflow.streaming.convert import convert_stream
+from folioflow.streaming.convert import convert_stream, outcomes
 
 LOGO, OTHER = s.png(1), s.png(2)
 BULLET = '<w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr>'
@@ -174,4 +174,6 @@ def test_a_folder_and_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert sorted(p.name for p in root.glob("files/*/*")) == ["headings.md", "images_markdown.zip", "text.md"]
     assert sorted(p.name for p in landing.iterdir()) == ["fake.pdf", "macro.docm", "nothing.pdf"]
-    assert spark.read.parquet(str(root / "outcomes")).where(F.col("error_code").isNotNull()).count() == 2
+    rows = outcomes(spark, str(root))
+    assert rows.where(F.col("error_code").isNotNull()).count() == 2 and rows.where("error_code IS NULL AND n_bytes > 0").count() == 3
+    assert not {"markdown", "media", "content"} & set(rows.columns)  # contents are written once, as files
