@@ -13,17 +13,23 @@ classes that differ from the pivot in at most half of the marks plus ``apart``.
 core is compared with the whole ball, and nothing is lost by leaving. The rest is split
 further, by the same rule at every depth. Runs are repeated until the target recall.
 
-What is similar by its marks becomes a link of a candidate graph, of which only a
-spanning forest is ever written. Then every class meets the others of its candidate
-component once, with whole sets, and the similarity is computed exactly. Components too
-large for a task are compared block by block. Tasks return counts and forests, never
-pairs.
+What is similar by its marks becomes a link of a candidate graph, of which first only a
+spanning forest is written. Only candidates are ever compared with whole sets:
+
+* A component that fits into a task is one cell. Its classes meet there once, and pairs that differ in more marks
+  than any link does are passed over.
+* In a larger component the cells of the trees are looked at again. Classes with few candidates in each cell are
+  sparse; pairs of two sparse classes are written, and verified star by star. The others are dense: what they are
+  candidates with falls into components of its own, which are compared block by block, pairs of sparse classes left out.
+
+So a chain costs as many comparisons as it has candidates, while a group of copies that are all alike costs its
+pairs once, and these are never written. Tasks return counts and forests.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -46,6 +52,7 @@ class Join:
     fan: orders that a node chooses. leaf: the most classes that are compared by brute force at once. core: the most marks in which
     a core differs from its pivot. Groups are compared in blocks: cell and large_cell classes (by marks), block and
     large_block classes, and at most block_shingles shingles (exactly); the larger ones once there are enough of the smaller to keep many tasks busy.
+    sparse: the most candidates in a cell of a class whose pairs are written.
     """
 
     words: int = 5
@@ -59,12 +66,21 @@ class Join:
     block: int = 128
     large_block: int = 1024
     block_shingles: int = 1 << 21
+    sparse: int = 12
 
     @property
     def apart(self) -> int:
         """The most marks in which a link's ends may differ: under one in 10,000 links of the least similarity differ in more."""
+        return self.exceeded(1e-4)
+
+    @property
+    def sure(self) -> int:
+        """The same for candidates that have met: under one in 100 million links differ in more."""
+        return self.exceeded(1e-8)
+
+    def exceeded(self, chance: float) -> int:
         left, m = 1.0, -1
-        while left > 1e-4:
+        while left > chance and m < COORDINATES:
             m += 1
             left -= math.comb(COORDINATES, m) * (1 - self.least) ** m * self.least ** (COORDINATES - m)
         return m
@@ -205,8 +221,23 @@ def tree(k: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> pd.Data
     return pd.DataFrame({"a": k[child], "b": k[label[child]]}).drop_duplicates()
 
 
-def compare_leaves(leaves: DataFrame, apart: int) -> DataFrame:
-    """Links a, b (a spanning forest of each bucket) of what is similar by its marks; buckets are whole in their task, rows ordered by path."""
+def told_apart(k: np.ndarray, one: list[np.ndarray], two: list[np.ndarray], most: int) -> pd.DataFrame:
+    """a, b, dense: the pairs of rows with at most ``most`` links each; of the others a spanning forest, and each row with more links as a loop, both dense."""
+    if not one:
+        return pd.DataFrame({"a": np.empty(0, "int64"), "b": np.empty(0, "int64"), "dense": np.empty(0, "bool")})
+    i, j = np.concatenate(one), np.concatenate(two)
+    i, j = i[i != j], j[i != j]
+    i, j = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)]), axis=1) if len(i) else (i, j)
+    many = np.bincount(np.concatenate([i, j]), minlength=len(k)) > most
+    few = ~(many[i] | many[j])
+    rest = tree(k, [i[~few]], [j[~few]])
+    loops = k[np.flatnonzero(many)]
+    pairs = pd.DataFrame({"a": np.minimum(k[i[few]], k[j[few]]), "b": np.maximum(k[i[few]], k[j[few]]), "dense": False})
+    return pd.concat([pairs, rest.assign(dense=True), pd.DataFrame({"a": loops, "b": loops, "dense": True})], ignore_index=True).astype({"a": "int64", "b": "int64", "dense": "bool"})
+
+
+def compare_leaves(leaves: DataFrame, apart: int, sparse: int | None = None) -> DataFrame:
+    """Links a, b (a spanning forest of each bucket) of what is similar by its marks; buckets are whole in their task, rows ordered by path. sparse: what told_apart() makes of them instead."""
 
     def links(block: pd.DataFrame) -> pd.DataFrame:
         path, sig = block["path"].to_numpy(), marks(block["sig"])
@@ -221,13 +252,23 @@ def compare_leaves(leaves: DataFrame, apart: int) -> DataFrame:
                 one.append(a)
                 two.append(a + lag)
             lag += 1
-        return tree(block["k"].to_numpy(), one, two)
+        k = block["k"].to_numpy()
+        if sparse is None:
+            return tree(k, one, two)
+        # a class may be in several buckets of a piece, and its links are counted by bucket
+        at = np.flatnonzero(np.append(True, path[1:] != path[:-1]))
+        one, two = (np.concatenate(x) if x else np.empty(0, "int64") for x in (one, two))
+        by = np.searchsorted(at, one, "right")
+        order = np.argsort(by, kind="stable")
+        edges = np.searchsorted(by[order], np.arange(len(at) + 2))
+        found = [told_apart(k, [one[order[x:y]]], [two[order[x:y]]], sparse) for x, y in zip(edges, edges[1:], strict=False) if y > x]
+        return pd.concat(found, ignore_index=True) if found else told_apart(k, [], [], sparse)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in groups(batches, ["path"]):
             yield links(block)
 
-    return leaves.select("path", "k", "sig").repartition("path").sortWithinPartitions("path").mapInPandas(rows, "a long, b long")
+    return leaves.select("path", "k", "sig").repartition("path").sortWithinPartitions("path").mapInPandas(rows, "a long, b long" + ", dense boolean" * (sparse is not None))
 
 
 def parts(n: Column, size: int, large: int, many: int) -> Column:
@@ -235,12 +276,12 @@ def parts(n: Column, size: int, large: int, many: int) -> Column:
     return F.greatest(F.least(F.ceil(n / size), F.lit(many)), F.ceil(n / large)).cast("int")
 
 
-def compare_cores(balls: DataFrame, p: Join) -> DataFrame:
+def compare_cores(balls: DataFrame, p: Join, sparse: int | None = None) -> DataFrame:
     """Links a, b (a spanning forest of each cell) between the cores of balls (path, k, sig, core) and what is in them.
 
     A ball is dealt into cells of some of its core and some of the ball, so
     neither a core nor a ball has to fit into a task; a core of one part is copied to the parts of
-    its ball, which are not copied then.
+    its ball, which are not copied then. sparse: what told_apart() makes of them instead.
     """
     blocks = lambda n: parts(n, p.cell, p.large_cell, 4)
     per = balls.groupBy("path").agg(blocks(F.count(F.when(F.col("core"), 1))).alias("cores"), blocks(F.count(F.lit(1))).alias("parts"))
@@ -259,14 +300,14 @@ def compare_cores(balls: DataFrame, p: Join) -> DataFrame:
             hit = other[(near != sig[i]).sum(axis=1) <= p.apart]
             one.append(np.full(len(hit), number[i]))
             two.append(number[hit])
-        return tree(k, one, two)
+        return tree(k, one, two) if sparse is None else told_apart(k, one, two, sparse)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for several in groups(batches, ["path", "i", "j"]):
             for _, cell in several.groupby(["path", "i", "j"], sort=False):
                 yield links(cell)
 
-    return inner.unionByName(outer).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInPandas(each, "a long, b long")
+    return inner.unionByName(outer).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInPandas(each, "a long, b long" + ", dense boolean" * (sparse is not None))
 
 
 def children(nodes: DataFrame, fan: int) -> DataFrame:
@@ -287,8 +328,8 @@ def from_pivots(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(off, "path long, k long, sig binary, off int")
 
 
-def candidate_links(classes: DataFrame, p: Join) -> DataFrame:
-    """Links a, b between classes (k, sig) that are similar by their marks."""
+def candidate_places(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame | None]:
+    """Where classes (k, sig) meet: leaves (path, k, sig), and balls (path, k, sig, core) if any node was too large for a leaf."""
     runs = F.explode(F.array(*[F.xxhash64(F.lit(run)) for run in range(p.runs)]))
     nodes = children(classes.select(runs.alias("path"), "k", "sig"), p.fan)
     leaves: list[DataFrame] = []
@@ -304,18 +345,54 @@ def candidate_links(classes: DataFrame, p: Join) -> DataFrame:
         compared = cut(from_pivots(nodes.join(pivots, "path")), "chosen-path-pivots", slim=True)
         balls.append(compared.where(F.col("off") <= p.core + p.apart).select("path", "k", "sig", (F.col("off") <= p.core).alias("core")))
         nodes = children(compared.where(F.col("off") > p.core).select("path", "k", "sig"), p.fan)
-    links = compare_leaves(reduce(DataFrame.unionByName, leaves), p.apart)
-    if balls:
-        links = links.unionByName(compare_cores(reduce(DataFrame.unionByName, balls), p))
+    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, balls) if balls else None
+
+
+def candidate_links(places: tuple[DataFrame, DataFrame | None], p: Join, sparse: int | None = None) -> DataFrame:
+    """Links a, b between classes that are similar by their marks (with sparse: and dense)."""
+    leaves, balls = places
+    links = compare_leaves(leaves, p.apart, sparse)
+    if balls is not None:
+        links = links.unionByName(compare_cores(balls, p, sparse))
     return cut(links.distinct(), "chosen-path-links", slim=True)
 
 
-def exact_links(sets: DataFrame, least: float) -> DataFrame:
-    """c, alone, d, links, root from rows (c, i, j, alone, half, d, weight, found): those of a cell (c, i, j) are compared with whole sets.
+#: What verification returns for a class of a cell: links counts documents, root is the smallest digest it is connected to there, compared its comparisons with whole sets.
+MET = "alone boolean, d binary, links long, root binary, compared long"
+
+
+def common_shingles(each: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of some sets have in common."""
+    n = len(each)
+    token = np.unique(np.concatenate(each), return_inverse=True)[1]
+    owner = np.repeat(np.arange(n), [len(x) for x in each])
+    often = np.bincount(token) > 1  # a shingle of one set joins nothing
+    keep = often[token]
+    token, owner = (np.cumsum(often) - 1)[token[keep]], owner[keep]
+    width = int(often.sum())
+    common = np.zeros((n, n), dtype=np.float64)
+    step = max(1, (1 << 22) // max(n, 1))
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    for at in range(0, width, step):
+        a, b = np.searchsorted(token, [at, at + step])
+        x = np.zeros((n, min(step, width - at)), dtype=np.float32)
+        x[owner[a:b], token[a:b] - at] = 1
+        common += x @ x.T
+    return common
+
+
+def alike(a: int | np.ndarray, b: int | np.ndarray, common: int | np.ndarray, least: float) -> bool | np.ndarray:
+    """Whether sets of these sizes with so much in common are similar enough."""
+    return common >= least * (a + b - common) - 1e-9
+
+
+def exact_links(sets: DataFrame, p: Join) -> DataFrame:
+    """MET from rows (c, i, j, alone, half, dense, d, sig, weight, found): those of a cell (c, i, j) are compared with whole sets.
 
     In a cell of one block all its classes meet each other; in a cell of two, those of
-    one half meet those of the other. links counts documents; root is the smallest
-    digest that d is connected to within the cell.
+    one half meet those of the other. Pairs of which neither is dense, and pairs that differ in more marks than links do,
+    are not compared.
     """
 
     def cell(group: pd.DataFrame) -> pd.DataFrame:
@@ -323,40 +400,102 @@ def exact_links(sets: DataFrame, least: float) -> DataFrame:
         n = len(group)
         each = [np.frombuffer(x, dtype="<u8") for x in group["found"]]
         size = np.array([len(x) for x in each])
-        values, token = np.unique(np.concatenate(each), return_inverse=True)
-        owner = np.repeat(np.arange(n), size)
-        often = np.bincount(token, minlength=len(values)) > 1  # a shingle of one set joins nothing
-        keep = often[token]
-        token, owner = (np.cumsum(often) - 1)[token[keep]], owner[keep]
-        width = int(often.sum())
-        common = np.zeros((n, n), dtype=np.float64)
-        step = max(1, (1 << 22) // max(n, 1))
-        by = np.argsort(token, kind="stable")
-        token, owner = token[by], owner[by]
-        for at in range(0, width, step):
-            a, b = np.searchsorted(token, [at, at + step])
-            x = np.zeros((n, min(step, width - at)), dtype=np.float32)
-            x[owner[a:b], token[a:b] - at] = 1
-            common += x @ x.T
-        linked = common >= least * (size[:, None] + size[None, :] - common) - 1e-9
-        np.fill_diagonal(linked, False)
-        half = group["half"].to_numpy()
+        sig, dense, half = marks(group["sig"]), group["dense"].to_numpy(dtype=bool), group["half"].to_numpy()
+        near = np.zeros((n, n), dtype=bool)
+        for i in range(n - 1):
+            near[i, i + 1 :] = ((sig[i + 1 :] != sig[i]).sum(axis=1) <= p.sure) & (dense[i + 1 :] | dense[i])
         if (group["i"] != group["j"]).any():
-            linked &= half[:, None] != half[None, :]
-        i, j = np.nonzero(np.triu(linked))
-        root = forest(n, i, j)
+            near &= half[:, None] != half[None, :]
+        i, j = np.nonzero(near)
+        if 8 * len(i) < n * n:
+            common = np.array([len(np.intersect1d(each[a], each[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], dtype=np.int64)
+        else:
+            common = common_shingles(each)[i, j]
+        linked = alike(size[i], size[j], common, p.least)
+        weight, links = group["weight"].to_numpy(), np.zeros(n, dtype=np.int64)
+        np.add.at(links, i[linked], weight[j[linked]])
+        np.add.at(links, j[linked], weight[i[linked]])
         d = group["d"].to_numpy()
-        return pd.DataFrame({"c": group["c"], "alone": group["alone"], "d": d, "links": linked @ group["weight"].to_numpy(), "root": d[root]})
+        return pd.DataFrame({"alone": group["alone"], "d": d, "links": links, "root": d[forest(n, i[linked], j[linked])], "compared": np.bincount(np.concatenate([i, j]), minlength=n)})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for several in groups(batches, ["c", "i", "j"]):
             for _, group in several.groupby(["c", "i", "j"], sort=False):
                 yield cell(group)
 
-    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, "c long, alone boolean, d binary, links long, root binary")
+    return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, MET)
+
 
+def exact_stars(stars: DataFrame, p: Join) -> DataFrame:
+    """MET from rows (star, member, d, weight, found): each star's centre (not a member) is compared with its members, one after the other."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, star, last = None, None, None
+        for batch in batches:
+            out = []
+            for key, member, d, weight, found in zip(batch["star"], batch["member"], batch["d"], batch["weight"], batch["found"], strict=True):
+                if (key, member, d) == last:
+                    continue  # another row with this set
+                last, own = (key, member, d), np.frombuffer(found, dtype="<u8")
+                if not member:
+                    centre, star = (d, weight, own), key
+                    continue
+                if key != star:
+                    raise ValueError("a member came before its centre")
+                common = len(np.intersect1d(centre[2], own, assume_unique=True))
+                if alike(len(centre[2]), len(own), common, p.least):
+                    out += [(False, centre[0], weight, min(d, centre[0]), 1), (False, d, centre[1], min(d, centre[0]), 1)]
+                else:
+                    out += [(False, centre[0], 0, centre[0], 1), (False, d, 0, d, 1)]
+            yield pd.DataFrame(out, columns=["alone", "d", "links", "root", "compared"])
+
+    return stars.repartition("star").sortWithinPartitions("star", "member", "d").mapInPandas(rows, MET)
+
+
+def dealt(linked: DataFrame, sets: Callable[[DataFrame], DataFrame], p: Join) -> DataFrame:
+    """The classes (c, d, sig, weight, size, first, dense, final) of components with their sets, in cells: one for a small component, blocks against blocks for others."""
+    per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    several = F.greatest(parts(F.col("n"), p.block, p.large_block, 128), F.ceil(F.col("total") / (p.block_shingles / 2)))
+    per = per.where("n > 1").select("c", F.when(small(p), 1).otherwise(several).cast("int").alias("blocks"))
+    whole = sets(linked.join(per, "c")).withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    alone = F.col("final") & (F.col("blocks") == 1)
+    return cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), alone.alias("alone"), "half", "dense", "d", "sig", "weight", "found")
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Join = Join()) -> DataFrame:  # noqa: B008
+
+def small(p: Join) -> Column:
+    """Whether a component of n classes and total shingles fits into a task."""
+    return (F.col("n") <= 2 * p.block) & (F.col("total") <= p.block_shingles)
+
+
+def verified(linked: DataFrame, places: tuple[DataFrame, DataFrame | None], sets: Callable[[DataFrame], DataFrame], p: Join) -> DataFrame:
+    """MET of all classes with candidates. linked: c (component), k, d, sig, weight, size, first; sets() adds found to rows of it."""
+    per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    large = cut(linked.join(per.where(~small(p)).select("c"), "c", "left_semi"), "jaccard-large", slim=True)
+    if large.isEmpty():
+        return cut(exact_links(dealt(linked.withColumns({"dense": F.lit(True), "final": F.lit(True)}), sets, p), p), "jaccard-links")
+    rest = linked.join(per.where(small(p)).select("c"), "c", "left_semi").withColumns({"dense": F.lit(True), "final": F.lit(True)})
+
+    # the candidates of large components, once more, told apart by how many each class has
+    own = large.select("k")
+    again = tuple(None if x is None else x.join(own, "k", "left_semi") for x in places)
+    told = candidate_links(again, p, p.sparse)
+    dense = told.where("dense AND a = b").select(F.col("a").alias("k"))
+    pairs = told.where("NOT dense").select("a", "b").distinct()
+    pairs = pairs.join(dense.select(F.col("k").alias("a"), F.lit(True).alias("x")), "a", "left").join(dense.select(F.col("k").alias("b"), F.lit(True).alias("y")), "b", "left")
+    pairs = cut(pairs.select("a", "b", (F.col("x").isNotNull() | F.col("y").isNotNull()).alias("dense")), "jaccard-pairs", slim=True)
+    of_dense = components(told.where("dense").select("a", "b").unionByName(pairs.where("dense").select("a", "b")))
+    of_dense = large.drop("c").join(of_dense.select(F.col("node").alias("k"), F.col("label").alias("c")), "k").join(dense.withColumn("dense", F.lit(True)), "k", "left")
+    of_dense = of_dense.withColumns({"dense": F.coalesce("dense", F.lit(False)), "final": F.lit(False), "c": F.xxhash64(F.lit("dense"), "c")})
+    met = exact_links(dealt(rest.unionByName(of_dense), sets, p), p)
+
+    alone = pairs.where("NOT dense")
+    stars = alone.select(F.col("a").alias("star"), F.col("b").alias("k"), F.lit(True).alias("member")).unionByName(alone.select(F.col("a").alias("star"), F.col("a").alias("k"), F.lit(False).alias("member")).distinct())
+    found = sets(large.join(stars.select("k").distinct(), "k", "left_semi")).select("k", "d", "weight", "found")
+    return cut(met.unionByName(exact_stars(stars.join(found, "k").select("star", "member", "d", "weight", "found"), p)), "jaccard-links")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Join = Join(), figures: dict | None = None) -> DataFrame:  # noqa: B008
     """One row per input row: doc_id, class_id, n_links, set_size.
 
     n_links: how many other documents have a similarity of at least ``least`` (documents
@@ -364,7 +503,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     such links. A text of fewer words than a shingle is one shingle. Null and empty texts,
     and texts without words, have no links and are their own class. Null ids are allowed
     (smallest ids are taken over what is not null); repeated rows are copies of each
-    other. Other columns of ``docs`` are not read; an empty table gives no rows.
+    other. Other columns of ``docs`` are not read; an empty table gives no rows. figures
+    (if given) gets how many pairs were compared with whole sets, and copies of sets in cells.
     """
     p = params
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -372,22 +512,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     flat = cut(sketches(rows, p.words), "jaccard-sketches")
     classes = flat.where("d IS NOT NULL").groupBy("d").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = cut(classes.withColumn("k", F.xxhash64("d")), "jaccard-classes", slim=True)
-    linked = components(candidate_links(classes.select("k", "sig"), p))
-    linked = cut(linked.join(classes.select("d", "k", "weight", "first", "size"), linked["node"] == classes["k"]).select(F.col("label").alias("c"), "d", "weight", "first", "size"), "jaccard-groups", slim=True)
-
-    # whole sets, of one row of each class that has a candidate
-    lowest = F.lit(-(2**63))
-    wanted = linked.select(F.coalesce("first", lowest).alias("key")).distinct()
-    texts = rows.withColumn("key", F.coalesce("doc_id", lowest)).join(wanted, "key", "left_semi").select("text")
-    whole = with_sets(texts, p.words).join(linked.select("c", "d", "weight"), "d")
-    per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
-    several = F.greatest(parts(F.col("n"), p.block, p.large_block, 128), F.ceil(F.col("total") / (p.block_shingles / 2)))
-    blocks = F.when((F.col("n") <= 2 * p.block) & (F.col("total") <= p.block_shingles), 1).otherwise(several)
-    per = per.where("n > 1").select("c", blocks.cast("int").alias("blocks"))
-    whole = whole.join(per, "c").withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
-    cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), (F.col("blocks") == 1).alias("alone"), "half", "d", "weight", "found")
-    met = cut(exact_links(cells, p.least), "jaccard-links")
+    places = candidate_places(classes.select("k", "sig"), p)
+    linked = components(candidate_links(places, p))
+    linked = cut(linked.join(classes, linked["node"] == classes["k"]).select(F.col("label").alias("c"), "k", "d", "sig", "weight", "size", "first"), "jaccard-groups", slim=True)
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        """wanted with found, the whole set of one row of each class."""
+        lowest = F.lit(-(2**63))
+        key = wanted.select(F.coalesce("first", lowest).alias("key")).distinct()
+        texts = rows.withColumn("key", F.coalesce("doc_id", lowest)).join(key, "key", "left_semi").select("text")
+        return with_sets(texts, p.words).join(wanted, "d")
+
+    met = verified(linked, places, sets, p)
+    if figures is not None:
+        figures |= met.agg((F.coalesce(F.sum("compared"), F.lit(0)) / 2).cast("long").alias("pairs"), F.count(F.lit(1)).alias("copies")).first().asDict()
 
     counted = met.groupBy("d").agg(F.sum("links").alias("links"))
     # within one cell the roots are final; forests of several cells have to be joined

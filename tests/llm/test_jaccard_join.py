@@ -95,6 +95,35 @@ def test_deep_trees_lose_no_link(spark, monkeypatch):
     assert j.join(df, params=replace(j.Join(), leaf=3)).where("n_links > 0").count() >= 300
 
 
+def chain(n: int, step: int = 11, words: int = 104) -> list[str]:
+    """Texts of which each is just similar enough to the one before and the one after."""
+    return [" ".join(f"w{k}" for k in range(i * step, i * step + words)) for i in range(n)]
+
+
+def test_a_chain_costs_its_candidates(spark):
+    """A component of thousands, production parameters: only candidates are compared, and their sets copied a few times."""
+    n, figures = 3000, {}
+    rows = j.join(documents(spark, chain(n)), figures=figures).collect()
+    assert {r["class_id"] for r in rows} == {0}
+    assert Counter(r["n_links"] for r in rows) == {2: n - 2, 1: 2}
+    assert figures["pairs"] < 20_000 and figures["copies"] < 10 * n
+
+
+def test_large_components_of_all_kinds(spark):
+    """Chains, groups that are all alike, chains through such groups, and copies, with limits so small that each is told apart."""
+    rng = random.Random(21)
+    texts = chain(60) + near_copies(rng, 40, 0.002)
+    for text in chain(30, 11, 104)[::7]:
+        words = text.split()
+        for _ in range(12):
+            at = rng.randrange(len(words))
+            texts.append(" ".join([*words[:at], f"z{rng.randrange(10**6)}", *words[at + 1 :]]))
+    texts += texts[::9]
+    rng.shuffle(texts)
+    for sparse in (1, 3, 12, 10**6):
+        check(spark, texts, params=replace(j.Join(), leaf=16, block=8, large_block=16, cell=16, large_cell=32, sparse=sparse))
+
+
 def test_the_bound_on_runs():
     p = j.Join()
     assert p.found(p.runs) >= p.recall > p.found(p.runs - 1)
