@@ -3,7 +3,8 @@
 It is fitted on the blocks of pages that are made from a grammar of page parts, which
 knows what is content: articles in wrappers of all kinds (or in none), menus, headers,
 footers, sidebars, notices, adverts, forms, lists of links and readers' comments, some inside the
-article; with names that mislead in both directions, and texts of all lengths. Their number is
+article, some without any telling name; with names that mislead in both directions, articles that are lists of
+links, and texts of all lengths. Their number is
 bounded (PAGES) and does not depend on the pages to extract.
 """
 
@@ -36,12 +37,16 @@ PARTS = {
     "links": ("ul class=share", "div class=social", "ul class=tags", "div class=pagination", "ul class=social-links", "div class=read-more", "ul"),
 }
 
+#: What stands above other articles and above comments where no name tells.
+ABOVE_LINKS = ("You may also like", "You might also like", "Related posts", "Related stories", "More from this author", "Read next", "Most popular", "Recommended for you", "More stories", "See also", "Trending now", "Up next", "Share this")
+ABOVE_COMMENTS = ("Comments", "3 Comments", "12 responses", "Leave a reply", "Join the discussion", "What do you think?", "Comments (4)", "Post a comment")
+
 
 class Writer:
-    """Makes pages; every block's text begins with a mark that says whether it is content."""
+    """Makes pages; every block's text begins with a mark that says whether it is content. hard: also parts without telling names, and articles that are lists of links."""
 
-    def __init__(self, rng: random.Random):
-        self.rng = rng
+    def __init__(self, rng: random.Random, hard: bool = True):
+        self.rng, self.hard = rng, hard
 
     def words(self, n: int) -> str:
         r = self.rng
@@ -84,15 +89,37 @@ class Writer:
             inner = "".join(self.block(False, self.prose(3, 50) if r.random() < 0.7 else self.link(4), r.choice(("p", "div", "li"))) for _ in range(r.randint(1, 3)))
         return self.wrapped(inner, r.choice(PARTS[kind]))
 
+    def unnamed(self) -> str:
+        """Other articles, or comments, in elements whose names tell nothing."""
+        r = self.rng
+        plain = lambda: f"{r.choice(('div', 'section', 'ul', 'div'))}{' class=' + r.choice(PLAIN_NAMES) if r.random() < 0.7 else ''}"
+        if r.random() < 0.5:
+            item = r.choice(("li", "p", "div", "h3"))
+            inner = [f"<{item}><a href=/x>B {self.words(r.randint(2, 9))}</a>{' ' + self.words(r.randint(2, 9)) if r.random() < 0.2 else ''}</{item}>" for _ in range(r.randint(2, 6))]
+            above = r.choice(ABOVE_LINKS)
+        else:
+            inner = []
+            for _ in range(r.randint(1, 5)):
+                who = self.block(False, f"{self.words(1).capitalize()} {r.choice(('2 days ago', '5 hours ago', 'says:', 'wrote:', 'at 10:42 pm', '1 week ago'))}", r.choice(("p", "div", "h4")))
+                said = "".join(self.block(False, self.prose(4, 60), r.choice(("p", "div"))) for _ in range(r.choice((1, 1, 2))))
+                inner.append(self.wrapped(who + said + (self.block(False, "<a href=#>Reply</a>", r.choice(("p", "div"))) if r.random() < 0.6 else ""), plain()))
+            above = r.choice(ABOVE_COMMENTS)
+        head = self.block(False, above, r.choice(("h2", "h3", "h4", "p", "div"))) if r.random() < 0.85 or len(inner) < 2 else ""
+        return self.wrapped(head + "".join(inner), plain()) if r.random() < 0.8 else head + "".join(inner)
+
     def content(self) -> str:
         r = self.rng
         out = [self.block(True, self.words(r.randint(2, 9)), "h1")] if r.random() < 0.8 else []
         if out and r.random() < 0.15:
             out = [f"<header>{out[0]}{self.block(True, self.prose(3, 12), 'p')}</header>"]
-        for _ in range(max(1, round(12 * r.random() ** 1.5))):
+        linked = self.hard and r.random() < 0.04  # nothing but lists of links
+        for _ in range(r.randint(1, 2) if linked else max(1, round(12 * r.random() ** 1.5))):
             kind = r.random()
             name = f' {r.choice(("class", "id"))}="{r.choice(MISLEADING)}"' if r.random() < 0.07 else ""
-            if kind < 0.75:
+            if self.hard and kind < 0.03 or linked:
+                items = [f"<li><a href=/x>C {self.words(r.randint(1, 9))}</a>{' ' + self.prose(2, 20) if r.random() < 0.3 else ''}</li>" for _ in range(r.randint(3, 9))]
+                out.append(self.wrapped("".join(items), r.choice(("ul", "ol"))))
+            elif kind < 0.75:
                 text = self.prose()
                 if r.random() < 0.15:
                     text = text.replace(" ", f" {self.link()} ", 1)
@@ -109,7 +136,11 @@ class Writer:
                 at = r.randrange(1, len(out) + 1) if kind != "comments" else len(out)
                 out.insert(at, self.part(kind))
         inner = "".join(out)
+        if self.hard and r.random() < 0.12:
+            inner += self.unnamed()
         opening = r.choice(("article", "article", "main", "div", "div", "section", "td", ""))
+        if linked:
+            opening = r.choice(("article", "main"))
         if not opening:
             return inner
         names = CONTENT_NAMES if r.random() < 0.6 else PLAIN_NAMES
@@ -122,11 +153,13 @@ class Writer:
             return "".join(self.block(True, self.prose(1, 15), "p") for _ in range(r.randint(1, 3)))
         chosen = lambda kinds, share: "".join(self.part(k) for k in kinds if r.random() < share)
         before, after = chosen(("notice", "header", "menu", "links", "advert", "side"), 0.4), chosen(("comments", "links", "side", "form", "advert", "footer", "notice"), 0.4)
+        if self.hard and r.random() < 0.15:
+            after = self.unnamed() + after
         return f"<body>{before}{self.content()}{after}</body>"
 
 
-def pages(n: int, seed: int) -> list[str]:
-    writer = Writer(random.Random(seed))
+def pages(n: int, seed: int, hard: bool = False) -> list[str]:
+    writer = Writer(random.Random(seed), hard)
     return [writer.page() for _ in range(n)]
 
 
@@ -147,7 +180,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
 def fitted(features: Callable[[str], tuple[list, np.ndarray]], n: int = PAGES, seed: int = SEED) -> tuple[float, ...]:
     """The weights of features(page), which gives a page's blocks and a row for each of them."""
     rows, labels = [], []
-    for page in pages(n, seed):
+    for page in pages(n, seed, hard=True):
         found, x = features(page)
         rows.append(x)
         labels += [b.text.startswith("C") for b in found]

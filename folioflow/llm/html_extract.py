@@ -16,7 +16,7 @@ import functools
 import html
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,8 +31,10 @@ from .html_classifier import fitted
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Elements whose text is never part of a page's article.
-UNSEEN = frozenset("script style title textarea iframe noembed noframes template head noscript svg math object canvas audio video select button datalist xmp option".split())
+#: Elements whose text is never displayed as text, or belongs to the controls of a form.
+UNSEEN = frozenset("script style title textarea iframe noembed noframes template head noscript canvas audio video select datalist option annotation annotation-xml desc metadata defs".split())
+#: Elements whose text leads elsewhere or does something.
+LINKS = frozenset(("a", "button"))
 #: Elements that a start tag of the given name ends, if they are open in the same container.
 ENDS_P = BLOCKS - frozenset("li dd dt td th tr tbody thead tfoot option optgroup legend caption summary body html".split())
 ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -63,12 +65,21 @@ UNUSED = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
 class Element:
-    name: str
-    parent: Element | None
-    flags: int = 0  # of it and its ancestors
-    unseen: bool = False
+    """An open or closed element, with what its ancestors tell, so that nobody has to walk up to them.
+
+    flags: of it and its ancestors; unseen: likewise; block, box: the nearest block-level element and the
+    nearest scope, itself included; inner: how many elements of each name are open within its scope.
+    """
+
+    __slots__ = ("block", "box", "flags", "inner", "name", "parent", "unseen")
+
+    def __init__(self, name: str, parent: Element | None, flags: int = 0, unseen: bool = False):
+        self.name, self.parent, self.flags, self.unseen = name, parent, flags, unseen
+        self.block = self if parent is None or name in BLOCKS else parent.block
+        scope = parent is None or name in SCOPES
+        self.box = self if scope else parent.box
+        self.inner: Counter = Counter() if scope else parent.inner
 
 
 @dataclass
@@ -122,49 +133,65 @@ def blocks(page: str) -> list[Block]:
     root = Element("#root", None)
     at, found, block = root, [], None
     open_links = 0
+    total: Counter = Counter()  # how many elements of each name are open
 
-    def text(raw: str) -> None:
+    def text(raw: str, decoded: bool = False) -> None:
         nonlocal block
         if not raw or at.unseen:
             return
         if block is None:
             if not raw.strip():
                 return
-            owner = at
-            while owner.parent and owner.name not in BLOCKS:
-                owner = owner.parent
-            block = Block(owner)
+            block = Block(at.block)
             found.append(block)
-        plain = html.unescape(raw)
+        plain = raw if decoded else html.unescape(raw)
         block.parts.append(plain)
         if open_links:
             block.linked += len(plain.strip())
 
+    def opened(child: Element) -> None:
+        nonlocal at, open_links
+        at = child
+        total[child.name] += 1
+        if child.name not in SCOPES:
+            child.inner[child.name] += 1
+        open_links += child.name in LINKS
+
     def close(until: Element) -> None:
         nonlocal at, open_links
         while at is not until and at.parent:
-            open_links -= at.name == "a"
+            total[at.name] -= 1
+            if at.name not in SCOPES:
+                at.inner[at.name] -= 1
+            open_links -= at.name in LINKS
             at = at.parent
 
-    position, token = 0, TOKEN
-    while m := token.search(page, position):
+    def nearest(names: frozenset[str] | set[str] | tuple[str, ...]) -> Element:
+        """The innermost open element of some names, of which there is one."""
+        up = at
+        while up.name not in names:
+            up = up.parent
+        return up
+
+    position, hidden_ends = 0, 0
+    while m := TOKEN.search(page, position):
+        if m[1] is None and m[0] == "<":  # quotes hide the end of this tag: it ends at the next '>'
+            hidden_ends += 1
+            m = (PLAIN.match(page, m.start()) if ">" in page[m.end() : m.end() + 10_000] or page.find(">", m.end()) >= 0 else None) or m
         text(page[position : m.start()])
         position = m.end()
         if m[1] is None:
-            if m[0] == "<" and token is TOKEN:  # quotes hide the end of this tag: from here on tags end at the next '>'
-                position, token = m.start(), PLAIN
-            elif m[0] == "<":  # a tag that never ends: the rest of the page
+            if m[0] == "<":  # a tag that never ends: the rest of the page
                 position = len(page)
             continue
+        if hidden_ends > MOST_HIDDEN:  # quotes are of no use on this page
+            return blocks(page.translate(NO_QUOTES))
         name = m[1].lower()
         if m[0].startswith("</"):
             if name in BLOCKS:
                 block = None
-            up = at
-            while up.parent and up.name != name and not (name not in BLOCKS and up.name in SCOPES):
-                up = up.parent
-            if up.parent and up.name == name:
-                close(up.parent)
+            if total[name] if name in BLOCKS else at.inner[name]:
+                close(nearest((name,)).parent)
             continue
         if name == "br" or name == "wbr" or name in VOID and name != "hr":
             if block is not None and name == "br":
@@ -177,15 +204,8 @@ def blocks(page: str) -> list[Block]:
                 ends.add("p")
             if name in HEADS or name == "h1":
                 ends |= {*HEADS, "h1"}
-            up = at
-            while up.parent and ends:
-                if up.name in ends:
-                    close(up.parent)
-                    up = at
-                    continue
-                if up.name in SCOPES:
-                    break
-                up = up.parent
+            while any(at.inner[n] for n in ends):
+                close(nearest(ends).parent)
         if name == "hr":
             continue
         flags, hidden = said(name, m[2])
@@ -193,23 +213,68 @@ def blocks(page: str) -> list[Block]:
         child = Element(name, at, at.flags | flags | nested, at.unseen or hidden or name in UNSEEN)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, position)
-            position = end.start() if end else len(page)
+            begin, position = position, end.start() if end else len(page)
+            if name == "xmp":  # shown as it is written
+                text(page[begin:position], decoded=True)
             if end:
                 position = (page.find(">", position) + 1) or len(page)
             continue
         if m[2].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        at = child
-        open_links += name == "a"
+        opened(child)
     text(page[position:])
     for b in found:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
     return [b for b in found if b.text]
 
 
+#: Tags of a page whose end may be hidden by quotes before all its quotes are read as letters, so that time stays linear.
+MOST_HIDDEN = 20
+NO_QUOTES = {0x22: "\u2033", 0x27: "\u2032"}
 #: Log-odds beyond which a block is as certain as can be, so that its neighbours may still outvote it.
 MOST = 7.0
 COPYRIGHT = re.compile(r"(©|\(c\)|copyright\b|all rights reserved)", re.I)
+#: What short lines above lists of other articles, readers' comments and the like say.
+ELSEWHERE = re.compile(
+    r"\b(you (may|might|will) (also |like )|also like|related (posts?|stories|articles|content|reading|topics)|recommended|more (from|stories|on this|like this|in )|read (next|more|also)|up next|see also|most (read|popular|viewed)|trending|popular (now|posts|stories)|"
+    r"editors?'?s? picks?|latest (news|posts|stories)|around the web|from the web|elsewhere on|don't miss|what to read|share this|follow us|(\d+ )?(comments?|responses|replies)( \(?\d+\)?)?$|leave a (reply|comment)|join the (conversation|discussion)|what do you think|add a comment|post a comment|thoughts on)",
+    re.I,
+)
+#: What lines beside a reader's comment say.
+REMARK = re.compile(r"\b(reply|report( abuse)?|permalink|upvote|like \(?\d+\)?)$|\b\d+ (s|sec(ond)?|min(ute)?|h(ou)?r?|d(ay)?|w(ee)?k|mo(nth)?|y(ea)?r)s? ago\b|\b(says|said|wrote|writes):$|\bat \d{1,2}:\d\d( ?[ap]m)?\b", re.I)
+SHORT = 12
+
+
+def shadows(found: list[Block]) -> list[bool]:
+    """Whether each block stands below a line that announces other articles or comments, in the container of that line or within it, up to the next heading there."""
+    out, under = [], {}
+    for b in found:
+        box, way = b.owner.box, []
+        while id(box) not in under and box.parent:
+            way.append(box)
+            box = box.parent.box
+        known = under.get(id(box), False)
+        for inner in way:
+            under[id(inner)] = known
+        box = b.owner.box
+        if len(b.text) < 80 and len(b.text.split()) <= SHORT and ELSEWHERE.search(b.text):
+            under[id(box)] = True
+        elif b.owner.name == "h1" or b.owner.name in HEADS and b.owner.parent is box:
+            under[id(box)] = False
+        out.append(under.get(id(box), False))
+    return out
+
+
+def remarks(found: list[Block]) -> tuple[list[bool], list[bool]]:
+    """Whether each block is a line beside a comment, and whether it stands in one of several containers, side by side, with such lines."""
+    line = [len(b.text) < 80 and len(b.text.split()) <= SHORT and REMARK.search(b.text) is not None for b in found]
+    beside, holds = Counter(), set()
+    for b, is_line in zip(found, line, strict=True):
+        box = b.owner.box
+        if is_line and box.parent and id(box) not in holds:
+            holds.add(id(box))
+            beside[id(box.parent.box)] += 1
+    return line, [b.owner.box.parent is not None and id(b.owner.box) in holds and beside[id(b.owner.box.parent.box)] > 1 for b in found]
 
 
 def features(page: str) -> tuple[list[Block], np.ndarray]:
@@ -218,6 +283,7 @@ def features(page: str) -> tuple[list[Block], np.ndarray]:
     total = sum(len(b.text) for b in found)
     marked = any(b.owner.flags & (BIT["article"] | BIT["main"] | BIT["good"]) for b in found)
     first = next((i for i, b in enumerate(found) if b.owner.name == "h1"), -1)
+    shadow, (line, beside) = shadows(found), remarks(found)
     out = []
     for i, b in enumerate(found):
         flags, name = b.owner.flags, b.owner.name
@@ -237,17 +303,15 @@ def features(page: str) -> tuple[list[Block], np.ndarray]:
                 marked and not inside,
                 i < first,
                 bool(flags & BIT["header"]) and inside,
+                shadow[i],
+                line[i],
+                beside[i],
+                inside * min(1.0, b.linked / len(b.text)),
+                inside and name == "li",
                 *(bool(flags & bit) for bit in BIT.values()),
             )
         )
-    return found, np.array(out, dtype=float).reshape(-1, 12 + len(FLAGS))
-
-
-def container(block: Block) -> Element:
-    up = block.owner
-    while up.parent and up.name not in SCOPES:
-        up = up.parent
-    return up
+    return found, np.array(out, dtype=float).reshape(-1, 17 + len(FLAGS))
 
 
 #: The cost of a border between neighbours of one container, of a container and one within, of others; and between a container's successive blocks that are no neighbours.
@@ -258,9 +322,9 @@ def links(found: list[Block]) -> list[tuple[int, int, float]]:
     """Smoothness edges: neighbours, the more so the nearer they stand in the tree, and successive blocks of one container."""
     out, last = [], {}
     for i, block in enumerate(found):
-        own = container(block)
+        own = block.owner.box
         if i:
-            other = container(found[i - 1])
+            other = found[i - 1].owner.box
             near = SAME if own is other else WITHIN if own.parent is other or other.parent is own else OTHER
             out.append((i - 1, i, near))
         if (before := last.get(id(own))) is not None and before != i - 1:
