@@ -2,14 +2,14 @@
 
 A shingle is five words in a row (fewer where the text has no more); its hash combines
 the words' hashes. A fixed share of the range of hashes is retained: every shingle whose
-hash lies below the threshold, whatever the length of the text. Sketches therefore grow
-with their texts, the sketch of a union is the union of sketches, and the share of one
-sketch found in another estimates containment even between very unequal texts.
-
-Short texts have few hashes: of n distinct shingles none lies below the threshold with a
-probability of (1 - SHARE) ** n. Then the least hash of all is retained, so that only texts without
-words have an empty sketch. The least hash of a union is the least of both, so such
-sketches merge as well. Everything is computed from two sketches alone.
+hash lies below the threshold, whatever the length of the text, and of short texts the FLOOR least hashes. Sketches
+of long texts therefore grow with their texts, those of short texts hold all or FLOOR of their shingles, and the
+sketch of a union is made of the sketches alone: what is below the threshold in either, and the least of both.
+
+Of two sketches each is complete up to some hash, its reach: the threshold or its last hash, or all hashes if
+the text has fewer shingles than FLOOR. Up to the lesser reach both show all that their texts have, so
+the shares there estimate likeness, and containment also between very unequal texts. Everything is computed from two
+sketches alone.
 """
 
 from __future__ import annotations
@@ -18,70 +18,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = 5
-SHARE = 1 / 2
+SHARE = 1 / 64
+FLOOR = 32
+#: Hashes are numbers of so many bits.
+BITS = 32
 LOWEST = -(2**63)
 #: Rows a bucket of neighbouring ids holds, and the most buckets (the bounds are one array of longs on the driver).
 BUCKET_ROWS, MOST_BUCKETS = 5000, 1 << 16
 
 
 def below(share: float) -> int:
-    """The hash from which on hashes are not retained."""
-    return LOWEST + int(2**64 * share)
+    """The hash from which on hashes are not retained for their size."""
+    return int(2**BITS * share)
 
 
-def retained(hashes: Column, share: float) -> Column:
-    """Of ascending hashes those below the threshold; where there are none, the least."""
-    kept = lambda h: F.when(F.get(h, 0) < below(share), F.filter(h, lambda x: x < below(share))).otherwise(F.slice(h, 1, 1))
-    return F.element_at(F.transform(F.array(hashes), kept), 1)  # the array of one binds the hashes once
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def sketch(text: Column, words: int = WORDS, share: float = SHARE) -> Column:
+def retained(hashes: Column, share: float = SHARE, floor: int = FLOOR) -> Column:
+    """Of ascending distinct hashes those below the threshold, and of the others the least until there are ``floor``."""
+    return bound(hashes, lambda h: F.slice(h, F.lit(1), F.greatest(F.size(F.filter(h, lambda x: x < below(share))), F.least(F.size(h), F.lit(floor)))))
+
+
+def sketch(text: Column, words: int = WORDS, share: float = SHARE, floor: int = FLOOR) -> Column:
     """The retained hashes of a text, ascending and distinct: array<bigint>. A text without words has none."""
     hashes = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    short = lambda x: F.shiftrightunsigned(x, 64 - BITS)
 
     def shingles(h: Column) -> Column:
         last = F.greatest(F.size(h) - words, F.lit(0))
-        whole = F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(*[F.element_at(h, i + j) for j in range(words)]))
-        return F.when(F.size(h) >= words, whole).when(F.size(h) > 0, F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))).otherwise(F.array().cast("array<bigint>"))
+        whole = F.transform(F.sequence(F.lit(1), last + 1), lambda i: short(F.xxhash64(*[F.element_at(h, i + j) for j in range(words)])))
+        return F.when(F.size(h) >= words, whole).when(F.size(h) > 0, F.array(short(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " "))))).otherwise(F.array().cast("array<bigint>"))
 
-    def few(s: Column) -> Column:
-        """What can be retained, before it is sorted: hashes below the threshold, or the least."""
-        low = F.filter(s, lambda x: x < below(share))
-        return F.element_at(F.transform(F.array(low), lambda low: F.when((F.size(low) > 0) | (F.size(s) == 0), low).otherwise(F.array(F.array_min(s)))), 1)
+    distinct = lambda s: F.array_sort(F.array_distinct(s))
 
-    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    return F.array_sort(F.array_distinct(bound(bound(hashes, shingles), few)))
+    def least(s: Column) -> Column:
+        """Few hashes that are enough nearly always, so that only they are sorted; all where they are not."""
+        enough = F.greatest(F.lit(float(below(share))), F.lit(3.0 * floor * 2**BITS) / F.greatest(F.size(s), F.lit(1)))
+        few = distinct(F.filter(s, lambda x: x < enough))
+        return bound(few, lambda few: F.when(F.size(few) >= F.least(F.size(s), F.lit(floor)), few).otherwise(distinct(s)))
 
+    return retained(bound(bound(hashes, shingles), least), share, floor)
 
-def shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b))
 
+def reach(a: Column, share: float = SHARE, floor: int = FLOOR) -> Column:
+    """The hash up to which a sketch shows all that its text has."""
+    return F.when(F.size(a) < floor, F.lit(2**BITS)).otherwise(F.greatest(F.lit(below(share) - 1), F.element_at(a, -1)))
 
-def containment(a: Column, b: Column, share: float = SHARE) -> Column:
-    """The estimated share of a's shingles that b has; null where nothing of a lies below the threshold."""
-    return F.when(F.get(a, 0) < below(share), shared(a, b) / F.size(a))
 
+def upto(a: Column, most: Column) -> Column:
+    return F.size(F.filter(a, lambda x: x <= most))
 
-def likeness(a: Column, b: Column, share: float = SHARE) -> Column:
-    """The estimated Jaccard similarity: the share of the merged sketch that both have. Two empty sketches are alike (1).
 
-    A sketch has hashes below the threshold only, or one hash above it, so sizes tell that of the merged sketch.
-    """
-    low = lambda s: F.when(F.get(s, 0) < below(share), F.size(s)).otherwise(0)
-    both = shared(a, b)
-    # a lone hash above the threshold is the merged sketch only beside another one
-    union = F.greatest(low(a) + low(b) - both, F.lit(1))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / union)
+def containment(a: Column, b: Column, share: float = SHARE, floor: int = FLOOR) -> Column:
+    """The estimated share of a's shingles that b has; null where a shows none up to b's reach."""
+    most = F.least(reach(a, share, floor), reach(b, share, floor))
+    return bound(most, lambda most: bound(upto(a, most), lambda n: F.when(n > 0, upto(F.array_intersect(a, b), most) / n)))
+
+
+def likeness(a: Column, b: Column, share: float = SHARE, floor: int = FLOOR) -> Column:
+    """The estimated Jaccard similarity; exact where both texts have fewer than ``floor`` shingles. Two empty sketches are alike (1)."""
+    most = F.least(reach(a, share, floor), reach(b, share, floor))
+
+    def shares(most: Column) -> Column:
+        return bound(upto(F.array_intersect(a, b), most), lambda both: both / F.greatest(upto(a, most) + upto(b, most) - both, F.lit(1)))
+
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(bound(most, shares))
 
 
 def written(a: Column) -> Column:
-    """A sketch as text: 16 hexadecimal digits a hash."""
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """A sketch as text: its hashes as four bytes each, in base 64."""
+    digits = F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")
+    return F.translate(F.base64(F.unhex(digits)), "\r\n", "")
 
 
-def merged(a: Column, b: Column, share: float = SHARE) -> Column:
+def merged(a: Column, b: Column, share: float = SHARE, floor: int = FLOOR) -> Column:
     """The sketch of both texts together."""
-    return retained(F.array_sort(F.array_union(a, b)), share)
+    return retained(F.array_sort(F.array_union(a, b)), share, floor)
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import random
 import re
 import struct
@@ -44,32 +45,40 @@ def test_the_sketch_keeps_its_share_and_estimates(spark):
     whole, part, other = " ".join(words), " ".join(words[1000:3000]), " ".join(f"v{i}" for i in range(3000))
     df = spark.createDataFrame([(whole, part, other)], "a string, b string, c string").select(*[f.sketch(F.col(c)).alias(c) for c in "abc"])
     r = df.select(F.size("a").alias("n"), f.containment(F.col("b"), F.col("a")).alias("inside"), f.containment(F.col("a"), F.col("b")).alias("holds"), f.containment(F.col("c"), F.col("a")).alias("none"), f.likeness(F.col("a"), F.col("a")).alias("same"), (f.merged(F.col("a"), F.col("b")) == F.col("a")).alias("merges")).first()
-    assert abs(r["n"] / 5996 - f.SHARE) < 0.03
-    assert r["inside"] == 1 and abs(r["holds"] - 1 / 3) < 0.08 and r["none"] == 0 and r["same"] == 1 and r["merges"]
+    assert abs(r["n"] / 5996 - f.SHARE) < 0.006
+    assert r["inside"] == 1 and abs(r["holds"] - 1 / 3) < 0.2 and r["none"] == 0 and r["same"] == 1 and r["merges"]
 
 
 def signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
-def brute_sketch(text: str) -> list[int]:
-    """The sketch by another library's hash of bytes: a word by its bytes, a shingle by its words' hashes one after another."""
+def brute_all(text: str) -> list[int]:
+    """Every shingle's hash, by another library's hash of bytes: a word by its bytes, a shingle by its words' hashes one after another."""
     h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w]
     found = set()
     for i in range(len(h) - f.WORDS + 1):
         seed = 42
         for x in h[i : i + f.WORDS]:
             seed = xxhash.xxh64_intdigest(struct.pack("<q", x), seed)
-        found.add(signed(seed))
+        found.add(seed >> 32)
     if 0 < len(h) < f.WORDS:
-        found = {signed(xxhash.xxh64_intdigest(" ".join(map(str, h)).encode(), 42))}
-    return sorted(x for x in found if x < f.below(f.SHARE)) or sorted(found)[:1]
+        found = {xxhash.xxh64_intdigest(" ".join(map(str, h)).encode(), 42) >> 32}
+    return sorted(found)
+
+
+def kept(hashes: list[int]) -> list[int]:
+    return [x for i, x in enumerate(hashes) if x < 2**32 * f.SHARE or i < f.FLOOR]
+
+
+def brute_sketch(text: str) -> list[int]:
+    return kept(brute_all(text))
 
 
 def brute_likeness(a: list[int], b: list[int]) -> float:
-    union = sorted({*a, *b})
-    union = [x for x in union if x < f.below(f.SHARE)] or union[:1]
-    return sum(x in a and x in b for x in union) / len(union) if union else 1.0
+    most = min(2**32 if len(x) < f.FLOOR else max(2**32 * f.SHARE - 1, x[-1]) for x in (a, b))
+    a, b = ({x for x in s if x <= most} for s in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
 
 
 def test_sketches_and_likeness_equal_brute_force(spark):
@@ -83,6 +92,7 @@ def test_sketches_and_likeness_equal_brute_force(spark):
         assert (row[0], row[1]) == (x, y)
         assert abs(row[2] - brute_likeness(x, y)) < 1e-12
         assert bool(x) == bool(a.split())
+        assert len(x) == min(f.FLOOR, len(brute_all(a))) or all(h < 2**32 * f.SHARE for h in x)
 
 
 def test_likeness_of_short_texts(spark):
@@ -93,23 +103,24 @@ def test_likeness_of_short_texts(spark):
 
 def test_merging_sketches_gives_the_sketch_of_both(spark):
     rng = random.Random(13)
-    pairs = [(prose(rng, rng.randint(5, 7)), prose(rng, rng.randint(5, 9))) for _ in range(100)]
+    pairs = [(prose(rng, rng.choice([0, 3, 9, 40, 90, 4000])), prose(rng, rng.choice([0, 3, 9, 40, 90, 4000]))) for _ in range(60)]
     df = spark.createDataFrame(pairs, "a string, b string")
     got = df.select("a", "b", f.merged(f.sketch(F.col("a")), f.sketch(F.col("b")))).collect()
     for a, b, both in got:
-        union = sorted({*brute_all(a), *brute_all(b)})
-        assert both == ([x for x in union if x < f.below(f.SHARE)] or union[:1])
+        assert both == kept(sorted({*brute_all(a), *brute_all(b)}))
 
 
-def brute_all(text: str) -> list[int]:
-    """Every shingle's hash."""
-    words, out = text.split(), []
-    for i in range(len(words) - 4):
-        seed = 42
-        for w in words[i : i + 5]:
-            seed = xxhash.xxh64_intdigest(struct.pack("<q", signed(xxhash.xxh64_intdigest(w.encode(), 42))), seed)
-        out.append(signed(seed))
-    return out
+def test_containment_between_very_unequal_texts(spark):
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10**7)}" for _ in range(40_000)]
+    rows = []
+    for n, share in ((20, 1.0), (20, 0.0), (300, 1.0), (300, 0.0), (20_000, 0.5), (4, 1.0)):
+        at = rng.randrange(len(words) - n)
+        inner = words[at : at + int(n * share)] + [f"v{rng.randrange(10**7)}" for _ in range(n - int(n * share))]
+        rows.append((" ".join(inner), " ".join(words), share))
+    df = spark.createDataFrame(rows, "a string, b string, share double").select("share", f.containment(f.sketch(F.col("a")), f.sketch(F.col("b"))).alias("c"))
+    for r in df.collect():
+        assert r["c"] is None or abs(r["c"] - r["share"]) < 0.12
 
 
 def test_the_query_equals_sql_and_its_fingerprints(spark, sf_dir):
@@ -120,7 +131,8 @@ def test_the_query_equals_sql_and_its_fingerprints(spark, sf_dir):
         n AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following, length(text) // 2 AS half FROM d)
         SELECT doc_id, length(text) AS n_chars, sha256(substring(text, 1, length(text) - half) || substring(following, 1, half)) AS edited_sha256 FROM n ORDER BY doc_id"""
     rows = duckdb.sql(sql).fetchall()
-    hashes = lambda written: [signed(int(written[i : i + 16], 16)) for i in range(0, len(written), 16)]
+    hashes = lambda written: [x[0] for x in struct.iter_unpack(">I", base64.b64decode(written))]
+    assert sum(len(r["fingerprint"]) for r in got.values()) < 0.1 * sum(r["n_chars"] for r in got.values())
     for i, (doc, n, edited) in enumerate(rows):
         r, following = got[doc], got[rows[(i + 1) % len(rows)][0]]
         assert (r["n_chars"], r["edited_sha256"]) == (n, edited)
