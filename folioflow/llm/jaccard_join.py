@@ -426,41 +426,28 @@ def exact_links(sets: DataFrame, p: Join) -> DataFrame:
     return sets.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "d").mapInPandas(rows, MET)
 
 
-def exact_stars(stars: DataFrame, p: Join) -> DataFrame:
-    """MET from rows (star, member, d, weight, found): each star's centre (not a member) is compared with its members, one after the other."""
+#: A row's place: its cell, whether that is all of its component, its half of the cell, and whether it is compared with classes that are not dense.
+PLACE = ("c", "i", "j", "alone", "half", "dense")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centre, star, last = None, None, None
-        for batch in batches:
-            out = []
-            for key, member, d, weight, found in zip(batch["star"], batch["member"], batch["d"], batch["weight"], batch["found"], strict=True):
-                if (key, member, d) == last:
-                    continue  # another row with this set
-                last, own = (key, member, d), np.frombuffer(found, dtype="<u8")
-                if not member:
-                    centre, star = (d, weight, own), key
-                    continue
-                if key != star:
-                    raise ValueError("a member came before its centre")
-                common = len(np.intersect1d(centre[2], own, assume_unique=True))
-                if alike(len(centre[2]), len(own), common, p.least):
-                    out += [(False, centre[0], weight, min(d, centre[0]), 1), (False, d, centre[1], min(d, centre[0]), 1)]
-                else:
-                    out += [(False, centre[0], 0, centre[0], 1), (False, d, 0, d, 1)]
-            yield pd.DataFrame(out, columns=["alone", "d", "links", "root", "compared"])
-
-    return stars.repartition("star").sortWithinPartitions("star", "member", "d").mapInPandas(rows, MET)
-
-
-def dealt(linked: DataFrame, sets: Callable[[DataFrame], DataFrame], p: Join) -> DataFrame:
-    """The classes (c, d, sig, weight, size, first, dense, final) of components with their sets, in cells: one for a small component, blocks against blocks for others."""
+
+def dealt(linked: DataFrame, p: Join) -> DataFrame:
+    """PLACE and k for the classes (c, k, d, size, dense, final) of components: one cell for a small component, blocks against blocks for others."""
     per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     several = F.greatest(parts(F.col("n"), p.block, p.large_block, 128), F.ceil(F.col("total") / (p.block_shingles / 2)))
     per = per.where("n > 1").select("c", F.when(small(p), 1).otherwise(several).cast("int").alias("blocks"))
-    whole = sets(linked.join(per, "c")).withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
+    whole = linked.join(per, "c").withColumn("half", F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int"))
     cells = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     alone = F.col("final") & (F.col("blocks") == 1)
-    return cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), alone.alias("alone"), "half", "dense", "d", "sig", "weight", "found")
+    return cells.select("c", F.least("half", "other").cast("int").alias("i"), F.greatest("half", "other").cast("int").alias("j"), alone.alias("alone"), "half", "dense", "k")
+
+
+def starred(pairs: DataFrame, sizes: DataFrame, p: Join) -> DataFrame:
+    """PLACE and k for pairs (a, b): a cell for each a, where it alone meets its partners; a star with many shingles is several cells."""
+    per = pairs.join(sizes.withColumnRenamed("k", "b"), "b").groupBy("a").agg(F.ceil(F.sum("size") / p.block_shingles).cast("int").alias("parts"))
+    members = pairs.join(per, "a").select("a", F.col("b").alias("k"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("half"))
+    centres = members.select("a", F.col("a").alias("k"), "part", F.lit(0).alias("half")).distinct()
+    both = members.unionByName(centres)
+    return both.select(F.xxhash64(F.lit("star"), "a", "part").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("j"), F.lit(False).alias("alone"), "half", F.lit(True).alias("dense"), "k")
 
 
 def small(p: Join) -> Column:
@@ -468,31 +455,31 @@ def small(p: Join) -> Column:
     return (F.col("n") <= 2 * p.block) & (F.col("total") <= p.block_shingles)
 
 
-def verified(linked: DataFrame, places: tuple[DataFrame, DataFrame | None], sets: Callable[[DataFrame], DataFrame], p: Join) -> DataFrame:
-    """MET of all classes with candidates. linked: c (component), k, d, sig, weight, size, first; sets() adds found to rows of it."""
+def placed(linked: DataFrame, places: tuple[DataFrame, DataFrame | None], p: Join) -> DataFrame:
+    """PLACE and k: the cells in which the classes with candidates are compared. linked: c (component), k, d, size."""
+    sure = {"dense": F.lit(True), "final": F.lit(True)}
     per = linked.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
     large = cut(linked.join(per.where(~small(p)).select("c"), "c", "left_semi"), "jaccard-large", slim=True)
     if large.isEmpty():
-        return cut(exact_links(dealt(linked.withColumns({"dense": F.lit(True), "final": F.lit(True)}), sets, p), p), "jaccard-links")
-    rest = linked.join(per.where(small(p)).select("c"), "c", "left_semi").withColumns({"dense": F.lit(True), "final": F.lit(True)})
+        return dealt(linked.withColumns(sure), p)
+    rest = linked.join(per.where(small(p)).select("c"), "c", "left_semi").withColumns(sure)
 
     # the candidates of large components, once more, told apart by how many each class has
     own = large.select("k")
     again = tuple(None if x is None else x.join(own, "k", "left_semi") for x in places)
     told = candidate_links(again, p, p.sparse)
-    dense = told.where("dense AND a = b").select(F.col("a").alias("k"))
+    dense = told.where("dense AND a = b").select(F.col("a").alias("k")).distinct()
     pairs = told.where("NOT dense").select("a", "b").distinct()
     pairs = pairs.join(dense.select(F.col("k").alias("a"), F.lit(True).alias("x")), "a", "left").join(dense.select(F.col("k").alias("b"), F.lit(True).alias("y")), "b", "left")
     pairs = cut(pairs.select("a", "b", (F.col("x").isNotNull() | F.col("y").isNotNull()).alias("dense")), "jaccard-pairs", slim=True)
     of_dense = components(told.where("dense").select("a", "b").unionByName(pairs.where("dense").select("a", "b")))
     of_dense = large.drop("c").join(of_dense.select(F.col("node").alias("k"), F.col("label").alias("c")), "k").join(dense.withColumn("dense", F.lit(True)), "k", "left")
     of_dense = of_dense.withColumns({"dense": F.coalesce("dense", F.lit(False)), "final": F.lit(False), "c": F.xxhash64(F.lit("dense"), "c")})
-    met = exact_links(dealt(rest.unionByName(of_dense), sets, p), p)
+    return dealt(rest.unionByName(of_dense), p).unionByName(starred(pairs.where("NOT dense").select("a", "b"), large.select("k", "size"), p))
+
 
-    alone = pairs.where("NOT dense")
-    stars = alone.select(F.col("a").alias("star"), F.col("b").alias("k"), F.lit(True).alias("member")).unionByName(alone.select(F.col("a").alias("star"), F.col("a").alias("k"), F.lit(False).alias("member")).distinct())
-    found = sets(large.join(stars.select("k").distinct(), "k", "left_semi")).select("k", "d", "weight", "found")
-    return cut(met.unionByName(exact_stars(stars.join(found, "k").select("star", "member", "d", "weight", "found"), p)), "jaccard-links")
+#: Ids of documents with candidates up to which they are broadcast, 16 MB; beyond, a shuffle joins them to the texts.
+MOST_KEYS = 1_000_000
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Join = Join(), figures: dict | None = None) -> DataFrame:  # noqa: B008
@@ -516,14 +503,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params
     linked = components(candidate_links(places, p))
     linked = cut(linked.join(classes, linked["node"] == classes["k"]).select(F.col("label").alias("c"), "k", "d", "sig", "weight", "size", "first"), "jaccard-groups", slim=True)
 
-    def sets(wanted: DataFrame) -> DataFrame:
-        """wanted with found, the whole set of one row of each class."""
-        lowest = F.lit(-(2**63))
-        key = wanted.select(F.coalesce("first", lowest).alias("key")).distinct()
-        texts = rows.withColumn("key", F.coalesce("doc_id", lowest)).join(key, "key", "left_semi").select("text")
-        return with_sets(texts, p.words).join(wanted, "d")
+    cells = cut(placed(linked.select("c", "k", "d", "size"), places, p).join(linked.select("k", "d", "sig", "weight"), "k").drop("k"), "jaccard-cells", slim=True)
 
-    met = verified(linked, places, sets, p)
+    # whole sets, of one row of each class that has a candidate
+    lowest = F.lit(-(2**63))
+    wanted = cut(linked.select(F.coalesce("first", lowest).alias("key")).distinct(), "jaccard-keys", slim=True)
+    if wanted.count() <= MOST_KEYS:
+        wanted = F.broadcast(wanted)
+    texts = rows.withColumn("key", F.coalesce("doc_id", lowest)).join(wanted, "key", "left_semi").select("text")
+    met = cut(exact_links(with_sets(texts, p.words).join(cells, "d").select(*PLACE, "d", "sig", "weight", "found"), p), "jaccard-links")
     if figures is not None:
         figures |= met.agg((F.coalesce(F.sum("compared"), F.lit(0)) / 2).cast("long").alias("pairs"), F.count(F.lit(1)).alias("copies")).first().asDict()
 
