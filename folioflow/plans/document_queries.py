@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Limits
+from ..operators import ladder
 from ..operators.convert import convert_folder, converted, delivered
 from ..sources import samples
 from ..sources.files import listing, uploaded, write_files
+from ..sources.reader import document_files
+from ..sources.zipdir import DIRECTORY
 from ..streaming import jobs
 from ..streaming.convert import convert_stream
 from ..streaming.convert import outcomes as stream_outcomes
@@ -314,3 +317,41 @@ def stream_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
             stream = waiting(spark.readStream.schema(polls.schema).parquet(f"{root}/polls"), deadline=3 * 86_400, most=4, remembered=60 * 86_400)
             found.append(jobs.run_to_end(stream, root, "append", checkpoint=f"{root}/state"))
     return found[0].unionByName(found[1]).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def sized(customer: int, orders: list[tuple[int, str, int]]) -> bytes:
+    """A stored archive: a Word document's members, one for each order (one step upwards for orders of a status), and a large one that nobody has to read."""
+    members = {"[Content_Types].xml": b"x", "word/document.xml": b"<x/>", "word/media/large.bin": bytes(100_000)}
+    members |= {f"{'../up' if status == 'P' else 'word/o'}/{key}.xml": bytes(size) for key, status, size in orders}
+    return samples.stored(members)
+
+
+@query("""
+    WITH o AS (
+      SELECT o_custkey AS c, count(*) + 3 AS members, CAST(100_005 + sum(CAST(floor(o_totalprice) AS BIGINT) % 9000) AS BIGINT) AS expanded, bool_or(o_orderstatus = 'P') AS unsafe FROM orders GROUP BY o_custkey)
+    SELECT 'customer-' || c || '.docx' AS name, members, expanded, 0 AS repeated, 0 AS overlapping, true AS read_in_part,
+           CASE WHEN members > 20 THEN 'OFFICE_ARCHIVE_UNSAFE' WHEN unsafe THEN 'OFFICE_ARCHIVE_UNSAFE' WHEN expanded > 150000 THEN 'DOCUMENT_EXPANDS_TOO_LARGE' END AS error_code
+    FROM o
+    UNION ALL SELECT 'empty-' || r_name || '.docx', NULL, NULL, NULL, NULL, NULL, 'DOWNLOAD_FAILED' FROM region""")
+def archive_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives in a folder, one for each customer with orders, and empty files: judged by names, sizes and directories, none of them read whole. Texts beside them are never planned."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", "o_orderstatus", F.pmod(F.floor("o_totalprice").cast("long"), F.lit(9000)).alias("size")).alias("o"))
+    grouped = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o")).alias("orders"))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": [f"docs/{c % 7}/customer-{c}.docx" for c in b["o_custkey"]], "content": [sized(c, [tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in os]) for c, os in zip(b["o_custkey"], b["orders"], strict=True)]})
+
+    regions = table(spark, sf_dir, "region")
+    files = grouped.mapInPandas(made, "key string, content binary")
+    files = files.unionByName(regions.select(F.concat(F.lit("docs/empty-"), "r_name", F.lit(".docx")).alias("key"), F.lit("").cast("binary").alias("content")))
+    files = files.unionByName(regions.select(F.concat(F.lit("docs/"), "r_name", F.lit(".txt")).alias("key"), F.lit("text").cast("binary").alias("content")))
+    folder = shared_dir(spark)
+    write_files(files, folder)
+    found = document_files(spark, f"{folder}/docs", "name string, extension string, length bigint, directory " + DIRECTORY).where(F.col("extension") == ".docx")
+    limits = Limits(max_members=20, max_expanded_bytes=150_000)
+    members = F.col("directory.members")
+    total = lambda field: F.aggregate(members, F.lit(0).cast("long"), lambda n, m: n + m[field])
+    unsafe = F.exists(members, lambda m: ladder.unsafe_member(m["name"]))
+    code = F.coalesce(ladder.declared(F.col("name"), F.col("length"), limits), ladder.archive(F.size(members), total("file_size"), total("compress_size"), unsafe, limits))
+    return found.select("name", F.size(members).cast("long").alias("members"), total("file_size").alias("expanded"), "directory.repeated", "directory.overlapping", (F.col("directory.bytes_read") < F.col("length")).alias("read_in_part"), code.alias("error_code"))

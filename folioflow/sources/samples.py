@@ -20,6 +20,15 @@ def zipped(members: dict[str, str | bytes]) -> bytes:
     return out.getvalue()
 
 
+def stored(members: dict[str, bytes]) -> bytes:
+    """An archive whose members are not compressed."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, content in members.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), content)
+    return out.getvalue()
+
+
 def rels(entries: dict[str, tuple[str, str]]) -> str:
     inner = "".join(f'<Relationship Id="{i}" Type="{REL}/{k}" Target="{t}"{" TargetMode=" + chr(34) + "External" + chr(34) if t.startswith("http") else ""}/>' for i, (k, t) in entries.items())
     return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{inner}</Relationships>'
