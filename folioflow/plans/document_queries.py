@@ -355,3 +355,65 @@ def archive_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     unsafe = F.exists(members, lambda m: ladder.unsafe_member(m["name"]))
     code = F.coalesce(ladder.declared(F.col("name"), F.col("length"), limits), ladder.archive(F.size(members), total("file_size"), total("compress_size"), unsafe, limits))
     return found.select("name", F.size(members).cast("long").alias("members"), total("file_size").alias("expanded"), "directory.repeated", "directory.overlapping", (F.col("directory.bytes_read") < F.col("length")).alias("read_in_part"), code.alias("error_code"))
+
+
+def statement(customer: int, orders: list[tuple[int, str]]) -> bytes:
+    """A page with a table on a customer's orders (key, status): a head over both columns, statuses merged downwards."""
+    boxes = {(0, 1, 0, 2): f"Customer {customer}"}
+    begun = 0
+    for i, (key, status) in enumerate(orders):
+        boxes[i + 1, i + 2, 1, 2] = str(key)
+        if i + 1 == len(orders) or orders[i + 1][1] != status:
+            boxes[begun + 1, i + 2, 0, 1] = status
+            begun = i + 1
+    return samples.pdf([samples.merged_grid(boxes)])
+
+
+@query("""
+    WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+    SELECT 'customer-' || c AS stem,
+           '## Page 1' || chr(10) || chr(10) || 'Customer ' || c || chr(10) || string_agg(CASE WHEN before = s THEN '' ELSE s || ' ' END || k, chr(10) ORDER BY k) || chr(10) || chr(10)
+           || '| Customer ' || c || ' |  |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CASE WHEN before = s THEN '' ELSE s END || ' | ' || k || ' |', chr(10) ORDER BY k) || chr(10) AS markdown,
+           1 AS pages_or_slides, 0 AS media_count, '' AS warnings, 'md' AS shape, CAST(NULL AS VARCHAR) AS error_code
+    FROM o GROUP BY c""")
+def pdf_merged_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF for every customer with orders, whose table has cells merged in both directions."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents = [statement(c, [(o["o_orderkey"], o["o_orderstatus"]) for o in os]) for c, os in zip(b["o_custkey"], b["orders"], strict=True)]
+            yield pd.DataFrame({"path": [f"in/customer-{c}.pdf" for c in b["o_custkey"]], "length": [len(c) for c in contents], "content": contents})
+
+    return outcomes(orders.mapInPandas(made, "path string, length long, content binary"))
+
+
+def gallery(number: int, name: str) -> bytes:
+    """A page with an image of each kind; the fifth cannot be read."""
+    k = number % 200
+    images = [
+        ("/Width 4/Height 1/ColorSpace/DeviceGray/BitsPerComponent 2", bytes([k])),
+        ("/Width 2/Height 1/ColorSpace[/Indexed/DeviceRGB 1 <0A0B0CF0F1F2>]/BitsPerComponent 1", bytes([k << 6 & 255])),
+        ("/Width 1/Height 1/ColorSpace/DeviceCMYK/BitsPerComponent 8", bytes([k, 2, 3, 4])),
+        ("/Width 1/Height 2/ColorSpace[/Separation/Spot/DeviceRGB<</FunctionType 2/Domain[0 1]/C0[1 1 1]/C1[1 0 0]/N 1>>]/BitsPerComponent 8", bytes([k, 0])),
+        ("/Width 1/Height 1/ColorSpace/DeviceGray/BitsPerComponent 1/Filter/JBIG2Decode", b"x"),
+        ("/Width 3/Height 1/ColorSpace/DeviceGray/BitsPerComponent 16", bytes([k, 1, 2, 3, 4, 5])),
+        ("/Width 8/Height 2/ImageMask true", bytes([k, 255 - k])),
+    ]
+    inline = f"q 9 0 0 9 0 0 cm BI /W 5 /H 1 /CS /G /BPC 8 /F /AHx ID {k:02x}00010203> EI Q "
+    return samples.pdf_with_images(images, text=samples.text_at(50, 700, name) + inline)
+
+
+@query("""
+    SELECT n_name AS stem, '## Page 1' || chr(10) || chr(10) || n_name || chr(10) || chr(10) || (SELECT string_agg('![Page 1 image](media/page-001-image-00' || i || '.png)', chr(10) || chr(10) ORDER BY i) FROM range(1, 9) AS t(i) WHERE i <> 5) || chr(10) AS markdown,
+           1 AS pages_or_slides, 7 AS media_count, 'Page 1 contains an image that could not be extracted.' AS warnings, 'zip' AS shape, CAST(NULL AS VARCHAR) AS error_code
+    FROM nation""")
+def pdf_image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF for each nation with grey, palette, CMYK, spot, 16-bit, stencil and inline images, and one of a kind that is not read: numbers are kept."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents = [gallery(k, n) for k, n in zip(b["n_nationkey"], b["n_name"], strict=True)]
+            yield pd.DataFrame({"path": [f"in/{n}.pdf" for n in b["n_name"]], "length": [len(c) for c in contents], "content": contents})
+
+    return outcomes(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(made, "path string, length long, content binary"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import pickle
 import select
@@ -80,8 +81,9 @@ class Child:
         except subprocess.TimeoutExpired:
             self.process.kill()
             self.process.wait()
-        self.process.stdin.close()
-        self.process.stdout.close()
+        for pipe in (self.process.stdin, self.process.stdout):
+            with contextlib.suppress(OSError):  # what was still to be sent has nobody to read it
+                pipe.close()
 
 
 #: Seconds that a child has to start.

@@ -3,7 +3,7 @@
 Objects are found by scanning the whole file, so a damaged cross-reference table does no
 harm; object streams are unpacked, and of objects with one number the last in the file counts. Files that
 open with an empty password are deciphered. Of filters, Flate and LZW (with predictors), run lengths, ASCIIHex and
-ASCII85 are undone; DCT and JPX images pass as they are, CCITT ones become TIFF, raw RGB and grey ones PNG.
+ASCII85 are undone; DCT and JPX images pass as they are, CCITT ones become TIFF, all whose samples are plain PNG.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ import re
 import struct
 import time
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 
 from ..config import Limits
 from ..functions.errors import WARNINGS
+from . import lattice, pixels
 from .budget import TableBudget
 from .cipher import opened
 from .items import BODY, HEAD, IMAGES, TABLES, Extract, Failure, Item
@@ -445,6 +445,7 @@ class Page:
         self.across: list[tuple[float, float, float]] = []  # y, x0, x1
         self.down: list[tuple[float, float, float]] = []  # x, y0, y1
         self.boxes: list[tuple[float, float]] = []
+        self.inline: list[tuple[Stream, dict]] = []
         self.fonts: dict[int, Font] = {}
         box = [file.number(x) for x in file.list(page.get("MediaBox"))] or [0, 0, 612, 792]
         self.area = abs((box[2] - box[0]) * (box[3] - box[1])) if len(box) == 4 else 0.0
@@ -554,12 +555,31 @@ class Page:
                         own = self.file.dict(x.info.get("Resources")) or resources
                         self.draw(self.file.decoded(x), own, multiplied(matrix, ctm), depth + 1)
                 elif op == "BI":
-                    end = re.compile(rb"[\s]EI(?=[\s]|\Z)").search(data, p.at)
-                    p.at = end.end() if end else len(data)
+                    self.inline.append((self.inline_image(p, resources), resources))
                     self.boxes.append((abs(ctm[0]) + abs(ctm[2]), abs(ctm[1]) + abs(ctm[3])))
             except (IndexError, TypeError, AttributeError):
                 continue  # an operator without its operands draws nothing
 
+    def inline_image(self, p: Parser, resources: dict) -> Stream:
+        """The image that stands between BI and EI; without a filter its size tells where it ends."""
+        info: dict = {}
+        while (key := p.value()) is not None and key != "ID":
+            info[str(key)] = p.value()
+        begin = p.at + 1
+        length = None
+        if not info.get("F", info.get("Filter")):
+            try:
+                either = lambda a, b: info.get(a, info.get(b))
+                stencil = str(either("IM", "ImageMask")) == "true"
+                colors = 1 if stencil else pixels.Space(self.file, either("CS", "ColorSpace"), resources).colors
+                bits = 1 if stencil else int(self.file.number(either("BPC", "BitsPerComponent"), 8))
+                length = (int(self.file.number(either("W", "Width"))) * colors * bits + 7) // 8 * int(self.file.number(either("H", "Height")))
+            except pixels.Unsupported:
+                length = None
+        end = re.compile(rb"\s?EI(?=[\s]|\Z)" if length is not None else rb"\sEI(?=[\s]|\Z)").search(p.data, begin + (length or 0))
+        p.at = end.end() if end else len(p.data)
+        return Stream(info, p.data[begin : begin + length if length is not None else end.start() if end else len(p.data)])
+
     def lines(self, letters: list) -> list[str]:
         """Lines from the top down, words apart where the gap is wide."""
         rows: list[list] = []
@@ -583,67 +603,26 @@ class Page:
         return "\n".join(self.lines(self.letters))
 
     def tables(self) -> list[list[list[str | None]]]:
-        """Grids of ruled lines, each cell with the text inside it."""
-        if len(self.across) < 2 or len(self.down) < 2:
-            return []
-        parent = list(range(len(self.across) + len(self.down)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i, (y, x0, x1) in enumerate(self.across):
-            for j, (x, y0, y1) in enumerate(self.down):
-                if x0 - 2 <= x <= x1 + 2 and y0 - 2 <= y <= y1 + 2:
-                    parent[root(i)] = root(len(self.across) + j)
-        groups = defaultdict(lambda: ([], []))
-        for i, line in enumerate(self.across):
-            groups[root(i)][0].append(line)
-        for j, line in enumerate(self.down):
-            groups[root(len(self.across) + j)][1].append(line)
-        out = []
-        for across, down in sorted(groups.values(), key=lambda g: -max((a[0] for a in g[0]), default=0)):
-            ys, xs = apart([a[0] for a in across])[::-1], apart([d[0] for d in down])
-            if len(ys) < 2 or len(xs) < 2 or (len(ys) - 1) * (len(xs) - 1) < 2:
-                continue
-            rows: list[list[str | None]] = []
-            for top, bottom in zip(ys, ys[1:], strict=False):
-                row: list[str | None] = []
-                for left, right in zip(xs, xs[1:], strict=False):
-                    inside = [g for g in self.letters if left - 1 <= g[0] + g[2] / 2 <= right + 1 and bottom - 1 <= g[1] <= top]
-                    row.append("\n".join(self.lines(inside)) or None)
-                rows.append(row)
-            out.append(rows)
-        return out
+        """Tables of ruled lines, each cell with the text inside it; merged cells keep their place."""
+        return lattice.tables(self.across, self.down, self.letters, self.lines)
 
-    def images(self) -> list[Stream]:
-        """Image objects of the page's resources, and of forms within."""
-        out: list[Stream] = []
+    def images(self) -> list[tuple[Stream, dict]]:
+        """Image objects of the page's resources, and of forms within, then those that stand in its content; each with the resources it names."""
+        out: list[tuple[Stream, dict]] = []
 
         def walk(resources: dict, depth: int) -> None:
             for x in self.file.dict(resources.get("XObject")).values():
                 x = self.file.get(x)
                 if isinstance(x, Stream) and x.info.get("Subtype") == "Image":
-                    out.append(x)
+                    out.append((x, resources))
                 elif isinstance(x, Stream) and x.info.get("Subtype") == "Form" and depth < 8:
                     walk(self.file.dict(x.info.get("Resources")), depth + 1)
 
         walk(self.file.dict(self.page.get("Resources")), 0)
-        return out
+        return out + self.inline
 
 
-def apart(values: list[float], gap: float = 2.0) -> list[float]:
-    """The values in order, without those that follow another closely."""
-    out: list[float] = []
-    for v in sorted(values):
-        if not out or v - out[-1] > gap:
-            out.append(v)
-    return out
-
-
-def image_bytes(file: File, s: Stream) -> tuple[bytes, str]:
+def image_bytes(file: File, s: Stream, resources: dict | None = None) -> tuple[bytes, str]:
     """A file and its extension."""
     filters = file.filters(s)
     if filters and filters[-1] in ("DCTDecode", "DCT"):
@@ -652,21 +631,26 @@ def image_bytes(file: File, s: Stream) -> tuple[bytes, str]:
         return file.decoded(s, ("JPXDecode",)), ".jp2"
     if filters and filters[-1] in ("CCITTFaxDecode", "CCF"):
         return fax(file, s), ".tiff"
-    data = file.decoded(s)
-    width, height = int(file.number(s.info.get("Width", s.info.get("W")))), int(file.number(s.info.get("Height", s.info.get("H"))))
-    space = file.get(s.info.get("ColorSpace", s.info.get("CS")))
-    if isinstance(space, list) and space and file.get(space[0]) == "ICCBased":
-        colors = int(file.number(file.dict(space[1]).get("N"), 3))
-    else:
-        colors = {"DeviceGray": 1, "G": 1, "CalGray": 1, "DeviceRGB": 3, "RGB": 3, "CalRGB": 3}.get(str(space[0] if isinstance(space, list) else space), 0)
-    bits = int(file.number(s.info.get("BitsPerComponent", s.info.get("BPC")), 8))
-    stride = (width * colors * bits + 7) // 8
-    if colors not in (1, 3) or bits not in (1, 8) or not stride or len(data) < stride * height:
-        raise ValueError("unsupported image")
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    rows = b"".join(b"\0" + data[i * stride : (i + 1) * stride] for i in range(height))
-    head = struct.pack(">IIBBBBB", width, height, bits, 2 if colors == 3 else 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b""), ".png"
+    if filters and filters[-1] == "JBIG2Decode":
+        raise pixels.Unsupported("filter")
+    return pixels.image(file, s.info, file.decoded(s), resources, soft_mask(file, s)), ".png"
+
+
+def soft_mask(file: File, s: Stream) -> np.ndarray | None:
+    """How opaque each pixel is, 0 to 255; None where all are, or where the mask cannot be read."""
+    mask = file.get(s.info.get("SMask"))
+    if not isinstance(mask, Stream):
+        return None
+    try:
+        size = [int(file.number(mask.info.get(k))) for k in ("Width", "Height")]
+        bits = int(file.number(mask.info.get("BitsPerComponent"), 8))
+        decode = [float(file.number(x)) for x in file.list(mask.info.get("Decode"))]
+        values = pixels.samples(file.decoded(mask), *size, 1, bits)
+    except Failure:
+        raise
+    except Exception:  # the image is worth having without it
+        return None
+    return np.rint(pixels.unit(values, bits, decode, 1)[:, :, 0] * 255).astype(np.uint8)
 
 
 def fax(file: File, s: Stream) -> bytes:
@@ -724,9 +708,9 @@ def extract(content: bytes, limits: Limits = Limits(), include_media: bool = Tru
             except Exception:
                 images = []
                 warn(number, IMAGES, "page_images")
-            for position, s in enumerate(images, start=1):
+            for position, (s, resources) in enumerate(images, start=1):
                 try:
-                    data, ext = image_bytes(file, s)
+                    data, ext = image_bytes(file, s, resources)
                 except Failure:
                     raise
                 except Exception:  # one bad image does not fail its document

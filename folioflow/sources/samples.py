@@ -181,6 +181,30 @@ def pdf(pages: list[str], images: dict[str, tuple[int, int, bytes]] | None = Non
     return bytes(out) + b"trailer\n<</Root 1 0 R%s>>\nstartxref\n0\n%%%%EOF" % (b"/Encrypt 99 0 R" if encrypted else b"")
 
 
+def pdf_with_images(images: list[tuple[str, bytes]], extra: list[bytes] = (), text: str = "") -> bytes:
+    """A page that draws images, each with its dictionary's entries and its bytes; extra objects are numbered from 20 (up to 14 images)."""
+    content = (text + " ".join(f"q 9 0 0 9 0 0 cm /I{k} Do Q" for k in range(len(images)))).encode("cp1252")
+    names = " ".join(f"/I{k} {5 + k} 0 R" for k in range(len(images))).encode()
+    objects = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: b"<</Type/Pages/Count 1/Kids[3 0 R]>>", 3: b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 800]/Contents 4 0 R/Resources<</Font<</F1 19 0 R>>/XObject<<%s>>>>>>" % names}
+    objects[4] = b"<</Length %d>>\nstream\n%s\nendstream" % (len(content), content)
+    objects |= {5 + k: b"<</Type/XObject/Subtype/Image%s/Length %d>>\nstream\n%s\nendstream" % (e.encode("latin-1"), len(d), d) for k, (e, d) in enumerate(images)}
+    objects[19] = b"<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"
+    objects |= {20 + k: o for k, o in enumerate(extra)}
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % o for o in objects.items()) + b"trailer\n<</Root 1 0 R>>\nstartxref\n0\n%%EOF"
+
+
+def pdf_with_image(entries: str, data: bytes, extra: list[bytes] = ()) -> bytes:
+    return pdf_with_images([(entries, data)], extra)
+
+
+def merged_grid(boxes: dict[tuple[int, int, int, int], str], left: int = 50, top: int = 700, width: int = 120, height: int = 20) -> str:
+    """Cells (top, bottom, left, right, ends excluded), each with its own border and its text in its first row."""
+    out = ""
+    for (t, b, l, r), text in boxes.items():
+        out += f"{left + l * width} {top - b * height} {(r - l) * width} {(b - t) * height} re S\n" + text_at(left + l * width + 4, top - (t + 1) * height + 6, text, 10)
+    return out
+
+
 def nested_forms(depth: int, times: int) -> bytes:
     """A page that draws a form so many times, which draws another so many times, and so on."""
     objects = [b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Count 1/Kids[3 0 R]>>", b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 9 9]/Contents 4 0 R/Resources<</XObject<</X 5 0 R>>>>>>"]
