@@ -417,3 +417,21 @@ def pdf_image_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"in/{n}.pdf" for n in b["n_name"]], "length": [len(c) for c in contents], "content": contents})
 
     return outcomes(table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(made, "path string, length long, content binary"))
+
+
+@query("""
+    SELECT 'customer-' || c_custkey AS stem, CASE c_custkey % 4 WHEN 0 THEN '## Page 1' || chr(10) || chr(10) || 'key ' || c_custkey || chr(10) WHEN 3 THEN 'key ' || c_custkey || chr(10) END AS markdown,
+           CASE WHEN c_custkey % 4 IN (1, 2) THEN 'PASSWORD_PROTECTED' END AS error_code
+    FROM customer""")
+def protected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for every customer: PDFs, half of them enciphered, and Word files, half of them compound files as protected ones are."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k in b["c_custkey"]:
+                page, word = samples.text_at(50, 700, f"key {k}"), bytes.fromhex("D0CF11E0A1B11AE1") + bytes(64)
+                rows.append((f"in/customer-{k}.{'pdf' if k % 4 < 2 else 'docx'}", samples.pdf([page], encrypted=k % 4 == 1) if k % 4 < 2 else word if k % 4 == 2 else samples.docx(samples.para(samples.run(f"key {k}")))))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "length": [len(r[1]) for r in rows], "content": [r[1] for r in rows]})
+
+    return outcomes(table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(made, "path string, length long, content binary")).select("stem", "markdown", "error_code")

@@ -148,18 +148,25 @@ def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     far = F.lit(10**9)
     key = F.struct(F.coalesce(F.when(F.col("l_tax") <= 0.06, q % 5), far).alias("top"), F.coalesce(F.when(F.col("l_discount") <= 0.08, q % 3), far).alias("left"), F.col("l_linenumber").alias("z"))
-    item = {"part_no": F.lit(1), "kind": F.lit("frame"), "place": F.lit(1), "key": F.array(key["top"], key["left"], key["z"]).cast("array<bigint>"), "text": key["z"].cast("string")}
-    none = {f: F.lit(None) for f in convert.FIELDS if f not in item}
-    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(*[v.alias(k) for k, v in (item | none).items()])).alias("items"))
-    return shapes.select("l_orderkey", F.array_join(F.transform(convert.in_order(F.col("items")), lambda i: i["text"]), ",").alias("reading"))
+    shapes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(key).alias("shapes"))
+
+    def item(k):
+        """A shape as an extractor gives it; what it does not have is added after the shuffle."""
+        own = {"part_no": F.lit(1), "kind": F.lit("frame"), "place": F.lit(1), "key": F.array(k["top"], k["left"], k["z"]).cast("array<bigint>"), "text": k["z"].cast("string")}
+        return F.struct(*[v.alias(name) for name, v in (own | {f: F.lit(None) for f in convert.FIELDS if f not in own}).items()])
+
+    return shapes.select("l_orderkey", F.array_join(F.transform(convert.in_order(F.transform("shapes", item)), lambda i: i["text"]), ",").alias("reading"))
 
 
 @query("""
-    SELECT 'referenced' AS kind, p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < timestamp '1993-01-01')
-    UNION ALL SELECT 'unreferenced', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < timestamp '1993-01-01')""")
+    WITH u AS (SELECT CASE WHEN l_shipdate < timestamp '1993-01-01' THEN l_partkey ELSE -l_partkey END AS k FROM lineitem)
+    SELECT 'referenced' AS kind, p_partkey FROM part WHERE p_partkey IN (SELECT k FROM u)
+    UNION ALL SELECT 'unreferenced', p_partkey FROM part WHERE p_partkey NOT IN (SELECT k FROM u)""")
 def unreferenced_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as media, lines as references: those shipped since 1993 refer to other media."""
     part = table(spark, sf_dir, "part").select("p_partkey")
-    used = table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")).select(F.col("l_partkey").alias("p_partkey"))
+    early = F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz")
+    used = table(spark, sf_dir, "lineitem").select(F.when(early, F.col("l_partkey")).otherwise(-F.col("l_partkey")).alias("p_partkey"))
     return media.by_reference(part, used, "p_partkey")
 
 
@@ -298,6 +305,11 @@ def token_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minted.select("o_orderkey", tokens.verify(forged, F.lit(1100), SECRET).alias("v")).select("o_orderkey", "v.code", F.col("v.claims.filename").alias("filename"))
 
 
+def objects_there(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as objects; those without credit under keys that nobody asks for."""
+    return table(spark, sf_dir, "customer").select(F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("o_custkey"), F.lit(True).alias("there"))
+
+
 JOB = "CASE o_orderkey % 9 WHEN 0 THEN NULL ELSE 'j' || o_orderkey END"
 SOURCE = "CASE o_orderkey % 7 WHEN 0 THEN '/jobs/2024-01-01/j' || o_orderkey || '/source/a.pdf' WHEN 1 THEN 'jobs/2024-01-01/j' || o_orderkey || '/other/a.pdf' WHEN 2 THEN 'jobs/2024-01-01/j' || o_orderkey || '/source/../a.pdf' WHEN 3 THEN 'jobs/2024-01-01/j' || o_orderkey || '/source/a.exe' ELSE 'jobs/2024-01-01/j' || o_orderkey || '/source/a.pdf' END"
 RESULT = "'jobs/2024-01-01/j' || o_orderkey || '/result/a' || CASE WHEN o_orderkey % 4 = 0 THEN '.md' ELSE '_markdown.zip' END"
@@ -305,7 +317,7 @@ RESULT = "'jobs/2024-01-01/j' || o_orderkey || '/result/a' || CASE WHEN o_orderk
 
 @query(f"""
     WITH j AS (SELECT o_orderkey, {JOB} AS job, {SOURCE} AS source, {RESULT} AS result, o_orderkey % 3 <> 0 AS media, c_custkey IS NOT NULL AS there, CAST(o_totalprice AS BIGINT) - 20000 AS size
-               FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey)
+               FROM orders LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS c_custkey FROM customer) ON o_custkey = c_custkey)
     SELECT o_orderkey, CASE
       WHEN job IS NULL THEN 'JOB_TOKEN_INVALID'
       WHEN source LIKE '%..%' OR result LIKE '%..%' OR NOT source LIKE 'jobs/2024-01-01/' || job || '/%' OR NOT result LIKE 'jobs/2024-01-01/' || job || '/%' THEN 'JOB_TOKEN_INVALID'
@@ -315,7 +327,7 @@ RESULT = "'jobs/2024-01-01/j' || o_orderkey || '/result/a' || CASE WHEN o_orderk
       WHEN NOT there THEN 'BLOB_NOT_FOUND' WHEN size <= 0 THEN 'INVALID_FILE_FORMAT' WHEN size > 40000 THEN 'FILE_TOO_LARGE' END AS code, NOT result LIKE '%.md' AS include_media FROM j""")
 def prepare_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as jobs, customers in credit as the objects that exist."""
-    objects = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("there"))
+    objects = objects_there(spark, sf_dir)
     jobs = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.expr(JOB).alias("job"), F.expr(SOURCE).alias("source"), F.expr(RESULT).alias("result"), (F.round("o_totalprice").cast("long") - 20000).alias("size"))
     jobs = jobs.join(objects, "o_custkey", "left")
     code = ladder.prepared(F.col("job"), F.col("source"), F.col("result"), F.col("o_orderkey") % 3 != 0, F.col("there"), F.col("size"), SMALL)
@@ -371,12 +383,12 @@ def base64url_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'JOB_TOKEN_INVALID' WHEN 1000 + o_orderkey % 200 < 1100 THEN 'JOB_TOKEN_EXPIRED' WHEN o_orderkey % 7 = 0 THEN 'JOB_TOKEN_INVALID' WHEN c_custkey IS NULL THEN 'BLOB_NOT_FOUND' END AS code
-    FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+    FROM orders LEFT JOIN (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS c_custkey FROM customer) ON o_custkey = c_custkey""")
 def download_authorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as requests for results: token, signed path, existence of the object."""
     key = F.col("o_orderkey")
     claims = {"exp": 1000 + key % 200, "filename": F.lit("a.pdf"), "job_id": key.cast("string"), "result_path": F.concat(F.lit("jobs/"), key.cast("string")), "source_path": F.lit("jobs/s"), "source_size": key}
-    objects = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("there"))
+    objects = objects_there(spark, sf_dir)
     asked = table(spark, sf_dir, "orders").join(objects, "o_custkey", "left").select("o_orderkey", "there", tokens.mint(claims, SECRET).alias("token"))
     forged = F.when(key % 5 == 0, F.concat(F.lit("A"), F.substring("token", 2, 10**6))).otherwise(F.col("token"))
     verified = asked.withColumn("v", tokens.verify(forged, F.lit(1100), SECRET, skew=0))
@@ -384,6 +396,17 @@ def download_authorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verified.select("o_orderkey", ladder.downloadable(F.col("v.code"), F.col("v.claims.result_path"), path, F.col("there")).alias("code"))
 
 
+#: URLs of a job's source: encoded twice, once, not by https, of another job, with two strokes, none.
+BOUND = "CASE o_orderkey % 6 WHEN 0 THEN 'https://s.example/get?pathname=jobs%252F' || o_orderkey || '%252Fa%2520b.pdf&sig=1' WHEN 1 THEN 'https://s.example/jobs/' || o_orderkey || '/a%20b.pdf?sig=1' WHEN 2 THEN 'http://s.example/jobs/' || o_orderkey || '/a%20b.pdf' WHEN 3 THEN 'https://s.example/jobs/' || (o_orderkey + 1) || '/a%20b.pdf' WHEN 4 THEN 'HTTPS://s.example//jobs/' || o_orderkey || '/a%20b.pdf' END"
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (2, 3, 5) THEN 'JOB_TOKEN_INVALID' END AS code FROM orders")
+def url_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs whose URLs must name the path that was signed."""
+    jobs = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(BOUND).alias("url"), F.expr("'/jobs/' || o_orderkey || '/a b.pdf'").alias("signed"))
+    return jobs.select("o_orderkey", paths.bound_to(F.col("url"), F.col("signed")).alias("code"))
+
+
 UPLOAD = "CASE p_partkey % 5 WHEN 0 THEN 'jobs/2024-01-01/j' || p_partkey || '/source/a.pdf' WHEN 1 THEN 'jobs/2024-01-01/j' || p_partkey || '/result/a.pdf' WHEN 2 THEN 'jobs/2024-01-01/j' || p_partkey || '/source/a.xlsx' WHEN 3 THEN 'x/source/a.pdf' ELSE 'jobs/2024-01-01/j' || p_partkey || '/source/a.DOCX' END"
 
 
