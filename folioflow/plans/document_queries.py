@@ -435,3 +435,15 @@ def protected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": [r[0] for r in rows], "length": [len(r[1]) for r in rows], "content": [r[1] for r in rows]})
 
     return outcomes(table(spark, sf_dir, "customer").select("c_custkey").mapInPandas(made, "path string, length long, content binary")).select("stem", "markdown", "error_code")
+
+
+@query("SELECT 'part-' || p_partkey AS stem, '## Page 1' || chr(10) || chr(10) || p_name || ' ä漢' || chr(10) AS markdown, CAST(NULL AS VARCHAR) AS error_code FROM part")
+def pdf_subset_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF for every part whose name stands there in a subset font without a map."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            contents = [samples.subset_pdf(f"{n} ä漢") for n in b["p_name"]]
+            yield pd.DataFrame({"path": [f"in/part-{k}.pdf" for k in b["p_partkey"]], "length": [len(c) for c in contents], "content": contents})
+
+    return outcomes(table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInPandas(made, "path string, length long, content binary")).select("stem", "markdown", "error_code")

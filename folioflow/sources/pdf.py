@@ -19,7 +19,7 @@ import numpy as np
 
 from ..config import Limits
 from ..functions.errors import WARNINGS
-from . import lattice, pixels
+from . import fonts, lattice, pixels
 from .budget import TableBudget
 from .cipher import opened
 from .items import BODY, HEAD, IMAGES, TABLES, Extract, Failure, Item
@@ -358,13 +358,15 @@ def unpacked_runs(data: bytes, most: int) -> bytes:
 
 
 class Font:
-    """Bytes of a string to characters and widths (in thousandths)."""
+    """Bytes of a string to characters and widths (in thousandths).
+
+    Characters come from the font's own map; without one from a predefined map, the names of its encoding, or the
+    embedded font program.
+    """
 
     def __init__(self, file: File, d: dict):
         self.wide = d.get("Subtype") == "Type0"
         self.map: dict[int, str] = {}
-        #: codes of these predefined maps are UTF-16 themselves
-        self.utf16 = re.fullmatch(r"Uni.*UTF16-[HV]", str(file.get(d.get("Encoding")))) is not None
         unicode = file.get(d.get("ToUnicode"))
         if isinstance(unicode, Stream):
             self.read_map(file.decoded(unicode))
@@ -378,6 +380,19 @@ class Font:
             else:
                 self.names[code] = x
                 code += 1
+        self.codec, self.program, self.glyphs, self.wide_widths, self.usual = None, None, None, {}, 1000.0
+        if self.wide:
+            within = file.dict((file.list(d.get("DescendantFonts")) or [{}])[0])
+            self.wide_widths, self.usual = fonts.widths(file, within)
+            if not self.map:
+                self.codec = fonts.codec(str(file.get(d.get("Encoding"))))
+                self.program = None if self.codec else fonts.embedded(file, file.dict(within.get("FontDescriptor")))
+                to_glyph = file.get(within.get("CIDToGIDMap"))
+                if isinstance(to_glyph, Stream):
+                    raw = file.decoded(to_glyph)
+                    self.glyphs = struct.unpack(f">{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
+        elif not self.map and not file.get(d.get("Encoding")):
+            self.program = fonts.embedded(file, file.dict(d.get("FontDescriptor")))
 
     def read_map(self, data: bytes) -> None:
         p = Parser(data)
@@ -405,26 +420,30 @@ class Font:
                 held.append(v)
 
     def letters(self, s: bytes) -> list[tuple[str, float]]:
-        codes = [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s), 2)] if self.wide else list(s)
-        out = []
-        for c in codes:
-            text = self.map.get(c)
-            if text is None:
-                text = c.to_bytes(2, "big").decode("utf-16-be", "replace") if self.utf16 else "" if self.wide else glyph(self.names[c]) if c in self.names else bytes([c]).decode("cp1252", "replace")
-            i = c - self.first
-            out.append((text, self.widths[i] if not self.wide and 0 <= i < len(self.widths) else 1000 if self.wide else 500))
-        return out
-
-
-def glyph(name: str) -> str:
-    """The character of a glyph's name, for single letters, uniXXXX and the commonest words."""
-    words = {"space": " ", "hyphen": "-", "period": ".", "comma": ",", "colon": ":", "quotesingle": "'", "quoteright": "’", "endash": "–", "emdash": "—", "bullet": "•", "fi": "ﬁ", "fl": "ﬂ"}
-    if len(name) == 1:
-        return name
-    if m := re.fullmatch(r"uni([0-9A-F]{4})", name):
-        return chr(int(m[1], 16))
-    digits = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
-    return str(digits.index(name)) if name in digits else words.get(name, "")
+        if not self.wide:
+            return [(self.simple(c), self.widths[c - self.first] if 0 <= c - self.first < len(self.widths) else 500) for c in s]
+        if self.codec is not None:
+            return [(text, self.usual) for _, text in self.codec(s)]
+        codes = [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s), 2)]
+        return [(self.composite(c), self.wide_widths.get(c, self.usual)) for c in codes]
+
+    def simple(self, code: int) -> str:
+        text = self.map.get(code)
+        if text is not None:
+            return text
+        if code in self.names:
+            return fonts.glyph(self.names[code])
+        if isinstance(self.program, fonts.TrueType) and (text := self.program.of_code(code)):
+            return text
+        return bytes([code]).decode("cp1252", "replace")
+
+    def composite(self, code: int) -> str:
+        text = self.map.get(code)
+        if text is not None or self.program is None:
+            return text or ""
+        if isinstance(self.program, fonts.Compact):
+            return self.program.text.get(code, "")
+        return self.program.text.get(self.glyphs[code] if self.glyphs and code < len(self.glyphs) else code, "")
 
 
 def multiplied(m: tuple, n: tuple) -> tuple:

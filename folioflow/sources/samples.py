@@ -229,3 +229,44 @@ def grid(rows: list[list[str]], left: int = 50, top: int = 700, width: int = 120
         for j, c in enumerate(r):
             out += text_at(left + j * width + 4, top - (i + 1) * height + 6, c, 10)
     return out
+
+
+def cmap4(codes: dict[int, int]) -> bytes:
+    """A table of codes and glyphs, of format 4 with a segment for each code."""
+    rows = [*sorted(codes.items()), (0xFFFF, 0)]
+    n = len(rows)
+    starts = b"".join(struct.pack(">H", c) for c, _ in rows)
+    deltas = b"".join(struct.pack(">H", (g - c) & 0xFFFF) for c, g in rows)
+    body = struct.pack(">4H", n * 2, 0, 0, 0) + starts + b"\0\0" + starts + deltas + bytes(2 * n)
+    return struct.pack(">3H", 4, 6 + len(body), 0) + body
+
+
+def truetype(maps: dict[tuple[int, int], bytes], post: bytes = b"") -> bytes:
+    """A font program with tables of codes by platform and kind, and one of names."""
+    head = struct.pack(">2H", 0, len(maps))
+    at, records, body = 4 + 8 * len(maps), b"", b""
+    for (platform, kind), table in maps.items():
+        records += struct.pack(">2HL", platform, kind, at + len(body))
+        body += table
+    tables = {b"cmap": head + records + body} | ({b"post": post} if post else {})
+    out, data = b"\0\1\0\0" + struct.pack(">4H", len(tables), 0, 0, 0), b""
+    for name, table in tables.items():
+        out += struct.pack(">4s3L", name, 0, 12 + 16 * len(tables) + len(data), len(table))
+        data += table
+    return out + data
+
+
+def subset_pdf(text: str) -> bytes:
+    """A page in a subset font that brings no map: codes are glyphs, and only its program tells their characters."""
+    glyphs = {ord(c): g for g, c in enumerate(sorted(set(text)), 1)}
+    program = zlib.compress(truetype({(3, 1): cmap4(glyphs)}))
+    content = f"BT /F1 12 Tf 50 700 Td <{''.join(f'{glyphs[ord(c)]:04x}' for c in text)}> Tj ET".encode()
+    objects = [
+        b"<</Type/Catalog/Pages 2 0 R>>",
+        b"<</Type/Pages/Count 1/Kids[3 0 R]>>",
+        b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 800]/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>",
+        b"<</Length %d>>\nstream\n%s\nendstream" % (len(content), content),
+        b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 500/FontDescriptor<</FontFile2 6 0 R>>>>]>>",
+        b"<</Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (len(program), program),
+    ]
+    return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer\n<</Root 1 0 R>>\n"
