@@ -16,10 +16,12 @@ from ..operators.convert import convert_folder, converted, delivered
 from ..sources import samples
 from ..sources.files import listing, uploaded, write_files
 from ..sources.reader import document_files
+from ..sources.table_functions import register as register_table_functions
 from ..sources.zipdir import DIRECTORY
 from ..streaming import jobs
 from ..streaming.convert import convert_stream
 from ..streaming.convert import outcomes as stream_outcomes
+from ..streaming.listing import listing_stream
 from ..streaming.waiting import waiting, with_rocks
 from .job_queries import SQL_STATUS, STAGE
 from .registry import ORACLES, query, table
@@ -447,3 +449,42 @@ def pdf_subset_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"in/part-{k}.pdf" for k in b["p_partkey"]], "length": [len(c) for c in contents], "content": contents})
 
     return outcomes(table(spark, sf_dir, "part").select("p_partkey", "p_name").mapInPandas(made, "path string, length long, content binary")).select("stem", "markdown", "error_code")
+
+
+@query("""
+    WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders),
+    a AS (SELECT c, count(*) AS n, string_agg(CASE WHEN before = s THEN '' ELSE s || ' ' END || k, chr(10) ORDER BY k) AS lines FROM o GROUP BY c)
+    SELECT c AS o_custkey, 0 AS seq, 1 AS part_no, 'page' AS kind, 'Customer ' || c || chr(10) || lines AS text, CAST(NULL AS INT) AS n_rows FROM a
+    UNION ALL SELECT c, 1, 1, 'ptable', NULL, CAST(n + 1 AS INT) FROM a""")
+def items_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of a PDF for every customer with orders, by a table function in SQL."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("orders"))
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"o_custkey": b["o_custkey"], "content": [statement(c, [(o["o_orderkey"], o["o_orderstatus"]) for o in os]) for c, os in zip(b["o_custkey"], b["orders"], strict=True)]})
+
+    register_table_functions(spark)
+    orders.mapInPandas(made, "o_custkey long, content binary").createOrReplaceTempView("folioflow_files")
+    return spark.sql("SELECT f.o_custkey, i.seq, i.part_no, i.kind, i.text, CASE WHEN i.rows IS NOT NULL THEN size(i.rows) END AS n_rows FROM folioflow_files f, LATERAL document_items(f.content, 'pdf') i")
+
+
+@query("SELECT 'jobs/' || s_suppkey || '.md' AS key, CAST(length(s_name) AS BIGINT) AS length, CAST((row_number() OVER (ORDER BY 'jobs/' || s_suppkey || '.md') - 1) // 50 AS BIGINT) AS batch FROM supplier")
+def stream_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for every supplier, listed by a stream with a cursor: a batch of two pages, then the stream is started anew and lists the rest."""
+    root = shared_dir(spark)
+    write_files(table(spark, sf_dir, "supplier").select(F.concat(F.lit("jobs/"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("key"), F.col("s_name").cast("binary").alias("content")), f"{root}/files")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("batch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{root}/out/{epoch}")
+
+    def stream():
+        return listing_stream(spark, f"{root}/files", page=25, most=50).writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state")
+
+    stream().trigger(once=True).start().awaitTermination()
+    rest = stream().start()
+    try:
+        rest.processAllAvailable()
+    finally:
+        rest.stop()
+    return spark.read.parquet(f"{root}/out/*").select("key", "length", "batch")
