@@ -488,3 +488,20 @@ def stream_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         rest.stop()
     return spark.read.parquet(f"{root}/out/*").select("key", "length", "batch")
+
+
+@query("""
+    SELECT 'left-' || p_partkey AS stem, '## Page 1' || chr(10) || chr(10) || 'שלום ' || p_partkey || ' עולם, ' || p_brand || chr(10) AS markdown FROM part
+    UNION ALL SELECT 'down-' || p_partkey, '## Page 1' || chr(10) || chr(10) || '部品' || p_partkey || '番' || chr(10) FROM part""")
+def pdf_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two PDFs for every part: a Hebrew line with a number and a Latin name, its letters placed as they are seen, and a line that runs downwards."""
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, brand in zip(b["p_partkey"], b["p_brand"], strict=True):
+                rows.append((f"in/left-{k}.pdf", samples.subset_pdf(f"{brand} ,{'עולם'[::-1]} {k} {'שלום'[::-1]}")))
+                rows.append((f"in/down-{k}.pdf", samples.subset_pdf(f"部品{k}番", "Identity-V")))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "length": [len(r[1]) for r in rows], "content": [r[1] for r in rows]})
+
+    return outcomes(table(spark, sf_dir, "part").select("p_partkey", "p_brand").mapInPandas(made, "path string, length long, content binary")).select("stem", "markdown")

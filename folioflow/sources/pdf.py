@@ -19,7 +19,7 @@ import numpy as np
 
 from ..config import Limits
 from ..functions.errors import WARNINGS
-from . import fonts, lattice, pixels
+from . import bidi, fonts, lattice, pixels
 from .budget import TableBudget
 from .cipher import opened
 from .items import BODY, HEAD, IMAGES, TABLES, Extract, Failure, Item
@@ -381,6 +381,9 @@ class Font:
                 self.names[code] = x
                 code += 1
         self.codec, self.program, self.glyphs, self.wide_widths, self.usual = None, None, None, {}, 1000.0
+        encoding = file.get(d.get("Encoding"))
+        #: lines of such a font run downwards
+        self.upright = self.wide and (str(encoding).endswith("-V") or isinstance(encoding, Stream) and file.number(encoding.info.get("WMode")) == 1)
         if self.wide:
             within = file.dict((file.list(d.get("DescendantFonts")) or [{}])[0])
             self.wide_widths, self.usual = fonts.widths(file, within)
@@ -461,6 +464,7 @@ class Page:
     def __init__(self, file: File, page: dict):
         self.file, self.page = file, page
         self.letters: list[tuple[float, float, float, float, str]] = []
+        self.upright: list[tuple[float, float, float, float, str]] = []  # letters of lines that run downwards
         self.across: list[tuple[float, float, float]] = []  # y, x0, x1
         self.down: list[tuple[float, float, float]] = []  # x, y0, y1
         self.boxes: list[tuple[float, float]] = []
@@ -494,10 +498,15 @@ class Page:
                 return
             for text, width in font.letters(s):
                 m = multiplied((size * scale, 0, 0, size, 0, rise), multiplied(tm, ctm))
-                step = width / 1000 * size * scale + (spacing + (wording if text == " " else 0)) * scale
+                more = spacing + (wording if text == " " else 0)
+                if font.upright:
+                    if text:
+                        self.upright.append((m[4], m[5], width / 1000 * abs(m[0] or m[1]), abs(m[3]) or abs(m[1]), text))
+                    tm = multiplied((1, 0, 0, 1, 0, more - size), tm)
+                    continue
                 if text:
                     self.letters.append((m[4], m[5], width / 1000 * abs(m[0] or m[1]), abs(m[3]) or abs(m[1]), text))
-                tm = multiplied((1, 0, 0, 1, step, 0), tm)
+                tm = multiplied((1, 0, 0, 1, width / 1000 * size * scale + more * scale, 0), tm)
 
         while (v := p.value()) is not None:
             if not isinstance(v, Word):
@@ -615,11 +624,30 @@ class Page:
                     text += " "
                 text += c
                 end = x + width
+            out.append(bidi.logical(text))
+        return out
+
+    def columns(self) -> list[str]:
+        """Lines that run downwards, from the right to the left, apart where the gap is wide."""
+        rows: list[list] = []
+        for letter in sorted(self.upright, key=lambda g: (-g[0], -g[1])):
+            if rows and abs(rows[-1][0][0] - letter[0]) <= max(2.0, 0.4 * letter[3]):
+                rows[-1].append(letter)
+            else:
+                rows.append([letter])
+        out = []
+        for row in rows:
+            text, last = "", None
+            for _, y, _, size, c in sorted(row, key=lambda g: -g[1]):
+                if last is not None and last - y > 1.4 * size and not text.endswith(" ") and c != " ":
+                    text += " "
+                text += c
+                last = y
             out.append(text)
         return out
 
     def text(self) -> str:
-        return "\n".join(self.lines(self.letters))
+        return "\n".join([*self.lines(self.letters), *self.columns()])
 
     def tables(self) -> list[list[list[str | None]]]:
         """Tables of ruled lines, each cell with the text inside it; merged cells keep their place."""

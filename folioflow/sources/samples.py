@@ -256,8 +256,8 @@ def truetype(maps: dict[tuple[int, int], bytes], post: bytes = b"") -> bytes:
     return out + data
 
 
-def subset_pdf(text: str) -> bytes:
-    """A page in a subset font that brings no map: codes are glyphs, and only its program tells their characters."""
+def subset_pdf(text: str, map_name: str = "Identity-H") -> bytes:
+    """A page in a subset font that brings no map: codes are glyphs, and only its program tells their characters. Identity-V: a line that runs downwards."""
     glyphs = {ord(c): g for g, c in enumerate(sorted(set(text)), 1)}
     program = zlib.compress(truetype({(3, 1): cmap4(glyphs)}))
     content = f"BT /F1 12 Tf 50 700 Td <{''.join(f'{glyphs[ord(c)]:04x}' for c in text)}> Tj ET".encode()
@@ -266,7 +266,7 @@ def subset_pdf(text: str) -> bytes:
         b"<</Type/Pages/Count 1/Kids[3 0 R]>>",
         b"<</Type/Page/Parent 2 0 R/MediaBox[0 0 600 800]/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>",
         b"<</Length %d>>\nstream\n%s\nendstream" % (len(content), content),
-        b"<</Type/Font/Subtype/Type0/Encoding/Identity-H/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 500/FontDescriptor<</FontFile2 6 0 R>>>>]>>",
+        f"<</Type/Font/Subtype/Type0/Encoding/{map_name}/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 500/FontDescriptor<</FontFile2 6 0 R>>>>]>>".encode(),
         b"<</Filter/FlateDecode/Length %d>>\nstream\n%s\nendstream" % (len(program), program),
     ]
     return b"%PDF-1.7\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate(objects, 1)) + b"trailer\n<</Root 1 0 R>>\n"
