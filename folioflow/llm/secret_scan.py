@@ -2,7 +2,8 @@ r"""Secret scans: base patterns plus a battery of randomness tests. DataFrame fu
 
 Base patterns are found leftmost and non-overlapping. Besides them, every token of 20 or
 more characters in which an encoding can be inferred (hex, base32, lower or upper base36,
-base62, base64 or its URL form) is a candidate, unless it overlaps a base span.
+base62, base64 or its URL form, letters of one case or of both) is a candidate, unless it overlaps a base span; and so is every
+part of 20 or more characters between the token's hyphens, underscores and strokes.
 
 The battery holds a candidate against "its characters are independent and uniform over that
 alphabet" by three statistics: chi-squared over cells of the alphabet (kinds of letters, so
@@ -45,17 +46,23 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 #: For access and hex the shortest length may stand in the pattern: a run that is too short holds no other match.
 FAST = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts of a candidate between signs.
+PART = r"[A-Za-z0-9+]{20,}={0,2}"
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest on: name, pattern of the token, alphabet.
 ENCODINGS = (
     ("hex", r"^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
+    ("lower26", r"^[a-z]+$", LOWER),
+    ("upper26", r"^[A-Z]+$", UPPER),
     ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567"),
     ("lower36", r"^[a-z0-9]+$", DIGITS + LOWER),
     ("upper36", r"^[A-Z0-9]+$", DIGITS + UPPER),
+    ("both52", r"^[A-Za-z]+$", UPPER + LOWER),
     ("base62", r"^[A-Za-z0-9]+$", DIGITS + UPPER + LOWER),
     ("base64", r"^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
 )
+LETTERS_ONLY = ("lower26", "upper26", "both52")
 RANDOM_ALPHA = 1e-3
 FDR = 1e-2
 SPAN = "array<struct<start:int,rank:int,end:int>>"
@@ -127,18 +134,40 @@ def free(tokens: Column, base: Column) -> Column:
     return F.when((F.size(tokens) > 0) & (F.size(base) > 0), let(rows, kept)).otherwise(tokens)
 
 
+def with_parts(tokens: Column) -> Column:
+    """The tokens, each followed by its parts."""
+
+    def parts(t: Column) -> Column:
+        inner = F.transform(found(t["token"], PART, len(BASE), tokens=True), lambda x: F.struct((t["start"] + x["start"]).alias("start"), x["rank"], (t["start"] + x["end"]).alias("end"), x["token"]))
+        own = F.filter(inner, lambda x: F.char_length(x["token"]) < F.char_length(t["token"]))
+        return F.when(t["token"].rlike("[-_/]"), F.concat(F.array(t), own)).otherwise(F.array(t))
+
+    return let(tokens, lambda tokens: F.when(F.exists(tokens, lambda t: t["token"].rlike("[-_/]")), F.flatten(F.transform(tokens, parts))).otherwise(tokens))
+
+
+def outermost(spans: Column) -> Column:
+    """Spans (sorted by start, the longest first) without those that lie within one that begins earlier."""
+
+    def kept(spans: Column) -> Column:
+        reach = prefixes(F.transform(spans, lambda x: x["end"]), 0, F.greatest)
+        return let(reach, lambda reach: F.filter(spans, lambda x, i: (i == 0) | (x["start"] >= F.get(reach, i - 1))))
+
+    return let(spans, lambda spans: F.when(F.size(spans) > 1, kept(spans)).otherwise(spans))
+
+
 def survival(z: Column) -> Column:
     """P(Z > z) of a normal variable, by the logistic approximation of Bowling and others (error below 2e-4)."""
     return 1 / (1 + F.exp(F.lit(0.07056) * z * z * z + F.lit(1.5976) * z))
 
 
 def inferred(token: Column) -> Column:
-    """The place in ENCODINGS of the narrowest encoding that fits; null where none does: it takes a digit, and a letter of each case that the encoding mixes."""
+    """The place in ENCODINGS of the narrowest encoding that fits; null where none does: it takes a letter of each case that the encoding mixes, and a digit unless it has letters only."""
     digit, letter = token.rlike("[0-9]"), token.rlike("[A-Za-z]")
     both = token.rlike("[A-Z]") & token.rlike("[a-z]")
     out = F.lit(None).cast("int")
     for k, (name, pattern, _) in reversed(list(enumerate(ENCODINGS))):
-        mixed = digit & (both if name.startswith("base6") else letter)
+        cases = both if name.startswith(("base6", "both")) else letter
+        mixed = cases if name in LETTERS_ONLY else digit & cases
         out = F.when(token.rlike(pattern), F.when(mixed, F.lit(k))).otherwise(out)
     return out
 
@@ -237,7 +266,7 @@ def scanned(rows: DataFrame, text: Column, names: dict[str, str], alpha: float,
         n["tokens"]: found(text, CANDIDATE, len(BASE), tokens=True),
     })
     rows = rows.withColumn(n["base"], F.array_sort(F.concat(n["assign"], n["access"], n["hex"])))
-    rows = rows.withColumn(n["tokens"], free(F.col(n["tokens"]), F.col(n["base"])))
+    rows = rows.withColumn(n["tokens"], with_parts(free(F.col(n["tokens"]), F.col(n["base"]))))
     coded = F.transform(n["tokens"], lambda t: F.struct(F.struct(t["start"], t["rank"], t["end"]).alias("span"), t["token"].alias("token"), inferred(t["token"]).alias("code")))
     rows = rows.withColumn(n["tokens"], F.when(F.size(n["tokens"]) > 0, F.filter(coded, lambda t: t["code"].isNotNull())))
     rows = rows.withColumn(n["tokens"], F.transform(n["tokens"], lambda t: prepared(t["token"], t["code"], t["span"])))
@@ -248,7 +277,7 @@ def scanned(rows: DataFrame, text: Column, names: dict[str, str], alpha: float,
     size = F.size(n["tokens"])
     passed = F.transform(n["tokens"], lambda t, i: F.when(-t["against"] >= F.log(size / ((i + 1) * F.lit(fdr))), i + 1).otherwise(0))
     extra = F.transform(F.slice(n["tokens"], F.lit(1), F.coalesce(F.array_max(passed), F.lit(0))), lambda t: t["span"])
-    return rows.withColumn(n["extra"], F.coalesce(F.array_sort(extra), F.array().cast(SPAN))).drop(n["tokens"])
+    return rows.withColumn(n["extra"], F.coalesce(outermost(F.array_sort(extra, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))), F.array().cast(SPAN))).drop(n["tokens"])
 
 
 MADE = ("assign", "access", "hex", "base", "extra", "tokens")

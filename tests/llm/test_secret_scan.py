@@ -51,7 +51,7 @@ def random_like(token: str, code: int) -> tuple[float, float]:
     alphabet = s.ENCODINGS[code][2]
     body = token.lower() if code == 0 else token.rstrip("=")
     n, size = len(body), len(alphabet)
-    upper = lambda z: 1 / (1 + math.exp(0.07056 * z**3 + 1.5976 * z))
+    upper = lambda z: 1 / (1 + math.exp(min(700.0, 0.07056 * z**3 + 1.5976 * z)))
     kind = [next(k for k, cell in enumerate(s.CELLS) if c in cell) for c in body]
     share = [sum(c in cell for c in alphabet) / size for cell in s.CELLS]
     there = [k for k in range(10) if share[k]]
@@ -77,14 +77,23 @@ def brute_extra(text: str | None) -> list[tuple[int, int, int]]:
         token = m[0]
         if any(b < m.end() and m.start() < e for b, _, e in base):
             continue
-        code = next((k for k, (_, pattern, _) in enumerate(s.ENCODINGS) if re.search(pattern, token)), None)
-        mixed = re.search("[A-Z]", token) and re.search("[a-z]", token) if code is not None and s.ENCODINGS[code][0].startswith("base6") else re.search("[A-Za-z]", token)
-        if code is not None and mixed and re.search("[0-9]", token):
-            p, evidence = random_like(token, code)
-            family.append((evidence if p >= s.RANDOM_ALPHA else -1e300, m.start(), m.end()))
+        parts = [(m.start(), token)]
+        if re.search("[-_/]", token):
+            parts += [(m.start() + x.start(), x[0]) for x in re.finditer(s.PART, token) if len(x[0]) < len(token)]
+        for start, part in parts:
+            code = next((k for k, (_, pattern, _) in enumerate(s.ENCODINGS) if re.search(pattern, part)), None)
+            name = "" if code is None else s.ENCODINGS[code][0]
+            cases = re.search("[A-Z]", part) and re.search("[a-z]", part) if name.startswith(("base6", "both")) else re.search("[A-Za-z]", part)
+            if code is not None and cases and (name in s.LETTERS_ONLY or re.search("[0-9]", part)):
+                p, evidence = random_like(part, code)
+                family.append((evidence if p >= s.RANDOM_ALPHA else -1e300, start, start + len(part)))
     family.sort(key=lambda f: (-f[0], f[1]))
     k = max((i for i, f in enumerate(family, 1) if f[0] >= math.log(len(family) / (i * s.FDR))), default=0)
-    return sorted((a, 3, b) for _, a, b in family[:k])
+    out: list[tuple[int, int, int]] = []
+    for _, a, b in sorted(family[:k], key=lambda f: (f[1], -f[2])):
+        if not out or a >= out[-1][2]:
+            out.append((a, 3, b))
+    return out
 
 
 #: Our own: names, titles, paths and numbers as they stand in code and on pages.
@@ -116,6 +125,36 @@ def test_precision_and_recall_on_labelled_tokens(spark):
         assert sum(len(r["extra"]) for r in got.values()) >= least * 200
 
 
+#: Our own: names and phrases without a digit, as they stand in code, addresses and prose.
+PLAIN_NAMES = """AbstractSingletonProxyFactoryBean internationalizationandlocalization getElementsByClassNameAndTagName MAXIMUMALLOWABLECONCENTRATION ThisIsTheWayWeWashOurClothes donaudampfschifffahrtsgesellschaft
+    onceuponatimeinafarawayland org/springframework/context/annotation how-to-write-better-commit-messages SOME_VERY_LONG_CONSTANT_NAME_HERE honorificabilitudinitatibus pseudopseudohypoparathyroidism
+    KeyboardInterruptExceptionHandler LookAtThatBeautifulSunsetTonight electroencephalographically thequickbrownfoxjumpsoverthelazydog WAREHOUSEMANAGEMENTSYSTEM backgroundColorTransitionDuration
+    constantinopolitanischerdudelsack rechtsschutzversicherungsgesellschaften loremipsumdolorsitametconsectetur adipiscingelitseddoeiusmod""".split()
+
+
+def test_recall_by_kind_of_token(spark):
+    """Of 150 each: tokens with a prefix and parts, letters only, and the usual ones."""
+    rng = random.Random(19)
+    of = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters, digits = string.ascii_letters, string.digits
+    kinds = {
+        "xoxb": (lambda: f"xoxb-{of(digits, 12)}-{of(digits, 13)}-{of(letters + digits, 24)}", 0.9),
+        "prefixed": (lambda: f"ghp_{of(letters + digits, 36)}", 0.97),
+        "letters": (lambda: of(letters, 32), 0.9),
+        "long letters": (lambda: of(letters, 48), 0.97),
+        "lower": (lambda: of(string.ascii_lowercase, 40), 0.85),
+        "upper": (lambda: of(string.ascii_uppercase, 40), 0.85),
+        "path": (lambda: f"v1/keys/{of(letters + digits, 40)}", 0.97),
+        "base62": (lambda: of(letters + digits, 24), 0.93),
+    }
+    names = [(kind, make()) for kind, (make, _) in kinds.items() for _ in range(150)]
+    got = rows(spark, [f"see {t} there" for _, t in names])
+    share = {k: sum(len(got[i]["extra"]) > 0 for i, (kind, _) in enumerate(names) if kind == k) / 150 for k in kinds}
+    assert all(share[k] >= least for k, (_, least) in kinds.items()), share
+    plain = rows(spark, [f"see {x} there" for x in PLAIN_NAMES])
+    assert [PLAIN_NAMES[i] for i, r in plain.items() if r["extra"]] == []
+
+
 def test_time_is_linear_in_the_spans_of_a_text(spark):
     rng = random.Random(10)
     alphabet = string.ascii_letters + string.digits
