@@ -7,7 +7,9 @@ merged into shards of the next tier, and the last tier's are of the target size.
 is a scan whose tasks take shards of as many bytes as a file of the next tier holds, so each
 writes one file, and nothing is shuffled.
 
-A manifest lists the shards of one version. It is committed by renaming a finished file
+A manifest lists the segments of one version, and a segment lists shards. Segments never change: a commit writes one for
+what is new and for what is left of segments that lost shards, and takes over the others, so it costs what has
+changed. A manifest is committed by renaming a finished file
 to the version's name, which fails if that name exists: a writer that loses the race takes
 the new manifest, and does it again. Readers see one version or the next, never files
 of a job that did not end; those are removed by vacuum(). On object stores without an
@@ -19,14 +21,17 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import private, shared_dir
 
 ARRIVALS = 5
+#: Shards of a segment at most, and segments of under half of that beyond which they are written as one.
+SEGMENT, FEW = 1000, 16
 SMALLEST = 2 << 20
 FANOUT = 4
 TARGET = 128 << 20
@@ -34,9 +39,12 @@ TARGET = 128 << 20
 
 @dataclass(frozen=True)
 class Shard:
+    """A file; of: how many its job wrote, so that all of them can be read as their folder."""
+
     name: str
     tier: int
     size: int
+    of: int = 0
 
 
 @dataclass(frozen=True)
@@ -64,6 +72,8 @@ class ShardStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._jvm = jvm
+        #: of the manifest that was read last
+        self._segments: dict[str, tuple[Shard, ...]] = {}
 
     @classmethod
     def create(cls, spark: SparkSession, root: str | None = None, **sizes: int) -> ShardStore:
@@ -92,19 +102,42 @@ class ShardStore:
         versions = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
         if not versions:
             return None
-        stream = self._fs.open(self._at("manifests", f"{max(versions):012d}.json"))
+        raw = self._get("manifests", f"{max(versions):012d}.json")
+        self._segments = {name: self._segments.get(name) or tuple(Shard(**s) for s in self._get("manifests", name)) for name in raw["segments"]}
+        return Manifest(raw["version"], raw["schema"], tuple(s for shards in self._segments.values() for s in shards))
+
+    def _get(self, *names: str):
+        stream = self._fs.open(self._at(*names))
         try:
-            raw = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Manifest(raw["version"], raw["schema"], tuple(Shard(**s) for s in raw["shards"]))
 
-    def commit(self, new: Manifest) -> None:
-        """Make a manifest the newest, whole or not at all."""
-        staged, name = self._at("manifests", f".{uuid.uuid4().hex}"), self._at("manifests", f"{new.version:012d}.json")
-        stream = self._fs.create(staged)
-        stream.write(bytearray(json.dumps({"version": new.version, "schema": new.schema, "shards": [asdict(s) for s in new.shards]}), "utf-8"))
+    def _put(self, value, *names: str) -> None:
+        stream = self._fs.create(self._at(*names))
+        stream.write(bytearray(json.dumps(value), "utf-8"))
         stream.close()
+
+    def _segmented(self, shards: tuple[Shard, ...]) -> dict[str, tuple[Shard, ...]]:
+        """Shards in segments: those of before that are whole, and new ones, which are written."""
+        wanted = set(shards)
+        whole = {name: own for name, own in self._segments.items() if wanted.issuperset(own)}
+        small = [name for name, own in whole.items() if len(own) < SEGMENT // 2]
+        for name in small if len(small) > FEW else ():
+            del whole[name]
+        taken = {s for own in whole.values() for s in own}
+        rest = [s for s in shards if s not in taken]
+        for at in range(0, len(rest), SEGMENT):
+            name, own = f"segment-{uuid.uuid4().hex}", tuple(rest[at : at + SEGMENT])
+            self._put([asdict(s) for s in own], "manifests", name)
+            whole[name] = own
+        return whole
+
+    def commit(self, new: Manifest) -> Manifest:
+        """Make a manifest the newest, whole or not at all; as it is stored."""
+        segments = self._segmented(new.shards)
+        staged, name = self._at("manifests", f".{uuid.uuid4().hex}"), self._at("manifests", f"{new.version:012d}.json")
+        self._put({"version": new.version, "schema": new.schema, "segments": list(segments)}, "manifests", staged.getName())
         try:
             context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
             none = self._jvm.org.apache.hadoop.fs.Options.Rename
@@ -114,6 +147,8 @@ class ShardStore:
             if "FileAlreadyExists" in str(e):
                 raise Conflict(str(new.version)) from None
             raise
+        self._segments = segments
+        return Manifest(new.version, new.schema, tuple(s for shards in segments.values() for s in shards))
 
     def _change(self, added: list[Shard], removed: set[str], schema: str) -> Manifest:
         """Commit added and removed on top of whatever is newest; a removed shard that another writer has removed already is a conflict."""
@@ -124,8 +159,7 @@ class ShardStore:
                 raise Conflict("merged by another writer")
             new = Manifest((now.version if now else 0) + 1, now.schema if now else schema, (*(s for s in old if s.name not in removed), *added))
             try:
-                self.commit(new)
-                return new
+                return self.commit(new)
             except Conflict:
                 continue
 
@@ -135,20 +169,41 @@ class ShardStore:
         """The shards that a job writes: its files, once it has ended."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
+        return self._listed(folder)
+
+    def _listed(self, folder: str) -> list[Shard]:
         files = [s for s in self._fs.listStatus(self._at(folder)) if s.getPath().getName().startswith("part-")]
-        return [Shard(f"{folder}/{s.getPath().getName()}", self.tier(s.getLen()), s.getLen()) for s in files]
+        return [Shard(f"{folder}/{s.getPath().getName()}", self.tier(s.getLen()), s.getLen(), len(files)) for s in files]
 
     def append(self, arrival: DataFrame) -> Manifest:
         """Add an arrival as small shards."""
         added, schema = self._write(arrival), arrival.schema.json()
         # a job writes no file for an empty partition, except for the first one
-        none = [s for s in added if "/part-00000-" in s.name and self._load([s.name], schema).isEmpty()]
+        none = [s for s in added if "/part-00000-" in s.name and self._load([s], schema).isEmpty()]
         return self._change([s for s in added if s not in none], set(), schema)
 
-    def _load(self, names: list[str], schema: str, split: int | None = None) -> DataFrame:
-        """The rows of some shards; split: the bytes of files that a task reads."""
+    def append_each(self, rows: DataFrame, arrival: Column, arrivals: int) -> Iterator[Manifest]:
+        """Add rows as several arrivals, by a number from 0 on (null is 0, larger ones begin anew), which one job writes apart; each is added when the next manifest is asked for."""
+        column, staged = private(rows.columns, "arrival")["arrival"], f"staged/{uuid.uuid4().hex}"
+        rows.withColumn(column, F.pmod(F.coalesce(arrival, F.lit(0)), F.lit(arrivals))).write.partitionBy(column).parquet(f"{self.root}/{staged}")
+        self._fs.mkdirs(self._at("data"))
+        for k in range(arrivals):
+            folder, own = f"data/{uuid.uuid4().hex}", self._at(staged, f"{column}={k}")
+            added = []
+            if self._fs.exists(own):
+                self._fs.rename(own, self._at(folder))
+                added = self._listed(folder)
+            yield self._change(added, set(), rows.schema.json())
+        self._fs.delete(self._at(staged), True)
+
+    def _load(self, shards: Sequence[Shard], schema: str, split: int | None = None) -> DataFrame:
+        """The rows of some shards; split: the bytes of files that a task reads. Where all files of a job are wanted its folder is named."""
         from pyspark.sql.types import StructType
 
+        folders: dict[str, list[Shard]] = {}
+        for s in shards:
+            folders.setdefault(s.name.rpartition("/")[0], []).append(s)
+        names = [n for folder, own in folders.items() for n in ([folder] if len(own) == own[0].of else [s.name for s in own])]
         fields = StructType.fromJson(json.loads(schema))
         if not names:
             return self.spark.createDataFrame([], fields)
@@ -168,9 +223,9 @@ class ShardStore:
             if len(full) < self.fanout:
                 continue
             wanted = min(self.target, self.smallest * self.fanout ** (tier + 1))
-            merged = self._write(self._load([s.name for s in full], now.schema, split=wanted))
+            merged = self._write(self._load(full, now.schema, split=wanted))
             # a merged shard has risen, whatever compression made of its size
-            merged = [Shard(s.name, max(s.tier, tier + 1), s.size) for s in merged]
+            merged = [replace(s, tier=max(s.tier, tier + 1)) for s in merged]
             self._change(merged, {s.name for s in full}, now.schema)
             merges += 1
         return merges
@@ -188,7 +243,7 @@ class ShardStore:
                 for f in [f for f in files if f not in live] if live else [job.getPath()]:
                     removed += bool(self._fs.delete(f, True))
         for s in self._fs.listStatus(self._at("manifests")):
-            if s.getPath().getName() != f"{now.version:012d}.json":
+            if s.getPath().getName() not in (f"{now.version:012d}.json", *self._segments):
                 removed += bool(self._fs.delete(s.getPath(), False))
         return removed
 
@@ -197,7 +252,7 @@ class ShardStore:
         now = self.manifest()
         if now is None:
             raise FileNotFoundError(f"no manifest in {self.root}")
-        rows = self._load([s.name for s in now.shards], now.schema)
+        rows = self._load(now.shards, now.schema)
         if not with_shard:
             return rows
         names = {}
@@ -216,8 +271,7 @@ class ShardStore:
 def in_arrivals(docs: DataFrame, arrivals: int = ARRIVALS, **sizes: int) -> tuple[ShardStore, int]:
     """A store to which docs came in several arrivals, compacted after each and rid of what was merged; and the number of merges."""
     store, merges = ShardStore.create(docs.sparkSession, **sizes), 0
-    for arrival in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == arrival))
+    for _ in store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)), arrivals):
         merges += store.compact()
         store.vacuum()
     return store, merges

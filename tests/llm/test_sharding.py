@@ -4,6 +4,7 @@ import pytest
 from llm_data import documents, odd_texts, prose
 from pyspark.sql import functions as F
 
+from folioflow.llm import sharding
 from folioflow.llm.sharding import Conflict, Manifest, Shard, ShardStore
 
 SIZES = {"smallest": 4000, "fanout": 4, "target": 60_000}
@@ -51,6 +52,36 @@ def test_commits_are_atomic(spark, tmp_path):
     assert store.read().count() == 4 and store.vacuum() >= 1 and store.read().count() == 4
 
 
+def test_commits_cost_what_has_changed(spark, tmp_path, monkeypatch):
+    """Segments that keep their shards are taken over; small ones are written as one now and then."""
+    monkeypatch.setattr(sharding, "SEGMENT", 10)
+    monkeypatch.setattr(sharding, "FEW", 3)
+    store = ShardStore.create(spark, str(tmp_path / "s"), **SIZES)
+    shards = [Shard(f"data/j/{i}", 0, 1) for i in range(95)]
+    written = []
+    monkeypatch.setattr(store, "_put", lambda value, *names, put=store._put: (written.append(len(value)) if names[-1].startswith("segment") else None, put(value, *names)))
+    store._change(shards[:40], set(), "{}")
+    assert written == [10] * 4
+    written.clear()
+    store._change(shards[40:43], {"data/j/5"}, "{}")
+    assert written == [10, 2]  # nine that are left, and three new ones
+    for s in shards[43:60]:
+        store._change([s], set(), "{}")
+    again = ShardStore(spark, str(tmp_path / "s"), **SIZES)
+    now = again.manifest()
+    assert {s.name for s in now.shards} == {s.name for s in shards[:60]} - {"data/j/5"} and len(now.shards) == 59 and now == store.manifest()
+    assert len(again._segments) < 12 and again.vacuum() > 0
+    assert ShardStore(spark, str(tmp_path / "s"), **SIZES).manifest() == now
+
+
+def test_several_arrivals_of_one_job(spark, tmp_path):
+    store = ShardStore.create(spark, str(tmp_path / "s"), **SIZES)
+    df = documents(spark, odd_texts() * 3).repartition(4)
+    versions = [m.version for m in store.append_each(df, F.when(F.col("doc_id") % 7 == 0, 3).otherwise(0), 5)]
+    assert versions == [1, 2, 3, 4, 5] and rows(store.read()) == rows(df) and not list((tmp_path / "s" / "staged").iterdir())
+    assert all(len({x for x in store.manifest().shards if x.name.startswith(s.name.rpartition("/")[0])}) == s.of for s in store.manifest().shards)
+
+
 def test_empty_stores_and_arrivals(spark, tmp_path):
     store = ShardStore.create(spark, str(tmp_path / "s"), **SIZES)
     assert store.compact() == 0 and store.vacuum() == 0
