@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pre-tokens whose ids a worker keeps, twice: those met since the table was last full, and those met before.
 KEPT = 300_000
+#: Pre-tokens of more characters are not kept: they hardly repeat, and one may be as long as its text.
+LONG = 200
 #: Pairs of tokens whose compatibility a worker keeps.
 PAIRS = 1_000_000
 #: Later than any merge.
@@ -41,13 +43,15 @@ def byte_letters() -> dict[str, int]:
 
 
 class Kept(dict):
-    """Pre-token -> ids. When it is full it starts anew, and what is met again comes over from the table before."""
+    """Pre-token -> ids. When it is full it starts anew, and what is met again comes over from the table before; long ones are not kept."""
 
     def __init__(self, piece: Callable[[bytes], tuple[int, ...]]):
         super().__init__()
         self.piece, self.before = piece, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(word) > LONG:
+            return self.piece(word.encode())
         if len(self) >= KEPT:
             self.before = dict(self)
             self.clear()
