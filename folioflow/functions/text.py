@@ -92,6 +92,29 @@ def safe_stem(name: Column) -> Column:
     return F.when(stem == "", F.lit("document")).otherwise(stem)
 
 
+#: White space as browsers take it.
+BROWSER = WHITE.replace(r"\x{1C}-\x{20}\x{85}", r"\x{20}\x{FEFF}")
+
+
+def display_stem(name: Column) -> Column:
+    """The browser's form of safe_stem(): white space as browsers take it, at most MAX_STEM units of UTF-16 (no character is split), and all white space trimmed behind a cut."""
+    stem = F.regexp_replace(base_name(name), r"(?s)\A(.+)\.[^.]*\z", "$1")
+    stem = F.regexp_replace(F.regexp_replace(nfc(stem), ILLEGAL, "_"), r"\.{2,}", ".")
+    trimmed = lambda text: F.btrim(text, F.lit("".join(c for c in SPACES if c not in "\x1c\x1d\x1e\x1f\x85") + "\ufeff."))
+    stem = trimmed(F.regexp_replace(stem, f"{BROWSER}+", " "))
+    units = lambda text: F.char_length(text) + F.char_length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("units"))
+
+    def step(acc: Column, c: Column) -> Column:
+        after = acc["units"] + F.when(F.octet_length(c) == 4, 2).otherwise(1)
+        return F.struct(F.when(after <= MAX_STEM, F.concat(acc["text"], c)).otherwise(acc["text"]).alias("text"), after.alias("units"))
+
+    cut = F.aggregate(F.split(F.substring(stem, 1, MAX_STEM), ""), start, step, lambda acc: acc["text"])
+    stem = F.when(units(stem) > MAX_STEM, F.regexp_replace(cut, rf"(?<!{BROWSER[:-1]}.])(?:{BROWSER[:-1]}.])++\z", "")).otherwise(stem)
+    stem = F.when(F.upper(stem).isin(*DEVICES), F.concat(stem, F.lit("_file"))).otherwise(stem)
+    return F.when(stem == "", F.lit("document")).otherwise(stem)
+
+
 def slug(stem: Column) -> Column:
     """An ASCII path segment of at most 80 characters."""
     out = F.regexp_replace(stem, r"[^0-9A-Za-z_\-. ]", "-")

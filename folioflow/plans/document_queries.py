@@ -185,15 +185,15 @@ def pdf_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def endless(region: str, nations: list) -> bytes:
-    """A leaflet, or for every second nation a page that draws forms within forms a hundred million million times."""
-    return samples.nested_forms(9, 60) if nations[0][0] % 2 else leaflet(region, nations)
+    """A leaflet, or for every fifth nation a page that draws forms within forms ten million million times."""
+    return samples.nested_forms(9, 60) if nations[0][0] % 5 == 1 else leaflet(region, nations)
 
 
 @query("""
     WITH n AS (SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
     SELECT n_name AS stem,
-           CASE WHEN n_nationkey % 2 = 0 THEN '## Page 1' || chr(10) || chr(10) || n_name || chr(10) || n_name || ' page' || chr(10) || 'Nation Key' || chr(10) || n_name || ' ' || n_nationkey || chr(10) || chr(10) || '| Nation | Key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) END AS markdown,
-           CASE WHEN n_nationkey % 2 = 1 THEN 'CONVERSION_TIMEOUT' END AS error_code
+           CASE WHEN n_nationkey % 5 <> 1 THEN '## Page 1' || chr(10) || chr(10) || n_name || chr(10) || n_name || ' page' || chr(10) || 'Nation Key' || chr(10) || n_name || ' ' || n_nationkey || chr(10) || chr(10) || '| Nation | Key |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_name || ' | ' || n_nationkey || ' |' || chr(10) END AS markdown,
+           CASE WHEN n_nationkey % 5 = 1 THEN 'CONVERSION_TIMEOUT' END AS error_code
     FROM n""")
 def pdf_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file for each nation; those that never end, small as they are, give their code, and the files after them are converted."""
@@ -205,7 +205,7 @@ def pdf_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame({"path": [f"in/{n}.pdf" for n in b["n_name"]], "length": [len(c) for c in contents], "content": contents})
 
     docs = nations.select("n_nationkey", "n_name").repartition(8, "n_nationkey").mapInPandas(made, "path string, length long, content binary")
-    return outcomes(docs, Limits(child_timeout=3)).select("stem", "markdown", "error_code")
+    return outcomes(docs, Limits(child_timeout=8)).select("stem", "markdown", "error_code")
 
 
 def landed(spark: SparkSession, sf_dir: str) -> str:

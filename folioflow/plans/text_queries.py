@@ -113,6 +113,25 @@ def safe_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("p_partkey", "raw", text.safe_stem(F.col("raw")).alias("stem"), text.extension(F.col("raw")).alias("ext"))
 
 
+#: Names with what browsers and others see differently: wide characters, a byte order mark, a next line.
+WIDE = "chr(65279) || p_name || chr(133) || CASE p_partkey % 4 WHEN 0 THEN repeat('😀', (p_partkey % 70)::INT) || 'x. ' || repeat('é', 60) WHEN 1 THEN '..' || repeat('a. ', 50) WHEN 2 THEN '' ELSE ' .hidden' END || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.' ELSE '' END"
+
+
+@query(rf"""
+    WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN 'dir/aux.pdf' ELSE {WIDE} END AS raw FROM part),
+    b AS (SELECT *, regexp_replace(raw, '(?s)\A.*[/\\]', '') AS base FROM n),
+    s AS (SELECT *, regexp_replace(regexp_replace(nfc_normalize(regexp_replace(base, '(?s)\A(.+)\.[^.]*\z', '\1')), '{text.ILLEGAL}', '_', 'g'), '\.{{2,}}', '.', 'g') AS s0 FROM b),
+    t AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(s0, '{text.BROWSER}+', ' ', 'g'), '\A{text.BROWSER[:-1]}.]+', ''), '{text.BROWSER[:-1]}.]+\z', '') AS s1 FROM s),
+    c AS (SELECT *, string_split(substring(s1, 1, 120), '') AS cs FROM t),
+    w AS (SELECT *, list_transform(cs, lambda x: CASE WHEN octet_length(encode(x)) = 4 THEN 2 ELSE 1 END) AS us, length(s1) + length(regexp_replace(s1, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')) AS units FROM c),
+    u AS (SELECT *, CASE WHEN units > 120 THEN regexp_replace(array_to_string(list_filter(cs, lambda x, i: list_sum(us[1:i]) <= 120), ''), '{text.BROWSER[:-1]}.]+\z', '') ELSE s1 END AS s2 FROM w)
+    SELECT p_partkey, CASE WHEN upper(s2) IN ({", ".join(f"'{d}'" for d in text.DEVICES)}) THEN s2 || '_file' WHEN s2 = '' THEN 'document' ELSE s2 END AS stem FROM u""")
+def display_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as a browser shows them."""
+    raw = F.expr(f"CASE WHEN p_partkey % 50 = 7 THEN 'dir/aux.pdf' ELSE {WIDE.replace('chr(65279)', chr(39) + chr(0xFEFF) + chr(39)).replace('chr(133)', chr(39) + chr(0x85) + chr(39)).replace('::INT', '')} END".replace("(p_partkey % 70)", "cast(p_partkey % 70 as int)"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.display_stem(raw).alias("stem"))
+
+
 def sql_slug(x: str) -> str:
     out = f"regexp_replace(regexp_replace(regexp_replace({x}, '[^0-9A-Za-z_\\-. ]', '-', 'g'), '{W}+', '-', 'g'), '-+', '-', 'g')"
     return rf"substring(regexp_replace(regexp_replace({out}, '\A[-.]+', ''), '[-.]+\z', ''), 1, 80)"

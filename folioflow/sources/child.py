@@ -8,7 +8,7 @@ import sys
 import threading
 import time
 
-from .extract import extract
+from .parse import extract
 
 
 def send(body: bytes) -> None:

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 from xml.etree.ElementTree import Element
 
-from ..functions.errors import WARNINGS
+from ..functions.catalog import WARNINGS
 from . import numbering
 from .equations import tex
 from .items import AFTER, BODY, Extract, Item

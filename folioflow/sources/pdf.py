@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..config import Limits
-from ..functions.errors import WARNINGS
+from ..functions.catalog import WARNINGS
 from . import bidi, fonts, lattice, pixels
 from .budget import TableBudget
 from .cipher import opened

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from xml.etree.ElementTree import Element
 
-from ..functions.errors import WARNINGS
+from ..functions.catalog import WARNINGS
 from .items import BODY, HEAD, NOTES, Extract, Item
 from .ooxml import NS, Package, tag
 
