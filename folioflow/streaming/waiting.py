@@ -40,8 +40,7 @@ class Waiting(StatefulProcessor):
         for part in rows:
             found = [(int(us), stage, None if ok is None or ok != ok else bool(ok)) for us, stage, ok in zip(part["us"], part["stage"], part["ok"], strict=True)]
             self.polls.appendList(found)
-            for ms in {-(-us // 1000) for us, _, _ in found}:
-                self.handle.registerTimer(ms)
+            self.handle.registerTimer(min(-(-us // 1000) for us, _, _ in found))  # the next one is registered when this one fires
         yield from ()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -82,6 +81,8 @@ class Waiting(StatefulProcessor):
         elif used:
             rest = [(p[0], p[1], p[2]) for p in waiting[used:]]
             self.polls.put(rest) if rest else self.polls.clear()
+            if rest:
+                self.handle.registerTimer(-(-rest[0][0] // 1000))
         if began is not None:
             self.job.update((began, stage, failures, ended))
         if told:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 import duckdb
+import pytest
 
 import __spark_entry__ as entry
 
@@ -25,3 +28,13 @@ def test_prices_with_a_half(spark, tmp_path):
     spark.createDataFrame([(1, 5.0)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got, want = both(spark, tmp_path, "prepare_job")
     assert got == want and any("INVALID_FILE_FORMAT" in r for r in got) and any("FILE_TOO_LARGE" in r for r in got)
+
+
+@pytest.mark.parametrize("ms", [400, 500, 600])
+def test_polls_within_a_second_of_a_week(spark, tmp_path, ms):
+    end = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=604_800 * 2820)
+    at = [end - timedelta(hours=2), end - timedelta(milliseconds=1000 - ms), end + timedelta(hours=1)]
+    rows = [(i, t.replace(tzinfo=None), 7, "signup", v) for i, (t, v) in enumerate(zip(at, (5.0, 50.0, 10.0), strict=True))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got, want = both(spark, tmp_path, "stream_waiting")
+    assert got == want and len(got) == 5
