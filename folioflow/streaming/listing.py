@@ -6,6 +6,8 @@ key is told twice. Listing is what a driver does in any case; a batch holds a bo
 
 from __future__ import annotations
 
+import bisect
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ from ..sources.reader import listed
 SCHEMA = "key string, length bigint, modified_us bigint"
 #: Objects of a page, and how many a batch wants.
 PAGE, MOST = 250, 500
+#: Seconds for which a folder's listing serves the pages of one run: else each batch would list the whole folder.
+KEPT = 60
 
 
 class Listing(DataSource):
@@ -37,29 +41,36 @@ class Listing(DataSource):
 class Cursor(SimpleDataSourceStreamReader):
     def __init__(self, path: str, page: int, most: int, older: int | None):
         self.path, self.page, self.most, self.older = path, page, most, older
-
-    def keys(self, after: str, until: str | None = None) -> list[tuple[str, int, int]]:
-        """What lies behind a cursor, in the order of the keys."""
-        base = self.path.rstrip("/") + "/"
-        found = ((f.path.removeprefix(base), f.length, f.modified) for f in listed(self.path))
-        return sorted(f for f in found if f[0] > after and (until is None or f[0] <= until))
+        self.found: list[tuple[str, int, int]] = []
+        self.until = 0.0
+
+    def behind(self, after: str) -> int:
+        """Where in the folder's listing what lies behind a cursor begins; it is listed anew when the listing is old or used up."""
+        place = lambda: bisect.bisect_right(self.found, after, key=lambda f: f[0])
+        at = place()
+        if at == len(self.found) or time.monotonic() > self.until:
+            base = self.path.rstrip("/") + "/"
+            self.found = sorted((f.path.removeprefix(base), f.length, f.modified) for f in listed(self.path))
+            self.until = time.monotonic() + KEPT
+            at = place()
+        return at
 
     def initialOffset(self) -> dict:
         return {"after": ""}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         """The next pages, up to the one in which the wanted number is reached, and the cursor behind them."""
-        rows = self.keys(start["after"])
-        counted = taken = 0
-        while taken < len(rows) and counted < self.most:
-            page = rows[taken : taken + self.page]
+        begin = end = self.behind(start["after"])
+        counted = 0
+        while end < len(self.found) and counted < self.most:
+            page = self.found[end : end + self.page]
             counted += sum(self.older is None or f[2] < self.older for f in page)
-            taken += len(page)
-        return iter(rows[:taken]), {"after": rows[taken - 1][0] if taken else start["after"]}
+            end += len(page)
+        return iter(self.found[begin:end]), {"after": self.found[end - 1][0] if end > begin else start["after"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         """A batch once more, after a failure."""
-        return iter(self.keys(start["after"], end["after"]))
+        return iter([f for f in self.found[self.behind(start["after"]) :] if f[0] <= end["after"]])
 
     def commit(self, end: dict) -> None:
         """Nothing is kept but the cursor, which is in the stream's checkpoint."""
