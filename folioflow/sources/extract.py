@@ -73,6 +73,8 @@ class Child:
 
 #: Seconds that a child has to start.
 START_SECONDS = 120
+#: Documents that leave in one batch, at most, and the bytes of them and of their media that end one.
+TOGETHER, TOGETHER_BYTES = 64, 1 << 20
 #: This worker's child, kept from document to document.
 _child: list[Child] = []
 
@@ -96,17 +98,29 @@ def extracted(files: DataFrame, limits: Limits) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held: list[Extract] = []
+            begun = size = 0
             for i in range(batch.num_rows):
                 code = batch.column("error_code")[i].as_py()
                 if code is None:
                     content = batch.column("content")[i].as_py() or b""
-                    got = isolated(batch.column("source_type")[i].as_py(), content, limits)
+                    held.append(isolated(batch.column("source_type")[i].as_py(), content, limits))
+                    size += len(content) + sum(len(x.content or b"") for x in held[-1].items)
                 else:
-                    got = Extract(error_code=code)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("path").slice(i, 1), batch.column("source_type").slice(i, 1), pa.array([got.error_code], pa.string()), pa.array([got.parts], pa.int32()), pa.array([[x.row() for x in got.items]], ITEMS)],
-                    ["path", "source_type", "error_code", "parts", "items"],
-                )
+                    held.append(Extract(error_code=code))
+                # small documents leave together: a batch costs about as much as parsing one of them
+                if len(held) == TOGETHER or size >= TOGETHER_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("path").slice(begun, len(held)),
+                            batch.column("source_type").slice(begun, len(held)),
+                            pa.array([g.error_code for g in held], pa.string()),
+                            pa.array([g.parts for g in held], pa.int32()),
+                            pa.array([[x.row() for x in g.items] for g in held], ITEMS),
+                        ],
+                        ["path", "source_type", "error_code", "parts", "items"],
+                    )
+                    begun, size, held = i + 1, 0, []
 
     # what failed before does not travel
     return files.select("path", "source_type", "error_code", F.when(F.col("error_code").isNull(), F.col("content")).alias("content")).mapInArrow(rows, schema)
