@@ -35,12 +35,21 @@ def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     to a sixteenth of that number of files; what computes them keeps all its tasks. The
     folder stays until sweep(), as the frame that is returned reads it.
     """
+    return cut_into(folder(df.sparkSession, label), df, slim)
+
+
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one that sweep() deletes with all it holds."""
+    _made.append(path := f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return path
+
+
+def cut_into(path: str, df: DataFrame, slim: bool = False) -> DataFrame:
+    """cut() by a path of one's own, so that several tables can be read as one afterwards."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if slim:
         df = df.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

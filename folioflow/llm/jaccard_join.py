@@ -31,7 +31,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, private, shared_dir
+from .common import cut, cut_into, folder, private, shared_dir
 from .components import components
 
 COORDINATES = 64
@@ -329,23 +328,31 @@ def from_pivots(rows: DataFrame) -> DataFrame:
 
 
 def candidate_places(classes: DataFrame, p: Join) -> tuple[DataFrame, DataFrame | None]:
-    """Where classes (k, sig) meet: leaves (path, k, sig), and balls (path, k, sig, core) if any node was too large for a leaf."""
+    """Where classes (k, sig) meet: leaves (path, k, sig), and balls (path, k, sig, core) if any node was too large for a leaf.
+
+    Each level's leaves are written before the next level is made, and those of all levels are read as one table: plans have
+    no joins and scans for each level, so what the driver holds does not grow with the depth of the trees.
+    """
+    spark = classes.sparkSession
     runs = F.explode(F.array(*[F.xxhash64(F.lit(run)) for run in range(p.runs)]))
     nodes = children(classes.select(runs.alias("path"), "k", "sig"), p.fan)
-    leaves: list[DataFrame] = []
-    balls: list[DataFrame] = []
+    leaves, balls, level = folder(spark, "chosen-path-leaves"), folder(spark, "chosen-path-pivots"), 0
     while True:
         # at most one path in ``leaf`` rows; the row with the least hash is its pivot
         large = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("k", "path")).alias("by"))
         large = cut(large.where(F.col("n") > p.leaf).select("path", "by"), "chosen-path-large", slim=True)
-        leaves.append(nodes.join(large, "path", "left_anti"))
+        leaf = cut_into(f"{leaves}/{level}", nodes.join(large, "path", "left_anti"))
         if large.isEmpty():
             break
         pivots = nodes.withColumn("by", F.xxhash64("k", "path")).join(large, ["path", "by"]).select("path", F.col("sig").alias("pivot_sig")).dropDuplicates(["path"])
-        compared = cut(from_pivots(nodes.join(pivots, "path")), "chosen-path-pivots", slim=True)
-        balls.append(compared.where(F.col("off") <= p.core + p.apart).select("path", "k", "sig", (F.col("off") <= p.core).alias("core")))
+        compared = cut_into(f"{balls}/{level}", from_pivots(nodes.join(pivots, "path")), slim=True)
         nodes = children(compared.where(F.col("off") > p.core).select("path", "k", "sig"), p.fan)
-    return reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, balls) if balls else None
+        level += 1
+    leaves = spark.read.schema(leaf.schema).parquet(*[f"{leaves}/{n}" for n in range(level + 1)])
+    if not level:
+        return leaves, None
+    met = spark.read.schema(compared.schema).parquet(*[f"{balls}/{n}" for n in range(level)])
+    return leaves, met.where(F.col("off") <= p.core + p.apart).select("path", "k", "sig", (F.col("off") <= p.core).alias("core"))
 
 
 def candidate_links(places: tuple[DataFrame, DataFrame | None], p: Join, sparse: int | None = None) -> DataFrame:

@@ -95,6 +95,25 @@ def test_deep_trees_lose_no_link(spark, monkeypatch):
     assert j.join(df, params=replace(j.Join(), leaf=3)).where("n_links > 0").count() >= 300
 
 
+def test_no_plan_spans_the_levels(spark, monkeypatch, capsys):
+    """However deep the trees, no plan has joins for each of their levels, also when large components are told apart."""
+    rng = random.Random(15)
+    texts = near_copies(rng, 20, 0.002) + near_copies(rng, 100, 0.05)
+    levels, joins = [], {}
+
+    def counted(df, label, slim=False, f=j.cut):
+        capsys.readouterr()
+        df.explain()
+        joins[label] = max(joins.get(label, 0), sum("Join " in x for x in capsys.readouterr().out.splitlines()))
+        return f(df, label, slim)
+
+    monkeypatch.setattr(j, "cut", counted)
+    monkeypatch.setattr(j, "from_pivots", lambda rows, f=j.from_pivots: levels.append(1) or f(rows))
+    check(spark, texts, params=replace(j.Join(), leaf=3, block=4))
+    assert len(levels) >= 4 and "jaccard-pairs" in joins
+    assert max(n for label, n in joins.items() if label.startswith("chosen-path")) <= 10
+
+
 def chain(n: int, step: int = 11, words: int = 104) -> list[str]:
     """Texts of which each is just similar enough to the one before and the one after."""
     return [" ".join(f"w{k}" for k in range(i * step, i * step + words)) for i in range(n)]
