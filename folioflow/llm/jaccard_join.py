@@ -482,7 +482,9 @@ def placed(linked: DataFrame, places: tuple[DataFrame, DataFrame | None], p: Joi
     of_dense = components(told.where("dense").select("a", "b").unionByName(pairs.where("dense").select("a", "b")))
     of_dense = large.drop("c").join(of_dense.select(F.col("node").alias("k"), F.col("label").alias("c")), "k").join(dense.withColumn("dense", F.lit(True)), "k", "left")
     of_dense = of_dense.withColumns({"dense": F.coalesce("dense", F.lit(False)), "final": F.lit(False), "c": F.xxhash64(F.lit("dense"), "c")})
-    return dealt(rest.unionByName(of_dense), p).unionByName(starred(pairs.where("NOT dense").select("a", "b"), large.select("k", "size"), p))
+    # dealt() reads its classes twice
+    both = cut(rest.unionByName(of_dense), "jaccard-dealt", slim=True)
+    return dealt(both, p).unionByName(starred(pairs.where("NOT dense").select("a", "b"), large.select("k", "size"), p))
 
 
 #: Ids of documents with candidates up to which they are broadcast, 16 MB; beyond, a shuffle joins them to the texts.

@@ -112,6 +112,7 @@ def test_no_plan_spans_the_levels(spark, monkeypatch, capsys):
     check(spark, texts, params=replace(j.Join(), leaf=3, block=4))
     assert len(levels) >= 4 and "jaccard-pairs" in joins
     assert max(n for label, n in joins.items() if label.startswith("chosen-path")) <= 10
+    assert joins["jaccard-cells"] <= 10, joins
 
 
 def chain(n: int, step: int = 11, words: int = 104) -> list[str]:
