@@ -35,3 +35,15 @@ def test_references_are_told_apart_in_one_join(spark):
     assert sorted(told.collect(), key=str) == sorted([("unreferenced", 1), ("referenced", 2), ("referenced", 2), ("unreferenced", None)], key=str)
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "Aggregate" in plan
+
+
+def test_archives_are_on_the_disk_a_lot_at_a_time(spark, sf_dir, tmp_path, monkeypatch):
+    lots, real = [], queries.write_files
+    monkeypatch.setattr(queries, "LOT_BYTES", 4 << 20, raising=False)
+    monkeypatch.setattr(queries, "shared_dir", lambda _: str(tmp_path / "run"))
+    monkeypatch.setattr(queries, "write_files", lambda files, folder: lots.append(real(files, folder)))
+    rows = entry.queries()["archive_directories"](spark, sf_dir).collect()
+    assert sum(lots) == len(rows) + 5  # and texts, which are not judged
+    assert len(lots) > 2 and max(lots) < len(rows) / 2
+    assert not list((tmp_path / "run").rglob("*.docx"))
+    assert len({r["name"] for r in rows}) == len(rows)

@@ -61,3 +61,19 @@ def test_tasks_are_planned_by_bytes():
 
 def test_no_files(spark, tmp_path):
     assert r.document_files(spark, str(tmp_path)).count() == 0
+
+
+def test_directories_leave_together_by_their_entries(tmp_path, monkeypatch):
+    for i in range(10):
+        (tmp_path / f"{i}.docx").write_bytes(samples.stored({f"m{k}": b"x" for k in range(3)}))
+    (tmp_path / "empty.docx").write_bytes(b"")
+
+    def batches(*columns):
+        reader = r.Reader(str(tmp_path), list(columns), r.TASK_BYTES)
+        return [b for p in reader.partitions() for b in reader.read(p)]
+
+    one = batches("name", "directory")
+    assert len(one) == 1 and one[0].num_rows == 11 and sum(len(d["members"]) for d in one[0].column("directory").to_pylist() if d) == 30
+    monkeypatch.setattr(r, "TOGETHER_ENTRIES", 6)
+    assert sorted(b.num_rows for b in batches("name", "directory")) == [1, 2, 2, 2, 2, 2]
+    assert [b.num_rows for b in batches("content", "directory")] == [1] * 11
