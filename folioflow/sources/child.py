@@ -1,4 +1,4 @@
-"""The process that parses a worker's documents: one comes in, its items or a code go out, until the worker is gone."""
+"""The process that parses a worker's documents: some come in, the items or a code of each go out, until the worker is gone."""
 
 from __future__ import annotations
 
@@ -28,7 +28,9 @@ if __name__ == "__main__":
     threading.Thread(target=leave_with, args=(os.getppid(),), daemon=True).start()
     send(b"")
     while head := sys.stdin.buffer.read(8):
-        kind, content, limits = pickle.loads(sys.stdin.buffer.read(int.from_bytes(head, "little")))
-        out = extract(kind, content, limits)
-        del content
-        send(pickle.dumps(out, protocol=5))
+        documents, limits = pickle.loads(sys.stdin.buffer.read(int.from_bytes(head, "little")))
+        documents.reverse()
+        while documents:
+            out = extract(*documents.pop(), limits)
+            send(pickle.dumps(out, protocol=5))
+            del out

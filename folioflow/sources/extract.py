@@ -30,33 +30,42 @@ class Child:
         root = str(Path(__file__).resolve().parents[2])
         env = os.environ | {"PYTHONPATH": os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])}
         self.process = subprocess.Popen([sys.executable, "-m", f"{__package__}.child"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env)
-        self.done = 0
+        self.done = self.waiting = 0  # documents that it was given, and those that it has yet to answer
+        self.held = bytearray()
         self.read(time.monotonic() + START_SECONDS)  # it says that it is there, so a document's time is its own
 
     def read(self, until: float) -> bytes:
         """One message. TimeoutError if it isn't there in time, EOFError if there is no child any more."""
-        out, wanted, pipe = bytearray(), None, self.process.stdout.fileno()
+        pipe = self.process.stdout.fileno()
         poll = select.poll()
         poll.register(pipe, select.POLLIN)
-        while wanted is None or len(out) < wanted:
+        while len(self.held) < 8 or len(self.held) < 8 + int.from_bytes(self.held[:8], "little"):
             left = until - time.monotonic()
             if left <= 0 or not poll.poll(left * 1000):
                 raise TimeoutError
-            part = os.read(pipe, 1 << 20)
+            part = os.read(pipe, 1 << 16)
             if not part:
                 raise EOFError
-            out += part
-            if wanted is None and len(out) >= 8:
-                wanted = 8 + int.from_bytes(out[:8], "little")
-        return bytes(out[8:wanted])
-
-    def parse(self, kind: str, content: bytes, limits: Limits) -> Extract:
-        message = pickle.dumps((kind, content, limits), protocol=5)
+            self.held += part
+        end = 8 + int.from_bytes(self.held[:8], "little")
+        body = bytes(self.held[8:end])
+        del self.held[:end]
+        return body
+
+    def send(self, documents: list[tuple[str, bytes]], limits: Limits) -> None:
+        """Kinds and contents, which it reads whole before it answers for the first."""
+        message = pickle.dumps((documents, limits), protocol=5)
+        self.done += len(documents)
+        self.waiting += len(documents)
         self.process.stdin.write(len(message).to_bytes(8, "little"))
         self.process.stdin.write(message)
         self.process.stdin.flush()
-        self.done += 1
-        return pickle.loads(self.read(time.monotonic() + (limits.word_timeout if kind == "docx" else limits.child_timeout)))
+
+    def answer(self, kind: str, limits: Limits) -> Extract:
+        """What became of the next document."""
+        found = pickle.loads(self.read(time.monotonic() + (limits.word_timeout if kind == "docx" else limits.child_timeout)))
+        self.waiting -= 1
+        return found
 
     def end(self) -> None:
         """Asks it to go, and makes it go after five seconds."""
@@ -79,17 +88,48 @@ TOGETHER, TOGETHER_BYTES = 64, 1 << 20
 _child: list[Child] = []
 
 
+def together(documents: list[tuple[str, bytes]], limits: Limits) -> Iterator[Extract]:
+    """What becomes of documents (kind, content) in the worker's child, with a time limit for each whatever its size.
+
+    They are sent together, so that the child goes on while its answers are taken. One that overstays or dies is replaced for the documents after
+    the one it was at, and so is one that a task left before it had all answers.
+    """
+    at = 0
+    while at < len(documents):
+        if not _child or _child[0].done >= Child.MOST or _child[0].waiting:
+            for old in _child:
+                old.end()
+            _child[:] = [Child()]
+        child = _child[0]
+        try:
+            child.send(documents[at:], limits)
+            while child.waiting:
+                found = child.answer(documents[at][0], limits)
+                at += 1
+                yield found
+        except (TimeoutError, EOFError, BrokenPipeError) as e:
+            _child.remove(child)
+            child.end()
+            at += 1
+            yield Extract(error_code="CONVERSION_TIMEOUT" if isinstance(e, TimeoutError) else "CONVERSION_FAILED")
+
+
 def isolated(kind: str, content: bytes, limits: Limits) -> Extract:
-    """The same in the worker's child, with a time limit for every document whatever its size. A child that overstays or dies is replaced for the next document."""
-    if not _child or _child[0].done >= Child.MOST:
-        for old in _child:
-            old.end()
-        _child[:] = [Child()]
-    try:
-        return _child[0].parse(kind, content, limits)
-    except (TimeoutError, EOFError, BrokenPipeError) as e:
-        _child.pop().end()
-        return Extract(error_code="CONVERSION_TIMEOUT" if isinstance(e, TimeoutError) else "CONVERSION_FAILED")
+    """The same for one document."""
+    return next(together([(kind, content)], limits))
+
+
+def parsed(batch: pa.RecordBatch, limits: Limits) -> Iterator[tuple[int, Extract]]:
+    """The length of each document without an error, and what becomes of it; as many go to the child together as leave together."""
+    lot: list[tuple[str, bytes]] = []
+    size = 0
+    left = [i for i, code in enumerate(batch.column("error_code").to_pylist()) if code is None]
+    for i in left:
+        lot.append((batch.column("source_type")[i].as_py(), batch.column("content")[i].as_py() or b""))
+        size += len(lot[-1][1])
+        if len(lot) == TOGETHER or size >= TOGETHER_BYTES or i == left[-1]:
+            yield from zip([len(content) for _, content in lot], together(lot, limits), strict=False)
+            lot, size = [], 0
 
 
 def extracted(files: DataFrame, limits: Limits) -> DataFrame:
@@ -100,12 +140,12 @@ def extracted(files: DataFrame, limits: Limits) -> DataFrame:
         for batch in batches:
             held: list[Extract] = []
             begun = size = 0
-            for i in range(batch.num_rows):
-                code = batch.column("error_code")[i].as_py()
+            answers = parsed(batch, limits)
+            for i, code in enumerate(batch.column("error_code").to_pylist()):
                 if code is None:
-                    content = batch.column("content")[i].as_py() or b""
-                    held.append(isolated(batch.column("source_type")[i].as_py(), content, limits))
-                    size += len(content) + sum(len(x.content or b"") for x in held[-1].items)
+                    length, found = next(answers)
+                    held.append(found)
+                    size += length + sum(len(x.content or b"") for x in found.items)
                 else:
                     held.append(Extract(error_code=code))
                 # small documents leave together: a batch costs about as much as parsing one of them
